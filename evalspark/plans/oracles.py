@@ -28,7 +28,11 @@ def with_ctes(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return head + ",\n" + stripped[5:]
+    return head + "\n" + body
 
 
 def H(seed: str, ident: str) -> str:
