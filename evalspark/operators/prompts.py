@@ -116,7 +116,7 @@ def build_requests(train: DataFrame, test: DataFrame, features: list[tuple[str,
                                  lambda s: s["l"]), "\n").alias("test_block"),
         F.transform(F.array_sort(F.collect_list(F.struct("row_in_chunk", "row_id"))),
                     lambda s: s["row_id"]).alias("row_ids"))
-    chunks = chunks.withColumn("n_rows", F.size("row_ids"))
+    chunks = chunks.withColumn("n_rows", F.size("row_ids").cast("long"))
     j = chunks.join(block, keys).join(classes, keys)
     msg = user_message(F.col("class_list"), F.col("train_block"), F.col("test_block"),
                        F.col("n_rows"), [f for f, _ in features], reasoning, elicit_proba)
