@@ -100,10 +100,11 @@ def binarize_label(df: DataFrame, col: str, positive: list[str], negative: list[
             .filter(F.col("target").isNotNull()))
 
 
-def infer_problem_type(df: DataFrame, target: str = "target", max_classes: int = 20) -> DataFrame:
-    """Float target with many values → regression; 2 classes → binary; else multiclass."""
+def infer_problem_type(df: DataFrame, target: str = "target", keys=("key",), max_classes: int = 20) -> DataFrame:
+    """Per key — a float target with many values is regression; 2 classes binary; else
+    multiclass."""
     is_float = dict(df.dtypes)[target] in ("double", "float")
-    n = df.agg(F.countDistinct(target).alias("n_classes"))
+    n = df.groupBy(*keys).agg(F.countDistinct(target).alias("n_classes"))
     kind = (F.when(F.col("n_classes") == 2, "binary")
             .when(F.lit(is_float) & (F.col("n_classes") > max_classes), "regression")
             .otherwise("multiclass"))
@@ -173,8 +174,11 @@ def model_family(models: DataFrame, exact: DataFrame, rules: list[tuple[str, str
     (split on ``-_/: .``), then the default."""
     parts = F.split(F.lower(F.col(col)), r"[-_/:. ]")
     expr = None
+    def starts(t):
+        return lambda p: p.startswith(t)
+
     for token, fam in rules:
-        cond = F.exists(parts, lambda p, t=token: p.startswith(t))
+        cond = F.exists(parts, starts(token))
         expr = F.when(cond, F.lit(fam)) if expr is None else expr.when(cond, F.lit(fam))
     rule = expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
     j = models.join(exact.withColumnRenamed("family", "__exact"), col, "left")
