@@ -182,6 +182,29 @@ def clf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           ["key", "row_id"])
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage of a table that several branches of a plan read (e.g. a split).
+
+    The table is written once as parquet under the session's shared checkpoint folder
+    (reliable storage that survives executor loss, unlike a local checkpoint) and read
+    back, so the branches scan files — with column pruning and statistics — instead of
+    recomputing the split each time.
+    """
+    from .session import scratch_dir
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def clf_bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(parts, truth, predictions, proba) from one materialized split."""
+    from .operators import predictors as P
+    parts = materialize(clf_parts(spark, sf_dir))
+    tr = parts.filter(F.col("part") == "test").select("seed", "key", "row_id", "target")
+    preds, proba = P.rule_models(parts)
+    return parts, tr, preds, proba
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (clf_parts(spark, sf_dir).filter(F.col("part") == "test")
             .select("seed", "key", "row_id", "target"))

@@ -26,18 +26,24 @@ def hash_number(text: Column, digits: int = 8) -> Column:
 
 
 def hash_rank(df: DataFrame, partition_cols: list[str], order_hex: str, tiebreak: str,
-              out: str = "rn", bucket_digits: int = 3) -> DataFrame:
+              out: str = "rn", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Exact ``row_number() over (partition by ... order by order_hex, tiebreak)``.
 
     A plain window sorts a whole partition group in one task; when one group holds a
-    third of the data that task is the job. Because ``order_hex`` is a uniform hex hash,
-    its first ``bucket_digits`` digits split every group into ``16**bucket_digits`` near
-    equal buckets: the rank is the number of rows in earlier buckets (a small aggregate,
-    partially combined map-side) plus the row number inside the bucket (a window over
-    1/4096 of the group). Same result as the plain window, no hot task.
+    third of the data that task is the job. ``order_hex`` is a uniform hex hash, so its
+    first d digits split a group into 16**d near-equal buckets. d is chosen per group from
+    the group's size (a small aggregate) so a bucket holds about ``rows_per_bucket`` rows:
+    small groups keep d = 0 (one window partition, no overhead), a hot group is spread
+    over many tasks. The rank is the number of rows in earlier buckets (an aggregate,
+    partially combined map-side) plus the row number inside the bucket. Same result as
+    the plain window.
     """
-    b = "__bucket"
-    with_b = df.withColumn(b, F.substring(F.col(order_hex), 1, bucket_digits))
+    b, d = "__bucket", "__digits"
+    sizes = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__gn"))
+    sizes = sizes.select(*partition_cols, F.least(F.greatest(
+        F.ceil(F.log(16.0, F.col("__gn") / float(rows_per_bucket))), F.lit(0)), F.lit(6)).cast("int").alias(d))
+    with_b = df.join(sizes, list(partition_cols)).withColumn(
+        b, F.expr(f"substring({order_hex}, 1, {d})")).drop(d)
     keys = list(partition_cols) + [b]
     counts = with_b.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     wcum = (Window.partitionBy(*partition_cols).orderBy(b)

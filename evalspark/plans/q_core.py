@@ -231,8 +231,8 @@ def q_unparsed(spark, d):
 
 # ============================================================== classification metrics
 def _clf(spark, d):
-    preds, proba = C.clf_predictions(spark, d)
-    return C.truth(spark, d), preds, proba
+    _, truth, preds, proba = C.clf_bundle(spark, d)
+    return truth, preds, proba
 
 
 CLF_SQL = """

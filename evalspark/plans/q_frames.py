@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.values import values
+
 from .. import catalog as C
 from ..operators import features as T
 from ..operators import frames as P
@@ -223,7 +225,7 @@ CROSS JOIN (VALUES (0), (1), (2)) s(seed) CROSS JOIN (VALUES ('DUMMY'), ('GROUP'
 def _units(spark, d):
     keys = C.clf_tasks(spark, d).select("key").distinct()
     seeds = spark.range(3).select(F.col("id").cast("int").alias("seed"))
-    models = spark.createDataFrame([("DUMMY",), ("GROUP",), ("HASH",)], "model string")
+    models = values(spark, [("DUMMY",), ("GROUP",), ("HASH",)], "model string")
     return seeds.crossJoin(keys).crossJoin(models)
 
 
@@ -242,7 +244,7 @@ SELECT CASE WHEN u.key IN ('customer_0') OR regexp_extract(u.key, '^(.*)_(\\d+)$
             ELSE 'metrics' END AS route, count(*) AS n_units
 FROM ({UNITS_SQL}) u GROUP BY 1""", "clf_tasks"))
 def q_exclude_route(spark, d):
-    ex = P.exclude_units(_units(spark, d), ["customer_0"], ["documents"], spark.createDataFrame([], "key string"))
+    ex = P.exclude_units(_units(spark, d), ["customer_0"], ["documents"], values(spark, [], "key string"))
     return ex.groupBy(F.when(F.col("excluded"), "excluded").otherwise("metrics").alias("route")).agg(
         F.count(F.lit(1)).alias("n_units"))
 
@@ -343,7 +345,7 @@ SELECT model, coalesce(CASE WHEN model = 'CHINA' THEN 'Asia (exact)' END,
 FROM p""", "metrics_grid"))
 def q_family(spark, d):
     m = C.metrics_grid(spark, d).select("model").distinct()
-    exact = spark.createDataFrame([("CHINA", "Asia (exact)")], "model string, family string")
+    exact = values(spark, [("CHINA", "Asia (exact)")], "model string, family string")
     return P.model_family(m, exact, FAMILY_RULES)
 
 
@@ -402,7 +404,7 @@ def q_nan_policy(spark, d):
     n = C.table(spark, d, "nation").filter("n_nationkey % 2 = 0")
     pol = n.select(F.col("n_name").alias("model"), F.when(F.col("n_regionkey") == 0, "zero")
                    .when(F.col("n_regionkey") == 1, "mean").otherwise("native").alias("nan_policy"))
-    pol = pol.unionByName(spark.createDataFrame([("default", "median")], "model string, nan_policy string"))
+    pol = pol.unionByName(values(spark, [("default", "median")], "model string, nan_policy string"))
     return T.nan_policy_resolve(m, pol)
 
 

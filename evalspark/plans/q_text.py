@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.values import values
+
 from .. import catalog as C
 from ..functions.hashing import seeded_hash
 from ..functions.text import EFFORT_ORDER, fmt_value, row_to_text
@@ -107,7 +109,7 @@ SELECT seed, key, model, chunk, idx, token, body FROM (
 
 # ------------------------------------------------------------------ Spark side helpers
 def _fewshot(spark, d):
-    parts = C.clf_parts(spark, d)
+    parts = C.materialize(C.clf_parts(spark, d))
     fs = S.subsample_parts(parts, n_train=N_SHOT, n_test=None)
     return fs.filter("part = 'train'"), parts.filter("part = 'test'")
 
@@ -220,7 +222,7 @@ def q_context_skip(spark, d):
     train, test = _fewshot(spark, d)
     first = PR.chunk_rows(test, BATCH).filter("pos = 1").drop("pos", "chunk", "row_in_chunk")
     one = PR.build_requests(train, first, FEATURES, BATCH).drop("model")
-    windows = spark.createDataFrame([("ICL-0", 700), ("ICL-big", 8192)], "model string, context_window int")
+    windows = values(spark, [("ICL-0", 700), ("ICL-big", 8192)], "model string, context_window int")
     r = one.crossJoin(windows.select("model"))
     out = PR.context_skip(r, windows)
     return out.withColumn("reserve", F.col("reserve").cast("int")).withColumn("total", F.col("total").cast("int"))
