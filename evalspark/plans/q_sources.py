@@ -1,3 +1,230 @@
-"""Queries (q_sources)."""
+"""Queries: scans and sinks (S*). File-layout queries write a deterministic tree derived
+from the driver's tables to a fresh folder under the shared checkpoint directory, then
+scan it; the oracle computes the same rows from the tables directly."""
 
-from .registry import query  # noqa: F401
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import catalog as C
+from ..operators import leaderboard as B
+from ..session import scratch_dir
+from ..sources import artifacts as A
+from ..sources import matrices as MX
+from ..sources import results as RS
+from ..sources import tables as TB
+from .oracles import board_sql, minmax_sql, with_ctes
+from .q_reports import _grid_results
+from .registry import query
+
+
+@query("src_table_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_table_scan(spark, d):
+    path = scratch_dir(spark, "csv") + "/customer.csv"
+    c = C.table(spark, d, "customer")
+    c.toDF(*[f"  {x} " for x in c.columns]).write.option("header", True).csv(path)
+    raw = TB.read_table(spark, path)
+    return raw.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"),
+                      F.col("c_acctbal").cast("double"), "c_mktsegment")
+
+
+@query("embedding_explode", "SELECT vec_id, label, " + ", ".join(
+    f"embedding[{i + 1}] AS embedding_{i}" for i in range(64)) + " FROM embeddings")
+def q_embedding(spark, d):
+    e = C.table(spark, d, "embeddings")
+    s = e.select("vec_id", "label", F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",")
+                 .alias("embedding"))
+    return TB.embedding_explode(s, "embedding")
+
+
+@query("status_scan", with_ctes("SELECT seed, key, model, status, reason FROM status", "status"))
+def q_status_scan(spark, d):
+    root = scratch_dir(spark, "status")
+    RS.write_status_tree(C.status(spark, d), root)
+    return RS.status_scan(spark, root)
+
+
+@query("path_keys", with_ctes("SELECT DISTINCT key FROM metrics_run", "metrics_run"))
+def q_path_keys(spark, d):
+    root = scratch_dir(spark, "truth")
+    C.metrics_run(spark, d).write.partitionBy("key").parquet(root)
+    return RS.path_keys(spark, root)
+
+
+@query("cell_axes_from_path", with_ctes("""
+SELECT DISTINCT reasoning, labels, feature_cap, n_train, CAST(n_train AS INTEGER) AS n FROM (
+  SELECT reasoning, labels, feature_cap, CASE WHEN seed = 6 THEN 'full' ELSE n_train END AS n_train FROM grid_results)
+WHERE TRY_CAST(n_train AS INTEGER) IS NOT NULL""", "grid_results"))
+def q_cell_axes(spark, d):
+    root = scratch_dir(spark, "grid")
+    g = _grid_results(spark, d).withColumn("n_train", F.when(F.col("seed") == 6, "full").otherwise(F.col("n_train")))
+    g.write.partitionBy("reasoning", "labels", "feature_cap", "n_train").parquet(root)
+    return RS.cell_axes_from_path(spark, root)
+
+
+@query("prediction_sink", with_ctes("SELECT seed, key, model, row_id, round(pred, 6) AS pred FROM reg_preds", "reg_preds"))
+def q_pred_sink(spark, d):
+    from .q_core import _reg
+    root = scratch_dir(spark, "predictions")
+    RS.write_predictions(_reg(spark, d).select("seed", "key", "model", "row_id", "pred"), root)
+    back = spark.read.parquet(root)
+    return back.select(F.col("seed").cast("int"), "key", "model", "row_id", F.round("pred", 6).alias("pred"))
+
+
+@query("metric_sink", with_ctes("""
+SELECT seed, key, model, CASE WHEN seed = 1 THEN 0.0 ELSE f1_macro END AS f1_macro FROM metrics_run""", "metrics_run"))
+def q_metric_sink(spark, d):
+    root = scratch_dir(spark, "metrics")
+    m = C.metrics_run(spark, d).select("seed", "key", "model", "f1_macro")
+    RS.write_metrics(m, root)
+    RS.write_metrics(m.filter("seed = 1").withColumn("f1_macro", F.lit(0.0)), root, overwrite_touched=True)
+    return spark.read.parquet(root).select(F.col("seed").cast("int"), "key", "model", "f1_macro")
+
+
+@query("split_fingerprint", with_ctes("""
+SELECT key, seed, md5(to_json({'key': key, 'seed': seed, 'test_size': CAST(0.2 AS DOUBLE), 'min_samples_per_class': 10,
+                               'train_subsample': 100})) AS split_hash
+FROM (SELECT DISTINCT key FROM clf_tasks) CROSS JOIN (VALUES (0), (1), (2)) s(seed)""", "clf_tasks"))
+def q_fingerprint(spark, d):
+    keys = C.clf_tasks(spark, d).select("key").distinct()
+    p = keys.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("seed"))) \
+        .withColumn("test_size", F.lit(0.2)).withColumn("min_samples_per_class", F.lit(10)) \
+        .withColumn("train_subsample", F.lit(100))
+    out = RS.split_fingerprint(p, ["key", "seed", "test_size", "min_samples_per_class", "train_subsample"])
+    return out.select("key", "seed", "split_hash")
+
+
+@query("matrix_file_parse", """
+SELECT 'S' || CAST(p_size % 10 AS VARCHAR) AS sample, replace(p_type, ' ', '_') AS gene,
+       CAST(round(avg(p_retailprice), 2) AS FLOAT) AS value
+FROM part GROUP BY 1, 2""")
+def q_matrix_parse(spark, d):
+    root = scratch_dir(spark, "counts")
+    p = C.table(spark, d, "part")
+    g = p.groupBy(F.concat(F.lit("S"), (F.col("p_size") % 10).cast("string")).alias("sample"),
+                  F.regexp_replace("p_type", " ", "_").alias("gene")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 2).alias("tpm"))
+    genes = g.select("sample", F.concat_ws("\t", "gene", F.lower("gene"), F.lit("protein_coding"), F.col("n").cast("string"),
+                                           F.lit("0"), F.lit("0"), F.col("tpm").cast("string"), F.lit("0"), F.lit("0"))
+                     .alias("value"))
+    samples = g.select("sample").distinct()
+    extra = samples.select("sample", F.explode(F.array(
+        F.lit("# gene-model: synthetic"),
+        *[F.lit(f"{n}\t\t\t0\t0\t0\t\t\t") for n in ("N_unmapped", "N_multimapping", "N_noFeature", "N_ambiguous")]))
+        .alias("value"))
+    genes.unionByName(extra).write.partitionBy("sample").text(root)
+    return MX.parse_counts(spark, root)
+
+
+@query("matrix_assemble", """
+PIVOT (SELECT n.n_name AS sample, c.c_mktsegment AS feature, count(*) AS value
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2)
+ON feature USING first(value) GROUP BY sample""")
+def q_matrix_assemble(spark, d):
+    c, n = C.table(spark, d, "customer"), C.table(spark, d, "nation")
+    long = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(
+        F.col("n_name").alias("sample"), F.col("c_mktsegment").alias("feature")).agg(F.count(F.lit(1)).alias("value"))
+    return MX.matrix_assemble(long)
+
+
+@query("matrix_dedupe_pivot", """
+PIVOT (SELECT sample, probe, TRY_CAST(value AS DOUBLE) AS value FROM (
+         SELECT *, row_number() OVER (PARTITION BY sample, probe ORDER BY pos) AS r FROM (
+           SELECT event_type AS sample, 'P' || CAST(user_id % 4 AS VARCHAR) AS probe,
+                  CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS value, event_id AS pos
+           FROM events)) WHERE r = 1)
+ON sample USING first(value) GROUP BY probe""")
+def q_dedupe_pivot(spark, d):
+    e = C.table(spark, d, "events")
+    pr = e.select(F.col("event_type").alias("sample"), F.concat(F.lit("P"), (F.col("user_id") % 4).cast("string")).alias("probe"),
+                  F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
+                  F.col("event_id").alias("pos"))
+    return MX.matrix_dedupe_pivot(pr)
+
+
+@query("kv_target_extract", """
+SELECT doc_id AS sample, CASE WHEN doc_id % 7 = 0 THEN 'zz' ELSE lang END AS target FROM documents""")
+def q_kv(spark, d):
+    doc = C.table(spark, d, "documents")
+    ch = F.array_compact(F.array(
+        F.concat(F.lit("source: "), F.col("source")),
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("Lang: "), F.col("lang"))),
+        F.concat(F.lit("LANG : "), F.lit("zz")),
+        F.concat(F.lit("length: "), F.col("n_chars").cast("string"))))
+    s = doc.select(F.col("doc_id").alias("sample"), ch.alias("characteristics"))
+    return MX.kv_target_extract(s, "lang")
+
+
+@query("prevalence_filter", """
+WITH f0 AS (SELECT p_brand AS sample, p_type AS marker, max(CASE WHEN p_size > 45 THEN 1 ELSE 0 END) AS value
+            FROM part GROUP BY 1, 2),
+f AS (SELECT b.sample, m.marker, CAST(coalesce(f0.value, 0) AS INTEGER) AS value
+      FROM (SELECT DISTINCT sample FROM f0) b CROSS JOIN (SELECT DISTINCT marker FROM f0) m
+      LEFT JOIN f0 ON f0.sample = b.sample AND f0.marker = m.marker),
+k AS (SELECT marker FROM f GROUP BY 1 HAVING avg(value) >= 0.1)
+SELECT f.sample, f.marker, f.value FROM f JOIN k ON f.marker = k.marker""")
+def q_prevalence(spark, d):
+    path = scratch_dir(spark, "markers")
+    p = C.table(spark, d, "part")
+    f0 = p.groupBy(F.col("p_brand").alias("sample"), F.col("p_type").alias("marker")).agg(
+        F.max(F.when(F.col("p_size") > 45, 1).otherwise(0)).alias("value"))
+    brands = f0.select("sample").distinct()
+    dense = brands.crossJoin(f0.select("marker").distinct())
+    f = dense.join(f0, ["sample", "marker"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    rows = f.groupBy("marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))),
+                                                            lambda s: s["value"].cast("string")), "\t").alias("vals"))
+    header = brands.agg(F.concat_ws("\t", F.lit("marker"), F.array_join(F.array_sort(F.collect_list("sample")), "\t"))
+                        .alias("value"))
+    junk = brands.agg(F.concat_ws("\t", F.lit("junk"), F.array_join(F.transform(F.collect_list("sample"),
+                                                                               lambda s: F.lit("2")), "\t")).alias("value"))
+    lines = header.unionByName(rows.select(F.concat_ws("\t", "marker", "vals").alias("value"))).unionByName(junk)
+    lines.coalesce(1).write.text(path)
+    return MX.prevalence_filter(spark, path, 0.1)
+
+
+@query("two_hop_label_join", """
+WITH w AS (SELECT l_orderkey AS run, sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS A,
+                  sum(l_quantity) FILTER (WHERE l_returnflag = 'N') AS N,
+                  sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS R FROM lineitem GROUP BY 1),
+l AS (SELECT run, 'A' AS feature, A AS value FROM w UNION ALL SELECT run, 'N', N FROM w UNION ALL SELECT run, 'R', R FROM w)
+SELECT l.run, o.o_custkey AS sample, l.feature, l.value, lower(trim(c.c_mktsegment)) AS label
+FROM l JOIN orders o ON l.run = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE c.c_mktsegment IS NOT NULL AND trim(c.c_mktsegment) <> ''""")
+def q_two_hop(spark, d):
+    li = C.table(spark, d, "lineitem")
+    wide = li.groupBy(F.col("l_orderkey").alias("run")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity"))
+    rs = C.table(spark, d, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("sample"))
+    meta = C.table(spark, d, "customer").select(F.col("c_custkey").alias("sample"), "c_mktsegment")
+    return MX.two_hop_label_join(wide, "run", ["A", "N", "R"], rs, meta, "c_mktsegment")
+
+
+@query("artifact_manifest", """
+SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, sha256(text || chr(10)) AS sha256 FROM documents""")
+def q_manifest(spark, d):
+    root = scratch_dir(spark, "tree")
+    doc = C.table(spark, d, "documents").select("doc_id", "text")
+    doc.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    spark.range(1).select(F.lit("run finished").alias("value")).write.text(root + "/logs")
+    m = A.artifact_manifest(spark, root)
+    return m.select(F.regexp_extract("rel_path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "size", "sha256")
+
+
+@query("json_hits_flatten", "SELECT 'f' || CAST(o_orderkey AS VARCHAR) AS file_id, o_orderstatus AS sample_type FROM orders WHERE o_orderstatus <> 'P'")
+def q_json_hits(spark, d):
+    o = C.table(spark, d, "orders")
+    st = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    js = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("id"),
+                                             F.array(F.struct(F.array(F.struct(st.alias("sample_type"))).alias("samples")))
+                                             .alias("cases"))).alias("hits")))
+    return TB.json_hits_flatten(o.select(js.alias("json")))
+
+
+@query("report_sink", with_ctes(board_sql(minmax_sql("metrics_grid", "f1_macro")), "metrics_grid"))
+def q_report_sink(spark, d):
+    root = scratch_dir(spark, "report")
+    board = B.leaderboard(C.metrics_grid(spark, d))
+    RS.report_sink(board, root)
+    return spark.read.text(root).select(F.from_json("value", board.schema).alias("r")).select("r.*")
