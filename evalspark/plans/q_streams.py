@@ -1,3 +1,75 @@
-"""Queries (q_streams)."""
+"""Queries: incremental scoring as Structured Streaming."""
 
-from .registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import catalog as C
+from ..session import scratch_dir
+from ..streaming import streams as Z
+from .oracles import with_ctes
+from .registry import query
+
+METRIC_SCHEMA = "seed int, key string, model string, f1_macro double, accuracy double, rmse double"
+STATUS_SCHEMA = "seed int, key string, model string, status string, reason string, ts timestamp_ntz"
+
+
+@query("stream_scored_units", with_ctes("SELECT seed, key, model, f1_macro FROM metrics_run", "metrics_run"))
+def q_stream_scored(spark, d):
+    src, out, ck = scratch_dir(spark, "in"), scratch_dir(spark, "scored"), scratch_dir(spark, "ck")
+    m = C.metrics_run(spark, d)
+    m.filter("seed <= 2").write.mode("append").parquet(src)
+    m.filter("seed >= 2").write.mode("append").parquet(src)      # seed 2 arrives twice
+    Z.score_new_units(spark, src, METRIC_SCHEMA, out, ck)
+    return spark.read.parquet(out).select(F.col("seed").cast("int"), "key", "model", "f1_macro")
+
+
+def _status_log(spark, d):
+    s = C.status(spark, d)
+    base = s.select("seed", "key", "model", "status", "reason", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    rerun = (base.filter("status = 'retry'").withColumn("status", F.lit("pass")).withColumn("reason", F.lit(""))
+             .withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")))
+    return base, rerun
+
+
+@query("stream_status_totals", with_ctes("SELECT status, count(*) AS n_units FROM status GROUP BY 1", "status"))
+def q_stream_totals(spark, d):
+    src, ck = scratch_dir(spark, "status"), scratch_dir(spark, "ck")
+    base, _ = _status_log(spark, d)
+    base.write.json(src)
+    return Z.status_totals(spark, src, STATUS_SCHEMA, ck)
+
+
+LATEST_SQL = with_ctes("""
+SELECT seed, key, model, CASE WHEN status = 'retry' THEN 'pass' ELSE status END AS status,
+       CASE WHEN status = 'retry' THEN '' ELSE reason END AS reason FROM status""", "status")
+
+
+@query("latest_status", LATEST_SQL)
+def q_latest(spark, d):
+    base, rerun = _status_log(spark, d)
+    return Z.latest_status(base.unionByName(rerun)).select("seed", "key", "model", "status", "reason")
+
+
+@query("stream_latest_status", LATEST_SQL)
+def q_stream_latest(spark, d):
+    src, out, ck = scratch_dir(spark, "log"), scratch_dir(spark, "latest"), scratch_dir(spark, "ck")
+    base, rerun = _status_log(spark, d)
+    base.coalesce(1).write.mode("append").json(src)
+    rerun.coalesce(1).write.mode("append").json(src)
+    Z.upsert_latest(spark, src, STATUS_SCHEMA, out, ck, max_files_per_trigger=1)
+    return Z.read_latest_version(spark, out).select("seed", "key", "model", "status", "reason")
+
+
+@query("stream_progress", with_ctes("""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day,
+       CASE WHEN k < 70 THEN 'pass' WHEN k < 85 THEN 'fail' WHEN k < 95 THEN 'skip' ELSE 'retry' END AS status,
+       count(*) AS n
+FROM event_units GROUP BY 1, 2""", "event_units"))
+def q_progress(spark, d):
+    src, ck = scratch_dir(spark, "events"), scratch_dir(spark, "ck")
+    u = C._event_units(spark, d)
+    st = F.when(F.col("k") < 70, "pass").when(F.col("k") < 85, "fail").when(F.col("k") < 95, "skip").otherwise("retry")
+    u.select("seed", "key", "model", st.alias("status"), F.lit("").alias("reason"),
+             F.col("ts").cast("timestamp_ntz").alias("ts")).write.json(src)
+    return Z.progress(spark, src, STATUS_SCHEMA, ck)
