@@ -165,7 +165,8 @@ def batch_predict(requests: DataFrame, answer: Callable[[pd.Series], pd.Series],
     ``answer`` receives a pandas Series of prompts per Arrow batch (load the model once
     per partition in the closure) and returns the answer texts; order is kept.
     """
-    schema = requests.schema.add("text", "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType(list(requests.schema.fields) + [StructField("text", StringType())])
 
     def run(batches):
         for pdf in batches:

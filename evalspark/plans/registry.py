@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import (q_core, q_splits, q_text, q_pairwise, q_frames, q_reports, q_sources, q_merge,  # noqa: F401
+    from . import (q_core, q_splits, q_text, q_pairwise, q_frames, q_reports, q_sources, q_merge, q_predict,  # noqa: F401
                    q_streams)
