@@ -42,7 +42,7 @@ def fmt_value(c: Column, is_float: bool = True) -> Column:
     integral = F.format_string("%.0f", c + F.lit(0.0))
     finite = ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     return (F.when(c.isNull() | F.isnan(c), F.lit("?"))
-            .when(finite & (c == F.floor(c)), integral).otherwise(_g4(c.cast("double"))))
+            .when(finite & ((c % F.lit(1.0)) == 0), integral).otherwise(_g4(c.cast("double"))))
 
 
 def row_to_text(cols: list[tuple[str, bool]]) -> Column:

@@ -257,11 +257,9 @@ def reg_metrics(rp: DataFrame, unit=UNIT, y: str = "y", p: str = "pred") -> Data
           .when(F.col("ss_res") == 0, 1.0).otherwise(0.0))
     ev = (F.when(F.col("var_y") != 0, 1 - F.col("var_e") / F.col("var_y"))
           .when(F.col("var_e") == 0, 1.0).otherwise(0.0))
-    return a.select(*unit, _r(F.col("mse"), "mse", 1), _r(F.sqrt("mse"), "rmse", 6),
-                    _r(F.col("mae"), "mae", 6), _r(r2, "r2"),
-                    _r(F.coalesce(F.col("ape") * 100, F.lit(0.0)), "mape", 6),
-                    _r(ev, "explained_variance"), _r(F.col("max_error"), "max_error", 6),
-                    _r(F.col("median_ae"), "median_ae", 6))
+    return a.select(*unit, F.col("mse"), F.sqrt("mse").alias("rmse"), F.col("mae"), r2.alias("r2"),
+                    F.coalesce(F.col("ape") * 100, F.lit(0.0)).alias("mape"),
+                    ev.alias("explained_variance"), F.col("max_error"), F.col("median_ae"))
 
 
 # ------------------------------------------------------------------ dispatch, compare, summary

@@ -354,7 +354,7 @@ FROM reg_preds GROUP BY 1, 2, 3""", "per_class", "reg_preds"))
 def q_score_units(spark, d):
     t, p, _ = _clf(spark, d)
     clf = M.clf_metrics(M.confusion_counts(t, p)).select("seed", "key", "model", "accuracy", "f1_macro")
-    reg = M.reg_metrics(_reg(spark, d)).select("seed", "key", "model", "rmse")
+    reg = M.reg_metrics(_reg(spark, d)).select("seed", "key", "model", F.round("rmse", 6).alias("rmse"))
     return M.score_units(clf, reg)
 
 
@@ -399,4 +399,9 @@ FROM (SELECT seed, key, model, avg((y - pred) * (y - pred)) AS mse, avg(abs(y -
              max(abs(y - pred)) AS max_error, quantile_cont(abs(y - pred), 0.5) AS median_ae
       FROM reg_preds GROUP BY 1, 2, 3)""", "reg_preds"))
 def q_reg_metrics(spark, d):
-    return M.reg_metrics(_reg(spark, d))
+    m = M.reg_metrics(_reg(spark, d))
+    # magnitudes differ (squared prices ~1e9 vs fractions): compare at fixed decimals
+    digits = {"mse": 1, "r2": 9, "explained_variance": 9}
+    return m.select("seed", "key", "model", *[F.round(c, digits.get(c, 6)).alias(c) for c in
+                                              ("mse", "rmse", "mae", "r2", "mape", "explained_variance",
+                                               "max_error", "median_ae")])
