@@ -176,10 +176,11 @@ def clf_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task rows joined to their split part: (seed, key, row_id, part, target, x1, x2, grp)."""
-    t = clf_tasks(spark, sf_dir)
-    return clf_splits(spark, sf_dir).join(t.select("key", "row_id", "target", "x1", "x2", "grp"),
-                                          ["key", "row_id"])
+    """Task rows with their split part: (key, seed, row_id, part, target, x1, x2, grp).
+
+    The feature columns ride through the split (no join back to the task table)."""
+    return S.holdout_stratified(clf_tasks(spark, sf_dir), list(SEEDS), TEST_SIZE,
+                                keep=("x1", "x2", "grp"))
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -196,10 +197,49 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_SPLIT_CACHE: dict[tuple, str] = {}
+
+
+def cached_split(spark: SparkSession, name: str, params: dict, build) -> DataFrame:
+    """A split table cached under the shared checkpoint folder, keyed by the md5 of
+    every split parameter (and the input location).
+
+    The first call computes and writes the split; later calls in the session read the
+    written table, so every job that needs the split (predictions, prompts, imputation…)
+    scans one fact table instead of recomputing the distributed ranking.
+    """
+    import hashlib
+    import json
+    from .session import scratch_dir
+    fp = hashlib.md5(json.dumps(params, sort_keys=True).encode()).hexdigest()
+    key = (id(spark._jsparkSession), name, fp)
+    path = _SPLIT_CACHE.get(key)
+    if path is None:
+        path = scratch_dir(spark, f"split-{name}-{fp[:12]}")
+        build().write.mode("overwrite").parquet(path)
+        _SPLIT_CACHE[key] = path
+    return spark.read.parquet(path)
+
+
+def clf_parts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = {"src": sf_dir, "tasks": "clf", "seeds": list(SEEDS), "test_size": TEST_SIZE, "v": 1}
+    return cached_split(spark, "clf", params, lambda: clf_parts(spark, sf_dir))
+
+
+def reg_parts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = {"src": sf_dir, "tasks": "reg", "seeds": list(SEEDS), "test_size": TEST_SIZE, "v": 1}
+
+    def build():
+        t = reg_tasks(spark, sf_dir)
+        sp = S.holdout_plain(t, list(SEEDS), TEST_SIZE)
+        return sp.join(t.select("key", "row_id", "y", "x1", "x2", "grp"), ["key", "row_id"])
+    return cached_split(spark, "reg", params, build)
+
+
 def clf_bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(parts, truth, predictions, proba) from one materialized split."""
+    """(parts, truth, predictions, proba) from the cached split."""
     from .operators import predictors as P
-    parts = materialize(clf_parts(spark, sf_dir))
+    parts = clf_parts_cached(spark, sf_dir)
     tr = parts.filter(F.col("part") == "test").select("seed", "key", "row_id", "target")
     preds, proba = P.rule_models(parts)
     return parts, tr, preds, proba

@@ -190,13 +190,14 @@ def spark_ml_model(train: DataFrame, test: DataFrame, features: list[str], kind:
     idx = StringIndexer(inputCol="target", outputCol="label", stringOrderType="alphabetAsc")
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     if kind == "RF":
-        est = RandomForestClassifier(numTrees=50, seed=seed)
+        est = RandomForestClassifier(numTrees=20, seed=seed)
     elif kind == "LR":
         est = LogisticRegression(maxIter=50)
-    elif kind == "GBM":
+    elif kind == "GBM":                       # binary targets only (Spark ML limitation)
         est = GBTClassifier(maxIter=20, seed=seed)
     elif kind == "NN":
-        est = MultilayerPerceptronClassifier(layers=[len(features), 16, 2], seed=seed)
+        n_cls = train.select("target").distinct().count()
+        est = MultilayerPerceptronClassifier(layers=[len(features), 16, n_cls], seed=seed)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     fitted_idx = idx.fit(train)

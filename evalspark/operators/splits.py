@@ -102,19 +102,23 @@ def largest_remainder_quota(counts: DataFrame, keys: list[str], cls: str,
 
 # ------------------------------------------------------------------ holdout
 def holdout_stratified(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",),
-                       cls: str = "target", id_col: str = "row_id") -> DataFrame:
+                       cls: str = "target", id_col: str = "row_id", keep=()) -> DataFrame:
     """Stratified holdout; ``ceil(n·test_size)`` test rows per key, class quotas by
-    largest remainder, rows drawn by ``md5(seed:row_id)`` within (key, seed, class)."""
+    largest remainder, rows drawn by ``md5(seed:row_id)`` within (key, seed, class).
+
+    ``keep`` carries extra columns (e.g. features) through, so callers need no join back.
+    """
     keys = _keys(key_cols)
     counts = class_counts(df, keys, cls)
     n = F.sum("cnt").over(Window.partitionBy(*keys))
     quotas = largest_remainder_quota(counts, keys, cls, F.ceil(n * F.lit(test_size)))
-    rows = with_seeds(df.select(*keys, cls, id_col), seeds) \
+    rows = with_seeds(df.select(*keys, cls, id_col, *keep), seeds) \
         .withColumn("__h", seeded_hash("seed", id_col))
     ranked = hash_rank(rows, keys + ["seed", cls], "__h", id_col)
     return (ranked.join(quotas.select(*keys, cls, "quota"), keys + [cls])
             .select(*keys, "seed", id_col,
-                    F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train").alias("part")))
+                    F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train").alias("part"),
+                    *([cls] if keep else []), *keep))
 
 
 def holdout_plain(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",),

@@ -380,11 +380,7 @@ def q_summary(spark, d):
 
 # ============================================================== regression metrics
 def _reg(spark, d):
-    from ..operators import splits as S
-    t = C.reg_tasks(spark, d)
-    sp = S.holdout_plain(t, list(C.SEEDS), C.TEST_SIZE)
-    parts = sp.join(t.select("key", "row_id", "y", "x1", "x2", "grp"), ["key", "row_id"])
-    return P.regression_models(parts)
+    return P.regression_models(C.reg_parts_cached(spark, d))
 
 
 @query("reg_metrics", with_ctes("""

@@ -298,7 +298,7 @@ SELECT seed, key, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FI
 FROM (SELECT seed, key, part, CASE WHEN key LIKE 'documents%' AND seed = 2 THEN 'x' ELSE target END AS target FROM clf_parts)
 GROUP BY 1, 2""", "clf_parts"))
 def q_degenerate(spark, d):
-    p = C.clf_parts(spark, d).withColumn(
+    p = C.clf_parts_cached(spark, d).withColumn(
         "target", F.when(F.col("key").startswith("documents") & (F.col("seed") == 2), F.lit("x")).otherwise(F.col("target")))
     return P.degenerate_split_skip(p)
 
@@ -416,7 +416,7 @@ FROM clf_parts""", "clf_parts")
 
 
 def _nulled_parts(spark, d):
-    p = C.clf_parts(spark, d).select("seed", "key", "row_id", "part", "target", "x1", "x2")
+    p = C.clf_parts_cached(spark, d).select("seed", "key", "row_id", "part", "target", "x1", "x2")
     p = T.inject_nulls(p, ["x1"], "na", rate_hex="3")
     return T.inject_nulls(p, ["x2"], "na", rate_hex="2")
 

@@ -80,7 +80,7 @@ def _nearest_centroid(train: pd.DataFrame, test: pd.DataFrame) -> pd.Series:
 @query("byo_estimator")
 def q_byo(spark, d):
     """U01 (rows-only): one pandas fit/predict per (seed, key) on few-shot train rows."""
-    parts = C.materialize(C.clf_parts(spark, d))
+    parts = C.clf_parts_cached(spark, d)
     fs = S.subsample_parts(parts, n_train=100, n_test=None)
     return P.byo_estimator(fs, _nearest_centroid, ["x1", "x2"], "NCENT")
 
@@ -98,7 +98,7 @@ def _echo_answers(prompts: pd.Series) -> pd.Series:
 @query("batch_predict")
 def q_batch_predict(spark, d):
     """U02 (rows-only): requests → mapInPandas answerer → parsed answers."""
-    parts = C.materialize(C.clf_parts(spark, d))
+    parts = C.clf_parts_cached(spark, d)
     fs = S.subsample_parts(parts, n_train=10, n_test=None)
     train, test = fs.filter("part = 'train'"), parts.filter("part = 'test'")
     req = PR.build_requests(train, test, [("x1", True), ("x2", True), ("grp", False)], 20)
@@ -108,18 +108,26 @@ def q_batch_predict(spark, d):
 
 
 def _ml(spark, d, kind):
-    parts = C.materialize(C.clf_parts(spark, d).filter("key = 'documents_0' AND seed = 0"))
-    train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'")
-    return P.spark_ml_model(train, test, ["x1", "x2"], kind).select("seed", "key", "row_id", "pred")
+    """One Spark ML fit per (seed, key) unit — the unit list is small (keys × seeds), each
+    fit is itself distributed over the unit's train rows."""
+    from functools import reduce
+    parts = C.clf_parts_cached(spark, d)
+    units = [(r["seed"], r["key"]) for r in parts.select("seed", "key").distinct().orderBy("seed", "key").collect()]
+    outs = []
+    for seed, key in units:
+        u = parts.filter((F.col("seed") == seed) & (F.col("key") == key))
+        outs.append(P.spark_ml_model(u.filter("part = 'train'"), u.filter("part = 'test'"), ["x1", "x2"], kind)
+                    .select("seed", "key", "row_id", "pred"))
+    return reduce(lambda a, b: a.unionByName(b), outs)
 
 
 @query("predict_rf")
 def q_rf(spark, d):
-    """U05 (rows-only): Spark ML random forest on one key."""
+    """U05 (rows-only): Spark ML random forest per unit."""
     return _ml(spark, d, "RF")
 
 
 @query("predict_lr")
 def q_lr(spark, d):
-    """U05 (rows-only): Spark ML logistic regression on one key."""
+    """U05 (rows-only): Spark ML logistic regression per unit."""
     return _ml(spark, d, "LR")

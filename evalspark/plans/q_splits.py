@@ -52,7 +52,7 @@ WHERE (seed, key, target) IN (SELECT seed, key, target FROM clf_parts GROUP BY 1
                                              HAVING count(*) >= 2000) GROUP BY 1, 2 HAVING count(*) >= 2)
 GROUP BY 1, 2, 3""", "clf_parts"))
 def q_refilter(spark, d):
-    parts = C.clf_parts(spark, d)
+    parts = C.clf_parts_cached(spark, d)
     return (S.refilter_cached(parts, min_samples=2000)
             .groupBy("seed", "key", "target").agg(F.count(F.lit(1)).alias("n")))
 
@@ -238,7 +238,7 @@ r AS (SELECT tr.*, row_number() OVER (PARTITION BY key, seed, target ORDER BY {H
 SELECT r.key, r.seed, r.target, count(*) AS n FROM r JOIN q ON q.key = r.key || ':' || CAST(r.seed AS VARCHAR) AND q.target = r.target
 WHERE r.rn <= q.quota GROUP BY 1, 2, 3""", "clf_parts"))
 def q_subsample(spark, d):
-    s = S.subsample_parts(C.clf_parts(spark, d), n_train=100, n_test=None)
+    s = S.subsample_parts(C.clf_parts_cached(spark, d), n_train=100, n_test=None)
     return (s.filter("part = 'train'").groupBy("key", "seed", "target")
             .agg(F.count(F.lit(1)).alias("n")))
 

@@ -109,7 +109,7 @@ SELECT seed, key, model, chunk, idx, token, body FROM (
 
 # ------------------------------------------------------------------ Spark side helpers
 def _fewshot(spark, d):
-    parts = C.materialize(C.clf_parts(spark, d))
+    parts = C.clf_parts_cached(spark, d)
     fs = S.subsample_parts(parts, n_train=N_SHOT, n_test=None)
     return fs.filter("part = 'train'"), parts.filter("part = 'test'")
 
@@ -173,7 +173,7 @@ def q_train_block(spark, d):
 
 @query("majority_class", with_ctes("SELECT seed, key, majority FROM k_major", "k_major"))
 def q_majority(spark, d):
-    parts = C.clf_parts(spark, d)
+    parts = C.clf_parts_cached(spark, d)
     from ..operators.predictors import majority_class
     return majority_class(parts.filter("part = 'train'"))
 
