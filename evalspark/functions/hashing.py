@@ -25,33 +25,95 @@ def hash_number(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
 
 
-def hash_rank(df: DataFrame, partition_cols: list[str], order_hex: str, tiebreak: str,
-              out: str = "rn", rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Exact ``row_number() over (partition by ... order by order_hex, tiebreak)``.
+def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order_cols: list,
+                  value=None, out: str = "cum", inclusive: bool = True, radix: int = 16,
+                  skip: int = 0, rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact running sum of ``value`` (1 = row number) per partition group, in the order of
+    ``order_cols``, without sorting a whole group in one task.
 
-    A plain window sorts a whole partition group in one task; when one group holds a
-    third of the data that task is the job. ``order_hex`` is a uniform hex hash, so its
-    first d digits split a group into 16**d near-equal buckets. d is chosen per group from
-    the group's size (a small aggregate) so a bucket holds about ``rows_per_bucket`` rows:
-    small groups keep d = 0 (one window partition, no overhead), a hot group is spread
-    over many tasks. The rank is the number of rows in earlier buckets (an aggregate,
-    partially combined map-side) plus the row number inside the bucket. Same result as
-    the plain window.
+    ``sort_key`` is a string column whose lexicographic order agrees with ``order_cols``
+    (a hex hash, or a fixed-width number text). Its first d characters after ``skip``
+    split a group into up to radix**d buckets; d is chosen per group from the group's size
+    (a small aggregate) so a bucket holds about ``rows_per_bucket`` rows — small groups
+    keep d = 0 (one window partition, no extra work), a hot group is spread over many
+    tasks. The running sum is the total of earlier buckets (a tiny aggregate, partially
+    combined map-side) plus the running sum inside the bucket.
     """
     b, d = "__bucket", "__digits"
+    v = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
+    df = df.withColumn("__v", v)
     sizes = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__gn"))
     sizes = sizes.select(*partition_cols, F.least(F.greatest(
-        F.ceil(F.log(16.0, F.col("__gn") / float(rows_per_bucket))), F.lit(0)), F.lit(6)).cast("int").alias(d))
+        F.ceil(F.log(float(radix), F.col("__gn") / float(rows_per_bucket))), F.lit(0)), F.lit(6))
+        .cast("int").alias(d))
     with_b = df.join(sizes, list(partition_cols)).withColumn(
-        b, F.expr(f"substring({order_hex}, 1, {d})")).drop(d)
+        b, F.expr(f"substring({sort_key}, 1, {skip} + {d})")).drop(d)
     keys = list(partition_cols) + [b]
-    counts = with_b.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    totals = with_b.groupBy(*keys).agg(F.sum("__v").alias("__t"))
     wcum = (Window.partitionBy(*partition_cols).orderBy(b)
             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(wcum), F.lit(0))) \
-        .drop("__n")
-    win = Window.partitionBy(*keys).orderBy(F.col(order_hex), F.col(tiebreak))
-    ranked = with_b.withColumn("__local", F.row_number().over(win))
-    return (ranked.join(offsets, on=keys, how="inner")
-            .withColumn(out, (F.col("__before") + F.col("__local")).cast("long"))
-            .drop(b, "__local", "__before"))
+    offsets = totals.withColumn("__before", F.coalesce(F.sum("__t").over(wcum), F.lit(0))).drop("__t")
+    end = Window.currentRow if inclusive else -1
+    win = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    local = with_b.withColumn("__local", F.coalesce(F.sum("__v").over(win), F.lit(0)))
+    return (local.join(offsets, on=keys, how="inner")
+            .withColumn(out, F.col("__before") + F.col("__local"))
+            .drop(b, "__local", "__before", "__v"))
+
+
+def hash_rank(df: DataFrame, partition_cols: list[str], order_hex: str, tiebreak: str,
+              out: str = "rn", rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact ``row_number() over (partition by ... order by order_hex, tiebreak)``.
+
+    A plain window sorts a whole partition group in one task; when one group holds a
+    third of the data that task is the job. ``order_hex`` is a uniform hex hash, so its
+    prefixes split a hot group into near-equal buckets (see :func:`prefix_cumsum`).
+    Same result as the plain window.
+    """
+    r = prefix_cumsum(df, partition_cols, order_hex, [F.col(order_hex), F.col(tiebreak)], None,
+                      out, True, 16, 0, rows_per_bucket)
+    return r.withColumn(out, F.col(out).cast("long"))
+
+
+def unit_interval_key(c: Column) -> Column:
+    """Fixed-width text of a number in [0, 1] whose string order is the numeric order."""
+    return F.format_string("%.17f", c)
+
+
+def nonneg_key(c: Column) -> Column:
+    """Fixed-width text of a non-negative number (< 1e15) in numeric order."""
+    return F.format_string("%026.9f", c)
+
+
+def nonneg_order_key(c: Column) -> Column:
+    """Order-preserving text for non-negative doubles: 3-digit exponent, then the
+    zero-padded mantissa (monotone: Java's log10 is semi-monotonic, the division by the
+    same power of ten is monotone, and the padding keeps '10.0' after '09.9')."""
+    e = F.floor(F.log10(c))
+    mant = c / F.pow(F.lit(10.0), e)
+    return F.when(c == 0, F.lit("000")).otherwise(
+        F.concat(F.lpad((e + 400).cast("string"), 3, "0"), F.format_string("%018.15f", mant)))
+
+
+def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "median",
+                 rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact median (mean of the two middle values when n is even) of a non-negative
+    column per group, without holding a group's values in one task.
+
+    Equal values are first counted (map-side combined), then the running count over the
+    distinct values is computed bucket-wise (:func:`prefix_cumsum`); the middle ranks fall
+    into the value whose running-count interval contains them.
+    """
+    g = list(group_cols)
+    vc = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("__c"))
+    vc = vc.withColumn("__k", nonneg_order_key(F.col(value)))
+    cum = prefix_cumsum(vc, g, "__k", [F.col(value)], "__c", "__cum", True, 10, 3, rows_per_bucket)
+    n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
+    j = cum.join(n, g)
+    lo = F.floor((F.col("__n") + 1) / 2)
+    hi = F.floor(F.col("__n") / 2) + 1
+    start = F.col("__cum") - F.col("__c")
+    pick = j.select(*g, value, ((start < lo) & (lo <= F.col("__cum"))).alias("__lo"),
+                    ((start < hi) & (hi <= F.col("__cum"))).alias("__hi"))
+    return pick.groupBy(*g).agg(((F.max(F.when(F.col("__lo"), F.col(value))) +
+                                  F.max(F.when(F.col("__hi"), F.col(value)))) / 2).alias(out))

@@ -172,18 +172,22 @@ def proba_degenerate(proba: DataFrame, unit=UNIT) -> DataFrame:
 def _auc_from_counts(sc: DataFrame, group: list[str]) -> DataFrame:
     """Mid-rank (Mann-Whitney) AUC from per-score (pos, neg) counts.
 
-    AUC = Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N); ties count one half. The window runs
-    over distinct scores per group, not over rows.
+    AUC = Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N); ties count one half. ``neg_below`` is a
+    running count over the distinct scores, computed bucket-wise on the fixed-width score
+    text (:func:`prefix_cumsum`), so a unit with many distinct scores is not sorted in one
+    task. Scores are probabilities in [0, 1].
     """
-    w = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    s = sc.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    return s.groupBy(*group).agg(
+    from ..functions.hashing import prefix_cumsum, unit_interval_key
+    nulls = sc.filter(F.col("score").isNull()).groupBy(*group).agg(F.sum(F.col("pos") + F.col("neg")).alias("__nulls"))
+    ok = sc.filter(F.col("score").isNotNull()).withColumn("__k", unit_interval_key(F.col("score")))
+    s = prefix_cumsum(ok, group, "__k", [F.col("score")], "neg", "neg_below", inclusive=False, radix=10, skip=2)
+    agg = s.groupBy(*group).agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))).alias("__u"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("Nn"),
-        F.count_if(F.col("score").isNull()).alias("__nulls")
-    ).select(*group, F.when((F.col("__nulls") == 0) & (F.col("P") > 0) & (F.col("Nn") > 0),
-                            F.col("__u") / (F.col("P") * F.col("Nn"))).alias("auc"),
-             F.col("P").alias("support"))
+        F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
+    full = sc.select(*group).distinct().join(agg, group, "left").join(nulls, group, "left")
+    return full.select(*group, F.when(F.col("__nulls").isNull() & (F.col("P") > 0) & (F.col("Nn") > 0),
+                                      F.col("__u") / (F.col("P") * F.col("Nn"))).alias("auc"),
+                       F.coalesce(F.col("P"), F.lit(0)).alias("support"))
 
 
 def roc_auc(pl: DataFrame, unit=UNIT) -> DataFrame:
@@ -237,21 +241,26 @@ def proba_reorder(proba: DataFrame, truth: DataFrame, unit=UNIT) -> DataFrame:
 
 
 # ------------------------------------------------------------------ regression
-def reg_metrics(rp: DataFrame, unit=UNIT, y: str = "y", p: str = "pred") -> DataFrame:
+def reg_metrics(rp: DataFrame, unit=UNIT, y: str = "y", p: str = "pred", median: str = "distributed") -> DataFrame:
     """MSE, RMSE, MAE, R², MAPE, explained variance, max error, median AE.
 
     One aggregate; R² and explained variance follow the finite convention (1 when the
     target is constant and the fit is perfect, else 0). MAPE ×100 over non-zero targets,
-    0 if none. Median AE is the exact ``percentile`` of |y − p|.
+    0 if none. Median AE is exact: by default computed from running counts over distinct
+    errors (no unit held in one task); ``median="percentile"`` uses Spark's ``percentile``.
     """
     e = F.col(y) - F.col(p)
+    unit = list(unit)
     a = rp.groupBy(*unit).agg(
         F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.sum(e * e).alias("ss_res"), F.var_pop(y).alias("var_y"), F.var_pop(e).alias("var_e"),
         F.count(F.lit(1)).alias("n"),
         F.avg(F.when(F.col(y) != 0, F.abs(e / F.col(y)))).alias("ape"),
         F.max(F.abs(e)).alias("max_error"),
-        F.percentile(F.abs(e), 0.5).alias("median_ae"))
+        *([F.percentile(F.abs(e), 0.5).alias("median_ae")] if median == "percentile" else []))
+    if median != "percentile":
+        from ..functions.hashing import exact_median
+        a = a.join(exact_median(rp.select(*unit, F.abs(e).alias("__ae")), unit, "__ae", "median_ae"), unit, "left")
     ss_tot = F.col("var_y") * F.col("n")
     r2 = (F.when(ss_tot != 0, 1 - F.col("ss_res") / ss_tot)
           .when(F.col("ss_res") == 0, 1.0).otherwise(0.0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import seeded_hash
+from ..functions.hashing import hash_rank, prefix_cumsum, seeded_hash
 from ..functions.text import OUTPUT_BASE, OUTPUT_PER_ROW, estimate_tokens, row_to_text
 
 UNIT = ["seed", "key"]
@@ -84,11 +84,11 @@ def train_block(train: DataFrame, features: list[tuple[str, bool]], codec: DataF
 
 def chunk_rows(test: DataFrame, batch_size: int, keys=UNIT) -> DataFrame:
     """Test rows numbered by md5 order within the unit, chunk = floor((pos-1)/bs);
-    ``row_in_chunk`` is the 1-based row number the model answers with."""
+    ``row_in_chunk`` is the 1-based row number the model answers with. The numbering is
+    an exact distributed rank (:func:`hash_rank`), so a large unit is not sorted in one task."""
     keys = list(keys)
     t = test.withColumn("__h", seeded_hash("seed", "row_id"))
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", "row_id"))
-    t = t.withColumn("pos", pos)
+    t = hash_rank(t, keys, "__h", "row_id", out="pos")
     return (t.withColumn("chunk", F.floor((F.col("pos") - 1) / batch_size).cast("int"))
             .withColumn("row_in_chunk", ((F.col("pos") - 1) % batch_size + 1).cast("int"))
             .drop("__h"))
@@ -170,15 +170,16 @@ def context_skip(one_row_requests: DataFrame, windows: DataFrame, max_tokens: in
 
 
 def pack_by_budget(rows: DataFrame, budget: Column, keys=UNIT, size_col: str = "row_tokens",
-                   order_col: str = "pos") -> DataFrame:
+                   order_hex: str = "__h", tiebreak: str = "row_id") -> DataFrame:
     """L10 (re-aimed): size-aware chunking up front instead of halving on overflow.
 
-    Rows are taken in order; chunk = floor((running tokens − 1) / budget). A row larger
-    than the whole budget is flagged ``too_large`` (the unit becomes a context skip).
+    Rows are taken in md5 order; chunk = floor((running tokens − 1) / budget). The running
+    sum is computed bucket-wise (:func:`prefix_cumsum`). A row larger than the whole
+    budget is flagged ``too_large`` (the unit becomes a context skip).
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (rows.withColumn("__budget", budget)
-            .withColumn("cum_tokens", F.sum(size_col).over(w))
+    r = rows if order_hex in rows.columns else rows.withColumn(order_hex, seeded_hash("seed", tiebreak))
+    r = prefix_cumsum(r, keys, order_hex, [F.col(order_hex), F.col(tiebreak)], size_col, "cum_tokens")
+    return (r.withColumn("__budget", budget)
             .withColumn("chunk", F.floor((F.col("cum_tokens") - 1) / F.col("__budget")).cast("int"))
-            .withColumn("too_large", F.col(size_col) > F.col("__budget")).drop("__budget"))
+            .withColumn("too_large", F.col(size_col) > F.col("__budget")).drop("__budget", order_hex))

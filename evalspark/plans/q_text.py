@@ -238,7 +238,7 @@ def q_pack(spark, d):
     _, test = _fewshot(spark, d)
     ch = PR.chunk_rows(test, BATCH)
     from ..functions.text import estimate_tokens
-    rows = ch.select("seed", "key", "row_id", "pos", estimate_tokens(row_to_text(FEATURES)).alias("row_tokens"))
+    rows = ch.select("seed", "key", "row_id", estimate_tokens(row_to_text(FEATURES)).alias("row_tokens"))
     out = PR.pack_by_budget(rows, F.lit(200))
     return out.select("seed", "key", "row_id", "row_tokens", F.col("cum_tokens").cast("long").alias("cum_tokens"),
                       "chunk", "too_large")

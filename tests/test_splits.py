@@ -80,3 +80,19 @@ def test_group_kfold_disjoint_groups(spark):
 
 def test_sample_exact_size(spark, rows):
     assert S.sample_exact(rows, 7).filter("key='k1'").count() == 7
+
+
+def test_exact_median_matches_numpy(spark):
+    import numpy as np
+    from evalspark.functions.hashing import exact_median
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, n in (("a", 101), ("b", 100), ("c", 1), ("d", 2)):
+        vals = np.round(rng.exponential(5.0, n), 2)
+        vals[: n // 5] = 0.0 if g == "a" else vals[: n // 5]
+        rows += [(g, float(v)) for v in vals]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v", rows_per_bucket=4).collect()}
+    for g in "abcd":
+        want = float(np.median([v for gg, v in rows if gg == g]))
+        assert got[g] == pytest.approx(want)
