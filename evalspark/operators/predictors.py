@@ -46,35 +46,44 @@ def rule_models(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``parts``: (seed, key, row_id, part, target, grp). Returns (predictions, proba) with
     predictions (seed, key, model, row_id, pred) and proba (seed, key, model, row_id,
-    proba MAP<STRING, DOUBLE>). Model tables are aggregates (size = keys × seeds × groups),
-    joined to the test rows by key — no per-row Python.
+    proba MAP<STRING, DOUBLE>). The fit is two small aggregates — one row per (seed, key)
+    and one per (seed, key, group) holding majority, class list and class shares — and the
+    test rows meet them in two joins; no per-row Python.
     """
     train = parts.filter(F.col("part") == "train")
     test = parts.filter(F.col("part") == "test").select("seed", "key", "row_id", "grp")
-    k_counts = train.groupBy("seed", "key", "target").agg(F.count(F.lit(1)).alias("cnt"))
     g_counts = train.groupBy("seed", "key", "grp", "target").agg(F.count(F.lit(1)).alias("cnt"))
-    classes = k_counts.select("seed", "key", "target")
-    k_major = _majority(k_counts, ["seed", "key"])
-    g_major = _majority(g_counts, ["seed", "key", "grp"]).withColumnRenamed("majority", "g_major")
-    k_share = _share_map(k_counts, ["seed", "key"], classes)
-    g_share = _share_map(g_counts, ["seed", "key", "grp"], classes).withColumnRenamed("proba", "g_proba")
-    cls_list = k_counts.groupBy("seed", "key").agg(F.array_sort(F.collect_list("target")).alias("classes"))
-
-    t = (test.join(k_major, UNIT_SPLIT).join(k_share, UNIT_SPLIT).join(cls_list, UNIT_SPLIT)
-         .join(g_major, ["seed", "key", "grp"], "left").join(g_share, ["seed", "key", "grp"], "left"))
+    k_counts = g_counts.groupBy("seed", "key", "target").agg(F.sum("cnt").alias("cnt"))
+    top = lambda: F.min_by("target", F.struct((-F.col("cnt")).alias("n"), F.col("target").alias("t")))
+    K = k_counts.groupBy("seed", "key").agg(
+        top().alias("majority"), F.array_sort(F.collect_list(F.struct("target", "cnt"))).alias("tc"))
+    K = K.select("seed", "key", "majority", F.transform("tc", lambda x: x["target"]).alias("classes"),
+                 F.aggregate("tc", F.lit(0).cast("long"), lambda acc, x: acc + x["cnt"]).alias("tot"), "tc")
+    K = K.withColumn("proba", F.map_from_entries(F.transform(
+        "tc", lambda x: F.struct(x["target"], x["cnt"] / F.col("tot"))))).drop("tc", "tot")
+    G = g_counts.groupBy("seed", "key", "grp").agg(
+        top().alias("g_major"), F.map_from_entries(F.collect_list(F.struct("target", "cnt"))).alias("gm"),
+        F.sum("cnt").alias("gtot"))
+    G = G.join(K.select("seed", "key", "classes"), UNIT_SPLIT).select(
+        "seed", "key", "grp", "g_major", F.map_from_arrays("classes", F.transform(
+            "classes", lambda c: F.coalesce(F.col("gm")[c], F.lit(0)) / F.col("gtot"))).alias("g_proba"))
+    t = test.join(K, UNIT_SPLIT).join(G, ["seed", "key", "grp"], "left")
     h = hash_number(F.concat_ws(":", F.lit("HASH"), F.col("seed").cast("string"),
                                 F.col("row_id").cast("string")))
     hash_pred = F.element_at("classes", (h % F.size("classes") + 1).cast("int"))
     one_hot = F.map_from_arrays("classes", F.transform("classes", lambda c: F.when(c == hash_pred, 1.0)
                                                        .otherwise(0.0)))
-    rows = t.select("seed", "key", "row_id", F.explode(F.array(
-        F.struct(F.lit("DUMMY").alias("model"), F.col("majority").alias("pred"),
-                 F.col("proba").alias("proba")),
-        F.struct(F.lit("GROUP").alias("model"), F.coalesce("g_major", "majority").alias("pred"),
-                 F.coalesce("g_proba", "proba").alias("proba")),
-        F.struct(F.lit("HASH").alias("model"), hash_pred.alias("pred"), one_hot.alias("proba")),
-    )).alias("m")).select("seed", "key", "m.model", "row_id", "m.pred", "m.proba")
-    return rows.drop("proba"), rows.drop("pred")
+    preds = t.select("seed", "key", "row_id", F.explode(F.array(
+        F.struct(F.lit("DUMMY").alias("model"), F.col("majority").alias("pred")),
+        F.struct(F.lit("GROUP").alias("model"), F.coalesce("g_major", "majority").alias("pred")),
+        F.struct(F.lit("HASH").alias("model"), hash_pred.alias("pred")),
+    )).alias("m")).select("seed", "key", "m.model", "row_id", "m.pred")
+    proba = t.select("seed", "key", "row_id", F.explode(F.array(
+        F.struct(F.lit("DUMMY").alias("model"), F.col("proba").alias("proba")),
+        F.struct(F.lit("GROUP").alias("model"), F.coalesce("g_proba", "proba").alias("proba")),
+        F.struct(F.lit("HASH").alias("model"), one_hot.alias("proba")),
+    )).alias("m")).select("seed", "key", "m.model", "row_id", "m.proba")
+    return preds, proba
 
 
 def regression_models(parts: DataFrame) -> DataFrame:
