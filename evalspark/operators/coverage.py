@@ -45,11 +45,14 @@ def impute_failures(metrics: DataFrame, status: DataFrame, baseline: str,
     return out.unionByName(imputed.select(*out.columns))
 
 
-def missing_units(metrics: DataFrame, status: DataFrame, seeds: DataFrame, keys: DataFrame,
-                  models: DataFrame, unit=UNIT) -> DataFrame:
+def missing_units(metrics: DataFrame, status: DataFrame, seeds: list[int], keys: DataFrame,
+                  models: list[str], unit=UNIT) -> DataFrame:
     """Scheduled units (seeds × keys × models) with neither metrics nor a terminal
-    status. The axis tables are small; the grid is anti-joined by the unit key."""
-    grid = seeds.crossJoin(keys).crossJoin(models)
+    status. Seeds and models come from the run definition (V05): each expected key row
+    fans out over them; the schedule is anti-joined by the unit key."""
+    grid = (keys.select("key").distinct()
+            .withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+            .withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))))
     terminal = status.filter(F.col("status").isin(*TERMINAL)).select(*unit)
     return (grid.join(metrics.select(*unit), list(unit), "left_anti")
             .join(terminal, list(unit), "left_anti"))

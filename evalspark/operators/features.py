@@ -23,8 +23,10 @@ def nan_policy_resolve(models: DataFrame, policies: DataFrame) -> DataFrame:
     """
     default = policies.filter(F.col("model") == "default").select(F.col("nan_policy").alias("__d"))
     explicit = policies.filter(F.col("model") != "default")
-    j = models.join(explicit, "model", "left").join(F.broadcast(default), F.lit(True), "left")
-    return j.withColumn("nan_policy", F.coalesce("nan_policy", "__d", F.lit(DEFAULT_NAN_POLICY))).drop("__d")
+    d = default.agg(F.first("__d").alias("__d"))
+    j = models.join(explicit, "model", "left")
+    return j.withColumn("nan_policy", F.coalesce(F.col("nan_policy"), F.lit(d.scalar()),
+                                                 F.lit(DEFAULT_NAN_POLICY)))
 
 
 def impute(parts: DataFrame, features: list[str], policy: str, keys=UNIT) -> DataFrame:

@@ -29,12 +29,14 @@ def grid_plan(datasets: DataFrame, reasoning: list[str], labels: list[str], caps
     arm only for datasets wider than the cap; the synthetic suite has its own n axis.
     """
     spark = datasets.sparkSession
-    ax = (values(spark, [(r,) for r in reasoning], "reasoning string")
-          .crossJoin(values(spark, [(x,) for x in labels], "labels string"))
-          .crossJoin(values(spark, [(c,) for c in caps], "feature_cap string")))
     ns = values(spark, [("real", n) for n in samples_real] + [("synthetic", n) for n in samples_synth],
-                               "suite string, n_train string")
-    plan = datasets.join(ns, "suite").crossJoin(ax)
+                "suite string, n_train string")
+
+    def lits(xs):
+        return F.array(*[F.lit(x) for x in xs])
+    # each dataset row fans out over the fixed axis values (bounded by the axis lengths)
+    plan = (datasets.join(ns, "suite").withColumn("reasoning", F.explode(lits(reasoning)))
+            .withColumn("labels", F.explode(lits(labels))).withColumn("feature_cap", F.explode(lits(caps))))
     cap = axis_token(F.col("feature_cap"))
     keep = ((F.col("labels") != "visible") | (F.col("suite") == "real")) & \
         (cap.isNull() | (F.col("n_features") > cap))
@@ -70,12 +72,14 @@ def perf_surface(results: DataFrame, metric: str, mode_cols=("reasoning",), x: s
     x and y axes; models with no value at all in a dataset are dropped.
     """
     mc = list(mode_cols)
-    vals = results.groupBy("dataset", *mc, "model", x, y).agg(F.avg(metric).alias("value"))
-    models = vals.select("dataset", *mc, "model").distinct()
-    xs = results.select(x).distinct()
-    ys = results.select(y).distinct()
-    dense = models.crossJoin(xs).crossJoin(ys)
-    return dense.join(vals, ["dataset", *mc, "model", x, y], "left").withColumn("value", F.round("value", 9))
+    vals = results.withColumn("__cell", F.concat_ws("\u0001", F.col(x), F.col(y)))
+    # pivot on the (x, y) cell gives the dense surface with NULL gaps; stack it back to long
+    wide = vals.groupBy("dataset", *mc, "model").pivot("__cell").agg(F.avg(metric))
+    cells = [c for c in wide.columns if c not in ("dataset", *mc, "model")]
+    long = wide.unpivot(["dataset", *mc, "model"], cells, "__cell", "value")
+    parts = F.split(F.col("__cell"), "\u0001")
+    return long.select("dataset", *mc, "model", parts[0].alias(x), parts[1].alias(y),
+                       F.round("value", 9).alias("value"))
 
 
 def default_cell(cells: DataFrame, suite_col: str = "suite") -> DataFrame:
@@ -99,7 +103,10 @@ def reference_cell(cells: DataFrame) -> DataFrame:
 
 def run_state(status: DataFrame) -> DataFrame:
     """Observed status totals and the sorted set of observed models."""
-    totals = status.groupBy("status").agg(F.count(F.lit(1)).alias("n_units"))
-    models = status.agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
-                        F.countDistinct("model").alias("n_models"))
-    return totals.crossJoin(models)
+    from pyspark.sql import Window
+    per = status.groupBy("status").agg(F.count(F.lit(1)).alias("n_units"),
+                                       F.collect_set("model").alias("__m"))
+    # the statuses are a fixed set (pass / fail / skip / retry): a window over them is tiny
+    allm = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__m").over(Window.partitionBy()))))
+    return per.select("status", "n_units", F.array_join(allm, ",").alias("models"),
+                      F.size(allm).cast("long").alias("n_models"))

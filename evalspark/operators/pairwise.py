@@ -199,6 +199,35 @@ def elo_online(scores: DataFrame, n_orderings: int = 20, k: float = DEFAULT_K, b
 
     per = orders.groupBy("ordering").applyInPandas(run, "ordering int, model_id string, rating double")
     avg = per.groupBy("model_id").agg(F.avg("rating").alias("rating"))
-    shift = avg.agg(F.coalesce(F.max(F.when(F.col("model_id") == anchor, F.lit(anchor_value) - F.col("rating"))),
-                               F.lit(anchor_value) - F.avg("rating")).alias("shift"))
-    return avg.crossJoin(shift).select("model_id", F.round(F.col("rating") + F.col("shift")).cast("long").alias("elo"))
+    # the model table is roster-sized: a whole-table window computes the anchor shift
+    allw = Window.partitionBy()
+    shift = F.coalesce(F.max(F.when(F.col("model_id") == anchor, F.lit(anchor_value) - F.col("rating"))).over(allw),
+                       F.lit(anchor_value) - F.avg("rating").over(allw))
+    return avg.select("model_id", F.round(F.col("rating") + shift).cast("long").alias("elo"))
+
+
+def bt_mm_steps(wins: DataFrame, steps: int = 5, scale: float = DEFAULT_SCALE) -> DataFrame:
+    """A fixed number of Bradley-Terry minorize-maximize steps as Spark joins.
+
+    ``wins``: (model_a, model_b, wins, games) in both directions. Each step is
+    p_i ← W_i / Σ_j n_ij / (p_i + p_j), then normalised to geometric mean 1; it is a
+    join of the pair table with the current strengths plus one aggregate, so it also
+    works when the model set is too large for one pandas group. Output (model_id, rating)
+    with rating = scale·log10 p (centred, uncalibrated). The strengths of each step are
+    written to the shared checkpoint folder, which cuts the lineage between steps.
+    """
+    from ..catalog import materialize
+    W = materialize(wins.groupBy(F.col("model_a").alias("model_id")).agg(F.sum("wins").alias("W")), "bt-w")
+    p = W.select("model_id", F.lit(1.0).alias("p"))
+    pairs = materialize(wins.select(F.col("model_a").alias("i"), F.col("model_b").alias("j"),
+                                    F.col("games").alias("n")), "bt-pairs")
+    for _ in range(steps):
+        pi = p.select(F.col("model_id").alias("i"), F.col("p").alias("pi"))
+        pj = p.select(F.col("model_id").alias("j"), F.col("p").alias("pj"))
+        den = pairs.join(pi, "i").join(pj, "j").groupBy(F.col("i").alias("model_id")).agg(
+            F.sum(F.col("n") / (F.col("pi") + F.col("pj"))).alias("den"))
+        new = W.join(den, "model_id").select("model_id", (F.col("W") / F.col("den")).alias("p"))
+        g = F.exp(F.avg(F.ln("p")).over(Window.partitionBy()))      # roster-sized table
+        # each step reads the previous one from storage: the plan does not grow with steps
+        p = materialize(new.select("model_id", (F.col("p") / g).alias("p")), "bt-p")
+    return p.select("model_id", (F.lit(scale) * F.log10("p")).alias("rating"))

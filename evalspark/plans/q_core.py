@@ -168,11 +168,8 @@ WHERE NOT EXISTS (SELECT 1 FROM metrics_run x WHERE x.seed = s.seed AND x.key =
 
 
 def _axes(spark, d):
-    seeds = spark.range(5).select(F.col("id").cast("int").alias("seed"))
     keys = C.table(spark, d, "events").select(F.col("event_type").alias("key")).distinct()
-    models = spark.range(13).select(F.concat(F.lit("m"), F.lpad(F.col("id").cast("string"), 2, "0"))
-                                    .alias("model"))
-    return seeds, keys, models
+    return list(range(5)), keys, [f"m{i:02d}" for i in range(13)]
 
 
 @query("missing_units", with_ctes(MISSING_SQL.replace("s.seed, k.key, m.model", "CAST(s.seed AS INTEGER) AS seed, k.key, m.model"),

@@ -224,9 +224,8 @@ CROSS JOIN (VALUES (0), (1), (2)) s(seed) CROSS JOIN (VALUES ('DUMMY'), ('GROUP'
 
 def _units(spark, d):
     keys = C.clf_tasks(spark, d).select("key").distinct()
-    seeds = spark.range(3).select(F.col("id").cast("int").alias("seed"))
-    models = values(spark, [("DUMMY",), ("GROUP",), ("HASH",)], "model string")
-    return seeds.crossJoin(keys).crossJoin(models)
+    return (keys.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in (0, 1, 2)])))
+            .withColumn("model", F.explode(F.array(*[F.lit(m) for m in ("DUMMY", "GROUP", "HASH")]))))
 
 
 @query("exclude_units", with_ctes(f"""

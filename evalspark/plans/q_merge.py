@@ -19,7 +19,7 @@ def _files(doc, dest: bool):
     if dest:
         truth = (F.when(d % 97 == 0, F.concat(text, F.lit("X")))
                  .when(d % 13 == 0, F.regexp_replace(text, "\n", "\r\n")).otherwise(text))
-        pred = F.when(d % 23 == 0, F.lit("changed")).otherwise(F.substring(text, 1, 200))
+        pred = F.when(d % 23 == 0, F.lit("changed")).otherwise(F.upper(text))
         stats = F.to_json(F.struct(key.alias("key"), F.when(d % 17 == 0, F.col("n_chars") + 1)
                                    .otherwise(F.col("n_chars")).alias("n_chars"),
                                    F.lit("2024-02-02T10:00:00").alias("timestamp")))
@@ -28,7 +28,7 @@ def _files(doc, dest: bool):
                                     F.when(d % 19 == 0, d % 3 + 1).otherwise(d % 3).alias("seed")))
     else:
         truth = text
-        pred = F.substring(text, 1, 200)
+        pred = F.upper(text)
         stats = F.to_json(F.struct(key.alias("key"), F.col("n_chars").alias("n_chars"),
                                    F.lit("2024-01-01T00:00:00").alias("timestamp")))
         config = F.to_json(F.struct(F.array(F.lit("A"), F.lit("B")).alias("models"),

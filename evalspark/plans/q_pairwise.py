@@ -88,3 +88,40 @@ def q_elo_boot(spark, d):
 @query("elo_online")
 def q_elo_online(spark, d):
     return E.elo_online(_scores(spark, d), n_orderings=10, anchor=ANCHOR)
+
+
+BT_STEPS_SQL = """WITH p0 AS (SELECT model_a AS model_id, 1.0::DOUBLE AS p FROM wins GROUP BY 1),
+w AS (SELECT model_a AS model_id, sum(wins) AS W FROM wins GROUP BY 1),
+q1 AS (SELECT w.model_id, w.W / d.den AS p FROM w JOIN (
+      SELECT x.model_a AS model_id, sum(x.games / (a.p + b.p)) AS den FROM wins x
+      JOIN p0 a ON x.model_a = a.model_id JOIN p0 b ON x.model_b = b.model_id GROUP BY 1) d
+      ON w.model_id = d.model_id),
+p1 AS (SELECT model_id, p / (SELECT exp(avg(ln(p))) FROM q1) AS p FROM q1),
+q2 AS (SELECT w.model_id, w.W / d.den AS p FROM w JOIN (
+      SELECT x.model_a AS model_id, sum(x.games / (a.p + b.p)) AS den FROM wins x
+      JOIN p1 a ON x.model_a = a.model_id JOIN p1 b ON x.model_b = b.model_id GROUP BY 1) d
+      ON w.model_id = d.model_id),
+p2 AS (SELECT model_id, p / (SELECT exp(avg(ln(p))) FROM q2) AS p FROM q2),
+q3 AS (SELECT w.model_id, w.W / d.den AS p FROM w JOIN (
+      SELECT x.model_a AS model_id, sum(x.games / (a.p + b.p)) AS den FROM wins x
+      JOIN p2 a ON x.model_a = a.model_id JOIN p2 b ON x.model_b = b.model_id GROUP BY 1) d
+      ON w.model_id = d.model_id),
+p3 AS (SELECT model_id, p / (SELECT exp(avg(ln(p))) FROM q3) AS p FROM q3),
+q4 AS (SELECT w.model_id, w.W / d.den AS p FROM w JOIN (
+      SELECT x.model_a AS model_id, sum(x.games / (a.p + b.p)) AS den FROM wins x
+      JOIN p3 a ON x.model_a = a.model_id JOIN p3 b ON x.model_b = b.model_id GROUP BY 1) d
+      ON w.model_id = d.model_id),
+p4 AS (SELECT model_id, p / (SELECT exp(avg(ln(p))) FROM q4) AS p FROM q4),
+q5 AS (SELECT w.model_id, w.W / d.den AS p FROM w JOIN (
+      SELECT x.model_a AS model_id, sum(x.games / (a.p + b.p)) AS den FROM wins x
+      JOIN p4 a ON x.model_a = a.model_id JOIN p4 b ON x.model_b = b.model_id GROUP BY 1) d
+      ON w.model_id = d.model_id),
+p5 AS (SELECT model_id, p / (SELECT exp(avg(ln(p))) FROM q5) AS p FROM q5)
+SELECT model_id, round(400 * log10(p), 6) AS rating FROM p5"""
+
+
+@query("bt_mm_step", with_ctes(BT_STEPS_SQL, "wins"))
+def q_bt_steps(spark, d):
+    """Five MM steps of the Bradley-Terry fit, computed with joins (exact oracle)."""
+    w = E.win_counts(E.battles(_scores(spark, d)))
+    return E.bt_mm_steps(w, 5).withColumn("rating", F.round("rating", 6))

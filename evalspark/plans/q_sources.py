@@ -90,7 +90,7 @@ SELECT key, seed, md5(to_json({'key': key, 'seed': seed, 'test_size': CAST(0.2 A
 FROM (SELECT DISTINCT key FROM clf_tasks) CROSS JOIN (VALUES (0), (1), (2)) s(seed)""", "clf_tasks"))
 def q_fingerprint(spark, d):
     keys = C.clf_tasks(spark, d).select("key").distinct()
-    p = keys.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("seed"))) \
+    p = keys.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in (0, 1, 2)]))) \
         .withColumn("test_size", F.lit(0.2)).withColumn("min_samples_per_class", F.lit(10)) \
         .withColumn("train_subsample", F.lit(100))
     out = RS.split_fingerprint(p, ["key", "seed", "test_size", "min_samples_per_class", "train_subsample"])
@@ -172,10 +172,10 @@ def q_prevalence(spark, d):
     f0 = p.groupBy(F.col("p_brand").alias("sample"), F.col("p_type").alias("marker")).agg(
         F.max(F.when(F.col("p_size") > 45, 1).otherwise(0)).alias("value"))
     brands = f0.select("sample").distinct()
-    dense = brands.crossJoin(f0.select("marker").distinct())
-    f = dense.join(f0, ["sample", "marker"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
-    rows = f.groupBy("marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))),
-                                                            lambda s: s["value"].cast("string")), "\t").alias("vals"))
+    # one text line per marker over every sample: pivot (dense, NULL = absent → 0)
+    wide = f0.groupBy("marker").pivot("sample").agg(F.first("value")).fillna(0)
+    samples = sorted(c for c in wide.columns if c != "marker")
+    rows = wide.select("marker", F.concat_ws("\t", *[F.col(f"`{c}`").cast("string") for c in samples]).alias("vals"))
     header = brands.agg(F.concat_ws("\t", F.lit("marker"), F.array_join(F.array_sort(F.collect_list("sample")), "\t"))
                         .alias("value"))
     junk = brands.agg(F.concat_ws("\t", F.lit("junk"), F.array_join(F.transform(F.collect_list("sample"),

@@ -63,7 +63,7 @@ SELECT CAST(i AS INTEGER) AS seed, CAST(i // 5 AS INTEGER) AS repeat, CAST(i % 5
 FROM range(0, 10) t(i) CROSS JOIN (SELECT count(DISTINCT o_orderpriority) AS n FROM orders)""")
 def q_split_indices(spark, d):
     n = C.table(spark, d, "orders").agg(F.countDistinct("o_orderpriority").alias("n_keys"))
-    return S.split_indices(spark, 2, 5).crossJoin(n)
+    return S.split_indices(spark, 2, 5).withColumn("n_keys", n.scalar())
 
 
 @query("holdout_stratified", with_ctes("""

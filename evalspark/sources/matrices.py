@@ -55,7 +55,7 @@ def prevalence_filter(spark: SparkSession, path: str, min_prevalence: float = 0.
     stats = body.groupBy("marker").agg(F.bool_and(F.col("raw").isin("0", "1")).alias("binary"),
                                        F.avg(F.col("raw").try_cast("double")).alias("prevalence"))
     keep = stats.filter(F.col("binary") & (F.col("prevalence") >= min_prevalence)).select("marker")
-    return (body.join(keep, "marker", "left_semi").join(F.broadcast(header), "i")
+    return (body.join(keep, "marker", "left_semi").join(header, "i")
             .select("sample", "marker", F.col("raw").cast("int").alias("value")))
 
 

@@ -25,10 +25,8 @@ def test_missing_units_retry_counts_as_missing(spark):
     m = spark.createDataFrame([(0, "k", "A", 0.9)], "seed int, key string, model string, f1_macro double")
     st = spark.createDataFrame([(0, "k", "B", "retry"), (0, "k", "C", "skip")],
                                "seed int, key string, model string, status string")
-    seeds = spark.createDataFrame([(0,)], "seed int")
     keys = spark.createDataFrame([("k",)], "key string")
-    models = spark.createDataFrame([("A",), ("B",), ("C",)], "model string")
-    miss = V.missing_units(m, st, seeds, keys, models)
+    miss = V.missing_units(m, st, [0], keys, ["A", "B", "C"])
     assert [r["model"] for r in miss.collect()] == ["B"]
     with pytest.raises(AssertionError):
         V.assert_complete(miss)
