@@ -191,9 +191,10 @@ def group_ids(long_df: DataFrame, key_cols=("key",), id_col: str = "row_id",
     rows = long_df.select(*keys, id_col).distinct().join(sig, keys + [id_col], "left")
     rows = rows.withColumn("sig", F.coalesce("sig", F.concat(F.lit("__unique_"),
                                                               F.col(id_col).cast("string"))))
-    w = Window.partitionBy(*keys, "sig")
-    return rows.select(*keys, id_col, F.min(id_col).over(w).alias("group_id"),
-                       F.count(F.lit(1)).over(w).alias("group_size"))
+    # group name and size by a partial aggregate joined back (a hot signature is a skewed
+    # join key, which AQE splits) rather than a window that holds the group in one task
+    g = rows.groupBy(*keys, "sig").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    return rows.join(g, keys + ["sig"]).select(*keys, id_col, "group_id", "group_size")
 
 
 def kfold_grouped(groups: DataFrame, k: int, key_cols=("key",), id_col: str = "row_id",

@@ -28,8 +28,7 @@ def matrix_assemble(long_df: DataFrame, row: str = "sample", col: str = "feature
 def matrix_dedupe_pivot(probes: DataFrame) -> DataFrame:
     """(sample, probe, value, pos): the first value per (sample, probe) by position,
     non-numeric text → NULL, then probes × samples."""
-    w = Window.partitionBy("sample", "probe").orderBy("pos")
-    first = (probes.withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    first = (probes.groupBy("sample", "probe").agg(F.min_by("value", "pos").alias("value"))
              .select("sample", "probe", F.col("value").try_cast("double").alias("value")))
     return first.groupBy("probe").pivot("sample").agg(F.first("value"))
 
