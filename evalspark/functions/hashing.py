@@ -95,25 +95,43 @@ def nonneg_order_key(c: Column) -> Column:
         F.concat(F.lpad((e + 400).cast("string"), 3, "0"), F.format_string("%018.15f", mant)))
 
 
-def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "median",
-                 rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Exact median (mean of the two middle values when n is even) of a non-negative
-    column per group, without holding a group's values in one task.
-
-    Equal values are first counted (map-side combined), then the running count over the
-    distinct values is computed bucket-wise (:func:`prefix_cumsum`); the middle ranks fall
-    into the value whose running-count interval contains them.
+def order_key(c: Column) -> Column:
+    """Order-preserving text for any double: negatives get '0' + the digit complement of
+    their magnitude's key (larger magnitude → smaller text), zero and positives get '1'."""
+    comp = F.translate(nonneg_order_key(-c), "0123456789", "9876543210")
+    return F.when(c < 0, F.concat(F.lit("0"), comp)).otherwise(F.concat(F.lit("1"), nonneg_order_key(c)))
+
+
+def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float, out: str = "percentile",
+                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact percentile with linear interpolation (as Spark ``percentile`` / SQL
+    ``quantile_cont``) per group, without holding a group's values in one task.
+
+    Equal values are first counted (map-side combined); the running count over the
+    distinct values is computed bucket-wise on an order-preserving text key
+    (:func:`prefix_cumsum`); the two ranks around q·(n−1) are looked up in the intervals
+    of that running count and interpolated.
     """
     g = list(group_cols)
-    vc = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("__c"))
-    vc = vc.withColumn("__k", nonneg_order_key(F.col(value)))
-    cum = prefix_cumsum(vc, g, "__k", [F.col(value)], "__c", "__cum", True, 10, 3, rows_per_bucket)
+    vc = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("__c"))
+    vc = vc.withColumn("__k", order_key(F.col(value)))
+    cum = prefix_cumsum(vc, g, "__k", [F.col(value)], "__c", "__cum", True, 10, 4, rows_per_bucket)
     n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
     j = cum.join(n, g)
-    lo = F.floor((F.col("__n") + 1) / 2)
-    hi = F.floor(F.col("__n") / 2) + 1
+    pos = F.lit(float(q)) * (F.col("__n") - 1)
+    lo = F.floor(pos) + 1
+    hi = F.ceil(pos) + 1
     start = F.col("__cum") - F.col("__c")
-    pick = j.select(*g, value, ((start < lo) & (lo <= F.col("__cum"))).alias("__lo"),
+    pick = j.select(*g, value, pos.alias("__pos"), ((start < lo) & (lo <= F.col("__cum"))).alias("__lo"),
                     ((start < hi) & (hi <= F.col("__cum"))).alias("__hi"))
-    return pick.groupBy(*g).agg(((F.max(F.when(F.col("__lo"), F.col(value))) +
-                                  F.max(F.when(F.col("__hi"), F.col(value)))) / 2).alias(out))
+    a = pick.groupBy(*g).agg(F.max(F.when(F.col("__lo"), F.col(value))).alias("__vl"),
+                             F.max(F.when(F.col("__hi"), F.col(value))).alias("__vh"),
+                             F.max("__pos").alias("__pos"))
+    frac = F.col("__pos") - F.floor("__pos")
+    return a.select(*g, (F.col("__vl") + (F.col("__vh") - F.col("__vl")) * frac).alias(out))
+
+
+def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "median",
+                 rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """Exact median per group (see :func:`exact_percentile`)."""
+    return exact_percentile(df, group_cols, value, 0.5, out, rows_per_bucket)

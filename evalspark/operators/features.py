@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import exact_percentile
+
 NAN_POLICIES = ("native", "none", "median", "mean", "zero")
 DEFAULT_NAN_POLICY = "native"
 UNIT = ["seed", "key"]
@@ -39,14 +41,16 @@ def impute(parts: DataFrame, features: list[str], policy: str, keys=UNIT) -> Dat
     keys = list(keys)
     if policy == "zero":
         return parts.fillna(0.0, subset=features)
-    agg = F.percentile if policy == "median" else None
     train = parts.filter(F.col("part") == "train")
-    stats = train.groupBy(*keys).agg(*[
-        (agg(c, 0.5) if agg else F.avg(c)).alias(f"__fill_{c}") for c in features])
-    j = parts.join(stats, keys, "left")
+    out = parts
     for c in features:
-        j = j.withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{c}")))
-    return j.drop(*[f"__fill_{c}" for c in features])
+        if policy == "median":      # exact, distributed (no group held in one task)
+            st = exact_percentile(train.select(*keys, c), keys, c, 0.5, f"__fill_{c}")
+        else:
+            st = train.groupBy(*keys).agg(F.avg(c).alias(f"__fill_{c}"))
+        out = out.join(st, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{c}"))) \
+            .drop(f"__fill_{c}")
+    return out
 
 
 def standardize_target(parts: DataFrame, y: str = "y", keys=UNIT) -> DataFrame:
@@ -87,15 +91,15 @@ def inject_nulls(df: DataFrame, cols: list[str], salt: str, id_col: str = "row_i
 
 # ---------------------------------------------------------------- labels
 def label_median_split(df: DataFrame, score: str, keys=("key",)) -> DataFrame:
-    """label = score > median(score) per group (balanced binary)."""
-    med = df.groupBy(*keys).agg(F.percentile(score, 0.5).alias("__med"))
+    """label = score > median(score) per group (balanced binary); exact median."""
+    med = exact_percentile(df.select(*keys, score), list(keys), score, 0.5, "__med")
     return df.join(med, list(keys)).withColumn("label", (F.col(score) > F.col("__med")).cast("int")) \
         .drop("__med")
 
 
 def label_quantile(df: DataFrame, score: str, q: float = 0.9, keys=("key",)) -> DataFrame:
-    """Imbalanced label = score > q-quantile per group."""
-    thr = df.groupBy(*keys).agg(F.percentile(score, q).alias("__thr"))
+    """Imbalanced label = score > q-quantile per group (exact, interpolated)."""
+    thr = exact_percentile(df.select(*keys, score), list(keys), score, q, "__thr")
     return df.join(thr, list(keys)).withColumn("label", (F.col(score) > F.col("__thr")).cast("int")) \
         .drop("__thr")
 

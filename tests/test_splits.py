@@ -96,3 +96,14 @@ def test_exact_median_matches_numpy(spark):
     for g in "abcd":
         want = float(np.median([v for gg, v in rows if gg == g]))
         assert got[g] == pytest.approx(want)
+
+
+def test_exact_percentile_with_negatives(spark):
+    import numpy as np
+    from evalspark.functions.hashing import exact_percentile
+    rng = np.random.default_rng(5)
+    vals = np.round(rng.normal(0, 100, 257), 3).tolist() + [0.0, 0.0, -1e-9, 1e-9]
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
+    for q in (0.1, 0.5, 0.9):
+        got = exact_percentile(df, ["g"], "v", q, rows_per_bucket=5).first()["percentile"]
+        assert got == pytest.approx(float(np.percentile(vals, q * 100)))
