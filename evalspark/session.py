@@ -17,20 +17,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     off (no server). On a cluster ``master`` and memory come from spark-submit.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
+    local = bool(master) or not os.environ.get("SPARK_MASTER_URL")
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # coalesce small shuffle outputs by size, not to keep every core busy
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
     )
-    if master or not os.environ.get("SPARK_MASTER_URL"):
-        builder = builder.master(master or f"local[{cpus}]")
-        builder = builder.config("spark.driver.memory", os.environ.get("EVALSPARK_DRIVER_MEM", "16g"))
+    if local:
+        # one machine: size shuffles to the cores; on a cluster the submit config decides
+        builder = (builder.master(master or f"local[{cpus}]")
+                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
+                   .config("spark.driver.memory", os.environ.get("EVALSPARK_DRIVER_MEM", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
