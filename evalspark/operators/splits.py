@@ -135,7 +135,7 @@ def holdout_plain(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",
 
 # ------------------------------------------------------------------ k-fold
 def kfold_stratified(df: DataFrame, k: int, repeats: int = 1, key_cols=("key",),
-                     cls: str = "target", id_col: str = "row_id") -> DataFrame:
+                     cls: str = "target", id_col: str = "row_id", check_min_class: bool = True) -> DataFrame:
     """Stratified k-fold. Seed g → (repeat, fold) = divmod(g, k).
 
     Within (key, repeat, class) rows are ranked by md5(repeat:id); a row's fold is
@@ -144,6 +144,11 @@ def kfold_stratified(df: DataFrame, k: int, repeats: int = 1, key_cols=("key",),
     """
     keys = _keys(key_cols)
     counts = class_counts(df, keys, cls)
+    if check_min_class:
+        # a class smaller than k cannot appear in every fold (the reference refuses it)
+        bad = counts.filter(F.col("cnt") < k).select(*keys, cls).limit(1).collect()
+        if bad:
+            raise ValueError(f"smallest class has fewer than k={k} rows: {bad[0].asDict()}")
     wprev = Window.partitionBy(*keys).orderBy(cls).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("cnt").over(wprev), F.lit(0))) \
         .select(*keys, cls, "offset")

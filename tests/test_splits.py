@@ -107,3 +107,11 @@ def test_exact_percentile_with_negatives(spark):
     for q in (0.1, 0.5, 0.9):
         got = exact_percentile(df, ["g"], "v", q, rows_per_bucket=5).first()["percentile"]
         assert got == pytest.approx(float(np.percentile(vals, q * 100)))
+
+
+def test_kfold_refuses_class_smaller_than_k(spark):
+    df = spark.createDataFrame([("k", i, "a" if i < 10 else "b") for i in range(12)],
+                               "key string, row_id long, target string")
+    with pytest.raises(ValueError):
+        S.kfold_stratified(df, 5)
+    assert S.kfold_stratified(df, 2).filter("part = 'test'").count() == 12
