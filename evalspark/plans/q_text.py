@@ -386,3 +386,25 @@ def q_snap(spark, d):
                    .otherwise(F.array(F.lit("medium"))).alias("supported"))
     from ..operators.frames import snap_level
     return snap_level(req, "requested", "supported").select("conv_id", "turn", "requested", "snapped")
+
+
+@query("match_class", with_ctes(f"""
+SELECT seed, key, model, chunk, line_no, token FROM (
+  SELECT l.*, c.token, row_number() OVER (PARTITION BY l.seed, l.key, l.model, l.chunk, l.line_no
+           ORDER BY CASE WHEN trim(l.body) = c.token THEN 1 WHEN lower(trim(l.body)) = lower(c.token) THEN 2 ELSE 3 END,
+                    length(c.token) DESC, c.token) AS r1
+  FROM (SELECT seed, key, model, chunk, CAST(i - 1 AS INTEGER) AS line_no, ba[i] AS body FROM (
+          SELECT *, unnest(range(1, len(ba) + 1)) AS i FROM (
+            SELECT *, regexp_extract_all(text, '{__import__('evalspark').functions.text.ROW_PATTERN}', 2) AS ba
+            FROM responses))) l
+  JOIN codec c ON l.seed = c.seed AND l.key = c.key
+  WHERE trim(l.body) = c.token OR lower(trim(l.body)) = lower(c.token)
+        OR regexp_matches(l.body, '(?i)\\b' || c.token || '\\b'))
+WHERE r1 = 1""", "responses", "codec"))
+def q_match_class(spark, d):
+    """L12 on its own: every answer line's class by tier (exact, case-insensitive, whole
+    word with the longest label first), before the index checks of L11."""
+    resp, _, codec = _responses(spark, d)
+    lines = RS.answer_lines(resp.select("seed", "key", "model", "chunk", "text"))
+    m = RS.match_class(lines, codec.select("seed", "key", "token"))
+    return m.select("seed", "key", "model", "chunk", "line_no", "token")

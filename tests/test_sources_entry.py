@@ -54,3 +54,21 @@ def test_entry_and_registry(spark):
     assert len(rows) > 0 and "score" in df.columns and "position" in df.columns
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 150
+
+
+def test_loader_protocol(spark):
+    from evalspark.sources import loaders as L
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "t.csv")
+    open(p, "w").write("a, label ,b\n1,x,2\n3,y,4\n")
+    df = L.fetch(spark, {"source": "local", "data_file": p, "target": "label"})
+    assert df.columns == ["a", "b", "target"] and df.count() == 2
+    with pytest.raises(ValueError):
+        L.fetch(spark, {"source": "nowhere"})
+
+    from pyspark.sql import functions as F
+
+    @L.register_loader("const-test")
+    def _const(spark_, spec):
+        return spark_.range(3).withColumn("target", F.lit("z"))
+    assert L.fetch(spark, {"source": "const-test"}).count() == 3
