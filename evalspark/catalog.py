@@ -230,9 +230,7 @@ def reg_parts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = {"src": sf_dir, "tasks": "reg", "seeds": list(SEEDS), "test_size": TEST_SIZE, "v": 1}
 
     def build():
-        t = reg_tasks(spark, sf_dir)
-        sp = S.holdout_plain(t, list(SEEDS), TEST_SIZE)
-        return sp.join(t.select("key", "row_id", "y", "x1", "x2", "grp"), ["key", "row_id"])
+        return S.holdout_plain(reg_tasks(spark, sf_dir), list(SEEDS), TEST_SIZE, keep=("y", "x1", "x2", "grp"))
     return cached_split(spark, "reg", params, build)
 
 

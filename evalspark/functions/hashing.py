@@ -43,6 +43,13 @@ def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order
     v = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
     df = df.withColumn("__v", v)
     sizes = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__gn"))
+    end = Window.currentRow if inclusive else -1
+    # runtime plan choice (one number to the driver): when no group exceeds the bucket
+    # size, the plain window is already bounded per task and the bucket pass is skipped
+    largest = sizes.agg(F.max("__gn")).first()[0] or 0
+    if largest <= rows_per_bucket:
+        w = Window.partitionBy(*partition_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(out, F.coalesce(F.sum("__v").over(w), F.lit(0))).drop("__v")
     sizes = sizes.select(*partition_cols, F.least(F.greatest(
         F.ceil(F.log(float(radix), F.col("__gn") / float(rows_per_bucket))), F.lit(0)), F.lit(6))
         .cast("int").alias(d))
@@ -53,7 +60,6 @@ def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order
     wcum = (Window.partitionBy(*partition_cols).orderBy(b)
             .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.withColumn("__before", F.coalesce(F.sum("__t").over(wcum), F.lit(0))).drop("__t")
-    end = Window.currentRow if inclusive else -1
     win = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
     local = with_b.withColumn("__local", F.coalesce(F.sum("__v").over(win), F.lit(0)))
     return (local.join(offsets, on=keys, how="inner")

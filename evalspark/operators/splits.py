@@ -122,15 +122,16 @@ def holdout_stratified(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("
 
 
 def holdout_plain(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",),
-                  id_col: str = "row_id") -> DataFrame:
-    """C05 (regression): ``ceil(n·test_size)`` rows per key by md5 order."""
+                  id_col: str = "row_id", keep=()) -> DataFrame:
+    """C05 (regression): ``ceil(n·test_size)`` rows per key by md5 order; ``keep`` carries
+    extra columns through."""
     keys = _keys(key_cols)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("quota"))
-    rows = with_seeds(df.select(*keys, id_col), seeds).withColumn("__h", seeded_hash("seed", id_col))
+    rows = with_seeds(df.select(*keys, id_col, *keep), seeds).withColumn("__h", seeded_hash("seed", id_col))
     ranked = hash_rank(rows, keys + ["seed"], "__h", id_col)
     return (ranked.join(sizes, keys)
             .select(*keys, "seed", id_col,
-                    F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train").alias("part")))
+                    F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train").alias("part"), *keep))
 
 
 # ------------------------------------------------------------------ k-fold
