@@ -68,7 +68,7 @@ def _event_units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("key"),
         F.concat(F.lit("m"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0")).alias("model"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+        F.col("ts"), "event_id", "value")        # wall-clock (NTZ) time: orderable, zone-free
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:

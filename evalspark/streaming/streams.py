@@ -87,15 +87,23 @@ def progress(spark: SparkSession, source: str, schema: str, checkpoint: str,
              window: str = "1 day", watermark: str = "1 day") -> DataFrame:
     """Units per status and event-time window, with a watermark bounding late data.
 
-    The driver's timestamps load as TIMESTAMP_NTZ, which watermarks reject, so they are
-    cast to TIMESTAMP (session time zone UTC). Complete mode returns every window.
+    The driver's timestamps load as TIMESTAMP_NTZ, which watermarks reject; the wall
+    clock is turned into an epoch instant field by field (no session-zone dependence).
+    Complete mode returns every window.
     """
     name = f"progress_{uuid.uuid4().hex[:8]}"
+    # event time = the wall clock read as UTC, built from its date/time fields, so the
+    # epoch-aligned windows are wall-clock days whatever the session time zone is
+    wall = F.col("ts")
+    secs = (F.datediff(F.to_date(wall), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+            + F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall))
     s = (spark.readStream.schema(schema).json(source)
-         .withColumn("ts", F.col("ts").cast("timestamp"))
+         .withColumn("ts", F.timestamp_seconds(secs))
          .withWatermark("ts", watermark)
          .groupBy(F.window("ts", window).alias("w"), "status").agg(F.count(F.lit(1)).alias("n")))
     q = (s.writeStream.outputMode("complete").format("memory").queryName(name)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "status", "n")
+    days = F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM-dd")
+    return spark.table(name).select(day.alias("day"), "status", "n")
