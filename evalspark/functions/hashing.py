@@ -27,7 +27,7 @@ def hash_number(text: Column, digits: int = 8) -> Column:
 
 def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order_cols: list,
                   value=None, out: str = "cum", inclusive: bool = True, radix: int = 16,
-                  skip: int = 0, rows_per_bucket: int = 1_000_000) -> DataFrame:
+                  skip: int = 0, rows_per_bucket: int = 1_000_000, plan: str = "auto") -> DataFrame:
     """Exact running sum of ``value`` (1 = row number) per partition group, in the order of
     ``order_cols``, without sorting a whole group in one task.
 
@@ -37,7 +37,9 @@ def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order
     (a small aggregate) so a bucket holds about ``rows_per_bucket`` rows — small groups
     keep d = 0 (one window partition, no extra work), a hot group is spread over many
     tasks. The running sum is the total of earlier buckets (a tiny aggregate, partially
-    combined map-side) plus the running sum inside the bucket.
+    combined map-side) plus the running sum inside the bucket. With ``plan="auto"`` the
+    largest group size is looked up first and, when no group is large, a plain window is
+    used (same result, fewer stages).
     """
     b, d = "__bucket", "__digits"
     v = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
@@ -46,8 +48,9 @@ def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order
     end = Window.currentRow if inclusive else -1
     # runtime plan choice (one number to the driver): when no group exceeds the bucket
     # size, the plain window is already bounded per task and the bucket pass is skipped
-    largest = sizes.agg(F.max("__gn")).first()[0] or 0
-    if largest <= rows_per_bucket:
+    # ``plan="bucketed"`` skips the check for inputs that are costly to compute twice
+    largest = (sizes.agg(F.max("__gn")).first()[0] or 0) if plan == "auto" else None
+    if largest is not None and largest <= rows_per_bucket:
         w = Window.partitionBy(*partition_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumn(out, F.coalesce(F.sum("__v").over(w), F.lit(0))).drop("__v")
     sizes = sizes.select(*partition_cols, F.least(F.greatest(
@@ -121,7 +124,7 @@ def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
     g = list(group_cols)
     vc = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("__c"))
     vc = vc.withColumn("__k", order_key(F.col(value)))
-    cum = prefix_cumsum(vc, g, "__k", [F.col(value)], "__c", "__cum", True, 10, 4, rows_per_bucket)
+    cum = prefix_cumsum(vc, g, "__k", [F.col(value)], "__c", "__cum", True, 10, 4, rows_per_bucket, "bucketed")
     n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
     j = cum.join(n, g)
     pos = F.lit(float(q)) * (F.col("__n") - 1)

@@ -180,7 +180,8 @@ def _auc_from_counts(sc: DataFrame, group: list[str]) -> DataFrame:
     from ..functions.hashing import prefix_cumsum, unit_interval_key
     nulls = sc.filter(F.col("score").isNull()).groupBy(*group).agg(F.sum(F.col("pos") + F.col("neg")).alias("__nulls"))
     ok = sc.filter(F.col("score").isNotNull()).withColumn("__k", unit_interval_key(F.col("score")))
-    s = prefix_cumsum(ok, group, "__k", [F.col("score")], "neg", "neg_below", inclusive=False, radix=10, skip=2)
+    s = prefix_cumsum(ok, group, "__k", [F.col("score")], "neg", "neg_below", inclusive=False, radix=10, skip=2,
+                      plan="bucketed")
     agg = s.groupBy(*group).agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))).alias("__u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
