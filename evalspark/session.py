@@ -9,6 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _default_driver_mem() -> str:
+    """Half of the machine's memory, at most 16 GiB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total / 2 ** 30 * 0.5)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "evalspark") -> SparkSession:
     """Return a session configured for evaluation workloads.
@@ -34,7 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         # one machine: size shuffles to the cores; on a cluster the submit config decides
         builder = (builder.master(master or f"local[{cpus}]")
                    .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-                   .config("spark.driver.memory", os.environ.get("EVALSPARK_DRIVER_MEM", "16g")))
+                   .config("spark.driver.memory", os.environ.get("EVALSPARK_DRIVER_MEM", _default_driver_mem())))
     elif shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
