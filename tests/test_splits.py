@@ -115,3 +115,19 @@ def test_kfold_refuses_class_smaller_than_k(spark):
     with pytest.raises(ValueError):
         S.kfold_stratified(df, 5)
     assert S.kfold_stratified(df, 2).filter("part = 'test'").count() == 12
+
+
+def test_prefix_cumsum_decimal_keys_match_window(spark):
+    import numpy as np
+    from evalspark.functions.hashing import prefix_cumsum, unit_interval_key
+    rng = np.random.default_rng(11)
+    rows = [("u", float(s), int(n)) for s, n in zip(np.round(rng.random(300), 4), rng.integers(0, 5, 300))]
+    rows += [("u", 1.0, 2), ("u", 0.0, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, neg long").dropDuplicates(["g", "score"])
+    df = df.withColumn("k", unit_interval_key(F.col("score")))
+    got = prefix_cumsum(df, ["g"], "k", [F.col("score")], "neg", "below", inclusive=False, radix=10, skip=2,
+                        rows_per_bucket=7, plan="bucketed")
+    w = Window.partitionBy("g").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    key = ["g", "score", "below"]
+    assert sorted(got.select(key).collect()) == sorted(want.select(key).collect())
