@@ -62,6 +62,9 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines cannot see a local temp folder
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object store)")
         base = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
