@@ -207,16 +207,22 @@ def kfold_grouped(groups: DataFrame, k: int, key_cols=("key",), id_col: str = "r
                   seeds=None) -> DataFrame:
     """Group k-fold. Groups are ranked by size desc (tie: group id) and dealt to the
     k folds in serpentine order; disjoint, complete, and the fold sizes differ by at most
-    the largest group. Only the (group, size) table is ranked — never the rows."""
+    the largest group. Only the (group, size) table is ranked — never the rows. A key with
+    fewer than k groups falls back to the plain k-fold (C07) over its rows."""
     keys = _keys(key_cols)
     g = groups.select(*keys, "group_id", "group_size").distinct()
+    ng = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ng"))
+    few = ng.filter(F.col("__ng") < k).select(*keys)
     w = Window.partitionBy(*keys).orderBy(F.col("group_size").desc(), F.col("group_id"))
     r = F.row_number().over(w) - 1
     pos = r % (2 * k)
-    g = g.withColumn("row_fold", F.when(pos < k, pos).otherwise(2 * k - 1 - pos).cast("int"))
+    g = g.join(few, keys, "left_anti").withColumn(
+        "row_fold", F.when(pos < k, pos).otherwise(2 * k - 1 - pos).cast("int"))
     rows = groups.select(*keys, id_col, "group_id").join(g.select(*keys, "group_id", "row_fold"),
                                                          keys + ["group_id"])
-    return _expand_folds(rows.withColumn("repeat", F.lit(0)), k, keys, id_col)
+    dealt = _expand_folds(rows.withColumn("repeat", F.lit(0)), k, keys, id_col)
+    plain = kfold_plain(groups.select(*keys, id_col).join(few, keys, "left_semi"), k, 1, keys, id_col)
+    return dealt.unionByName(plain)
 
 
 def holdout_grouped(groups: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",),

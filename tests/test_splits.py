@@ -131,3 +131,11 @@ def test_prefix_cumsum_decimal_keys_match_window(spark):
     want = df.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     key = ["g", "score", "below"]
     assert sorted(got.select(key).collect()) == sorted(want.select(key).collect())
+
+
+def test_group_kfold_falls_back_when_groups_fewer_than_k(spark):
+    long = spark.createDataFrame([("k", i, "f", float(i % 2 + 1)) for i in range(10)],
+                                 "key string, row_id long, feature string, value double")
+    g = S.group_ids(long)                       # two groups only
+    f = S.kfold_grouped(g, 5).filter("part = 'test'")
+    assert f.count() == 10 and f.select("seed").distinct().count() == 5
