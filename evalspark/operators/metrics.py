@@ -311,3 +311,15 @@ def metric_summary(metrics: DataFrame, group=("key", "model"), exclude=("seed",)
     for c in num:
         aggs += [_r(F.avg(c), f"{c}__mean"), _r(F.stddev_samp(c), f"{c}__std")]
     return metrics.groupBy(*group).agg(*aggs, F.count(F.lit(1)).alias("n_seeds"))
+
+
+def prob_metrics(truth: DataFrame, proba: DataFrame, unit=UNIT) -> DataFrame:
+    """M11-M15 as stored with the metric rows: ROC-AUC and log loss per unit, both NULL
+    when the unit's probabilities are one-hot (``proba_degenerate``) — a hard label
+    carries no ranking information."""
+    unit = list(unit)
+    pl = proba_long(truth, proba, unit)
+    j = roc_auc(pl, unit).join(log_loss(pl, unit), unit).join(proba_degenerate(proba, unit), unit)
+    deg = F.col("proba_degenerate")
+    return j.select(*unit, F.when(~deg, F.col("roc_auc")).alias("roc_auc"),
+                    F.when(~deg, F.col("log_loss")).alias("log_loss"), "proba_degenerate")

@@ -398,3 +398,20 @@ def q_reg_metrics(spark, d):
     return m.select("seed", "key", "model", *[F.round(c, digits.get(c, 6)).alias(c) for c in
                                               ("mse", "rmse", "mae", "r2", "mape", "explained_variance",
                                                "max_error", "median_ae")])
+
+
+@query("prob_metrics", with_ctes(f"""
+WITH a AS ({AUC_SQL}),
+l AS (SELECT p.seed, p.key, p.model,
+             round(avg(-ln(greatest(least(p.score, 1 - 2.220446049250313e-16), 2.220446049250313e-16))), 9) AS log_loss
+      FROM proba_long p JOIN truth t ON p.seed = t.seed AND p.key = t.key AND p.row_id = t.row_id
+      WHERE p.cls = t.target GROUP BY 1, 2, 3),
+dg AS (SELECT seed, key, model, bool_and(score IN (0.0, 1.0)) AS proba_degenerate FROM proba_long GROUP BY 1, 2, 3)
+SELECT a.seed, a.key, a.model, CASE WHEN NOT dg.proba_degenerate THEN a.roc_auc END AS roc_auc,
+       CASE WHEN NOT dg.proba_degenerate THEN l.log_loss END AS log_loss, dg.proba_degenerate
+FROM a JOIN l ON a.seed = l.seed AND a.key = l.key AND a.model = l.model
+JOIN dg ON a.seed = dg.seed AND a.key = dg.key AND a.model = dg.model""", "proba_long", "truth"))
+def q_prob_metrics(spark, d):
+    """M15 applied: AUC and log loss nulled for one-hot (degenerate) units."""
+    t, _, proba = _clf(spark, d)
+    return M.prob_metrics(t, proba)

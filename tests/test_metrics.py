@@ -97,3 +97,12 @@ def test_alignment_rejects_mismatched_ids(spark):
     preds = preds.filter("row_id <> 2")
     r = M.align_check(truth, preds).first()
     assert r["aligned"] is False and r["missing_pred"] == 1
+
+
+def test_prob_metrics_null_for_one_hot(spark):
+    truth, proba = _proba(spark, [0, 1, 1], [(1.0, 0.0), (0.0, 1.0), (1.0, 0.0)])
+    r = M.prob_metrics(truth, proba).first()
+    assert r["proba_degenerate"] is True and r["roc_auc"] is None and r["log_loss"] is None
+    truth, proba = _proba(spark, [0, 1], [(0.7, 0.3), (0.4, 0.6)])
+    r = M.prob_metrics(truth, proba).first()
+    assert r["proba_degenerate"] is False and r["roc_auc"] == pytest.approx(1.0)
