@@ -22,6 +22,10 @@ OUTPUT_PER_ROW = 32
 EFFORT_ORDER = ["none", "low", "medium", "high"]
 # ---------------------------------------------------------------- end of fixed values
 
+# Java regex: UNIX_LINES ("(?d)") makes '.', '^' and '$' treat only '\n' as a line end, as
+# Python's ``re`` (and RE2) do; without it a lone '\r' or '\u2028' would also end a line.
+JVM_ROW_PATTERN = "(?d)" + ROW_PATTERN
+
 
 @F.pandas_udf(StringType())
 def _g4(v: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PROB_PATTERN, ROW_PATTERN
+from ..functions.text import JVM_ROW_PATTERN, PROB_PATTERN
 
 REQ = ["seed", "key", "model", "chunk"]
 UNIT = ["seed", "key", "model"]
@@ -19,8 +19,8 @@ UNIT = ["seed", "key", "model"]
 def answer_lines(responses: DataFrame, keys=REQ, text: str = "text") -> DataFrame:
     """All ``(index, body)`` answer lines in order: (keys, line_no, idx, body)."""
     keys = list(keys)
-    z = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(ROW_PATTERN), 1).alias("i"),
-                     F.regexp_extract_all(F.col(text), F.lit(ROW_PATTERN), 2).alias("b"))
+    z = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(JVM_ROW_PATTERN), 1).alias("i"),
+                     F.regexp_extract_all(F.col(text), F.lit(JVM_ROW_PATTERN), 2).alias("b"))
     return (responses.select(*keys, F.posexplode(z).alias("line_no", "m"))
             .select(*keys, "line_no", F.col("m.i").try_cast("int").alias("idx"),
                     F.col("m.b").alias("body")))

@@ -61,3 +61,9 @@ def test_identity_check(spark):
     df = spark.createDataFrame([("prov/llama3-8b", "llama3-8b:latest"), ("prov/qwen", ""), ("prov/qwen", "gemma")],
                                "requested string, returned string")
     assert [r["identity_ok"] for r in RS.identity_check(df).collect()] == [True, True, False]
+
+
+def test_only_newline_ends_an_answer_line(spark):
+    p = RS.parse_answers(_resp(spark, "Row 1: A\rRow 2: B", 2), _classes(spark, ["A", "B"]))
+    got = {r["idx"]: r["token"] for r in p.collect()}
+    assert got == {1: "A"}      # a lone carriage return does not start a new answer line
