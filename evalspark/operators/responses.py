@@ -35,7 +35,8 @@ def match_class(lines: DataFrame, classes: DataFrame, keys=REQ) -> DataFrame:
     keys = list(keys)
     ck = [k for k in keys if k in classes.columns]
     j = lines.join(classes, ck)
-    body, tok = F.trim(F.col("body")), F.col("token")
+    # strip every kind of surrounding whitespace (Python's str.strip), not only spaces
+    body, tok = F.regexp_replace(F.col("body"), r"^\s+|\s+$", ""), F.col("token")
     word = F.concat(F.lit("(?i)\\b\\Q"), tok, F.lit("\\E\\b"))
     tier = (F.when(body == tok, 1).when(F.lower(body) == F.lower(tok), 2)
             .when(F.regexp_like(F.col("body"), word), 3))
