@@ -38,9 +38,12 @@ def _g4(v: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or x != x else f"{x:.4g}" for x in v.tolist()], dtype=object)
 
 
-def fmt_value(c: Column, is_float: bool = True) -> Column:
+def fmt_value(c: Column, is_float=True) -> Column:
     """NULL/NaN → ``?``; integral float → integer text; else ``%.4g`` as Python
-    prints it (trailing zeros dropped). Non-floats: plain text."""
+    prints it (trailing zeros dropped). ``is_float="bool"``: ``True`` / ``False`` as Python
+    prints booleans. Other non-floats: plain text."""
+    if is_float == "bool":
+        return F.when(c.isNull(), F.lit("?")).when(c, F.lit("True")).otherwise(F.lit("False"))
     if not is_float:
         return F.coalesce(c.cast("string"), F.lit("?"))
     integral = F.format_string("%.0f", c + F.lit(0.0))

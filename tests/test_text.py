@@ -67,3 +67,9 @@ def test_only_newline_ends_an_answer_line(spark):
     p = RS.parse_answers(_resp(spark, "Row 1: A\rRow 2: B", 2), _classes(spark, ["A", "B"]))
     got = {r["idx"]: r["token"] for r in p.collect()}
     assert got == {1: "A"}      # a lone carriage return does not start a new answer line
+
+
+def test_fmt_value_booleans_and_text(spark):
+    df = spark.createDataFrame([(True, "x"), (False, None), (None, "y")], "b boolean, s string")
+    got = [(r[0], r[1]) for r in df.select(fmt_value(F.col("b"), "bool"), fmt_value(F.col("s"), False)).collect()]
+    assert got == [("True", "x"), ("False", "?"), ("?", "y")]
