@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evalspark.llm import (bpe, decontaminate, jaccard_join, language_id, lm_score, substring_dedup, token_counts,
-                           toxicity, vector_search)
+from evalspark.llm import (bpe, decontaminate, jaccard_join, language_id, lm_score, substring_dedup, suffix_dedup,
+                           token_counts, toxicity, vector_search)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_vector_search": vector_search.op2_vector_search,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_bpe": bpe.op5_bpe,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_suffix_dedup": suffix_dedup.OP3_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_lm_score": lm_score.OP7_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
