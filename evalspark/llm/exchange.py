@@ -38,7 +38,7 @@ class Chunks:
 
 
 def chunked(spark: SparkSession, docs: DataFrame, text: str, keys: list[str],
-            chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> Chunks:
+            chunk_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> Chunks:
     """Add the chunk number and shuffle by it. ``text`` is a binary column of ``docs``."""
     total, n = total_bytes(docs, text), partitions(spark)
     n = max(n, math.ceil(total / (64 << 20)))

@@ -14,10 +14,13 @@ lines and passages last.
 * The boundary is the largest size at which enumerating costs no more than scanning:
   subsets against prefix length times ``list_cost`` (entries scanned a list).
 
-A list is not turned into all its pairs: each member is compared with the list's first member
-(one row each), and components are formed; then only members of one list that lie in
-different components are compared, which finds every other link that matters. Comparisons are
-exact, on the whole sets of 64-bit shingle hashes.
+A list is not turned into all its pairs: each member is compared with ``CENTERS`` members of
+the list (one row each), and components are formed; then only members of one list that lie in
+different components are compared, which finds every other link that matters. Before two sets
+are fetched, their sizes and their parity sketches are compared: each shingle flips one of 1024
+bits, so the bits that differ are no more than the shingles that differ, and a pair that must
+fail is dropped inside the join without losing a link. What is left is compared exactly, on
+the whole sets of 64-bit shingle hashes.
 
 Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased; a text of fewer
 words than a shingle has is one shingle; a text without words (null, empty, blank) has none
@@ -28,12 +31,14 @@ link as others do and get the smallest non-null id of their component. Extra col
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import exchange as X
@@ -43,6 +48,7 @@ from evalspark.llm.textarrays import U, Words, mix
 from evalspark.session import scratch_dir
 
 SHINGLE, THRESHOLD, LIST_COST = 3, 90, 8
+CENTERS, SKETCH = 4, 16     # members that a list is compared with at first; words of 64 bits in a sketch
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +111,12 @@ def keys_of_set(hashes: np.ndarray, counts: np.ndarray, light: int, threshold: i
     return out
 
 
+def parity_sketch(hashes: np.ndarray) -> list[int]:
+    """SKETCH words: bit b is the parity of the hashes that end in b."""
+    bits = np.bincount((hashes & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _signed(x: list[int]) -> list[int]:
     return [v - (1 << 64) if v >= 1 << 63 else v for v in x]
 
@@ -122,7 +134,8 @@ def _describe(c: X.Chunks, id_col: str, id_type: str, width: int, threshold: int
         size = np.diff(first)
         digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None
                   for a, b in zip(first[:-1], first[1:], strict=True)]
-        kinds, sigs, sizes, keys, sets = ["doc"] * len(texts), list(digest), size.tolist(), [None] * len(texts), [None] * len(texts)
+        none = [None] * len(texts)
+        kinds, sigs, sizes, keys, sets, sketches = ["doc"] * len(texts), list(digest), size.tolist(), none[:], none[:], none[:]
         done = set()
         for d, sig in enumerate(digest):
             if sig is None or sig in done:
@@ -137,13 +150,15 @@ def _describe(c: X.Chunks, id_col: str, id_type: str, width: int, threshold: int
                 sizes += [int(size[d])] * k
                 keys += [*found, None]
                 sets += [None] * len(found) + [mine.view(np.int64)]
+                sketches += [parity_sketch(mine)] * len(found) + [None]
         extra = len(kinds) - len(texts)
         ids = pa.chunked_array([*chunk[id_col].chunks, pa.nulls(extra, chunk[id_col].type)])
         return pa.table({"id": ids, "kind": kinds, "sig": pa.array(sigs, pa.binary()), "size": pa.array(sizes, pa.int64()),
-                         "k": pa.array(keys, pa.int64()), "members": pa.array(sets, pa.list_(pa.int64()))})
+                         "k": pa.array(keys, pa.int64()), "members": pa.array(sets, pa.list_(pa.int64())),
+                         "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
     return X.with_counts(c, answers, run,
-                         f"id {id_type}, kind string, sig binary, size long, k long, members array<long>")
+                         f"id {id_type}, kind string, sig binary, size long, k long, members array<long>, sketch array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -154,8 +169,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.filter(i * (100 + threshold) >= (F.size("set_a") + F.size("set_b")) * threshold).select("a", "b")
 
 
-def _may_link(x: str, y: str, threshold: int):
-    return (F.col(x) * 100 >= F.col(y) * threshold) & (F.col(y) * 100 >= F.col(x) * threshold)
+def _may_link(x: str, y: str, threshold: int) -> Column:
+    """Sizes s<x>, s<y> and sketches p<x>, p<y> that do not rule a link out."""
+    s, t = F.col(f"s{x}"), F.col(f"s{y}")
+    differ = reduce(add, [F.bit_count(F.col(f"p{x}")[i].bitwiseXOR(F.col(f"p{y}")[i])) for i in range(SKETCH)])
+    return ((s * 100 >= t * threshold) & (t * 100 >= s * threshold)
+            & (differ * (100 + threshold) <= (s + t) * (100 - threshold)))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -174,23 +193,25 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, text: str = "text",
     of = lambda x: found.filter(F.col("kind") == x)
     # the same set in several chunks: one row
     sets = of("set").groupBy("sig").agg(F.first("members").alias("members"))
-    keys = of("key").groupBy("k", "sig").agg(F.max("size").alias("size"))
-    one = keys.groupBy("k").agg(F.min(F.struct("sig", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1").select(
-        "k", F.col("c.sig").alias("a"), F.col("c.size").alias("sa"))
-    keys = written(spark, keys.join(one, "k"), "keys")       # lists of two or more, with their first member
-    star = keys.filter((F.col("sig") != F.col("a")) & _may_link("size", "sa", threshold)).select(
-        "a", F.col("sig").alias("b")).distinct()
+    keys = of("key").groupBy("k", "sig").agg(F.max("size").alias("size"), F.first("sketch").alias("sketch"))
+    member = F.struct("sig", F.col("size").alias("sa"), F.col("sketch").alias("pa"))
+    centers = keys.groupBy("k").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[
+        F.min_by(member, F.xxhash64("sig", F.lit(i))) for i in range(CENTERS)])).alias("c")).filter("n > 1").select("k", "c")
+    keys = written(spark, keys.join(centers, "k"), "keys")       # lists of two or more, with their centers
+    star = keys.select(F.col("sig").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("pb"),
+                       F.explode("c").alias("c")).select("*", "c.*").filter(
+        (F.col("sig") != F.col("b")) & _may_link("a", "b", threshold)).select(
+        F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
     links = written(spark, _linked(star, sets, threshold), "links")
     comp = components(spark, links)
-    lists = keys.select("k", "sig", "size").join(comp.withColumnRenamed("node", "sig"), "sig", "left").select(
-        "k", "sig", "size", F.coalesce("root", "sig").alias("root"))
+    lists = keys.select("k", "sig", "size", "sketch").join(comp.withColumnRenamed("node", "sig"), "sig", "left").select(
+        "k", "sig", "size", "sketch", F.coalesce("root", "sig").alias("root"))
     split = lists.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
     lists = written(spark, lists.join(split, "k", "left_semi"), "lists")
-    x = lists.select("k", F.col("sig").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-    y = lists.select("k", F.col("sig").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-    across = x.join(y, "k").filter((F.col("ra") < F.col("rb")) & _may_link("sa", "sb", threshold)).select("a", "b").distinct()
-    across = across.join(star, ["a", "b"], "left_anti").join(
-        star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    side = lambda x: lists.select("k", F.col("sig").alias(x), F.col("size").alias(f"s{x}"),
+                                  F.col("sketch").alias(f"p{x}"), F.col("root").alias(f"r{x}"))
+    across = side("a").join(side("b"), "k").filter((F.col("ra") < F.col("rb")) & _may_link("a", "b", threshold)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = written(spark, _linked(across, sets, threshold), "links")
     links = links.unionByName(more)
     roots = components(spark, comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
