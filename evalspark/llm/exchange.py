@@ -35,6 +35,7 @@ class Chunks:
 
     df: DataFrame
     buckets: int
+    bytes: int
 
 
 def chunked(spark: SparkSession, docs: DataFrame, text: str, keys: list[str],
@@ -44,7 +45,7 @@ def chunked(spark: SparkSession, docs: DataFrame, text: str, keys: list[str],
     n = max(n, math.ceil(total / (64 << 20)))
     chunks = max(2 * n, math.ceil(total / chunk_bytes))
     df = docs.withColumn(CHUNK, F.pmod(F.xxhash64(*keys, text), F.lit(chunks)))
-    return Chunks(df.repartition(n, CHUNK), max(n, math.ceil(total / bucket_bytes)))
+    return Chunks(df.repartition(n, CHUNK), max(n, math.ceil(total / bucket_bytes)), total)
 
 
 def _bounds(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -138,8 +138,8 @@ OP6_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
   FROM documents),
-pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-win AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i+34], ' ')) END AS h FROM pos),
+win AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1),
+               lambda i: CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i+34], ' ')) END)) AS h FROM words),
 seen AS (SELECT h, count(*) AS n FROM win WHERE h IS NOT NULL GROUP BY h),
 cov AS (
   SELECT doc_id, i, word, max(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (

@@ -27,6 +27,7 @@ shorter than ``length`` lose nothing and take nothing. Extra columns are kept an
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -38,12 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from evalspark.llm import exchange as X
-from evalspark.llm.common import free_name, table, text_bytes, written
+from evalspark.llm.common import free_name, partitions, table, text_bytes, written
 from evalspark.llm.induced_sort import sorted_suffixes
 from evalspark.llm.textarrays import U, join_texts, prefix, rolling, spans_hash
 
 LENGTH, GRAM = 50, 25
-MEMORY = 64 << 20       # bytes that a shard's queues hold in memory, and above which its arrays are files
+MEMORY = 32 << 20       # bytes that a shard's queues hold in memory, and above which its arrays are files
+SHARD_BYTES = 3 << 19   # bytes of text a shard: its segments come to about as much
 _LAST = np.iinfo(np.int64).max
 
 
@@ -193,7 +195,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
     rows = docs.select(*rest, text_bytes(text).alias(raw),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias(num))
     c = X.chunked(spark, rows, raw, [num])
-    shards, strings = 2 * c.buckets, length - gram + 1
+    shards, strings = math.ceil(c.bytes / SHARD_BYTES) + partitions(spark), length - gram + 1
 
     def prepare(chunk: pa.Table, answer: pa.Table) -> tuple[Anchors, np.ndarray]:
         ids = chunk[num].to_numpy()
@@ -259,9 +261,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-pos AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 AS BIGINT))) AS p FROM hexed),
-win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte,
-               CASE WHEN 2 * p + 100 <= length(h) THEN md5(substr(h, 2 * p + 1, 100)) END AS s FROM pos),
+parts AS (  -- 200 bytes and the 49 that follow: substr is slow far inside a long text
+  SELECT doc_id, length(h) // 2 AS n, unnest(range(0, length(h) // 2, 200)) AS o,
+         unnest(list_transform(range(0, length(h) // 2, 200), lambda o: substr(h, 2 * o + 1, 500))) AS part FROM hexed),
+pos AS (SELECT doc_id, n, o, part, unnest(range(0, least(200, n - o))) AS q FROM parts),
+win AS (SELECT doc_id, o + q AS p, substr(part, 2 * q + 1, 2) AS byte,
+               CASE WHEN o + q + 50 <= n THEN md5(substr(part, 2 * q + 1, 100)) END AS s FROM pos),
 least AS (SELECT s, min(doc_id) AS m FROM win WHERE s IS NOT NULL GROUP BY s),
 cov AS (
   SELECT doc_id, p, byte, max(CASE WHEN m < doc_id THEN 1 ELSE 0 END) OVER (
