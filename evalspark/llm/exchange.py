@@ -80,7 +80,7 @@ def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndar
     def send(key, rows):
         k, n = np.unique(keys_of(rows[text].to_pylist()), return_counts=True)
         bucket, first = _bounds(k, buckets)
-        ends = np.append(first[1:], len(k))
+        ends = np.append(first, len(k))[1:]
         raw, cnt = pack(k, width), np.minimum(n, top).astype(count_type)
         return pa.table({
             CHUNK: np.full(len(bucket), key[0].as_py(), np.int64), BUCKET: bucket.astype(np.int64),

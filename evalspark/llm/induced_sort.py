@@ -62,7 +62,7 @@ class SuffixQueue:
             self.spilled.pop(symbol, None)
             self.live.pop(symbol, None)
             self.held -= self.size.pop(symbol, 0)
-        parts: list = [*files, *live]
+        parts: list = [*files, *([np.concatenate(live)] if live else [])]      # few blocks, not many pieces
         for part in reversed(parts) if backwards else parts:
             rec = np.load(part, mmap_mode="r") if isinstance(part, str) else part
             starts = range(0, len(rec), BLOCK)
@@ -189,14 +189,9 @@ def _last(q: SuffixQueue, c: int) -> int:
 
 def types(text: np.ndarray) -> np.ndarray:
     """True for S-type suffixes: smaller than the next suffix. The last one is S-type."""
-    n = len(text)
-    diff = np.flatnonzero(text[:-1] != text[1:])        # the last place of each run of equal symbols
-    out = np.ones(n, bool)
-    if n > 1:
-        nxt = np.searchsorted(diff, np.arange(n - 1))
-        at = diff[np.minimum(nxt, len(diff) - 1)]
-        out[:-1] = text[at] < text[at + 1]
-    return out
+    last = np.flatnonzero(text[:-1] != text[1:])        # the last place of each run of equal symbols
+    runs = np.diff(np.concatenate([[-1], last, [len(text) - 1]]))
+    return np.repeat(np.append(text[last] < text[last + 1], True), runs)
 
 
 def _by_symbol(order: np.ndarray, common: np.ndarray, text: np.ndarray) -> Callable:
@@ -231,11 +226,10 @@ def _adjacent(text: np.ndarray, order: np.ndarray, cap: int, rest: np.ndarray |
     """Common prefix of each suffix of ``order`` with the one before it, 0 for the first."""
     out = np.zeros(len(order), np.int64)
     open_ = np.arange(1, len(order))
-    for d in range(cap):
-        a, b = order[open_] + d, order[open_ - 1] + d
-        ok = (a < len(text)) & (b < len(text))
-        open_ = open_[ok]
-        open_ = open_[text[a[ok]] == text[b[ok]]]
+    a, b = order[1:], order[:-1]
+    for d in range(cap):        # the last symbol occurs once, so no pair runs over the end together
+        same = text[np.minimum(a + d, len(text) - 1)] == text[np.minimum(b + d, len(text) - 1)]
+        open_, a, b = open_[same], a[same], b[same]
         if not len(open_):
             break
         out[open_] = d + 1

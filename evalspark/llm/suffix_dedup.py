@@ -210,7 +210,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
     def send(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         x, _ = prepare(chunk, answer)
         shard, first = X._bounds(x.seg_key[x.one], shards)
-        ends = np.append(first[1:], len(x.one))
+        ends = np.append(first, len(x.one))[1:]
         a, z = x.a[x.one], x.z[x.one]
         buf, size = x.buf.tobytes(), (z - a).astype("u1")
         return pa.table({

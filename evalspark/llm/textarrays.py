@@ -37,9 +37,15 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the whole word."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    t = y >> U(27)
+    y ^= t
+    y *= U(0x94D049BB133111EB)
+    np.right_shift(y, U(31), out=t)
+    y ^= t
+    return y
 
 
 def join_texts(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +59,8 @@ def join_texts(texts) -> tuple[np.ndarray, np.ndarray]:
 def prefix(values: np.ndarray, kind: str) -> np.ndarray:
     """Prefix sums of ``values[i] * base**i``; entry 0 is 0."""
     out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(kind, len(values) + 1)[0][:len(values)], out=out[1:])
+    np.multiply(values, powers(kind, len(values) + 1)[0][:len(values)], out=out[1:])
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -67,7 +74,9 @@ def rolling(pre: np.ndarray, n: int, width: int, kind: str) -> np.ndarray:
     """Hashes of all windows of ``width`` values among ``n``."""
     m = max(0, n - width + 1)
     inv = powers(kind, len(pre))[1]
-    return mix((pre[width:width + m] - pre[:m]) * inv[:m])
+    d = pre[width:width + m] - pre[:m]
+    d *= inv[:m]
+    return mix(d)
 
 
 class Words:

@@ -31,7 +31,7 @@ from evalspark.llm.textarrays import U, Words
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, TRI_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 14, 8, 8
-POSITIVES, NEGATIVES, SAMPLE_BYTES, EPOCHS = 1500, 2500, 1 << 15, 6
+POSITIVES, NEGATIVES, SAMPLE_BYTES, EPOCHS, STEPS = 1500, 2500, 1 << 15, 6, 360
 THRESHOLD = 0.7
 HOLD_MOD, HOLD_OUT = 3, 1
 
@@ -163,14 +163,17 @@ def backward(p: Model, x: np.ndarray, c: dict, dlogit: np.ndarray) -> tuple[Mode
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01) -> Model | None:
-    """Adam on the logistic loss of each text's highest window; None without both classes."""
+    """Adam on the logistic loss of each text's highest window; None without both classes.
+
+    At least ``epochs`` rounds, and as many as make STEPS steps.
+    """
     if len(set(labels.tolist())) < 2:
         return None
     p, rng = new_model(), np.random.default_rng(11)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in "mv")
     weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // len(texts)))):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
             pick = order[lo:lo + batch]
