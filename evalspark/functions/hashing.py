@@ -25,43 +25,34 @@ def hash_number(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
 
 
-def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order_cols: list,
-                  value=None, out: str = "cum", inclusive: bool = True, radix: int = 16,
-                  skip: int = 0, rows_per_bucket: int = 1_000_000, plan: str = "auto") -> DataFrame:
+def order_bucket(c: Column, steps: int = 65536) -> Column:
+    """A whole number that grows with a double: its binary exponent and ``steps`` equal
+    steps inside each power of two, for either sign. Values that differ by more than one
+    part in ``steps`` lie in different buckets, wherever the data are packed."""
+    def magnitude(x: Column) -> Column:
+        e = F.floor(F.log2(x))      # one off next to a power of two: the sum below still grows
+        return (e + 1100) * steps + F.floor((x / F.pow(F.lit(2.0), e) - 1) * steps)
+
+    x = c.cast("double")
+    return (F.when(x == 0, F.lit(0)).when(x > 0, magnitude(x)).otherwise(-magnitude(-x))).cast("long")
+
+
+def bucket_cumsum(df: DataFrame, partition_cols: list[str], bucket: Column, order_cols: list,
+                  value=None, out: str = "cum", inclusive: bool = True) -> DataFrame:
     """Exact running sum of ``value`` (1 = row number) per partition group, in the order of
     ``order_cols``, without sorting a whole group in one task.
 
-    ``sort_key`` is a string column whose lexicographic order agrees with ``order_cols``
-    (a hex hash, or a fixed-width number text). Its first d characters after ``skip``
-    split a group into up to radix**d buckets; d is chosen per group from the group's size
-    (a small aggregate) so a bucket holds about ``rows_per_bucket`` rows — small groups
-    keep d = 0 (one window partition, no extra work), a hot group is spread over many
-    tasks. The running sum is the total of earlier buckets (a tiny aggregate, partially
-    combined map-side) plus the running sum inside the bucket. With ``plan="auto"`` the
-    largest group size is looked up first and, when no group is large, a plain window is
-    used (same result, fewer stages).
+    ``bucket`` never decreases along ``order_cols``. One plan at every size: a histogram of
+    the buckets (one map-side combined aggregate) gives what lies before each bucket, and a
+    window sorts each bucket alone.
     """
-    b, d = "__bucket", "__digits"
+    b = "__bucket"
     v = F.lit(1) if value is None else (F.col(value) if isinstance(value, str) else value)
-    df = df.withColumn("__v", v)
-    sizes = df.groupBy(*partition_cols).agg(F.count(F.lit(1)).alias("__gn"))
+    with_b = df.withColumn("__v", v).withColumn(b, bucket)
     end = Window.currentRow if inclusive else -1
-    # runtime plan choice (one number to the driver): when no group exceeds the bucket
-    # size, the plain window is already bounded per task and the bucket pass is skipped
-    # ``plan="bucketed"`` skips the check for inputs that are costly to compute twice
-    largest = (sizes.agg(F.max("__gn")).first()[0] or 0) if plan == "auto" else None
-    if largest is not None and largest <= rows_per_bucket:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, F.coalesce(F.sum("__v").over(w), F.lit(0))).drop("__v")
-    sizes = sizes.select(*partition_cols, F.least(F.greatest(
-        F.ceil(F.log(float(radix), F.col("__gn") / float(rows_per_bucket))), F.lit(0)), F.lit(6))
-        .cast("int").alias(d))
-    with_b = df.join(sizes, list(partition_cols)).withColumn(
-        b, F.expr(f"substring({sort_key}, 1, {skip} + {d})")).drop(d)
     keys = list(partition_cols) + [b]
     totals = with_b.groupBy(*keys).agg(F.sum("__v").alias("__t"))
-    wcum = (Window.partitionBy(*partition_cols).orderBy(b)
-            .rowsBetween(Window.unboundedPreceding, -1))
+    wcum = Window.partitionBy(*partition_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__before", F.coalesce(F.sum("__t").over(wcum), F.lit(0))).drop("__t")
     win = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
     local = with_b.withColumn("__local", F.coalesce(F.sum("__v").over(win), F.lit(0)))
@@ -71,76 +62,51 @@ def prefix_cumsum(df: DataFrame, partition_cols: list[str], sort_key: str, order
 
 
 def hash_rank(df: DataFrame, partition_cols: list[str], order_hex: str, tiebreak: str,
-              out: str = "rn", rows_per_bucket: int = 1_000_000) -> DataFrame:
+              out: str = "rn", digits: int = 3) -> DataFrame:
     """Exact ``row_number() over (partition by ... order by order_hex, tiebreak)``.
 
     A plain window sorts a whole partition group in one task; when one group holds a
     third of the data that task is the job. ``order_hex`` is a uniform hex hash, so its
-    prefixes split a hot group into near-equal buckets (see :func:`prefix_cumsum`).
-    Same result as the plain window.
+    first ``digits`` digits cut every group into 16**digits near-equal buckets (see
+    :func:`bucket_cumsum`). Same result as the plain window.
     """
-    r = prefix_cumsum(df, partition_cols, order_hex, [F.col(order_hex), F.col(tiebreak)], None,
-                      out, True, 16, 0, rows_per_bucket)
+    r = bucket_cumsum(df, partition_cols, F.substring(order_hex, 1, digits),
+                      [F.col(order_hex), F.col(tiebreak)], None, out)
     return r.withColumn(out, F.col(out).cast("long"))
 
 
-def unit_interval_key(c: Column) -> Column:
-    """Fixed-width text of a number in [0, 1] whose string order is the numeric order."""
-    return F.format_string("%.17f", c)
-
-
-def nonneg_key(c: Column) -> Column:
-    """Fixed-width text of a non-negative number (< 1e15) in numeric order."""
-    return F.format_string("%026.9f", c)
-
-
-def nonneg_order_key(c: Column) -> Column:
-    """Order-preserving text for non-negative doubles: 3-digit exponent, then the
-    zero-padded mantissa (monotone: Java's log10 is semi-monotonic, the division by the
-    same power of ten is monotone, and the padding keeps '10.0' after '09.9')."""
-    e = F.floor(F.log10(c))
-    mant = c / F.pow(F.lit(10.0), e)
-    return F.when(c == 0, F.lit("000")).otherwise(
-        F.concat(F.lpad((e + 400).cast("string"), 3, "0"), F.format_string("%018.15f", mant)))
-
-
-def order_key(c: Column) -> Column:
-    """Order-preserving text for any double: negatives get '0' + the digit complement of
-    their magnitude's key (larger magnitude → smaller text), zero and positives get '1'."""
-    comp = F.translate(nonneg_order_key(-c), "0123456789", "9876543210")
-    return F.when(c < 0, F.concat(F.lit("0"), comp)).otherwise(F.concat(F.lit("1"), nonneg_order_key(c)))
-
-
 def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float, out: str = "percentile",
-                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+                     steps: int = 65536) -> DataFrame:
     """Exact percentile with linear interpolation (as Spark ``percentile`` / SQL
-    ``quantile_cont``) per group, without holding a group's values in one task.
+    ``quantile_cont``) per group, without sorting a group.
 
-    Equal values are first counted (map-side combined); the running count over the
-    distinct values is computed bucket-wise on an order-preserving text key
-    (:func:`prefix_cumsum`); the two ranks around q·(n−1) are looked up in the intervals
-    of that running count and interpolated.
+    Pass 1 counts the rows of each :func:`order_bucket` (map-side combined) and finds the one
+    or two buckets that hold the ranks around q·(n−1). Pass 2 reads those buckets' rows
+    alone, counts equal values and looks the ranks up among them.
     """
     g = list(group_cols)
-    vc = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("__c"))
-    vc = vc.withColumn("__k", order_key(F.col(value)))
-    cum = prefix_cumsum(vc, g, "__k", [F.col(value)], "__c", "__cum", True, 10, 4, rows_per_bucket, "bucketed")
-    n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
-    j = cum.join(n, g)
+    rows = df.filter(F.col(value).isNotNull()).select(*g, value, order_bucket(F.col(value), steps).alias("__b"))
+    hist = rows.groupBy(*g, "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*g)
     pos = F.lit(float(q)) * (F.col("__n") - 1)
-    lo = F.floor(pos) + 1
-    hi = F.ceil(pos) + 1
+    cum = (hist.withColumn("__n", F.sum("__c").over(w))
+           .withColumn("__end", F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+           .withColumn("__before", F.col("__end") - F.col("__c")).withColumn("__pos", pos))
+    lo, hi = F.floor("__pos") + 1, F.ceil("__pos") + 1
+    wanted = cum.filter(((F.col("__before") < lo) & (lo <= F.col("__end"))) | ((F.col("__before") < hi) & (hi <= F.col("__end"))))
+    picked = rows.join(wanted.select(*g, "__b", "__before", "__pos"), [*g, "__b"])
+    vc = picked.groupBy(*g, "__b", value).agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"),
+                                              F.first("__pos").alias("__pos"))
+    wb = Window.partitionBy(*g, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vc = vc.withColumn("__cum", F.col("__before") + F.sum("__c").over(wb))
     start = F.col("__cum") - F.col("__c")
-    pick = j.select(*g, value, pos.alias("__pos"), ((start < lo) & (lo <= F.col("__cum"))).alias("__lo"),
-                    ((start < hi) & (hi <= F.col("__cum"))).alias("__hi"))
-    a = pick.groupBy(*g).agg(F.max(F.when(F.col("__lo"), F.col(value))).alias("__vl"),
-                             F.max(F.when(F.col("__hi"), F.col(value))).alias("__vh"),
-                             F.max("__pos").alias("__pos"))
+    a = vc.groupBy(*g).agg(F.max(F.when((start < lo) & (lo <= F.col("__cum")), F.col(value))).alias("__vl"),
+                           F.max(F.when((start < hi) & (hi <= F.col("__cum")), F.col(value))).alias("__vh"),
+                           F.max("__pos").alias("__pos"))
     frac = F.col("__pos") - F.floor("__pos")
     return a.select(*g, (F.col("__vl") + (F.col("__vh") - F.col("__vl")) * frac).alias(out))
 
 
-def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "median",
-                 rows_per_bucket: int = 1_000_000) -> DataFrame:
+def exact_median(df: DataFrame, group_cols: list[str], value: str, out: str = "median") -> DataFrame:
     """Exact median per group (see :func:`exact_percentile`)."""
-    return exact_percentile(df, group_cols, value, 0.5, out, rows_per_bucket)
+    return exact_percentile(df, group_cols, value, 0.5, out)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import EFFORT_ORDER
 
@@ -15,10 +16,18 @@ from ..functions.text import EFFORT_ORDER
 # Default evaluation metric per problem type.
 DEFAULT_METRIC = {"binary": "f1_macro", "multiclass": "f1_macro", "regression": "rmse"}
 # Declared design-skip reasons a skip record may carry.
-DESIGN_SKIPS = ("context_window", "design_limit", "empty_split", "constant_target",
-                "classification_only", "feature_limit")
-# Size buckets: <=200, <=1000, more; missingness buckets.
-SIZE_BUCKETS = ((200, "small (<=200)"), (1000, "medium (<=1000)"))
+DESIGN_SKIPS = ("model_limit", "context_window", "empty_split", "empty_split_after_filtering",
+                "constant_target", "classification_only")
+# Messages and HTTP codes of failures that say nothing about the model.
+RETRY_MESSAGES = ("rate limit", "too many requests", "quota", "service unavailable", "bad gateway", "gateway timeout",
+                  "connection error", "connection reset", "connection refused", "temporarily unavailable")
+RETRY_CODES = (408, 409, 429, 500, 502, 503, 504)
+# Parts of field names that are never labels.
+NOT_LABELS = ("date", "latitude", "longitude")
+# Size, class-count and missingness buckets.
+SIZE_BUCKETS = ("≤ 200", "201-1000", "> 1000")
+CLASS_BUCKETS = ("Binary", "Multiclass (≤ 10)", "Many (> 10)", "Regression")
+NAN_BUCKETS = ("None", "Sparse (≤ 5%)", "Heavy (> 5%)")
 # ---------------------------------------------------------------- end of fixed values
 
 
@@ -100,28 +109,29 @@ def binarize_label(df: DataFrame, col: str, positive: list[str], negative: list[
             .filter(F.col("target").isNotNull()))
 
 
-def infer_problem_type(df: DataFrame, target: str = "target", keys=("key",), max_classes: int = 20) -> DataFrame:
-    """Per key — a float target with many values is regression; 2 classes binary; else
-    multiclass."""
-    is_float = dict(df.dtypes)[target] in ("double", "float")
+def infer_problem_type(df: DataFrame, target: str = "target", keys=("key",)) -> DataFrame:
+    """Per key — a numeric target is regression at any number of values; else up to two
+    classes are binary, more are multiclass."""
+    numeric = isinstance(df.schema[target].dataType, NumericType)
     n = df.groupBy(*keys).agg(F.countDistinct(target).alias("n_classes"))
-    kind = (F.when(F.col("n_classes") == 2, "binary")
-            .when(F.lit(is_float) & (F.col("n_classes") > max_classes), "regression")
-            .otherwise("multiclass"))
+    kind = F.when(F.lit(numeric), "regression").when(F.col("n_classes") <= 2, "binary").otherwise("multiclass")
     return n.withColumn("problem_type", kind)
 
 
 def auto_pick_label(long_meta: DataFrame, min_count: int = 30, max_classes: int = 10,
-                    junk: tuple[str, ...] = ("id", "name", "accession", "date")) -> DataFrame:
+                    junk: tuple[str, ...] = NOT_LABELS) -> DataFrame:
     """P10: first field (sorted) with 2..max_classes values of ≥ min_count rows, junk names
-    skipped. ``long_meta``: (row_id, field, value). Returns the chosen field's rows of the
-    classes kept: (row_id, field, target)."""
-    v = long_meta.filter(F.col("value").isNotNull() & (F.trim("value") != ""))
+    skipped; values are trimmed and lower-cased before they are counted. ``long_meta``:
+    (row_id, field, value). Returns the chosen field's rows of the classes kept: (row_id,
+    field, target). Fails when no field qualifies."""
+    v = long_meta.filter(F.col("value").isNotNull() & (F.col("value") != "")).withColumn(
+        "value", F.lower(F.trim("value")))
     v = v.filter(~F.lower("field").rlike("(" + "|".join(junk) + ")"))
     big = v.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count)
     ok = big.groupBy("field").agg(F.count(F.lit(1)).alias("k")).filter(
         (F.col("k") >= 2) & (F.col("k") <= max_classes))
-    chosen = ok.agg(F.min("field").alias("field"))
+    chosen = ok.agg(F.coalesce(F.min("field"), F.raise_error(F.lit("no field yields 2 or more big classes")).cast("string"))
+                    .alias("field"))
     keep = big.join(chosen, "field")
     return v.join(keep.select("field", "value"), ["field", "value"]).select(
         "row_id", "field", F.col("value").alias("target"))
@@ -148,24 +158,28 @@ def reject_continuous(preds: DataFrame, unit=("seed", "key", "model"), pred: str
     return preds.groupBy(*unit).agg(F.bool_or(v.isNotNull() & (v != F.floor(v))).alias("continuous"))
 
 
+def drop_design_skips(units: DataFrame, status: DataFrame, unit=("seed", "key", "model")) -> DataFrame:
+    """Units without those whose status record is a declared design skip."""
+    skips = status.filter((F.col("status") == "skip") & F.col("reason").isin(*DESIGN_SKIPS)).select(*unit)
+    return units.join(skips, list(unit), "left_anti")
+
+
 def error_taxonomy(errors: DataFrame, error: str = "error") -> DataFrame:
-    """Map an error text to (status, reason); first matching rule wins."""
+    """Map an error text to (status, reason); the first rule that matches wins.
+
+    A retry is not terminal: the failure says nothing about the model. A time limit that all
+    models share (``cell_timeout``) and unusable answers are failures."""
     e = F.lower(F.col(error))
-    status = (F.when(e.rlike("context length|context window|maximum context|too many tokens|prompt is too long"),
-                     F.lit("skip"))
-              .when(e.rlike("timed out|timeout"), F.lit("fail"))
-              .when(e.rlike(r"\b(429|500|502|503|504)\b|connection|reset by peer|service unavailable|rate limit"),
-                    F.lit("retry"))
-              .when(e.rlike("parse|unparseable"), F.lit("fail"))
-              .otherwise(F.lit("fail")))
-    reason = (F.when(e.rlike("context length|context window|maximum context|too many tokens|prompt is too long"),
-                     F.lit("context_window"))
-              .when(e.rlike("timed out|timeout"), F.lit("timeout"))
-              .when(e.rlike(r"\b(429|500|502|503|504)\b|connection|reset by peer|service unavailable|rate limit"),
-                    F.lit("infrastructure"))
-              .when(e.rlike("parse|unparseable"), F.lit("unparseable_responses"))
-              .otherwise(F.lit("fit_error")))
-    return errors.withColumn("status", status).withColumn("reason", reason)
+    codes = r"(^|http |code:? ?|status:? ?)(" + "|".join(map(str, RETRY_CODES)) + r")\b"
+    rules = [(e.contains("train set will be empty"), "skip", "empty_split_after_filtering"),
+             (e.contains("context") & e.rlike("length|window"), "skip", "context_window"),
+             (e.startswith("unparseable"), "fail", "unparseable_responses"),
+             (e.startswith("cell_timeout"), "fail", "cell_timeout"),
+             (e.rlike("|".join(RETRY_MESSAGES)) | e.rlike(codes), "retry", "infrastructure_error")]
+    found = F.struct(F.lit("fail").alias("status"), F.lit("fit_error").alias("reason"))
+    for matches, status, reason in reversed(rules):
+        found = F.when(matches, F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))).otherwise(found)
+    return errors.withColumn("__found", found).select(*errors.columns, "__found.status", "__found.reason")
 
 
 def model_family(models: DataFrame, exact: DataFrame, rules: list[tuple[str, str]],
@@ -189,10 +203,10 @@ def profile_buckets(df: DataFrame, n_col: str = "n_samples", k_col: str = "n_cla
                     nan_col: str = "missing_frac", task_col: str = "task") -> DataFrame:
     """Size, class-count and missingness buckets."""
     n, k, m = F.col(n_col), F.col(k_col), F.col(nan_col)
-    size = F.when(n <= 200, "small (<=200)").when(n <= 1000, "medium (<=1000)").otherwise("large (>1000)")
-    cls = (F.when(F.col(task_col) == "regression", "regression").when(k == 2, "binary")
-           .when(k <= 5, "3-5 classes").otherwise("6+ classes"))
-    nan = F.when(m.isNull() | (m == 0), "none").when(m < 0.05, "low (<5%)").otherwise("high (>=5%)")
+    size = F.when(n <= 200, SIZE_BUCKETS[0]).when(n <= 1000, SIZE_BUCKETS[1]).when(n > 1000, SIZE_BUCKETS[2])
+    cls = (F.when(F.col(task_col) == "regression", CLASS_BUCKETS[3]).when(k <= 2, CLASS_BUCKETS[0])
+           .when(k <= 10, CLASS_BUCKETS[1]).when(k > 10, CLASS_BUCKETS[2]))
+    nan = F.when(m <= 0, NAN_BUCKETS[0]).when(m <= 0.05, NAN_BUCKETS[1]).when(m > 0.05, NAN_BUCKETS[2])
     return df.withColumn("size_bucket", size).withColumn("class_bucket", cls).withColumn("nan_bucket", nan)
 
 

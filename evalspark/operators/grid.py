@@ -84,11 +84,11 @@ def perf_surface(results: DataFrame, metric: str, mode_cols=("reasoning",), x: s
 
 def default_cell(cells: DataFrame, suite_col: str = "suite") -> DataFrame:
     """Per suite, the first present cell by preference: reasoning off, hidden labels,
-    full features, n = 100 (then larger n first)."""
+    full features, n = 10 (then smaller n first)."""
     n = axis_token(F.col("n_train"))
     w = Window.partitionBy(suite_col).orderBy(
         (F.col("reasoning") != "off"), (F.col("labels") != "hidden"), (F.col("feature_cap") != "full"),
-        (F.col("n_train") != "100"), n.isNull(), n.desc())
+        (F.col("n_train") != "10"), n.isNull(), n.asc())
     return cells.select(suite_col, *AXES).distinct().withColumn("__r", F.row_number().over(w)) \
         .filter("__r = 1").drop("__r")
 

@@ -173,15 +173,14 @@ def _auc_from_counts(sc: DataFrame, group: list[str]) -> DataFrame:
     """Mid-rank (Mann-Whitney) AUC from per-score (pos, neg) counts.
 
     AUC = Σ_s pos_s·(neg_below_s + neg_s/2) / (P·N); ties count one half. ``neg_below`` is a
-    running count over the distinct scores, computed bucket-wise on the fixed-width score
-    text (:func:`prefix_cumsum`), so a unit with many distinct scores is not sorted in one
-    task. Scores are probabilities in [0, 1].
+    running count over the distinct scores, computed bucket by bucket of the score
+    (:func:`bucket_cumsum`), so a unit with many distinct scores is not sorted in one
+    task.
     """
-    from ..functions.hashing import prefix_cumsum, unit_interval_key
+    from ..functions.hashing import bucket_cumsum, order_bucket
     nulls = sc.filter(F.col("score").isNull()).groupBy(*group).agg(F.sum(F.col("pos") + F.col("neg")).alias("__nulls"))
-    ok = sc.filter(F.col("score").isNotNull()).withColumn("__k", unit_interval_key(F.col("score")))
-    s = prefix_cumsum(ok, group, "__k", [F.col("score")], "neg", "neg_below", inclusive=False, radix=10, skip=2,
-                      plan="bucketed")
+    ok = sc.filter(F.col("score").isNotNull())
+    s = bucket_cumsum(ok, group, order_bucket(F.col("score")), [F.col("score")], "neg", "neg_below", inclusive=False)
     agg = s.groupBy(*group).agg(
         (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))).alias("__u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_rank, prefix_cumsum, seeded_hash
+from ..functions.hashing import bucket_cumsum, hash_rank, seeded_hash
 from ..functions.text import OUTPUT_BASE, OUTPUT_PER_ROW, estimate_tokens, row_to_text
 
 UNIT = ["seed", "key"]
@@ -95,7 +95,7 @@ def chunk_rows(test: DataFrame, batch_size: int, keys=UNIT) -> DataFrame:
 
 
 def build_requests(train: DataFrame, test: DataFrame, features: list[tuple[str, bool]],
-                   batch_size: int = 20, hide_labels: bool = True, prompt_index: int = 0,
+                   batch_size: int = 1, hide_labels: bool = True, prompt_index: int = 0,
                    reasoning: bool = False, elicit_proba: bool = False,
                    model: str = "ICL-0", keys=UNIT) -> DataFrame:
     """L07 + L08: one request per (seed, key, chunk) with system prompt and user message.
@@ -136,7 +136,7 @@ def user_message(class_list: Column, block: Column, test_block: Column, n_rows:
         F.lit(".\n\n"), F.lit(MSG_TRAIN), block, F.lit("\n\n"), F.lit(MSG_TEST),
         n_rows.cast("string"), F.lit(MSG_TEST_TAIL), test_block, F.lit("\n\n"),
         F.lit(DIRECTIVE_ON if reasoning else DIRECTIVE_OFF), F.lit(MSG_ASK),
-        F.lit(FMT_PROBA if elicit_proba else FMT_PLAIN), F.lit(MSG_ONLY), class_list)
+        F.lit(FMT_PROBA if elicit_proba else FMT_PLAIN), F.lit(MSG_ONLY), class_list, F.lit("."))
 
 
 def prompt_variant(df: DataFrame, index_col: str = "prompt_index") -> DataFrame:
@@ -170,16 +170,20 @@ def context_skip(one_row_requests: DataFrame, windows: DataFrame, max_tokens: in
 
 
 def pack_by_budget(rows: DataFrame, budget: Column, keys=UNIT, size_col: str = "row_tokens",
-                   order_hex: str = "__h", tiebreak: str = "row_id") -> DataFrame:
+                   order_hex: str = "__h", tiebreak: str = "row_id", overhead: Column | None = None) -> DataFrame:
     """L10 (re-aimed): size-aware chunking up front instead of halving on overflow.
 
-    Rows are taken in md5 order; chunk = floor((running tokens − 1) / budget). The running
-    sum is computed bucket-wise (:func:`prefix_cumsum`). A row larger than the whole
-    budget is flagged ``too_large`` (the unit becomes a context skip).
+    Rows are taken in md5 order and laid end to end along bins of ``budget`` tokens (net of
+    ``overhead``: the train block and the reserved answer). Rows inside one bin share an even
+    chunk, a row across two bins is an odd chunk of its own, so no chunk exceeds the budget.
+    The running sum is computed bucket by bucket (:func:`bucket_cumsum`). A row larger than
+    the whole budget is flagged ``too_large`` (the unit becomes a context skip).
     """
     keys = list(keys)
     r = rows if order_hex in rows.columns else rows.withColumn(order_hex, seeded_hash("seed", tiebreak))
-    r = prefix_cumsum(r, keys, order_hex, [F.col(order_hex), F.col(tiebreak)], size_col, "cum_tokens")
-    return (r.withColumn("__budget", budget)
-            .withColumn("chunk", F.floor((F.col("cum_tokens") - 1) / F.col("__budget")).cast("int"))
+    r = bucket_cumsum(r, keys, F.substring(order_hex, 1, 3), [F.col(order_hex), F.col(tiebreak)], size_col, "cum_tokens")
+    last = F.floor((F.col("cum_tokens") - 1) / F.col("__budget"))
+    first = F.floor((F.col("cum_tokens") - F.col(size_col)) / F.col("__budget"))
+    return (r.withColumn("__budget", budget if overhead is None else budget - overhead)
+            .withColumn("chunk", (2 * last - F.when(first < last, 1).otherwise(0)).cast("int"))
             .withColumn("too_large", F.col(size_col) > F.col("__budget")).drop("__budget", order_hex))

@@ -184,7 +184,7 @@ def q_binarize(spark, d):
 
 @query("infer_problem_type", with_ctes("""
 SELECT key, count(DISTINCT target) AS n_classes,
-       CASE WHEN count(DISTINCT target) = 2 THEN 'binary' ELSE 'multiclass' END AS problem_type
+       CASE WHEN count(DISTINCT target) <= 2 THEN 'binary' ELSE 'multiclass' END AS problem_type
 FROM clf_tasks GROUP BY 1""", "clf_tasks"))
 def q_infer(spark, d):
     return P.infer_problem_type(C.clf_tasks(spark, d))
@@ -199,8 +199,8 @@ SELECT c_custkey AS row_id, field, value FROM (
 
 
 @query("auto_pick_label", f"""
-WITH v AS ({META_SQL}),
-big AS (SELECT field, value FROM v WHERE NOT regexp_matches(lower(field), '(id|name|accession|date)')
+WITH v AS (SELECT row_id, field, lower(trim(value)) AS value FROM ({META_SQL}) WHERE value <> ''),
+big AS (SELECT field, value FROM v WHERE NOT regexp_matches(lower(field), '(date|latitude|longitude)')
         GROUP BY 1, 2 HAVING count(*) >= 30),
 ok AS (SELECT field FROM big GROUP BY 1 HAVING count(*) BETWEEN 2 AND 10)
 SELECT v.row_id, v.field, v.value AS target FROM v JOIN big ON v.field = big.field AND v.value = big.value
@@ -250,12 +250,15 @@ def q_exclude_route(spark, d):
 
 @query("drop_design_skips", with_ctes("""
 SELECT DISTINCT seed, key, model FROM event_units u
-WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.status = 'skip' AND s.seed = u.seed AND s.key = u.key AND s.model = u.model)""",
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, CASE WHEN k % 4 = 0 THEN 'other_reason' ELSE reason END AS why FROM status) s
+                  WHERE s.status = 'skip' AND s.why IN ('model_limit', 'context_window', 'empty_split',
+                        'empty_split_after_filtering', 'constant_target', 'classification_only')
+                  AND s.seed = u.seed AND s.key = u.key AND s.model = u.model)""",
                                       "event_units", "status"))
 def q_design_skips(spark, d):
     units = C._event_units(spark, d).select("seed", "key", "model").distinct()
-    skips = C.status(spark, d).filter("status = 'skip'").select("seed", "key", "model")
-    return units.join(skips, ["seed", "key", "model"], "left_anti")
+    st = C.status(spark, d).withColumn("reason", F.when(F.col("k") % 4 == 0, "other_reason").otherwise(F.col("reason")))
+    return P.drop_design_skips(units, st)
 
 
 @query("reject_continuous", with_ctes("""
@@ -302,28 +305,39 @@ def q_degenerate(spark, d):
     return P.degenerate_split_skip(p)
 
 
-@query("error_taxonomy", with_ctes(r"""
+ERRORS = ["This model's maximum context length is 8192 tokens", "ContextWindowExceededError: too large", "504 Gateway Timeout",
+          "Error code: 429 - slow down", "HTTP 408", "insufficient quota", "Too Many Requests", "Bad Gateway",
+          "service temporarily unavailable", "Connection reset by peer", "Connection refused", "connection error", "rate limit",
+          "unparseable_responses: 9 of 10", "cell_timeout: 3600 s", "train set will be empty", "ValueError: 500 bad rows",
+          "Request timed out", "HTTP 409 conflict", "Service Unavailable", "status: 502"]
+ERRORS_SQL = "[" + ", ".join("'" + e.replace("'", "''") + "'" for e in ERRORS) + "]"
+
+
+@query("error_taxonomy", with_ctes(rf"""
+WITH e AS (SELECT seed, key, model, k, coalesce(error, ({ERRORS_SQL})[k % {len(ERRORS)} + 1]) AS error FROM status),
+r AS (SELECT *, lower(error) AS t FROM e)
 SELECT seed, key, model, error,
-  CASE WHEN regexp_matches(lower(error), 'context length|context window|maximum context|too many tokens|prompt is too long') THEN 'skip'
-       WHEN regexp_matches(lower(error), 'timed out|timeout') THEN 'fail'
-       WHEN regexp_matches(lower(error), '\b(429|500|502|503|504)\b|connection|reset by peer|service unavailable|rate limit') THEN 'retry'
-       ELSE 'fail' END AS status,
-  CASE WHEN regexp_matches(lower(error), 'context length|context window|maximum context|too many tokens|prompt is too long') THEN 'context_window'
-       WHEN regexp_matches(lower(error), 'timed out|timeout') THEN 'timeout'
-       WHEN regexp_matches(lower(error), '\b(429|500|502|503|504)\b|connection|reset by peer|service unavailable|rate limit') THEN 'infrastructure'
-       WHEN regexp_matches(lower(error), 'parse|unparseable') THEN 'unparseable_responses'
+  CASE WHEN t LIKE '%train set will be empty%' OR (t LIKE '%context%' AND (t LIKE '%length%' OR t LIKE '%window%')) THEN 'skip'
+       WHEN t LIKE 'unparseable%' OR t LIKE 'cell_timeout%' THEN 'fail'
+       WHEN regexp_matches(t, 'rate limit|too many requests|quota|service unavailable|bad gateway|gateway timeout|connection error|connection reset|connection refused|temporarily unavailable') OR regexp_matches(t, '(^|http |code:? ?|status:? ?)(408|409|429|500|502|503|504)\b') THEN 'retry' ELSE 'fail' END AS status,
+  CASE WHEN t LIKE '%train set will be empty%' THEN 'empty_split_after_filtering'
+       WHEN t LIKE '%context%' AND (t LIKE '%length%' OR t LIKE '%window%') THEN 'context_window'
+       WHEN t LIKE 'unparseable%' THEN 'unparseable_responses' WHEN t LIKE 'cell_timeout%' THEN 'cell_timeout'
+       WHEN regexp_matches(t, 'rate limit|too many requests|quota|service unavailable|bad gateway|gateway timeout|connection error|connection reset|connection refused|temporarily unavailable') OR regexp_matches(t, '(^|http |code:? ?|status:? ?)(408|409|429|500|502|503|504)\b') THEN 'infrastructure_error'
        ELSE 'fit_error' END AS reason
-FROM status WHERE error IS NOT NULL""", "status"))
+FROM r""", "status"))
 def q_error_tax(spark, d):
-    s = C.status(spark, d).filter("error IS NOT NULL").select("seed", "key", "model", "error")
+    texts = F.array(*[F.lit(e) for e in ERRORS])
+    s = C.status(spark, d).select("seed", "key", "model", F.coalesce(
+        "error", texts[(F.col("k") % len(ERRORS)).cast("int")]).alias("error"))
     return P.error_taxonomy(s)
 
 
 @query("reason_check", with_ctes("""
 SELECT seed, key, model, reason FROM (
   SELECT seed, key, model, status, CASE WHEN k % 3 = 0 THEN 'bogus' ELSE reason END AS reason FROM status)
-WHERE status = 'skip' AND reason NOT IN ('context_window', 'design_limit', 'empty_split', 'constant_target',
-                                         'classification_only', 'feature_limit')""", "status"))
+WHERE status = 'skip' AND reason NOT IN ('model_limit', 'context_window', 'empty_split',
+  'empty_split_after_filtering', 'constant_target', 'classification_only')""", "status"))
 def q_reason_check(spark, d):
     s = C.status(spark, d).withColumn("reason", F.when(F.col("k") % 3 == 0, "bogus").otherwise(F.col("reason")))
     return P.reason_check(s).select("seed", "key", "model", "reason")
@@ -376,9 +390,9 @@ def _profile(spark, d):
 
 @query("profile_buckets", with_ctes(f"""
 SELECT key, n_samples, n_classes, missing_frac,
-  CASE WHEN n_samples <= 200 THEN 'small (<=200)' WHEN n_samples <= 1000 THEN 'medium (<=1000)' ELSE 'large (>1000)' END AS size_bucket,
-  CASE WHEN task = 'regression' THEN 'regression' WHEN n_classes = 2 THEN 'binary' WHEN n_classes <= 5 THEN '3-5 classes' ELSE '6+ classes' END AS class_bucket,
-  CASE WHEN missing_frac IS NULL OR missing_frac = 0 THEN 'none' WHEN missing_frac < 0.05 THEN 'low (<5%)' ELSE 'high (>=5%)' END AS nan_bucket
+  CASE WHEN n_samples <= 200 THEN '≤ 200' WHEN n_samples <= 1000 THEN '201-1000' ELSE '> 1000' END AS size_bucket,
+  CASE WHEN task = 'regression' THEN 'Regression' WHEN n_classes <= 2 THEN 'Binary' WHEN n_classes <= 10 THEN 'Multiclass (≤ 10)' ELSE 'Many (> 10)' END AS class_bucket,
+  CASE WHEN missing_frac <= 0 THEN 'None' WHEN missing_frac <= 0.05 THEN 'Sparse (≤ 5%)' WHEN missing_frac > 0.05 THEN 'Heavy (> 5%)' END AS nan_bucket
 FROM ({PROFILE_SQL})""", "clf_tasks"))
 def q_profile(spark, d):
     return P.profile_buckets(_profile(spark, d)).drop("task")

@@ -140,7 +140,7 @@ CELLS_SQL = """SELECT DISTINCT CASE WHEN dataset LIKE '%1' THEN 'synthetic' ELSE
 @query("default_cell", with_ctes(f"""
 SELECT suite, reasoning, labels, feature_cap, n_train FROM (
   SELECT *, row_number() OVER (PARTITION BY suite ORDER BY reasoning <> 'off', labels <> 'hidden', feature_cap <> 'full',
-         n_train <> '100', TRY_CAST(n_train AS INTEGER) IS NULL, TRY_CAST(n_train AS INTEGER) DESC) AS r
+         n_train <> '10', TRY_CAST(n_train AS INTEGER) IS NULL, TRY_CAST(n_train AS INTEGER)) AS r
   FROM ({CELLS_SQL})) WHERE r = 1""", "grid_results"))
 def q_default_cell(spark, d):
     g = _grid_results(spark, d).withColumn(

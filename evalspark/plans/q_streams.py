@@ -29,13 +29,15 @@ def _status_log(spark, d):
     base = s.select("seed", "key", "model", "status", "reason", F.col("ts").cast("timestamp_ntz").alias("ts"))
     rerun = (base.filter("status = 'retry'").withColumn("status", F.lit("pass")).withColumn("reason", F.lit(""))
              .withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")))
-    return base, rerun
+    late = (base.filter("status <> 'retry'").withColumn("status", F.lit("fail")).withColumn("reason", F.lit("stale"))
+            .withColumn("ts", F.col("ts") - F.expr("INTERVAL 2 DAY")))
+    return base, rerun, late
 
 
 @query("stream_status_totals", with_ctes("SELECT status, count(*) AS n_units FROM status GROUP BY 1", "status"))
 def q_stream_totals(spark, d):
     src, ck = scratch_dir(spark, "status"), scratch_dir(spark, "ck")
-    base, _ = _status_log(spark, d)
+    base, _, _ = _status_log(spark, d)
     base.write.json(src)
     return Z.status_totals(spark, src, STATUS_SCHEMA, ck)
 
@@ -47,16 +49,16 @@ SELECT seed, key, model, CASE WHEN status = 'retry' THEN 'pass' ELSE status END
 
 @query("latest_status", LATEST_SQL)
 def q_latest(spark, d):
-    base, rerun = _status_log(spark, d)
-    return Z.latest_status(base.unionByName(rerun)).select("seed", "key", "model", "status", "reason")
+    base, rerun, late = _status_log(spark, d)
+    return Z.latest_status(base.unionByName(rerun).unionByName(late)).select("seed", "key", "model", "status", "reason")
 
 
 @query("stream_latest_status", LATEST_SQL)
 def q_stream_latest(spark, d):
     src, out, ck = scratch_dir(spark, "log"), scratch_dir(spark, "latest"), scratch_dir(spark, "ck")
-    base, rerun = _status_log(spark, d)
-    base.coalesce(1).write.mode("append").json(src)
-    rerun.coalesce(1).write.mode("append").json(src)
+    base, rerun, late = _status_log(spark, d)       # late: older records that arrive last
+    for part in (base, rerun, late):
+        part.write.mode("append").json(src)
     Z.upsert_latest(spark, src, STATUS_SCHEMA, out, ck, max_files_per_trigger=1)
     return Z.read_latest_version(spark, out).select("seed", "key", "model", "status", "reason")
 

@@ -64,7 +64,7 @@ GROUP BY 1, 2""")
     msg = (f"{lit(PR.MSG_HEAD + 'x1, x2, grp.' + chr(10) + PR.MSG_CLASSES)} || cl.class_list || "
            f"{lit('.' + chr(10) + chr(10) + PR.MSG_TRAIN)} || tb.train_block || {lit(chr(10) + chr(10) + PR.MSG_TEST)} || "
            f"CAST(ch.n_rows AS VARCHAR) || {lit(PR.MSG_TEST_TAIL)} || ch.test_block || "
-           f"{lit(chr(10) + chr(10) + PR.DIRECTIVE_OFF + PR.MSG_ASK + PR.FMT_PLAIN + PR.MSG_ONLY)} || cl.class_list")
+           f"{lit(chr(10) + chr(10) + PR.DIRECTIVE_OFF + PR.MSG_ASK + PR.FMT_PLAIN + PR.MSG_ONLY)} || cl.class_list || '.'")
     cte("requests", ("test_chunks", "train_blocks", "codec"), f"""
 SELECT ch.seed, ch.key, 'ICL-0' AS model, ch.chunk, ch.n_rows, {msg} AS prompt
 FROM (SELECT seed, key, chunk, count(*) AS n_rows,
@@ -229,10 +229,12 @@ def q_context_skip(spark, d):
 
 
 @query("pack_by_budget", with_ctes(f"""
-SELECT seed, key, row_id, row_tokens, CAST(cum AS BIGINT) AS cum_tokens, CAST(floor((cum - 1) / 200) AS INTEGER) AS chunk,
-       row_tokens > 200 AS too_large
+SELECT seed, key, row_id, row_tokens, CAST(cum AS BIGINT) AS cum_tokens, CAST(chunk AS INTEGER) AS chunk,
+       row_tokens > 200 AS too_large, CAST(sum(row_tokens) OVER (PARTITION BY seed, key, chunk) AS BIGINT) AS chunk_tokens,
+       true AS fits
+FROM (SELECT *, 2 * floor((cum - 1) / 200) - CASE WHEN floor((cum - row_tokens) / 200) < floor((cum - 1) / 200) THEN 1 ELSE 0 END AS chunk
 FROM (SELECT *, sum(row_tokens) OVER (PARTITION BY seed, key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-      FROM (SELECT seed, key, row_id, pos, CAST(floor(length({ROWTEXT_SQL}) / 3.0) + 1 AS INTEGER) AS row_tokens FROM test_chunks))""",
+      FROM (SELECT seed, key, row_id, pos, CAST(floor(length({ROWTEXT_SQL}) / 3.0) + 1 AS INTEGER) AS row_tokens FROM test_chunks)))""",
                                  "test_chunks"))
 def q_pack(spark, d):
     _, test = _fewshot(spark, d)
@@ -241,7 +243,8 @@ def q_pack(spark, d):
     rows = ch.select("seed", "key", "row_id", estimate_tokens(row_to_text(FEATURES)).alias("row_tokens"))
     out = PR.pack_by_budget(rows, F.lit(200))
     return out.select("seed", "key", "row_id", "row_tokens", F.col("cum_tokens").cast("long").alias("cum_tokens"),
-                      "chunk", "too_large")
+                      "chunk", "too_large", F.sum("row_tokens").over(Window.partitionBy("seed", "key", "chunk")).alias("chunk_tokens")
+                      ).withColumn("fits", F.col("too_large") | (F.col("chunk_tokens") <= 200))
 
 
 # ------------------------------------------------------------------ L11-L17

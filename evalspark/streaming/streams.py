@@ -19,21 +19,39 @@ UNIT = ["seed", "key", "model"]
 def score_new_units(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str) -> None:
     """Score newly arrived metric/prediction rows once per unit.
 
-    ``dropDuplicates`` on the unit key keeps the first arrival of a unit (its state is one
-    key per unit); ``foreachBatch`` writes micro-batch ``e`` to ``out/epoch=e`` with
-    overwrite, so a replayed batch rewrites its own folder (idempotent). Read ``out`` as one
+    ``foreachBatch`` keeps one row per unit (the least by all columns, whatever the order of
+    arrival inside a batch), leaves out units of earlier epochs and writes micro-batch ``e``
+    to ``out/epoch=e`` with overwrite, so a replayed batch rewrites its own folder. What has
+    been scored is looked up in ``out``, so the stream holds no state. Read ``out`` as one
     table (the ``epoch`` column records when a unit was scored).
     """
-    stream = spark.readStream.schema(schema).parquet(source).dropDuplicates(UNIT)
+    stream = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        rest = [c for c in batch.columns if c not in UNIT]
+        new = batch.groupBy(*UNIT).agg(F.min(F.struct(*rest)).alias("r")).select(*UNIT, "r.*")
+        for e in sorted(_numbers(spark, out, "epoch")):
+            if e < epoch:
+                new = new.join(spark.read.parquet(f"{out}/epoch={e}").select(*UNIT), UNIT, "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the finished folders ``folder/name=<number>``; none if the folder is absent."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path)]
+    return [int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{name}=")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 def status_totals(spark: SparkSession, source: str, schema: str, checkpoint: str) -> DataFrame:
     """Live status totals (complete mode, in-memory sink), returned as a table."""
     name = f"status_totals_{uuid.uuid4().hex[:8]}"
@@ -53,26 +71,21 @@ def latest_status(records: DataFrame, order=("ts",)) -> DataFrame:
     return agg.select(*UNIT, "r.*")
 
 
-def read_latest_version(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version folder ``out/v=<epoch>`` of an upserted table."""
-    allv = spark.read.parquet(out)
-    vmax = allv.agg(F.max("v")).first()[0]
-    return allv.filter(F.col("v") == vmax).drop("v")
+def read_latest_version(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
+    """The newest version ``out/v=<epoch>`` of an upserted table (older than ``before``), or None."""
+    found = [v for v in _numbers(spark, out, "v") if before is None or v < before]
+    return spark.read.parquet(f"{out}/v={max(found)}") if found else None
 
 
 def upsert_latest(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str,
                   max_files_per_trigger: int | None = None) -> None:
-    """Z03 (stream form): each micro-batch is reduced to its latest record per unit and
-    merged with the previous version (anti join old ∪ new), written as a new version
-    folder ``out/v=<epoch>`` — a replayed epoch rewrites its own folder (idempotent) and
-    readers take the newest version."""
+    """Z03 (stream form): each micro-batch is merged with the version of the epochs before it;
+    of a unit's records the latest by ``ts`` stays, so a late older record changes nothing.
+    The result is a new version folder ``out/v=<epoch>``: a replayed epoch reads earlier
+    versions only and rewrites its own folder (idempotent). Readers take the newest version."""
     def merge(batch: DataFrame, epoch: int) -> None:
-        latest = latest_status(batch)
-        try:
-            old = read_latest_version(spark, out)
-            merged = old.join(latest.select(*UNIT), UNIT, "left_anti").unionByName(latest)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            merged = latest
+        old = read_latest_version(spark, out, before=epoch)
+        merged = latest_status(batch if old is None else old.unionByName(batch))
         merged.write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
     r = spark.readStream.schema(schema)

@@ -19,7 +19,7 @@ def rows(spark):
 
 def test_hash_rank_equals_plain_window(spark, rows):
     df = S.with_seeds(rows, [0, 1]).withColumn("h", seeded_hash("seed", "row_id"))
-    a = hash_rank(df, ["key", "seed", "target"], "h", "row_id", rows_per_bucket=3)
+    a = hash_rank(df, ["key", "seed", "target"], "h", "row_id", digits=1)
     w = Window.partitionBy("key", "seed", "target").orderBy("h", "row_id")
     b = df.withColumn("rn", F.row_number().over(w).cast("long"))
     cols = ["key", "seed", "row_id", "rn"]
@@ -92,7 +92,7 @@ def test_exact_median_matches_numpy(spark):
         vals[: n // 5] = 0.0 if g == "a" else vals[: n // 5]
         rows += [(g, float(v)) for v in vals]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v", rows_per_bucket=4).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], "v").collect()}
     for g in "abcd":
         want = float(np.median([v for gg, v in rows if gg == g]))
         assert got[g] == pytest.approx(want)
@@ -105,7 +105,7 @@ def test_exact_percentile_with_negatives(spark):
     vals = np.round(rng.normal(0, 100, 257), 3).tolist() + [0.0, 0.0, -1e-9, 1e-9]
     df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
     for q in (0.1, 0.5, 0.9):
-        got = exact_percentile(df, ["g"], "v", q, rows_per_bucket=5).first()["percentile"]
+        got = exact_percentile(df, ["g"], "v", q).first()["percentile"]
         assert got == pytest.approx(float(np.percentile(vals, q * 100)))
 
 
@@ -119,14 +119,12 @@ def test_kfold_refuses_class_smaller_than_k(spark):
 
 def test_prefix_cumsum_decimal_keys_match_window(spark):
     import numpy as np
-    from evalspark.functions.hashing import prefix_cumsum, unit_interval_key
+    from evalspark.functions.hashing import bucket_cumsum, order_bucket
     rng = np.random.default_rng(11)
     rows = [("u", float(s), int(n)) for s, n in zip(np.round(rng.random(300), 4), rng.integers(0, 5, 300))]
     rows += [("u", 1.0, 2), ("u", 0.0, 1)]
     df = spark.createDataFrame(rows, "g string, score double, neg long").dropDuplicates(["g", "score"])
-    df = df.withColumn("k", unit_interval_key(F.col("score")))
-    got = prefix_cumsum(df, ["g"], "k", [F.col("score")], "neg", "below", inclusive=False, radix=10, skip=2,
-                        rows_per_bucket=7, plan="bucketed")
+    got = bucket_cumsum(df, ["g"], order_bucket(F.col("score"), 4), [F.col("score")], "neg", "below", inclusive=False)
     w = Window.partitionBy("g").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     key = ["g", "score", "below"]
@@ -139,3 +137,17 @@ def test_group_kfold_falls_back_when_groups_fewer_than_k(spark):
     g = S.group_ids(long)                       # two groups only
     f = S.kfold_grouped(g, 5).filter("part = 'test'")
     assert f.count() == 10 and f.select("seed").distinct().count() == 5
+
+
+def test_order_bucket_splits_hot_groups(spark):
+    """One group of 200,000 rows: no bucket is large for normal, price-like or packed values."""
+    from evalspark.functions.hashing import exact_percentile, order_bucket
+    df = spark.range(200_000).select(F.lit(1).alias("g"), F.randn(1).alias("normal"),
+                                     (F.floor(F.rand(2) * 1e7) / 100 + 1).alias("price"), (F.rand(3) / 100 + 0.5).alias("packed"))
+    for c in ("normal", "price", "packed"):
+        b = df.groupBy(order_bucket(F.col(c)).alias("b")).agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"))
+        rows = b.orderBy("b").collect()
+        assert max(r["n"] for r in rows) < 1000
+        assert all(x["hi"] < y["lo"] for x, y in zip(rows, rows[1:]))
+        want = df.agg(F.percentile(c, 0.3)).first()[0]
+        assert exact_percentile(df, ["g"], c, 0.3).first()[1] == want
