@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from evalspark.llm import exchange as X
-from evalspark.llm.common import free_name, partitions, table, text_bytes, written
+from evalspark.llm.common import free_name, partitions, table, text_bytes
 from evalspark.llm.induced_sort import sorted_suffixes
 from evalspark.llm.textarrays import U, join_texts, prefix, rolling, spans_hash
 
@@ -205,7 +205,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
         anchors.segments(ids, count > 1)
         return anchors, ids
 
-    answers = written(spark, X.global_counts(c, raw, lambda t: Anchors(t, length, gram).key, width=4, count_type="u1"), "anchors")
+    answers = X.global_counts(c, raw, lambda t: Anchors(t, length, gram).key, width=4, count_type="u1")
 
     def send(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         x, _ = prepare(chunk, answer)
