@@ -39,7 +39,7 @@ def total_bytes(df: DataFrame, col: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch: texts are up to many kilobytes each."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
