@@ -45,7 +45,7 @@ from evalspark.llm.textarrays import U, join_texts, prefix, rolling, spans_hash
 
 LENGTH, GRAM = 50, 25
 MEMORY = 32 << 20       # bytes that a shard's queues hold in memory, and above which its arrays are files
-SHARD_BYTES = 3 << 19   # bytes of text a shard: its segments come to about as much
+SHARD_BYTES = 3 << 18   # bytes of text a shard: its segments come to about as much
 _LAST = np.iinfo(np.int64).max
 
 
