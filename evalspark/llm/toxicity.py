@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from evalspark.llm.common import free_name, id_fold, small_batches, table, text_bytes
 from evalspark.llm.textarrays import U, Words
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_ROWS, TRI_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 14, 8, 8
 POSITIVES, NEGATIVES, SAMPLE_BYTES, EPOCHS, STEPS = 1500, 2500, 1 << 15, 6, 360
 THRESHOLD = 0.7
