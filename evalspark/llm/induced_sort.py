@@ -212,7 +212,7 @@ def _doubling(names: np.ndarray, depth: int) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[:-k or None] = rank[k:] + 1 if k < n else 0
         key = rank * (int(rank.max(initial=0)) + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)     # equal keys have one rank, in whatever order
         step = np.append(0, np.diff(key[order]) != 0)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(step)
@@ -258,12 +258,15 @@ def sorted_suffixes(text: np.ndarray, folder: str, cap: int, memory: int = 64 <<
         found = [x[is_lms[x]] for x, _ in induce(text, s_type, _by_symbol(lms[rough], np.zeros(len(lms), np.uint8), text),
                                                  symbols, folder, memory, cap, None)]
         order = np.concatenate(found)[::-1]
-        name = _names(text, lms, order)
+        nth = np.empty(len(text), np.int32)
+        nth[lms] = np.arange(len(lms), dtype=np.int32)
+        at = nth[order]
+        name = _names(text, lms, order, at)
         if name.max() + 1 == len(lms):
             lms_order = order
         else:
             reduced = np.empty(len(lms), np.int64)
-            reduced[np.searchsorted(lms, order)] = name
+            reduced[at] = name
             if len(reduced) <= base:
                 sub = _doubling(reduced, cap)
             else:
@@ -278,9 +281,8 @@ def sorted_suffixes(text: np.ndarray, folder: str, cap: int, memory: int = 64 <<
     yield from induce(text, s_type, seeds, symbols, folder, memory, cap, rest)
 
 
-def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Name of each substring in ``order``: its rank among the distinct ones."""
-    at = np.searchsorted(lms, order)
+def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Name of each substring in ``order``, number ``at`` of ``lms``: its rank among the distinct ones."""
     size = np.append(np.diff(lms) + 1, 1)[at]
     new = np.ones(len(order), np.int64)
     new[0] = 0

@@ -14,10 +14,13 @@ which all equal strings meet, so each shard is sorted alone and nothing is lost:
    anchor can reach. Distinct segments of a chunk of documents, each with its smallest id, go
    to the shard of the anchor's hash. A passage that a third of all documents hold is one
    segment a chunk.
-3. A shard sorts all suffixes of its distinct segments by external induced sorting with
-   common-prefix values (``induced_sort``): the priority queues and, if large, the sequences
-   are on disk, so a shard may be far larger than memory. Neighbours with a common prefix of
-   ``length`` are equal strings; the smallest id among them decides.
+3. Every string around an anchor holds the anchor with the bytes before it or with those
+   after it, up to half of the rest. A distinct segment of a shard that shares neither with
+   another one shares no string with it, and is answered by its own smallest id. Of the
+   others a shard sorts all suffixes by external induced sorting with common-prefix values
+   (``induced_sort``): the priority queues and, if large, the sequences are on disk, so a
+   shard may be far larger than memory. Neighbours with a common prefix of ``length`` are
+   equal strings; the smallest id among them decides.
 4. Each segment's answer, one bit for each string in it, returns to its chunk.
 
 Ids are integers; a null id counts as larger than all others, and equal ids are not smaller
@@ -88,6 +91,7 @@ class Anchors:
         self.seg_doc = np.searchsorted(self.offs, at, side="right") - 1
         reach = self.length - self.gram
         self.a = np.maximum(at - reach, self.offs[self.seg_doc])
+        self.left = (at - self.a).astype("u1")
         self.z = np.minimum(at + self.length, self.offs[self.seg_doc + 1] - 1)
         h = spans_hash(self.pre, self.a, self.z, "byte")
         # one anchor's segments together; what is equal is sent once, with its smallest id
@@ -120,19 +124,53 @@ def _file_array(folder: str, name: str, n: int, dtype, memory: int) -> np.ndarra
     return np.memmap(os.path.join(folder, name), dtype, "w+", shape=(n,))
 
 
-def smaller_id_masks(segments: bytes, sizes: np.ndarray, least: np.ndarray, length: int, strings: int,
+def _shared(key: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    _, of, n = np.unique(key, return_inverse=True, return_counts=True)
+    return n[of] > 1
+
+
+def may_share(pre: np.ndarray, start: np.ndarray, end: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which of the distinct segments may share a string of ``length`` bytes, anchor at the same place, with another."""
+    before = (length - gram) // 2
+    lo, hi = anchor - before, anchor + length - before      # a string holds [lo, anchor + gram) or [anchor, hi)
+    out = np.zeros(len(start), bool)
+    for fits, a, z in ((lo >= start, lo, anchor + gram), (hi <= end, anchor, hi)):
+        out[fits] |= _shared(spans_hash(pre, a[fits], z[fits], "byte"))
+    return out
+
+
+def smaller_id_masks(segments: bytes, sizes: np.ndarray, left: np.ndarray, least: np.ndarray, length: int, gram: int,
                      memory: int = MEMORY) -> np.ndarray:
-    """For each segment, a bit for each of its ``strings`` first strings: it occurs with a smaller id.
+    """For each segment, a bit for each of its first strings, one at each place of the anchor: it occurs with a smaller id.
 
-    ``least`` is the smallest id that each segment occurs with in its chunk.
+    ``left`` is the anchor's place in the segment, ``least`` the smallest id that the segment
+    occurs with in its chunk.
     """
-    raw = np.frombuffer(segments, np.uint8)
+    raw, strings = np.frombuffer(segments, np.uint8), length - gram + 1
     end = np.cumsum(sizes.astype(np.int64))
     start = end - sizes
-    h = spans_hash(prefix(raw.astype(U) + U(1), "byte"), start, end, "byte")
+    pre = prefix(raw.astype(U) + U(1), "byte")
+    h = spans_hash(pre, start, end, "byte") + left * U(0x9E3779B97F4A7C15)
     _, one, of = np.unique(h, return_index=True, return_inverse=True)
     low = np.full(len(one), _LAST)
     np.minimum.at(low, of, least)
+    # strings of a segment that shares none: as its own copies have them
+    every = (1 << np.clip(sizes.astype(np.int64) - length + 1, 0, strings)) - 1
+    out = np.where(low[of] < least, every, 0).astype(np.uint32)
+    share = may_share(pre, start[one], end[one], start[one] + left[one], length, gram)
+    del pre, h
+    if not share.any():
+        return out
+    kept = np.flatnonzero(share[of])
+    of, one, low = (np.cumsum(share) - 1)[of[kept]], one[share], low[share]
+    out[kept] = _sorted_masks(raw, start, sizes, one, of, low, least[kept], length, strings, memory)
+    return out
+
+
+def _sorted_masks(raw: np.ndarray, start: np.ndarray, sizes: np.ndarray, one: np.ndarray, of: np.ndarray, low: np.ndarray,
+                  least: np.ndarray, length: int, strings: int, memory: int) -> np.ndarray:
+    """Masks of segments ``of`` whose distinct ones are ``one``, with smallest ids ``low``, by sorting all suffixes."""
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
         size = sizes[one].astype(np.int64)
         first = np.cumsum(size + 1) - size - 1
@@ -175,9 +213,9 @@ def smaller_id_masks(segments: bytes, sizes: np.ndarray, least: np.ndarray, leng
             group.append(x[cut[-1]:])
             best = int(mins[-1])
         close()
-        out = np.zeros(len(sizes), np.uint32)
+        out = np.zeros(len(of), np.uint32)
         for k in range(strings):
-            has = sizes >= length + k
+            has = size[of] >= length + k
             at = first[of[has]] + k
             out[has] |= (least_at[at] < least[has]).astype(np.uint32) << np.uint32(k)
     return out
@@ -195,7 +233,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
     rows = docs.select(*rest, text_bytes(text).alias(raw),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias(num))
     c = X.chunked(spark, rows, raw, [num])
-    shards, strings = math.ceil(c.bytes / SHARD_BYTES) + partitions(spark), length - gram + 1
+    shards = math.ceil(c.bytes / SHARD_BYTES) + partitions(spark)
 
     def prepare(chunk: pa.Table, answer: pa.Table) -> tuple[Anchors, np.ndarray]:
         ids = chunk[num].to_numpy()
@@ -212,22 +250,24 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
         shard, first = X._bounds(x.seg_key[x.one], shards)
         ends = np.append(first, len(x.one))[1:]
         a, z = x.a[x.one], x.z[x.one]
-        buf, size = x.buf.tobytes(), (z - a).astype("u1")
+        buf, size, left = x.buf.tobytes(), (z - a).astype("u1"), x.left[x.one]
         return pa.table({
             "shard": shard.astype(np.int64), X.CHUNK: pa.array([chunk[X.CHUNK][0].as_py()] * len(shard), pa.int64()),
             "segments": pa.array([b"".join([buf[i:j] for i, j in zip(a[lo:hi].tolist(), z[lo:hi].tolist(), strict=True)])
                                   for lo, hi in zip(first, ends, strict=True)], pa.binary()),
             "sizes": pa.array([size[lo:hi].tobytes() for lo, hi in zip(first, ends, strict=True)], pa.binary()),
+            "lefts": pa.array([left[lo:hi].tobytes() for lo, hi in zip(first, ends, strict=True)], pa.binary()),
             "least": pa.array([x.least[lo:hi].tobytes() for lo, hi in zip(first, ends, strict=True)], pa.binary())})
 
     def sort(d: pd.DataFrame) -> pd.DataFrame:
-        sizes = np.frombuffer(b"".join(d["sizes"]), "u1")
-        masks = smaller_id_masks(b"".join(d["segments"]), sizes, np.frombuffer(b"".join(d["least"]), "<i8"), length, strings, memory)
+        sizes, lefts = (np.frombuffer(b"".join(d[x]), "u1") for x in ("sizes", "lefts"))
+        masks = smaller_id_masks(b"".join(d["segments"]), sizes, lefts, np.frombuffer(b"".join(d["least"]), "<i8"),
+                                 length, gram, memory)
         cut = np.cumsum([len(x) for x in d["sizes"]])[:-1]
         return pd.DataFrame({X.CHUNK: d[X.CHUNK].to_numpy(), X.BUCKET: d["shard"].to_numpy(),
                              "totals": [m.astype("<u4").tobytes() for m in np.split(masks, cut)]})
 
-    sent = X.with_counts(c, answers, send, f"shard long, {X.CHUNK} long, segments binary, sizes binary, least binary")
+    sent = X.with_counts(c, answers, send, f"shard long, {X.CHUNK} long, segments binary, sizes binary, lefts binary, least binary")
     masks = sent.groupBy("shard").applyInPandas(sort, f"{X.CHUNK} long, {X.BUCKET} long, totals binary")
     both = answers.withColumn("is_mask", F.lit(False)).unionByName(masks.withColumn("is_mask", F.lit(True)))
 
