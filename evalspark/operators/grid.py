@@ -66,20 +66,20 @@ def axis_order(values: DataFrame, axis_col: str = "axis", value_col: str = "valu
 
 def perf_surface(results: DataFrame, metric: str, mode_cols=("reasoning",), x: str = "n_train",
                  y: str = "labels") -> DataFrame:
-    """Dataset → mode → model → [x][y] surface with NULL gaps (dense grid).
+    """Dataset → mode → model → [x][y] surface with NULL gaps (dense grid), of the
+    cells without a feature cap.
 
-    The dense grid is a cross join of the per-dataset model list with the (small) global
-    x and y axes; models with no value at all in a dataset are dropped.
+    Each model's cells are spread over the x and y values present in the results (grid
+    axes: a handful each); models with no row in a dataset are dropped.
     """
-    mc = list(mode_cols)
-    vals = results.withColumn("__cell", F.concat_ws("\u0001", F.col(x), F.col(y)))
-    # pivot on the (x, y) cell gives the dense surface with NULL gaps; stack it back to long
-    wide = vals.groupBy("dataset", *mc, "model").pivot("__cell").agg(F.avg(metric))
-    cells = [c for c in wide.columns if c not in ("dataset", *mc, "model")]
-    long = wide.unpivot(["dataset", *mc, "model"], cells, "__cell", "value")
-    parts = F.split(F.col("__cell"), "\u0001")
-    return long.select("dataset", *mc, "model", parts[0].alias(x), parts[1].alias(y),
-                       F.round("value", 9).alias("value"))
+    unit = ["dataset", *mode_cols, "model"]
+    full = results.filter(F.col("feature_cap") == "full")
+    axes = full.agg(F.struct(F.collect_set(x).alias("x"), F.collect_set(y).alias("y")).alias("axes")).scalar()
+    mean = full.groupBy(*unit, x, y).agg(F.avg(metric).alias("value"))
+    cells = mean.groupBy(*unit).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.struct(x, y), "value"))).alias("__cells"))
+    dense = cells.withColumn(x, F.explode(axes.getField("x"))).withColumn(y, F.explode(axes.getField("y")))
+    return dense.select(*unit, x, y, F.round(F.try_element_at("__cells", F.struct(x, y)), 9).alias("value"))
 
 
 def default_cell(cells: DataFrame, suite_col: str = "suite") -> DataFrame:

@@ -116,27 +116,28 @@ def predict_knn(train: DataFrame, test: DataFrame, k: int = 5, keys=UNIT_SPLIT,
                 vec: str = "vec") -> DataFrame:
     """K-nearest-neighbour vote per (seed, key).
 
-    Test × train is joined on the unit key only (the few-shot train side is bounded by
-    the shot quota); distance = rounded squared L2 via ``zip_with``/``aggregate``;
-    neighbours = ``row_number ≤ k`` by (distance, train id); vote = most neighbours, tie
-    by the smaller summed distance, then label.
+    A unit's train rows are one array (the few-shot train side is bounded by the shot
+    quota), joined to its test rows; all else happens inside the test row, so no pair is
+    ever shuffled. Distance = rounded squared L2; neighbours = the k least by (distance,
+    train id); vote = most neighbours, tie by the smaller summed distance, then label.
     """
     keys = list(keys)
-    tr = train.select(*keys, F.col("row_id").alias("train_id"), F.col(vec).alias("tv"),
-                      F.col("target").alias("tlabel"))
-    te = test.select(*keys, "row_id", F.col(vec).alias("qv"))
-    d2 = F.aggregate(F.zip_with("qv", "tv", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                     lambda acc, x: acc + x)
-    pairs = te.join(tr, keys).select(*keys, "row_id", "train_id", "tlabel",
-                                     F.round(d2, 6).alias("d2"))
-    w = Window.partitionBy(*keys, "row_id").orderBy("d2", "train_id")
-    nn = pairs.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-    votes = nn.groupBy(*keys, "row_id", "tlabel").agg(F.count(F.lit(1)).alias("votes"),
-                                                      F.sum("d2").alias("dsum"))
-    wv = Window.partitionBy(*keys, "row_id").orderBy(F.col("votes").desc(), F.col("dsum"),
-                                                      F.col("tlabel"))
-    return (votes.withColumn("r", F.row_number().over(wv)).filter("r = 1")
-            .select(*keys, "row_id", F.col("tlabel").alias("pred")))
+    shots = train.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("row_id").alias("train_id"), F.col(vec).alias("tv"), F.col("target").alias("tlabel"))).alias("__shots"))
+
+    def near(t):
+        d2 = F.aggregate(F.zip_with(F.col(vec), t["tv"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+        return F.struct(F.round(d2, 6).alias("d2"), t["train_id"].alias("train_id"), t["tlabel"].alias("tlabel"))
+
+    def vote(label):
+        mine = F.filter("__nn", lambda n: n["tlabel"] == label)
+        return F.struct((-F.size(mine)).alias("votes"), F.aggregate(mine, F.lit(0.0), lambda acc, n: acc + n["d2"]).alias("dsum"),
+                        label.alias("tlabel"))
+
+    nn = test.select(*keys, "row_id", vec).join(shots, keys).select(
+        *keys, "row_id", F.slice(F.array_sort(F.transform("__shots", near)), 1, k).alias("__nn"))
+    labels = F.array_distinct(F.transform("__nn", lambda n: n["tlabel"]))
+    return nn.select(*keys, "row_id", F.array_min(F.transform(labels, vote))["tlabel"].alias("pred"))
 
 
 def byo_estimator(parts: DataFrame, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series],

@@ -23,11 +23,11 @@ def score_heatmap(metrics: DataFrame, metric: str = "f1_macro", higher_is_better
     s = v.withColumn("e", e).withColumn("lo", F.min("e").over(w)).withColumn("hi", F.max("e").over(w))
     norm = F.when(F.col("hi") > F.col("lo"), (F.col("e") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
     s = s.select("model", "key", norm.alias("norm"))
-    # models × keys matrix (NULL = not played) via pivot, stacked back to long form
-    wide = s.groupBy("model").pivot("key").agg(F.first("norm"))
-    keys = [c for c in wide.columns if c != "model"]
-    out = wide.unpivot(["model"], [F.col(f"`{k}`") for k in keys], "key", "norm") \
-        .withColumn("norm", F.round("norm", 9))
+    # each key's cells over the roster (NULL = not played); any number of keys, no pivot
+    roster = v.agg(F.array_sort(F.collect_set("model")).alias("roster")).scalar()
+    cells = s.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("model", "norm"))).alias("__cells"))
+    out = cells.withColumn("model", F.explode(roster)).select(
+        "model", "key", F.round(F.try_element_at("__cells", F.col("model")), 9).alias("norm"))
     if order is not None:
         out = out.join(order.withColumnRenamed("model_id", "model"), "model", "left")
     return out

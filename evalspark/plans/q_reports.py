@@ -123,10 +123,11 @@ def q_axis_order(spark, d):
 
 
 @query("perf_surface", with_ctes("""
-WITH v AS (SELECT dataset, reasoning, model, n_train, labels, avg(f1_macro) AS value FROM grid_results GROUP BY 1, 2, 3, 4, 5)
+WITH f AS (SELECT * FROM grid_results WHERE feature_cap = 'full'),
+v AS (SELECT dataset, reasoning, model, n_train, labels, avg(f1_macro) AS value FROM f GROUP BY 1, 2, 3, 4, 5)
 SELECT m.dataset, m.reasoning, m.model, x.n_train, y.labels, round(v.value, 9) AS value
 FROM (SELECT DISTINCT dataset, reasoning, model FROM v) m
-CROSS JOIN (SELECT DISTINCT n_train FROM grid_results) x CROSS JOIN (SELECT DISTINCT labels FROM grid_results) y
+CROSS JOIN (SELECT DISTINCT n_train FROM f) x CROSS JOIN (SELECT DISTINCT labels FROM f) y
 LEFT JOIN v ON m.dataset = v.dataset AND m.reasoning = v.reasoning AND m.model = v.model
           AND x.n_train = v.n_train AND y.labels = v.labels""", "grid_results"))
 def q_surface(spark, d):

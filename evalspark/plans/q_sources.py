@@ -120,9 +120,8 @@ def q_matrix_parse(spark, d):
 
 
 @query("matrix_assemble", """
-PIVOT (SELECT n.n_name AS sample, c.c_mktsegment AS feature, count(*) AS value
-       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2)
-ON feature USING first(value) GROUP BY sample""")
+SELECT n.n_name AS sample, c.c_mktsegment AS feature, count(*) AS value
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2""")
 def q_matrix_assemble(spark, d):
     c, n = C.table(spark, d, "customer"), C.table(spark, d, "nation")
     long = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(
@@ -131,12 +130,11 @@ def q_matrix_assemble(spark, d):
 
 
 @query("matrix_dedupe_pivot", """
-PIVOT (SELECT sample, probe, TRY_CAST(value AS DOUBLE) AS value FROM (
+SELECT probe, sample, TRY_CAST(value AS DOUBLE) AS value FROM (
          SELECT *, row_number() OVER (PARTITION BY sample, probe ORDER BY pos) AS r FROM (
            SELECT event_type AS sample, 'P' || CAST(user_id % 4 AS VARCHAR) AS probe,
                   CASE WHEN event_id % 13 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS value, event_id AS pos
-           FROM events)) WHERE r = 1)
-ON sample USING first(value) GROUP BY probe""")
+           FROM events)) WHERE r = 1""")
 def q_dedupe_pivot(spark, d):
     e = C.table(spark, d, "events")
     pr = e.select(F.col("event_type").alias("sample"), F.concat(F.lit("P"), (F.col("user_id") % 4).cast("string")).alias("probe"),
@@ -181,7 +179,7 @@ def q_prevalence(spark, d):
     junk = brands.agg(F.concat_ws("\t", F.lit("junk"), F.array_join(F.transform(F.collect_list("sample"),
                                                                                lambda s: F.lit("2")), "\t")).alias("value"))
     lines = header.unionByName(rows.select(F.concat_ws("\t", "marker", "vals").alias("value"))).unionByName(junk)
-    lines.coalesce(1).write.text(path)
+    lines.write.text(path)
     return MX.prevalence_filter(spark, path, 0.1)
 
 

@@ -1,9 +1,9 @@
 """Matrix-shaped inputs (S12-S15, S17, S18): per-sample files, probe tables, transposed
-text matrices. Everything is assembled in long form first and pivoted last."""
+text matrices. A matrix is kept in long form (row, column, value), whatever its width."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COUNTS_DDL = ("gene_id string, gene_name string, gene_type string, unstranded int, stranded_first int, "
@@ -21,16 +21,16 @@ def parse_counts(spark: SparkSession, root: str, value_column: str = "tpm_unstra
 
 
 def matrix_assemble(long_df: DataFrame, row: str = "sample", col: str = "feature", value: str = "value") -> DataFrame:
-    """Samples × features from long rows (first value per cell)."""
-    return long_df.groupBy(row).pivot(col).agg(F.first(value))
+    """Samples × features in long form, one row for each cell that has a value (the
+    smallest, should a cell have several). Tens of thousands of features are rows, not columns."""
+    return long_df.groupBy(row, col).agg(F.min(value).alias(value)).filter(F.col(value).isNotNull())
 
 
 def matrix_dedupe_pivot(probes: DataFrame) -> DataFrame:
     """(sample, probe, value, pos): the first value per (sample, probe) by position,
-    non-numeric text → NULL, then probes × samples."""
-    first = (probes.groupBy("sample", "probe").agg(F.min_by("value", "pos").alias("value"))
-             .select("sample", "probe", F.col("value").try_cast("double").alias("value")))
-    return first.groupBy("probe").pivot("sample").agg(F.first("value"))
+    non-numeric text → NULL, as probes × samples in long form."""
+    return (probes.groupBy("probe", "sample").agg(F.min_by("value", "pos").alias("value"))
+            .select("probe", "sample", F.col("value").try_cast("double").alias("value")))
 
 
 def kv_target_extract(df: DataFrame, key: str, array_col: str = "characteristics", id_col: str = "sample") -> DataFrame:

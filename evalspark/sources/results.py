@@ -45,8 +45,10 @@ def cell_axes_from_path(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_predictions(preds: DataFrame, root: str) -> None:
-    """Predictions partitioned by unit, rows sorted by row id inside each file."""
-    (preds.repartition("seed", "key", "model").sortWithinPartitions("row_id")
+    """Predictions partitioned by unit, rows sorted by row id inside each file. Tasks take
+    ranges of row ids, so a large unit is several files."""
+    unit = ("seed", "key", "model")
+    (preds.repartitionByRange(*unit, "row_id").sortWithinPartitions(*unit, "row_id")
      .write.mode("overwrite").partitionBy("seed", "key", "model").parquet(root))
 
 

@@ -75,3 +75,13 @@ def test_pareto_front(spark):
                                 "model_id string, x double, y double")
     got = {r["model_id"]: r["pareto"] for r in R.pareto_front(pts).collect()}
     assert got == {"a": True, "b": True, "c": False}
+
+
+def test_heatmap_of_more_keys_than_a_pivot_takes(spark):
+    n = spark.conf.get("spark.sql.pivotMaxValues")
+    keys = spark.range(int(n) + 50).select(F.concat(F.lit("k"), "id").alias("key"), F.col("id").alias("i"))
+    m = keys.select(F.lit(0).alias("seed"), "key", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("model"),
+                    F.col("i").cast("double").alias("f1_macro")).filter("model = 'A' or i > 0")
+    h = R.score_heatmap(m)
+    assert h.count() == 2 * (int(n) + 50)
+    assert [r["key"] for r in h.filter("norm is null").collect()] == ["k0"]

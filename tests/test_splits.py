@@ -151,3 +151,15 @@ def test_order_bucket_splits_hot_groups(spark):
         assert all(x["hi"] < y["lo"] for x, y in zip(rows, rows[1:]))
         want = df.agg(F.percentile(c, 0.3)).first()[0]
         assert exact_percentile(df, ["g"], c, 0.3).first()[1] == want
+
+
+def test_kfold_grouped_deals_in_order_of_size_and_id(spark):
+    rows = [("k", 10_000 + i, 10_000 + i - i % 3 if i < 300 else 10_000 + i, 3 if i < 300 else 1) for i in range(1_000)]
+    for cast in ("long", "string"):
+        g = spark.createDataFrame(rows, "key string, row_id long, group_id long, group_size long") \
+            .withColumn("group_id", F.col("group_id").cast(cast))
+        group = {i: gid if cast == "long" else str(gid) for _, i, gid, _ in rows}
+        got = {group[r["row_id"]]: r["seed"] for r in S.kfold_grouped(g, 5).filter("part = 'test'").collect()}
+        order = sorted({(-s, gid if cast == "long" else str(gid)) for _, _, gid, s in rows})
+        pos = [i % 10 for i in range(len(order))]
+        assert got == {gid: p if p < 5 else 9 - p for (_, gid), p in zip(order, pos, strict=True)}
