@@ -67,6 +67,17 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Integers with their first bytes together, then their second bytes, and so on: small
+    numbers leave runs of zeros, which Spark's shuffle compression takes away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def unplanes(blob: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndarray], width: int = 8,
                   count_type: str = "<u4") -> DataFrame:
     """Rows (chunk, bucket, totals): for a chunk's sorted distinct keys, their corpus counts.
@@ -85,11 +96,11 @@ def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndar
         return pa.table({
             CHUNK: np.full(len(bucket), key[0].as_py(), np.int64), BUCKET: bucket.astype(np.int64),
             "keys": pa.array([raw[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-            "counts": pa.array([cnt[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+            "counts": pa.array([planes(cnt[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         k = np.concatenate([unpack(x, width) for x in rows["keys"]])
-        n = np.concatenate([np.frombuffer(x, count_type) for x in rows["counts"]])
+        n = np.concatenate([unplanes(x, count_type) for x in rows["counts"]])
         order = np.argsort(k, kind="stable")
         ks = k[order]
         head = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
@@ -98,7 +109,7 @@ def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndar
         total[order] = np.repeat(sums, np.diff(np.append(head, len(k)))).astype(count_type)
         cut = np.cumsum([len(x) // width for x in rows["keys"]])[:-1]
         return pd.DataFrame({CHUNK: rows[CHUNK].to_numpy(), BUCKET: rows[BUCKET].to_numpy(),
-                             "totals": [x.tobytes() for x in np.split(total, cut)]})
+                             "totals": [planes(x) for x in np.split(total, cut)]})
 
     sent = c.df.groupBy(CHUNK).applyInArrow(
         send, f"{CHUNK} long, {BUCKET} long, keys binary, counts binary")
@@ -107,7 +118,8 @@ def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndar
 
 def totals_of(answer: pa.Table, count_type: str = "<u4") -> np.ndarray:
     """Totals of a chunk's sorted distinct keys, from its answers."""
-    return np.frombuffer(b"".join(answer.sort_by(BUCKET)["totals"].to_pylist()), count_type)
+    parts = [unplanes(x, count_type) for x in answer.sort_by(BUCKET)["totals"].to_pylist()]
+    return np.concatenate([np.zeros(0, count_type), *parts])
 
 
 def with_counts(c: Chunks, answers: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table],

@@ -265,7 +265,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
                                  length, gram, memory)
         cut = np.cumsum([len(x) for x in d["sizes"]])[:-1]
         return pd.DataFrame({X.CHUNK: d[X.CHUNK].to_numpy(), X.BUCKET: d["shard"].to_numpy(),
-                             "totals": [m.astype("<u4").tobytes() for m in np.split(masks, cut)]})
+                             "totals": [X.planes(m.astype("<u4")) for m in np.split(masks, cut)]})
 
     sent = X.with_counts(c, answers, send, f"shard long, {X.CHUNK} long, segments binary, sizes binary, lefts binary, least binary")
     masks = sent.groupBy("shard").applyInPandas(sort, f"{X.CHUNK} long, {X.BUCKET} long, totals binary")
