@@ -69,7 +69,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, text: str = "text", id_col:
               order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """(id, n_words, log_score, n_backoff): words, sum of logs, words scored below full order."""
     rows = docs.select(F.col(id_col), text_bytes(text).alias("_raw"))
-    c = X.chunked(spark, rows, "_raw", [id_col])
+    c = X.chunked(spark, rows, "_raw", [id_col], chunk_bytes=4 << 20)
     answers = X.global_counts(c, "_raw", lambda t: _all_keys(t, order), width=6, count_type="<u8")
 
     def score(chunk: pa.Table, answer: pa.Table) -> pa.Table:
