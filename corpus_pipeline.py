@@ -6,8 +6,8 @@ last return the columns of ``documents``.
 
 1. toxicity: texts that score 0.7 or more go. The model learns from ``labels`` outside the
    held-out fold. Null and empty texts stay.
-2. jaccard: of documents that are linked (directly or through others) by word-shingle sets of
-   Jaccard similarity 0.9 or more, the one with the smallest id stays. Rows with one id are
+2. jaccard: of documents that are linked (directly or through others) by sets of five-word
+   shingles of Jaccard similarity 0.8 or more, the one with the smallest id stays. Rows with one id are
    one document; rows with a null id, and documents without words, stay.
 3. substring: words of passages of 35 or more words that recur go; the document stays, also
    when nothing of it is left. ``n_chars`` follows the new text (a null text keeps it).
@@ -33,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_components(spark, docs.select("doc_id", "text"))
+    groups = jaccard_components(spark, docs.select("doc_id", "text"), width=5, threshold=80)
     gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -363,3 +363,27 @@ def test_pipeline(spark, texts):
             assert not [1 for b in bench for k in kept if b" " + b" ".join(b) + b" " in k]
         docs = out
     assert names == ["toxicity", "jaccard", "substring", "contamination", "bpe"]
+
+
+def test_pipeline_near_copies(spark):
+    """The stage links copies of 0.8 or more on five-word shingles, also those below 0.9 on three."""
+    import corpus_pipeline as P
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+
+    def alike(x, y, n):
+        a, b = ({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} for w in (x, y))
+        return len(a & b) / len(a | b)
+
+    def edited(w, places):
+        out = w[:]
+        for i in places:
+            out[i] = f"edit{i}"
+        return out
+    short, long, far = say(100), say(239), say(100)
+    pairs = [(short, edited(short, (30, 60))), (long, edited(long, (20, 60, 100, 140, 180))), (far, edited(far, (20, 50, 80)))]
+    assert [alike(a, b, 5) >= 0.8 for a, b in pairs] == [True, True, False]
+    assert all(alike(a, b, 3) < 0.9 for a, b in pairs)
+    rows = [(i, " ".join(w)) for i, w in enumerate(w for pair in pairs for w in pair)]
+    out = P.jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x["doc_id"] for x in out.collect()) == [0, 2, 4, 5]
