@@ -2,8 +2,8 @@
 
 Several operators must know, for each n-gram of each document, how often it occurs in the
 whole corpus. One row per n-gram would shuffle many times the corpus. Here documents are
-dealt to chunks of bounded bytes (by a hash of id and text, so no key can make one hot);
-each chunk sends its sorted distinct keys, cut by hash range into buckets, as one packed
+dealt to chunks of 2 MB on average, by a hash of the text and of columns that the caller names:
+copies of a text spread if those differ, and only rows equal in all of them must meet. Each chunk sends its sorted distinct keys, cut by hash range into buckets, as one packed
 block per bucket; a bucket adds up the blocks and answers each with the totals in the same
 order; the answers meet their chunk again in a cogroup. A key that a third of all documents
 hold costs one entry per chunk, whatever its count. Both uses of the chunked documents read
@@ -38,6 +38,11 @@ class Chunks:
     bytes: int
 
 
+def hashable(df: DataFrame, cols: list[str]) -> list[str]:
+    """Those of ``cols`` whose type Spark can hash: no maps and variants at any depth."""
+    return [x for x in cols if not any(t in df.schema[x].dataType.simpleString() for t in ("map<", "variant"))]
+
+
 def chunked(spark: SparkSession, docs: DataFrame, text: str, keys: list[str],
             chunk_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20) -> Chunks:
     """Add the chunk number and shuffle by it. ``text`` is a binary column of ``docs``."""

@@ -6,7 +6,8 @@ first copies included. Windows are judged on the input.
 
 1. Window hashes of all documents are counted by ``exchange.global_counts``: a count of two
    or more confirms a window (64 bits besides the bucket number).
-2. Documents are dealt to shards; the confirmed passages of a shard (longest runs of words
+2. Documents are dealt to shards by all their columns, so copies of one text spread over all
+   shards; the confirmed passages of a shard (longest runs of words
    that confirmed windows cover) are compiled into one Aho-Corasick automaton.
 3. All documents of the shard stream through it; each place where a passage matches whole
    words is removed. Passages of one text are parted by at least one word, so the longest
@@ -104,7 +105,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, text: str = "text", wi
     raw = free_name(docs, "raw")
     rest = [x for x in docs.columns if x not in (text, "n_words", "n_removed")]
     hidden = docs.select(*rest, text_bytes(text).alias(raw), F.col(text).isNull().alias(raw + "_null"))
-    c = X.chunked(spark, hidden, raw, [])
+    c = X.chunked(spark, hidden, raw, X.hashable(hidden, rest))     # by the text alone, copies would meet in one chunk
     answers = X.global_counts(c, raw, lambda texts: Words(texts).grams(width)[1], width=8, count_type="u1")
 
     def cut(rows: pa.Table, answer: pa.Table) -> pa.Table:

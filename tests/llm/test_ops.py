@@ -387,3 +387,18 @@ def test_pipeline_near_copies(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate(w for pair in pairs for w in pair)]
     out = P.jaccard(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(x["doc_id"] for x in out.collect()) == [0, 2, 4, 5]
+
+
+def test_substring_dedup_spreads_copies(spark, monkeypatch):
+    """Copies of one text are dealt over the chunks, and still lose all words."""
+    from evalspark.llm import exchange as X
+    from evalspark.llm.substring_dedup import substring_dedup
+    chunked, seen = X.chunked, []
+    monkeypatch.setattr(X, "chunked", lambda *a, **b: seen.append(chunked(*a, **b)) or seen[-1])
+    copy = " ".join(f"c{i}" for i in range(40))
+    rows = [(i, copy if i % 2 else " ".join(f"u{i}x{j}" for j in range(40))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    got = by_id(substring_dedup(spark, docs), "n_words", "n_removed", "text")
+    assert got == {i: (40, 40, "") if i % 2 else (40, 0, t) for i, t in rows}
+    sizes = [r["count"] for r in seen[0].df.groupBy(X.CHUNK).count().collect()]
+    assert max(sizes) < 250 and sum(sizes) == 800
