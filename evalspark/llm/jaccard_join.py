@@ -16,7 +16,10 @@ lines and passages last.
 
 A list is not turned into all its pairs: each member is compared with ``CENTERS`` members of
 the list (one row each), and components are formed; then only members of one list that lie in
-different components are compared, which finds every other link that matters. Before two sets
+different components are compared, which finds every other link that components need. Where the
+number of links is asked for, all pairs of a list are compared, in blocks of ``BLOCK`` by ``BLOCK``
+members; each pair that links is a row then, so a group of m near copies costs up to m * m / 2 rows.
+Before two sets
 are fetched, their sizes and their parity sketches are compared: each shingle flips one of 1024
 bits, so the bits that differ are no more than the shingles that differ, and a pair that must
 fail is dropped inside the join without losing a link. What is left is compared exactly, on
@@ -49,6 +52,7 @@ from evalspark.session import scratch_dir
 
 SHINGLE, THRESHOLD, LIST_COST = 3, 90, 8
 CENTERS, SKETCH = 4, 16     # members that a list is compared with at first; words of 64 bits in a sketch
+BLOCK = 256     # members of a list that one group of all its pairs has on either side
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +181,28 @@ def _may_link(x: str, y: str, threshold: int) -> Column:
             & (differ * (100 + threshold) <= (s + t) * (100 - threshold)))
 
 
+def _all_pairs(keys: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one list that sizes and sketches let link, each once.
+
+    A list of n members is cut into blocks by the set digest, and each pair of blocks is one
+    group, so no list is one task's work.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    own = F.pmod(F.xxhash64("sig"), blocks)
+    side = lambda x, i, j: keys.withColumn("other", every).select(
+        "k", (own if i else F.col("other")).alias("i"), (own if j else F.col("other")).alias("j"),
+        F.col("sig").alias(x), F.col("size").alias(f"s{x}"), F.col("sketch").alias(f"p{x}"))
+    return (side("a", True, False).join(side("b", False, True), ["k", "i", "j"])
+            .filter((F.col("a") < F.col("b")) & _may_link("a", "b", threshold)).select("a", "b").distinct())
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str = "doc_id",
-                       width: int = SHINGLE, threshold: int = THRESHOLD, list_cost: float = LIST_COST) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of every row.
+                       width: int = SHINGLE, threshold: int = THRESHOLD, list_cost: float = LIST_COST,
+                       links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) of every row, and n_links with ``links``.
 
-    ``n_links``: classes of equal sets that the row's class was found linked with directly.
+    ``n_links``: all classes of equal sets, besides the row's own, that link with it directly.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), text_bytes(text).alias("_raw"))
@@ -196,14 +217,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, text: str = "text",
     keys = of("key").groupBy("k", "sig").agg(F.max("size").alias("size"), F.first("sketch").alias("sketch"))
     member = F.struct("sig", F.col("size").alias("sa"), F.col("sketch").alias("pa"))
     centers = keys.groupBy("k").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[
-        F.min_by(member, F.xxhash64("sig", F.lit(i))) for i in range(CENTERS)])).alias("c")).filter("n > 1").select("k", "c")
+        F.min_by(member, F.xxhash64("sig", F.lit(i))) for i in range(CENTERS)])).alias("c")).filter("n > 1").select("k", "n", "c")
     keys = written(spark, keys.join(centers, "k"), "keys")       # lists of two or more, with their centers
     star = keys.select(F.col("sig").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("pb"),
                        F.explode("c").alias("c")).select("*", "c.*").filter(
         (F.col("sig") != F.col("b")) & _may_link("a", "b", threshold)).select(
         F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
-    links = written(spark, _linked(star, sets, threshold), "links")
-    comp = components(spark, links)
+    comp = components(spark, written(spark, _linked(star, sets, threshold), "links"))
     lists = keys.select("k", "sig", "size", "sketch").join(comp.withColumnRenamed("node", "sig"), "sig", "left").select(
         "k", "sig", "size", "sketch", F.coalesce("root", "sig").alias("root"))
     split = lists.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
@@ -213,18 +233,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, text: str = "text",
     across = side("a").join(side("b"), "k").filter((F.col("ra") < F.col("rb")) & _may_link("a", "b", threshold)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = written(spark, _linked(across, sets, threshold), "links")
-    links = links.unionByName(more)
     roots = components(spark, comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    degree = links.select(F.col("a").alias("sig")).union(links.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
     doc = of("doc").select("id", "sig", "size")
     classes = (doc.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"))
                .join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").join(degree, "sig", "left").select("sig", "component_id", "n_links")
+    classes = classes.join(least, "root").select("sig", "component_id")
+    added = []
+    if links:
+        pairs = written(spark, _linked(written(spark, _all_pairs(keys, threshold), "pairs"), sets, threshold), "links")
+        degree = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).groupBy("sig").agg(F.count("*").alias("n_links"))
+        classes = classes.join(degree, "sig", "left")
+        added = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     return doc.join(classes, "sig", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *added)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,3 +402,22 @@ def test_substring_dedup_spreads_copies(spark, monkeypatch):
     assert got == {i: (40, 40, "") if i % 2 else (40, 0, t) for i, t in rows}
     sizes = [r["count"] for r in seen[0].df.groupBy(X.CHUNK).count().collect()]
     assert max(sizes) < 250 and sum(sizes) == 800
+
+
+def test_jaccard_links(spark, monkeypatch):
+    """Every link between different sets is counted, also in lists of many blocks."""
+    from evalspark.llm import jaccard_join as J
+    monkeypatch.setattr(J, "BLOCK", 8)
+    r = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+    texts = ["", None, "alone here today", " ".join(base), " ".join(base).upper()]
+    for k in range(60):     # near copies of one text, linked with some of one another
+        w = base[:]
+        for i in r.sample(range(120), 1 + k % 3):
+            w[i] = f"edit{k}"
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(w[i:i + 3]) for w in [words(t, True)] for i in range(len(w) - 2)) for t in texts]
+    want = {d: sum(1 for x in set(sets) if x and x != s and 100 * len(s & x) >= 90 * len(s | x)) for d, s in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(J.jaccard_components(spark, docs, links=True), "n_links")
+    assert {d: n for d, (n,) in got.items()} == want and max(want.values()) > 20
