@@ -18,8 +18,8 @@ which all equal strings meet, so each shard is sorted alone and nothing is lost:
    after it, up to half of the rest. A distinct segment of a shard that shares neither with
    another one shares no string with it, and is answered by its own smallest id. Of the
    others a shard sorts all suffixes by external induced sorting with common-prefix values
-   (``induced_sort``): the priority queues and, if large, the sequences are on disk, so a
-   shard may be far larger than memory. Neighbours with a common prefix of ``length`` are
+   (``induced_sort``): the priority queues and, if large, the sequences are on disk, but a
+   shard's segments and their arrays are in memory, so shards must be small. Neighbours with a common prefix of ``length`` are
    equal strings; the smallest id among them decides.
 4. Each segment's answer, one bit for each string in it, returns to its chunk.
 
