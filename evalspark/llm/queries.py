@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evalspark.llm import (bpe, decontaminate, jaccard_join, language_id, lm_score, substring_dedup, suffix_dedup,
-                           token_counts, toxicity, vector_search)
+from evalspark.llm import (bpe, decontaminate, hard_negatives, jaccard_join, language_id, lm_score, prefix_trie,
+                           substring_dedup, suffix_dedup, token_counts, toxicity, vector_search)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_lm_score": lm_score.OP7_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
