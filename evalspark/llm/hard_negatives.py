@@ -46,15 +46,27 @@ FIRST_STEP = 64
 ANY_LABEL = None
 
 
+def _exact(bound: float) -> np.dtype:
+    """The smallest type that holds all whole numbers up to ``bound``."""
+    return np.dtype(np.float32) if bound < 2 ** 24 else np.dtype(np.float64) if bound < 2 ** 53 else np.dtype(object)
+
+
+def _as(a: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """``a``, which holds whole numbers, in another type; Python integers if that is ``object``."""
+    if dtype != object or a.dtype == object:
+        return a.astype(dtype, copy=False)
+    out = np.empty(a.size, object)
+    out[:] = [int(x) for x in a.ravel().tolist()]
+    return out.reshape(a.shape)
+
+
 def _integers(values: np.ndarray, rows: int) -> np.ndarray:
     """floor(256 x) as a matrix of ``rows``: of floats where all sums of products are exact, else of Python integers."""
     scaled = np.floor(SCALE * values)
     m = scaled.reshape(rows, -1) if rows else scaled.reshape(0, 0)
-    bound = float(np.abs(scaled).max(initial=0)) ** 2 * max(1, m.shape[1])
-    if bound < 2 ** 24:
-        return m.astype(np.float32)
-    if bound < 2 ** 53:
-        return m
+    exact = _exact(float(np.abs(scaled).max(initial=0)) ** 2 * m.shape[1])
+    if exact != object:
+        return m.astype(exact)
     whole = [int(x) * SCALE if abs(x) >= 2 ** 53 else math.floor(SCALE * x) for x in values.tolist()]
     out = np.empty(len(whole), object)
     out[:] = whole
@@ -66,9 +78,18 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray):
         self.ids, self.labels, self.vectors = ids, labels, vectors
+        self.peak = float(np.abs(vectors).max(initial=0))
         self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(vectors, self.order.astype(np.int64), axis=0)
 
+    def cast(self, dtype: np.dtype) -> Lists:
+        if self.vectors.dtype == dtype:
+            return self
+        out = Lists.__new__(Lists)
+        out.ids, out.labels, out.peak, out.order = self.ids, self.labels, self.peak, self.order
+        out.vectors, out.sorted = _as(self.vectors, dtype), _as(self.sorted, dtype)
+        return out
+
     def search(self, q: np.ndarray, wanted, windows: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window (low, high, k) the best k rows with a score in it, by score and then id, among those
         for which ``wanted(row numbers)`` holds: positions and scores."""
@@ -104,7 +125,7 @@ class Lists:
                         kth[w] = max(low, best[w][1][-1])
             if to == n:
                 break
-            threshold = sum(self.sorted[n - to, up] * q[up]) + sum(self.sorted[to - 1, down] * q[down])
+            threshold = self.sorted[n - to, up] @ q[up] + self.sorted[to - 1, down] @ q[down]
             if all(threshold < x for x in kth):
                 break
             depth, step = to, 2 * step
@@ -150,45 +171,19 @@ def _anchor_rows(shard: Shard, b: pa.RecordBatch, k: int) -> Iterator[tuple]:
         if lists is None:
             continue
         q = _integers(values, 1)[0]
-        if q.dtype != lists.vectors.dtype:
-            common = object if object in (q.dtype, lists.vectors.dtype) else _exact(q, lists.vectors)
-            q, lists = _as(q, common), _cast(lists, common)
-        elif q.dtype != object:
-            common = _exact(q, lists.vectors)
-            q, lists = (q, lists) if common == q.dtype else (_as(q, common), _cast(lists, common))
+        exact = _exact(float(np.abs(q).max(initial=0)) * lists.peak * len(q))
+        q, lists = _as(q, exact), lists.cast(exact)
         if own is None:
-            found = lists.search(q, lambda r: lists.ids[r] != vec_id, [(-math.inf, math.inf, k)])  # noqa: B023
+            found = lists.search(q, lambda r, x=lists, i=vec_id: x.ids[r] != i, [(-math.inf, math.inf, k)])
             yield from ((vec_id, key, 0, int(lists.ids[r]), int(s)) for r, s in zip(*found[0], strict=True))
-        elif own:
+        elif any(w["score"] >= 0 for w in own):     # below 0 the window's bounds are the wrong way round: it is empty
+            own = [w for w in own if w["score"] >= 0]
             asked = [(-(-LOW * w["score"] // 100), HIGH * w["score"] // 100, k) for w in own]
-            found = lists.search(q, lambda r: (lists.labels[r] != label) & (lists.ids[r] != vec_id), asked)  # noqa: B023
+            found = lists.search(q, lambda r, x=lists, i=vec_id, y=label: (x.labels[r] != y) & (x.ids[r] != i), asked)
             for w, best in zip(own, found, strict=True):
                 yield from ((vec_id, key, w["place"], int(lists.ids[r]), int(s)) for r, s in zip(*best, strict=True))
 
 
-def _exact(q: np.ndarray, m: np.ndarray):
-    """The smallest type in which the inner products of ``q`` with the rows of ``m`` are exact."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * max(1, len(q))
-    return np.dtype(np.float32) if bound < 2 ** 24 else np.dtype(np.float64) if bound < 2 ** 53 else np.dtype(object)
-
-
-def _as(a: np.ndarray, dtype) -> np.ndarray:
-    if dtype != object or a.dtype == object:
-        return a.astype(dtype)
-    out = np.empty(a.shape, object)
-    out[...] = np.array([int(x) for x in a.ravel().tolist()], object).reshape(a.shape)
-    return out
-
-
-def _cast(lists: Lists, dtype) -> Lists:
-    if lists.vectors.dtype == dtype:
-        return lists
-    out = Lists.__new__(Lists)
-    out.ids, out.labels, out.order = lists.ids, lists.labels, lists.order
-    out.vectors, out.sorted = _as(lists.vectors, dtype), _as(lists.sorted, dtype)
-    return out
-
-
 RESULT = "anchor_id long, akey long, place int, vec_id long, score long"
 
 
@@ -267,10 +262,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = """
 with e as (
   select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, x -> floor(256 * x::double)) as v
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
   from embeddings
   where vec_id is not null and label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select a.vec_id as anchor_id, a.label as anchor_label, r.vec_id, r.label, cast(list_dot_product(a.v, r.v) as bigint) as score
   from e a join e r on r.vec_id <> a.vec_id and len(r.v) = len(a.v) where a.vec_id % 100 = 0),

@@ -238,8 +238,8 @@ with recursive own as (
 conv as (select conv_id, conv_id - conv_id % 20 as base, cast(conv_id as varchar) as s from own group by conv_id),
 bits as (  -- crc32, bit by bit: a byte comes in at each eighth step
   select conv_id, base, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(s) + 1),
-           i -> list_prepend(ascii(substr(s, i::int, 1))::bigint + 256, [0::bigint, 0, 0, 0, 0, 0, 0, 0])))),
-         (c, x) -> case when x >= 256 then xor(c, x - 256) when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+           lambda i: list_prepend(ascii(substr(s, i::int, 1))::bigint + 256, [0::bigint, 0, 0, 0, 0, 0, 0, 0])))),
+         lambda c, x: case when x >= 256 then xor(c, x - 256) when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
   from conv),
 meta as (select conv_id, base, xor(c, 4294967295) % 4 as h from bits),
 n_base as (select m.conv_id, least(m.h, (select count(*) from own o where o.conv_id = m.base)) as taken from meta m),
