@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import (bpe, decontaminate, hard_negatives, jaccard_join, language_id, lm_score, prefix_trie,
+from evalspark.llm import (bloom_lookup, bpe, decontaminate, hard_negatives, jaccard_join, language_id, lm_score, prefix_trie,
                            substring_dedup, suffix_dedup, token_counts, toxicity, vector_search)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_bloom_lookup": bloom_lookup.op11_bloom_lookup,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
