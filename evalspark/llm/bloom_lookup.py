@@ -14,9 +14,10 @@ times as many cells (:func:`difference`). Long texts are cut by hash 64 ways fir
 needed, so the work of a text grows with its length. Likeness is the size of the two sets'
 intersection by that of their union, both told by the recovered digests alone.
 
-Edited texts need the next document: ids alone are sorted (:func:`_ring`); a document then sends
-the head of its text that its predecessor asks for, and its digests. Ids with many rows are
-salted. Texts are shuffled once, heads once more, and all the rest happens within a row.
+Edited texts need the next document. Cuts between ranges of ids are read from the ids alone; the
+texts are then shuffled once, by range, and each document finds its next in its range or in
+the first document of the next range, which is sent along. An id with many rows has a range
+of its own, dealt to many tasks. All the rest happens within a row.
 
 Defined results: a null text counts as empty. A text without words has the empty sketch; two
 such texts have likeness 1. Rows with one id all have the next greater id as their next; where
@@ -32,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import partitions, table, written
+from evalspark.llm.common import partitions, table
 
 #: A line, or 24 words of it.
 PARAGRAPH = r"[^\x20\x09-\x0D]+(?:[\x20\x09]+[^\x20\x09-\x0D]+){0,23}"
@@ -41,8 +42,8 @@ HASHES, CELLS = 3, 8
 LOAD, LARGE = 8, 512
 #: A bucket that fails is tried this often again, each time with four times as many cells.
 RETRIES = 7
-#: Rows of one id above this share of a partition are salted.
-HOT_SHARE = 0.25
+#: Ranges of ids for each shuffle partition.
+CUTS = 4
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -189,51 +190,62 @@ def fingerprint(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda c: F.concat(digits(c.n, 8), digits(c.k, 16), digits(c.x, 16))), "")
 
 
-def _ring(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row an id: ``doc_id, n`` (its rows), ``pick`` (hash of its text), and of the id before it (that of the
-    first is the last) ``to_id``, ``need`` (characters it needs at most) and ``to_n``."""
-    ids = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"), F.count(F.lit(1)).alias("n"),
-                                     F.min(F.xxhash64("text")).alias("pick"))
-    order = F.col("doc_id").asc_nulls_first()
-    ids = ids.repartitionByRange(order).sortWithinPartitions(order).withColumn("seq", F.monotonically_increasing_id())
-    ids = written(spark, ids, "ring").withColumn("part", F.shiftright("seq", 33)) \
-        .withColumn("own", F.struct("doc_id", "longest", "n"))
-    # one row a partition: the last id of a part comes before the first of the next
-    last = ids.groupBy("part").agg(F.max_by("own", "seq").alias("last"))
-    wraps = F.max_by("last", "part").over(Window.partitionBy())
-    edge = last.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), wraps).alias("edge"))
-    before = F.coalesce(F.lag("own").over(Window.partitionBy("part").orderBy("seq")), "edge")
-    return ids.join(edge, "part").withColumn("prev", before).select(
-        "doc_id", "n", "pick", F.col("prev.doc_id").alias("to_id"), F.floor(F.col("prev.longest") / 2).cast("int").alias("need"),
-        F.col("prev.n").alias("to_n"))
+def _bucket(ids: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not above an id, by binary search; -1 for a null id."""
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(max(1, len(cuts).bit_length())))))
+    sorted_cuts = F.array(*(F.lit(c).cast("long") for c in cuts)).cast("array<bigint>")
+    return F.when(ids.isNull(), F.lit(-1)).otherwise(F.aggregate(
+        steps, F.lit(0), lambda at, s: F.when(F.get(sorted_cuts, at + s - 1) <= ids, at + s).otherwise(at)))
+
+
+def _buckets_of_ids(spark: SparkSession, docs: DataFrame) -> tuple[list[int], list[tuple]]:
+    """Cuts between ranges of ids with about as many rows each, and for each range that has rows its number, the first id
+    of the next one (cyclic) and the salts that its rows are dealt to. Read from ids alone; a few numbers a partition."""
+    n = docs.count()
+    per_cut = max(1, n // (CUTS * partitions(spark)))
+    shares = [i / (CUTS * partitions(spark)) for i in range(1, CUTS * partitions(spark))]
+    even = docs.agg(F.percentile_approx("doc_id", shares)).first()[0] or []
+    # ids with so many rows stand alone: there are at most twice as many as cuts
+    hot_rows = max(1000, per_cut // 2)
+    hot = [r[0] for r in docs.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > hot_rows).collect()]
+    cuts = sorted({*even, *hot, *(h + 1 for h in hot if h < 2 ** 63 - 1)})
+    found = docs.groupBy(_bucket(F.col("doc_id"), cuts).alias("b")).agg(F.min("doc_id"), F.count(F.lit(1)), F.max("doc_id")).collect()
+    found.sort(key=lambda r: r[0])
+    alone = [-(-r[2] // hot_rows) if r[1] == r[3] else 1 for r in found]
+    return cuts, [(r[0], found[(i + 1) % len(found)][1], alone[i]) for i, r in enumerate(found)]
 
 
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, text, keys, next_head, next_keys)``: the digests of each text, of the next document's text,
-    and as many first characters of that as half of this one has, at least (or all)."""
+    """Rows ``(doc_id, text, keys, next_text, next_keys)``: each document and its next, with the digests of both."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ring = written(spark, _ring(spark, docs), "ring")
-    per_salt = max(1000, int(HOT_SHARE * (ring.agg(F.sum("n")).first()[0] or 0) / partitions(spark)))
-    salts = lambda n: F.ceil(F.col(n) / per_salt).cast("int")
-    # ids with more than per_salt rows: at most the number of partitions by 1 / HOT_SHARE
-    hot = ring.filter(F.col("n") > per_salt).select(F.col("doc_id").alias("hot_id"), salts("n").alias("salts"))
-    # digests come before the shuffle, which both joins below read
-    docs = docs.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left").select(
-        "doc_id", "text", digests(F.col("text")).alias("keys"), F.pmod(F.monotonically_increasing_id(), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-
-    def spread(df: DataFrame, n: str) -> DataFrame:
-        return df.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(n) - 1)))
-
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["salt"] == b["salt"])
-
-    asked = spread(ring, "n").alias("ring")
-    heads = docs.join(asked, same(docs, asked)).filter(F.xxhash64("text") == F.col("pick")).select(
-        F.col("to_id").alias("doc_id"), "to_n", F.expr("substring(text, 1, need)").alias("next_head"),
-        F.col("keys").alias("next_keys"))
-    heads = heads.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("to_n", "next_head", "next_keys")))     # of equal texts, one
-    heads = spread(heads, "to_n")
-    return docs.join(heads, same(docs, heads)).select(docs["doc_id"], "text", "keys", "next_head", "next_keys")
+    cuts, buckets = _buckets_of_ids(spark, docs.select("doc_id"))
+    row = lambda b, first, salts: F.struct(
+        F.lit(b).alias("b"), F.lit(first).cast("long").alias("follower"), F.lit(salts).alias("salts"))
+    of_bucket = spark.range(1).select(F.inline(F.array(*(row(*x) for x in buckets)))) if buckets else \
+        spark.range(0).select(F.lit(0).alias("b"), F.col("id").alias("follower"), F.lit(1).alias("salts"))
+    text_hash = F.xxhash64("text").alias("hash")
+    # the first document of a range is sent to the range before it, behind that one's last
+    asked = F.broadcast(of_bucket)
+    firsts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["follower"])).groupBy("b", "salts").agg(
+        F.min(F.struct(text_hash, "doc_id", "text")).alias("d"))
+    firsts = firsts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(1).alias("sent"),
+                           "d.doc_id", "d.text", digests(F.col("d.text")).alias("keys"), "d.hash")
+    salted = {b: n for b, _, n in buckets if n > 1}
+    rows = docs.withColumn("b", _bucket(F.col("doc_id"), cuts))
+    if salted:
+        of_salts = F.create_map(*(F.lit(x) for kv in salted.items() for x in kv))
+        salts = F.coalesce(F.try_element_at(of_salts, F.col("b")), F.lit(1))
+        rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    else:
+        rows = rows.withColumn("salt", F.lit(0))
+    rows = rows.select("b", "salt", F.lit(0).alias("sent"), "doc_id", "text", digests(F.col("text")).alias("keys"), text_hash)
+    rows = rows.unionByName(firsts)
+    order = ["sent", F.col("doc_id").asc_nulls_first(), "hash"]
+    after = F.lead(F.struct("text", "keys")).over(Window.partitionBy("b", "salt").orderBy(*order))
+    same_id = Window.partitionBy("b", "salt", "sent", "doc_id").orderBy("hash") \
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("after", after).withColumn("after", F.last("after").over(same_id)).filter("sent = 0")
+    return rows.select("doc_id", "text", "keys", F.col("after.text").alias("next_text"), F.col("after.keys").alias("next_keys"))
 
 
 def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -243,7 +255,7 @@ def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = with_next(spark, docs).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half),
-                                              F.substring(F.col("next_head"), F.lit(1), half)))
+                                              F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        _checked(F.col("keys")).alias("own"), _checked(digests(F.col("edited"))).alias("edit"),
                        _checked(F.col("next_keys")).alias("next"))
