@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions.hashing import hash_number
 from .operators import splits as S
+from .session import materialize  # noqa: F401
+from .sources.split_cache import cached_table
 
 SEEDS = (0, 1, 2)
 TEST_SIZE = 0.2
@@ -183,55 +185,23 @@ def clf_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 keep=("x1", "x2", "grp"))
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage of a table that several branches of a plan read (e.g. a split).
-
-    The table is written once as parquet under the session's shared checkpoint folder
-    (reliable storage that survives executor loss, unlike a local checkpoint) and read
-    back, so the branches scan files — with column pruning and statistics — instead of
-    recomputing the split each time.
-    """
-    from .session import scratch_dir
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-_SPLIT_CACHE: dict[tuple, str] = {}
+def cached_split(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build) -> DataFrame:
+    """A split of some tables from the shared cache (see :mod:`evalspark.sources.split_cache`).
 
-
-def cached_split(spark: SparkSession, name: str, params: dict, build) -> DataFrame:
-    """A split table cached under the shared checkpoint folder, keyed by the md5 of
-    every split parameter (and the input location).
-
-    The first call computes and writes the split; later calls in the session read the
-    written table, so every job that needs the split (predictions, prompts, imputation…)
-    scans one fact table instead of recomputing the distributed ranking.
-    """
-    import hashlib
-    import json
-    from .session import scratch_dir
-    fp = hashlib.md5(json.dumps(params, sort_keys=True).encode()).hexdigest()
-    key = (id(spark._jsparkSession), name, fp)
-    path = _SPLIT_CACHE.get(key)
-    if path is None:
-        path = scratch_dir(spark, f"split-{name}-{fp[:12]}")
-        build().write.mode("overwrite").parquet(path)
-        _SPLIT_CACHE[key] = path
-    return spark.read.parquet(path)
+    Every job that needs the split (predictions, prompts, imputation…) scans one fact table
+    instead of drawing it again; other sessions read the same one, until an input file changes."""
+    params = {"tasks": name, "seeds": list(SEEDS), "test_size": TEST_SIZE, "v": 2}
+    return cached_table(spark, name, params, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables], build)[0]
 
 
 def clf_parts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = {"src": sf_dir, "tasks": "clf", "seeds": list(SEEDS), "test_size": TEST_SIZE, "v": 1}
-    return cached_split(spark, "clf", params, lambda: clf_parts(spark, sf_dir))
+    return cached_split(spark, sf_dir, "clf", ("orders", "customer", "events", "documents", "labels"),
+                        lambda: clf_parts(spark, sf_dir))
 
 
 def reg_parts_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = {"src": sf_dir, "tasks": "reg", "seeds": list(SEEDS), "test_size": TEST_SIZE, "v": 1}
-
-    def build():
-        return S.holdout_plain(reg_tasks(spark, sf_dir), list(SEEDS), TEST_SIZE, keep=("y", "x1", "x2", "grp"))
-    return cached_split(spark, "reg", params, build)
+    return cached_split(spark, sf_dir, "reg", ("lineitem",), lambda: S.holdout_plain(
+        reg_tasks(spark, sf_dir), list(SEEDS), TEST_SIZE, keep=("y", "x1", "x2", "grp")))
 
 
 def clf_bundle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

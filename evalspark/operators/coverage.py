@@ -27,8 +27,8 @@ def impute_failures(metrics: DataFrame, status: DataFrame, baseline: str,
     """Every failed unit without metrics, on a (seed, key) that has results, gets a
     copy of the baseline model's metric row with ``imputed = true``.
 
-    Raises when a failed unit's task has no baseline row: the unit could be neither scored
-    at chance nor reported as missing. With ``strict=False`` such units stay absent.
+    The job that reads the result fails when a failed unit's task has no baseline row: the unit
+    could be neither scored at chance nor reported as missing. With ``strict=False`` such units stay absent.
     """
     split_keys = [u for u in unit if u != "model"]
     tasks = metrics.select(*split_keys).distinct()
@@ -37,10 +37,13 @@ def impute_failures(metrics: DataFrame, status: DataFrame, baseline: str,
              .join(metrics.select(*unit), list(unit), "left_anti"))
     base = metrics.filter(F.col("model") == baseline).drop("model")
     if strict:
-        orphan = fails.join(base.select(*split_keys), split_keys, "left_anti").limit(1).count()
-        if orphan:
-            raise AssertionError(f"baseline {baseline!r} has no result on a failed unit's task")
-    imputed = fails.join(base, split_keys).withColumn("imputed", F.lit(True))
+        # checked where the rows are made; a generator is never pruned, as an unread column would be
+        base = base.withColumn("__found", F.lit(True))
+        missing = F.raise_error(f"baseline {baseline!r} has no result on a failed unit's task").cast("boolean")
+        imputed = fails.join(base, split_keys, "left").withColumn(
+            "imputed", F.explode(F.array(F.when(F.col("__found"), F.lit(True)).otherwise(missing))))
+    else:
+        imputed = fails.join(base, split_keys).withColumn("imputed", F.lit(True))
     out = metrics.withColumn("imputed", F.lit(False))
     return out.unionByName(imputed.select(*out.columns))
 

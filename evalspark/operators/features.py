@@ -31,26 +31,36 @@ def nan_policy_resolve(models: DataFrame, policies: DataFrame) -> DataFrame:
                                                  F.lit(DEFAULT_NAN_POLICY)))
 
 
+def impute_fills(train: DataFrame, features: list[str], policy: str, keys=UNIT) -> DataFrame:
+    """``(keys, fills)``, a map from each feature to the median or mean of its values; null and NaN are missing.
+
+    One plan for any number of features: the rows are unpivoted to (keys, feature, value), whose
+    histograms are combined map-side, and all medians are looked up together."""
+    keys = list(keys)
+    doubles = [F.col(f"`{c}`").cast("double").alias(c) for c in features]
+    long = train.select(*keys, *doubles).unpivot(keys, [f"`{c}`" for c in features], "__feature", "__value") \
+        .filter(F.col("__value").isNotNull() & ~F.isnan("__value"))
+    g = [*keys, "__feature"]
+    fills = exact_percentile(long, g, "__value", 0.5, "__fill") if policy == "median" else \
+        long.groupBy(*g).agg(F.avg("__value").alias("__fill"))
+    return fills.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__feature", "__fill"))).alias("fills"))
+
+
 def impute(parts: DataFrame, features: list[str], policy: str, keys=UNIT) -> DataFrame:
-    """Fill NULL features from train statistics (median / mean / zero); the same fill
-    on test rows. ``native`` / ``none`` leave the data as is."""
+    """Fill missing features (null or NaN) from train statistics (median / mean / zero); the same fill
+    on test rows. ``native`` / ``none`` leave the data as is; a feature without any train value stays missing."""
     if policy in ("native", "none"):
         return parts
     if policy not in NAN_POLICIES:
         raise ValueError(f"unknown nan policy {policy!r}")
-    keys = list(keys)
     if policy == "zero":
-        return parts.fillna(0.0, subset=features)
-    train = parts.filter(F.col("part") == "train")
-    out = parts
-    for c in features:
-        if policy == "median":      # exact, distributed (no group held in one task)
-            st = exact_percentile(train.select(*keys, c), keys, c, 0.5, f"__fill_{c}")
-        else:
-            st = train.groupBy(*keys).agg(F.avg(c).alias(f"__fill_{c}"))
-        out = out.join(st, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col(f"__fill_{c}"))) \
-            .drop(f"__fill_{c}")
-    return out
+        return parts.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+                                  for c in features})
+    keys = list(keys)
+    fills = impute_fills(parts.filter(F.col("part") == "train"), features, policy, keys)
+    present = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in features}
+    return parts.join(fills, keys, "left").withColumns(
+        {c: F.coalesce(present[c], F.try_element_at("fills", F.lit(c))) for c in features}).drop("fills")
 
 
 def standardize_target(parts: DataFrame, y: str = "y", keys=UNIT) -> DataFrame:

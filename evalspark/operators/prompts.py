@@ -177,13 +177,15 @@ def pack_by_budget(rows: DataFrame, budget: Column, keys=UNIT, size_col: str = "
     ``overhead``: the train block and the reserved answer). Rows inside one bin share an even
     chunk, a row across two bins is an odd chunk of its own, so no chunk exceeds the budget.
     The running sum is computed bucket by bucket (:func:`bucket_cumsum`). A row larger than
-    the whole budget is flagged ``too_large`` (the unit becomes a context skip).
+    the whole budget, and every row where nothing is left of it, is flagged ``too_large`` (the
+    unit becomes a context skip).
     """
     keys = list(keys)
     r = rows if order_hex in rows.columns else rows.withColumn(order_hex, seeded_hash("seed", tiebreak))
     r = bucket_cumsum(r, keys, F.substring(order_hex, 1, 3), [F.col(order_hex), F.col(tiebreak)], size_col, "cum_tokens")
-    last = F.floor((F.col("cum_tokens") - 1) / F.col("__budget"))
-    first = F.floor((F.col("cum_tokens") - F.col(size_col)) / F.col("__budget"))
+    bin_size = F.greatest(F.col("__budget"), F.lit(1))
+    last = F.floor((F.col("cum_tokens") - 1) / bin_size)
+    first = F.floor((F.col("cum_tokens") - F.col(size_col)) / bin_size)
     return (r.withColumn("__budget", budget if overhead is None else budget - overhead)
             .withColumn("chunk", (2 * last - F.when(first < last, 1).otherwise(0)).cast("int"))
-            .withColumn("too_large", F.col(size_col) > F.col("__budget")).drop("__budget", order_hex))
+            .withColumn("too_large", (F.col("__budget") <= 0) | (F.col(size_col) > F.col("__budget"))).drop("__budget", order_hex))

@@ -16,13 +16,13 @@ REQ = ["seed", "key", "model", "chunk"]
 UNIT = ["seed", "key", "model"]
 
 
-def answer_lines(responses: DataFrame, keys=REQ, text: str = "text") -> DataFrame:
-    """All ``(index, body)`` answer lines in order: (keys, line_no, idx, body)."""
+def answer_lines(responses: DataFrame, keys=REQ, text: str = "text", keep=()) -> DataFrame:
+    """All ``(index, body)`` answer lines in order: (keys, keep, line_no, idx, body)."""
     keys = list(keys)
     z = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(JVM_ROW_PATTERN), 1).alias("i"),
                      F.regexp_extract_all(F.col(text), F.lit(JVM_ROW_PATTERN), 2).alias("b"))
-    return (responses.select(*keys, F.posexplode(z).alias("line_no", "m"))
-            .select(*keys, "line_no", F.col("m.i").try_cast("int").alias("idx"),
+    return (responses.select(*keys, *keep, F.posexplode(z).alias("line_no", "m"))
+            .select(*keys, *keep, "line_no", F.col("m.i").try_cast("int").alias("idx"),
                     F.col("m.b").alias("body")))
 
 
@@ -37,7 +37,9 @@ def match_class(lines: DataFrame, classes: DataFrame, keys=REQ) -> DataFrame:
     j = lines.join(classes, ck)
     # strip every kind of surrounding whitespace (Python's str.strip), not only spaces
     body, tok = F.regexp_replace(F.col("body"), r"^\s+|\s+$", ""), F.col("token")
-    word = F.concat(F.lit("(?i)\\b\\Q"), tok, F.lit("\\E\\b"))
+    # a label that holds the end mark of a quotation is quoted in pieces around it
+    quoted = F.replace(tok, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    word = F.concat(F.lit("(?i)\\b\\Q"), quoted, F.lit("\\E\\b"))
     tier = (F.when(body == tok, 1).when(F.lower(body) == F.lower(tok), 2)
             .when(F.regexp_like(F.col("body"), word), 3))
     c = j.withColumn("tier", tier).filter(F.col("tier").isNotNull())
@@ -48,9 +50,7 @@ def match_class(lines: DataFrame, classes: DataFrame, keys=REQ) -> DataFrame:
 def parse_answers(responses: DataFrame, classes: DataFrame, keys=REQ, n_col: str = "n_rows") -> DataFrame:
     """Lines with an index in 1..n whose body names a class; first line per index wins."""
     keys = list(keys)
-    lines = answer_lines(responses.select(*keys, "text", n_col), keys)
-    lines = lines.join(responses.select(*keys, n_col), keys) \
-        .filter((F.col("idx") >= 1) & (F.col("idx") <= F.col(n_col)))
+    lines = answer_lines(responses, keys, keep=(n_col,)).filter((F.col("idx") >= 1) & (F.col("idx") <= F.col(n_col)))
     m = match_class(lines, classes, keys)
     w = Window.partitionBy(*keys, "idx").orderBy("line_no")
     return (m.withColumn("__r", F.row_number().over(w)).filter("__r = 1")

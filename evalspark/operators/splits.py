@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_cumsum, hash_rank, order_bucket, seeded_hash
+from ..session import materialize
+from ..functions.hashing import bucket_cumsum, hash_rank, hash_threshold, order_bucket, seeded_hash, within_threshold
 
 
 def _keys(key_cols) -> list[str]:
@@ -100,6 +101,21 @@ def largest_remainder_quota(counts: DataFrame, keys: list[str], cls: str,
             .drop("__n", "__take", "__num", "__q0", "__rem", "__extra", "__r"))
 
 
+#: Groups up to which their thresholds are sent to every executor.
+BROADCAST_GROUPS = 100_000
+
+
+def first_by_hash(rows: DataFrame, groups: list[str], quotas: DataFrame, id_col: str, order_hex: str = "__h") -> DataFrame:
+    """Adds ``chosen``: whether a row is among the first ``quota`` of its group by ``order_hex``.
+
+    The group's threshold is selected from histograms (:func:`hash_threshold`) and written; every row
+    is then decided by comparison, where it lies: the rows are neither sorted nor shuffled."""
+    cuts = materialize(hash_threshold(rows, groups, order_hex, id_col, quotas), "thresholds")
+    if cuts.count() <= BROADCAST_GROUPS:
+        cuts = F.broadcast(cuts)
+    return rows.join(cuts, groups).withColumn("chosen", within_threshold(order_hex, id_col)).drop("__th", "__tid", "quota")
+
+
 # ------------------------------------------------------------------ holdout
 def holdout_stratified(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",),
                        cls: str = "target", id_col: str = "row_id", keep=()) -> DataFrame:
@@ -114,11 +130,9 @@ def holdout_stratified(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("
     quotas = largest_remainder_quota(counts, keys, cls, F.ceil(n * F.lit(test_size)))
     rows = with_seeds(df.select(*keys, cls, id_col, *keep), seeds) \
         .withColumn("__h", seeded_hash("seed", id_col))
-    ranked = hash_rank(rows, keys + ["seed", cls], "__h", id_col)
-    return (ranked.join(quotas.select(*keys, cls, "quota"), keys + [cls])
-            .select(*keys, "seed", id_col,
-                    F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train").alias("part"),
-                    *([cls] if keep else []), *keep))
+    drawn = first_by_hash(rows, keys + ["seed", cls], with_seeds(quotas.select(*keys, cls, "quota"), seeds), id_col)
+    return drawn.select(*keys, "seed", id_col, F.when(F.col("chosen"), "test").otherwise("train").alias("part"),
+                        *([cls] if keep else []), *keep)
 
 
 def holdout_plain(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",),
@@ -128,10 +142,8 @@ def holdout_plain(df: DataFrame, seeds, test_size: float = 0.2, key_cols=("key",
     keys = _keys(key_cols)
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("quota"))
     rows = with_seeds(df.select(*keys, id_col, *keep), seeds).withColumn("__h", seeded_hash("seed", id_col))
-    ranked = hash_rank(rows, keys + ["seed"], "__h", id_col)
-    return (ranked.join(sizes, keys)
-            .select(*keys, "seed", id_col,
-                    F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train").alias("part"), *keep))
+    drawn = first_by_hash(rows, keys + ["seed"], with_seeds(sizes, seeds), id_col)
+    return drawn.select(*keys, "seed", id_col, F.when(F.col("chosen"), "test").otherwise("train").alias("part"), *keep)
 
 
 # ------------------------------------------------------------------ k-fold
@@ -235,10 +247,8 @@ def holdout_grouped(groups: DataFrame, seeds, test_size: float = 0.2, key_cols=(
     g = groups.select(*keys, "group_id").distinct()
     ng = g.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("quota"))
     gs = with_seeds(g, seeds).withColumn("__h", seeded_hash("seed", "group_id"))
-    ranked = hash_rank(gs, keys + ["seed"], "__h", "group_id").join(ng, keys)
-    chosen = ranked.select(*keys, "seed", "group_id",
-                           F.when(F.col("rn") <= F.col("quota"), "test").otherwise("train")
-                           .alias("part"))
+    chosen = first_by_hash(gs, keys + ["seed"], with_seeds(ng, seeds), "group_id").select(
+        *keys, "seed", "group_id", F.when(F.col("chosen"), "test").otherwise("train").alias("part"))
     return (groups.select(*keys, id_col, "group_id").join(chosen, keys + ["group_id"])
             .select(*keys, "seed", id_col, "part"))
 
@@ -295,9 +305,7 @@ def subsample_parts(parts: DataFrame, n_train: int | None, n_test: int | None,
         q = fewshot_quota(class_counts(p, keys, cls), n, keys, cls)
         h = p.withColumn("__h", seeded_hash("seed", id_col)) if "seed" in p.columns \
             else p.withColumn("__h", F.md5(F.col(id_col).cast("string")))
-        ranked = hash_rank(h, keys + [cls], "__h", id_col)
-        out.append(ranked.join(q.select(*keys, cls, "quota"), keys + [cls])
-                   .filter(F.col("rn") <= F.col("quota")).select(*parts.columns))
+        out.append(first_by_hash(h, keys + [cls], q, id_col).filter("chosen").select(*parts.columns))
     return out[0].unionByName(out[1])
 
 
@@ -307,7 +315,8 @@ def sample_exact(df: DataFrame, n: int, seed: int = 0, key_cols=("key",),
     whose size is random."""
     keys = _keys(key_cols)
     h = df.withColumn("__h", seeded_hash(F.lit(seed), id_col))
-    return hash_rank(h, keys, "__h", id_col).filter(F.col("rn") <= n).drop("__h", "rn")
+    quotas = df.select(*keys).distinct().withColumn("quota", F.lit(n))
+    return first_by_hash(h, keys, quotas, id_col).filter("chosen").select(*df.columns)
 
 
 def seeded_shuffle(df: DataFrame, seed: int = 0, key_cols=("key",),

@@ -215,18 +215,18 @@ def q_breakdown(spark, d):
 
 
 @query("dataset_overview", with_ctes("""
-WITH r AS (SELECT key, count(*) * 5 AS n_samples, count(DISTINCT target) AS n_classes FROM truth
+WITH r AS (SELECT key, count(*) AS n_samples, count(DISTINCT target) AS n_classes FROM clf_parts
            WHERE key <> 'customer_0' AND seed = 0 GROUP BY 1),
 n AS (SELECT key, 'classification' AS task, count(*) AS n_samples, count(DISTINCT target) AS n_classes FROM clf_tasks GROUP BY 1
       UNION ALL SELECT 'lineitem_0', 'regression', count(*), NULL FROM lineitem)
 SELECT coalesce(r.key, n.key) AS key, coalesce(r.n_samples, n.n_samples) AS n_samples,
        CASE WHEN coalesce(n.task, 'classification') = 'classification' THEN coalesce(r.n_classes, n.n_classes) END AS n_classes,
        CASE WHEN r.n_samples IS NOT NULL THEN 'results' ELSE 'native' END AS source
-FROM r FULL OUTER JOIN n ON r.key = n.key""", "truth", "clf_tasks"))
+FROM r FULL OUTER JOIN n ON r.key = n.key""", "clf_parts", "clf_tasks"))
 def q_overview(spark, d):
     parts = C.clf_parts_cached(spark, d)
     r = parts.filter("key <> 'customer_0' AND seed = 0").groupBy("key").agg(     # train and test rows of one seed: every row once
-        F.count(F.lit(1)).alias("n_samples"), F.countDistinct(F.when(F.col("part") == "test", F.col("target"))).alias("n_classes"))
+        F.count(F.lit(1)).alias("n_samples"), F.countDistinct("target").alias("n_classes"))
     t = C.clf_tasks(spark, d)
     n = t.groupBy("key").agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("target").alias("n_classes")) \
         .withColumn("task", F.lit("classification"))

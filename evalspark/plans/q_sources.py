@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..operators import leaderboard as B
+from ..operators import splits as S
 from ..session import scratch_dir
 from ..sources import artifacts as A
 from ..sources import matrices as MX
 from ..sources import results as RS
 from ..sources import tables as TB
+from ..sources.split_cache import cached_table
 from .oracles import board_sql, minmax_sql, with_ctes
 from .q_reports import _grid_results
 from .registry import query
@@ -84,6 +86,75 @@ def q_metric_sink(spark, d):
     return spark.read.parquet(root).select(F.col("seed").cast("int"), "key", "model", "f1_macro")
 
 
+@query("proba_sink", with_ctes("""
+SELECT seed, key, model, row_id, cls, round(score, 9) AS score,
+       row_number() OVER (PARTITION BY seed, key, model, row_id ORDER BY cls) - 1 AS class_no FROM proba_long""", "proba_long"))
+def q_proba_sink(spark, d):
+    root = scratch_dir(spark, "proba")
+    RS.write_probabilities(C.clf_bundle(spark, d)[3], root)
+    rows = spark.read.parquet(root).select("seed", "key", "model", "row_id", "classes", F.posexplode("proba").alias("class_no", "score"))
+    return rows.select("seed", "key", "model", "row_id", F.get("classes", F.col("class_no")).alias("cls"),
+                       F.round("score", 9).alias("score"), F.col("class_no").cast("long").alias("class_no"))
+
+
+@query("truth_sink", with_ctes("""
+SELECT seed, key, row_id, CASE WHEN key = 'orders_0' THEN target ELSE 'm2:' || target END AS target FROM truth""", "truth"))
+def q_truth_sink(spark, d):
+    """Three models write the truth of their test rows, the first that of one key alone; each (seed, key) keeps its first."""
+    root = scratch_dir(spark, "truth")
+    t = C.clf_bundle(spark, d)[1]
+    RS.write_truth_once(spark, t.filter("key = 'orders_0'"), root)
+    for model in ("m2:", "m3:"):
+        RS.write_truth_once(spark, t.withColumn("target", F.concat(F.lit(model), "target")), root)
+    return spark.read.parquet(root).select("seed", "key", "row_id", "target")
+
+
+@query("metric_summary_sink", with_ctes("""
+SELECT CAST(v AS INTEGER) AS version, key, model, count(*) AS n_rows, round(avg(f1_macro), 9) AS mean_f1,
+       count(*) AS n_summary
+FROM metrics_run JOIN (SELECT * FROM range(1, 4) r(v)) ON v = 3 OR (v = 2 AND seed <= 2) OR (v = 1 AND seed = 0)
+GROUP BY 1, 2, 3""", "metrics_run"))
+def q_metric_summary_sink(spark, d):
+    """Three saves; each version's rows, counted, beside the summary that was published with them."""
+    root = scratch_dir(spark, "saves")
+    m = C.metrics_run(spark, d).select("seed", "key", "model", "f1_macro")
+    summary = lambda rows: rows.groupBy("key", "model").agg(
+        F.round(F.avg("f1_macro"), 9).alias("mean_f1"), F.count(F.lit(1)).alias("n_summary"))
+    out = []
+    for seeds in ("seed = 0", "seed between 1 and 2", "seed > 2"):
+        version = RS.save_metrics(spark, m.filter(seeds), root, summary)
+        rows, total = RS.read_metrics(spark, root, version)
+        out.append(rows.groupBy("key", "model").agg(F.count(F.lit(1)).alias("n_rows")).join(total, ["key", "model"])
+                   .select(F.lit(version).alias("version"), "key", "model", "n_rows", "mean_f1", "n_summary"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("split_cache", with_ctes("""
+WITH t AS (SELECT 'customer_0' AS key, c_custkey AS row_id, c_mktsegment AS target FROM customer),
+more AS (SELECT 'supplier_0' AS key, s_suppkey AS row_id, CAST(s_nationkey % 2 AS VARCHAR) AS target FROM supplier),
+a AS (SELECT key, count(*) AS n FROM t GROUP BY 1), b AS (SELECT * FROM a UNION ALL SELECT key, count(*) FROM more GROUP BY 1),
+s AS (SELECT 'first' AS step, false AS reused, * FROM a UNION ALL SELECT 'other session', true, * FROM a
+      UNION ALL SELECT 'file added', false, * FROM b)
+SELECT step, reused, key, CAST(ceil(n * 0.2) AS BIGINT) AS n_test, n - CAST(ceil(n * 0.2) AS BIGINT) AS n_train FROM s"""))
+def q_split_cache(spark, d):
+    """A split of a table in the cache: written, read by another session, written anew after a file came to the table."""
+    src, root = scratch_dir(spark, "tasks"), scratch_dir(spark, "cache")
+    C.table(spark, d, "customer").select(F.lit("customer_0").alias("key"), F.col("c_custkey").alias("row_id"),
+                                         F.col("c_mktsegment").alias("target")).write.parquet(src)
+
+    def split(session, step):
+        parts, reused = cached_table(session, "tasks", {"test_size": 0.2}, [src],
+                                     lambda: S.holdout_stratified(session.read.parquet(src), [0], 0.2), root)
+        counts = spark.read.parquet(parts.inputFiles()[0].rsplit("/", 1)[0]).groupBy("key").agg(
+            F.count_if(F.col("part") == "test").alias("n_test"), F.count_if(F.col("part") == "train").alias("n_train"))
+        return counts.select(F.lit(step).alias("step"), F.lit(reused).alias("reused"), "key", "n_test", "n_train")
+
+    out = split(spark, "first").unionByName(split(spark.newSession(), "other session"))
+    C.table(spark, d, "supplier").select(F.lit("supplier_0").alias("key"), F.col("s_suppkey").alias("row_id"),
+                                         (F.col("s_nationkey") % 2).cast("string").alias("target")).write.mode("append").parquet(src)
+    return out.unionByName(split(spark, "file added"))
+
+
 @query("split_fingerprint", with_ctes("""
 SELECT key, seed, md5(to_json({'key': key, 'seed': seed, 'test_size': CAST(0.2 AS DOUBLE), 'min_samples_per_class': 10,
                                'train_subsample': 100})) AS split_hash

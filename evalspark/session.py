@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _default_driver_mem() -> str:
@@ -51,11 +51,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh folder under the session's shared checkpoint directory.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; we only set our own
-    (a fresh temp folder) when the session has none, as in local tests.
+    We only set our own (a fresh temp folder) when the session has none, as in local tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -67,5 +66,22 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS / object store)")
         base = tempfile.mkdtemp(prefix="evalspark-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    return path
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
+    """A fresh folder under the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage of a table that several branches of a plan read (e.g. a split).
+
+    The table is written once as parquet under the session's shared checkpoint folder
+    (reliable storage that survives executor loss, unlike a local checkpoint) and read
+    back, so the branches scan files — with column pruning and statistics — instead of
+    recomputing the split each time.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -17,8 +17,8 @@ def test_impute_failures_and_absent_baseline(spark):
     out = V.impute_failures(m, st, "BASE", strict=False)
     imp = {(r["seed"], r["model"]): r["f1_macro"] for r in out.filter("imputed").collect()}
     assert imp == {(0, "B"): 0.4}          # seed 1 has no baseline row; seed 2 has no results
-    with pytest.raises(AssertionError):
-        V.impute_failures(m, st, "BASE")
+    with pytest.raises(Exception, match="no result on a failed unit's task"):       # by the job, whatever it reads
+        V.impute_failures(m, st, "BASE").select("model").collect()
 
 
 def test_missing_units_retry_counts_as_missing(spark):
