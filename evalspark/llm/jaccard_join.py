@@ -126,7 +126,7 @@ def _signed(x: list[int]) -> list[int]:
 
 
 def _describe(c: X.Chunks, id_col: str, id_type: str, width: int, threshold: int, light: int) -> DataFrame:
-    """Rows of three kinds: 'doc' (id, size, set digest), 'key' (key, size, digest), 'set' (digest, hashes)."""
+    """Rows of three kinds: 'doc' (id, size, set digest), 'key' (key, size, digest), 'set' (digest, hashes, sketch)."""
     answers = X.global_counts(c, "_raw", lambda t: shingle_sets(t, width)[1], width=4, count_type="<u4")
 
     def run(chunk: pa.Table, answer: pa.Table) -> pa.Table:
@@ -154,7 +154,7 @@ def _describe(c: X.Chunks, id_col: str, id_type: str, width: int, threshold: int
                 sizes += [int(size[d])] * k
                 keys += [*found, None]
                 sets += [None] * len(found) + [mine.view(np.int64)]
-                sketches += [parity_sketch(mine)] * len(found) + [None]
+                sketches += [None] * len(found) + [parity_sketch(mine)]
         extra = len(kinds) - len(texts)
         ids = pa.chunked_array([*chunk[id_col].chunks, pa.nulls(extra, chunk[id_col].type)])
         return pa.table({"id": ids, "kind": kinds, "sig": pa.array(sigs, pa.binary()), "size": pa.array(sizes, pa.int64()),
@@ -214,15 +214,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, text: str = "text",
     of = lambda x: found.filter(F.col("kind") == x)
     # the same set in several chunks: one row
     sets = of("set").groupBy("sig").agg(F.first("members").alias("members"))
-    keys = of("key").groupBy("k", "sig").agg(F.max("size").alias("size"), F.first("sketch").alias("sketch"))
-    member = F.struct("sig", F.col("size").alias("sa"), F.col("sketch").alias("pa"))
+    sketches = of("set").groupBy("sig").agg(F.first("sketch").alias("sketch"))
+    # key rows are narrow, and meet by key once: copies of a row, members and centers are counted where they lie
+    keys = of("key").select("k", "sig", "size").repartition("k").groupBy("k", "sig").agg(F.max("size").alias("size"))
+    member = F.struct("sig", F.col("size").alias("sa"))
     centers = keys.groupBy("k").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[
-        F.min_by(member, F.xxhash64("sig", F.lit(i))) for i in range(CENTERS)])).alias("c")).filter("n > 1").select("k", "n", "c")
-    keys = written(spark, keys.join(centers, "k"), "keys")       # lists of two or more, with their centers
-    star = keys.select(F.col("sig").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("pb"),
-                       F.explode("c").alias("c")).select("*", "c.*").filter(
-        (F.col("sig") != F.col("b")) & _may_link("a", "b", threshold)).select(
-        F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
+        F.min_by(member, F.xxhash64("sig", F.lit(i))) for i in range(CENTERS)])).alias("c")).filter("n > 1")
+    # lists of two or more: only their members are given a sketch
+    keys = written(spark, keys.join(centers, "k"), "lists")
+    centers = keys.select("k", F.explode("c").alias("c")).distinct().select("k", F.col("c.sig").alias("a"), F.col("c.sa").alias("sa")) \
+        .join(sketches.select(F.col("sig").alias("a"), F.col("sketch").alias("pa")), "a")
+    keys = written(spark, keys.drop("c").join(sketches, "sig"), "keys")
+    star = keys.select("k", F.col("sig").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("pb")).join(centers, "k").filter(
+        (F.col("a") != F.col("b")) & _may_link("a", "b", threshold)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     comp = components(spark, written(spark, _linked(star, sets, threshold), "links"))
     lists = keys.select("k", "sig", "size", "sketch").join(comp.withColumnRenamed("node", "sig"), "sig", "left").select(
         "k", "sig", "size", "sketch", F.coalesce("root", "sig").alias("root"))
