@@ -20,7 +20,7 @@ def q_stream_scored(spark, d):
     m = C.metrics_run(spark, d)
     m.filter("seed <= 2").write.mode("append").parquet(src)
     m.filter("seed >= 2").write.mode("append").parquet(src)      # seed 2 arrives twice
-    Z.score_new_units(spark, src, METRIC_SCHEMA, out, ck)
+    Z.score_new_units(spark, src, METRIC_SCHEMA, out, ck, max_files_per_trigger=4)
     return spark.read.parquet(out).select(F.col("seed").cast("int"), "key", "model", "f1_macro")
 
 
@@ -39,7 +39,7 @@ def q_stream_totals(spark, d):
     src, ck = scratch_dir(spark, "status"), scratch_dir(spark, "ck")
     base, _, _ = _status_log(spark, d)
     base.write.json(src)
-    return Z.status_totals(spark, src, STATUS_SCHEMA, ck)
+    return Z.status_totals(spark, src, STATUS_SCHEMA, ck, scratch_dir(spark, "totals"))
 
 
 LATEST_SQL = with_ctes("""
@@ -74,4 +74,27 @@ def q_progress(spark, d):
     st = F.when(F.col("k") < 70, "pass").when(F.col("k") < 85, "fail").when(F.col("k") < 95, "skip").otherwise("retry")
     u.select("seed", "key", "model", st.alias("status"), F.lit("").alias("reason"),
              F.col("ts").cast("timestamp_ntz").alias("ts")).write.json(src)
-    return Z.progress(spark, src, STATUS_SCHEMA, ck)
+    return Z.progress(spark, src, STATUS_SCHEMA, ck, scratch_dir(spark, "totals"))
+
+
+@query("stream_late_data", with_ctes("""
+WITH e AS (SELECT CAST(ts AS DATE) AS d, max(CAST(ts AS DATE)) OVER () AS last,
+           CASE WHEN k < 70 THEN 'pass' WHEN k < 85 THEN 'fail' WHEN k < 95 THEN 'skip' ELSE 'retry' END AS status FROM event_units)
+SELECT strftime(d, '%Y-%m-%d') AS day, status, count(*) * CASE WHEN d = last THEN 2 ELSE 1 END AS n,
+       (SELECT count(*) FROM e WHERE d <= last - INTERVAL 3 DAY) AS n_late
+FROM e GROUP BY d, last, status""", "event_units"))
+def q_late_data(spark, d):
+    """Every event of the last day and of all but the last three comes a second time, after the watermark has moved:
+    the former are counted again, the latter are late, and counted as such."""
+    src, ck, out = scratch_dir(spark, "events"), scratch_dir(spark, "ck"), scratch_dir(spark, "totals")
+    u = C._event_units(spark, d)
+    st = F.when(F.col("k") < 70, "pass").when(F.col("k") < 85, "fail").when(F.col("k") < 95, "skip").otherwise("retry")
+    rows = u.select("seed", "key", "model", st.alias("status"), F.lit("").alias("reason"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    last = F.to_date(u.agg(F.max("ts").alias("ts")).scalar())
+    rows.write.json(src)
+    Z.progress(spark, src, STATUS_SCHEMA, ck, out)
+    day = F.to_date("ts")
+    rows.filter((day == last) | (day <= F.date_sub(last, 3))).write.mode("append").json(src)
+    totals = Z.progress(spark, src, STATUS_SCHEMA, ck, out)
+    late = Z.late_records(spark, src, STATUS_SCHEMA, totals)
+    return totals.withColumn("n_late", late.scalar())
