@@ -240,16 +240,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang).cast("string").alias("_lang"), text_bytes(text).alias("_t"),
                        fold.alias("_f")).filter(
         (F.col("_f") != HOLD_OUT) & F.col("_lang").isNotNull() & F.octet_length("_t").between(1, sample_bytes))
-    key = F.xxhash64("_id", "_lang")
-    ranked = rows.select("_id", "_lang", key.alias("_k"))
-    cut = ranked.groupBy("_lang").agg(F.count("*").alias("_n"))
-    # a share of the hash range that holds about twice the wanted number, then the first of them:
-    # no language's rows are ranked whole
-    share = ranked.join(F.broadcast(cut), "_lang").filter(
-        F.pmod("_k", F.lit(1 << 20)) * F.col("_n") < F.lit(2.0 * per_lang * (1 << 20)))
-    first = share.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_k", "_id"))).filter(
-        F.col("_r") <= per_lang).select("_id", "_lang")
-    got = rows.join(F.broadcast(first), ["_id", "_lang"]).select("_lang", "_t").orderBy("_lang", "_t").collect()
+    # equal texts of one id are one candidate; the first by hash of id and text, whatever the ids look like. The
+    # limit of a rank is applied in each task before the shuffle, so no language's rows are ranked whole
+    keyed = rows.select("_lang", "_t", F.xxhash64("_id", "_t").alias("_k"))
+    by_hash = Window.partitionBy("_lang").orderBy("_k")
+    first = keyed.groupBy("_lang", "_k").agg(F.count(F.lit(1)).alias("_n")).withColumn("_r", F.row_number().over(by_hash)) \
+        .filter(F.col("_r") <= per_lang).select("_lang", "_k")
+    # per_lang rows a language
+    got = keyed.join(F.broadcast(first), ["_lang", "_k"]).groupBy("_lang", "_k").agg(F.first("_t").alias("_t")) \
+        .select("_lang", "_t").orderBy("_lang", "_t").collect()
     langs = sorted({r["_lang"] for r in got})
     if not langs:
         return None

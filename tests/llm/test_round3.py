@@ -239,3 +239,22 @@ def test_prefix_trie_of_few_rows(spark):
         df = spark.createDataFrame(rows, schema)
         out = T.prefix_trie(spark, *T.rebuilt(*T.ordered_turns(spark, df))).select(*COLS).collect()
         assert sorted((tuple(x) for x in out), key=lambda r: (r[1], r[0])) == brute_trie(rows)
+
+
+# ---------------------------------------------------------------- language sample
+
+@pytest.mark.parametrize("n_ids", [1, 10, 100])
+def test_language_sample_is_bounded_and_not_empty(spark, monkeypatch, n_ids):
+    """Repeated ids and repeated rows neither swell nor empty the training sample."""
+    from evalspark.llm import language_id as L
+    sizes = []
+    monkeypatch.setattr(L, "fit", lambda texts, labels, n: sizes.append((len(texts), np.bincount(labels).max())) or ())
+    monkeypatch.setattr(L, "Tagger", lambda langs, *fitted: langs)
+    rows = [(i % n_ids * 7 + 1, f"some text {i % 700}", "en" if i % 3 else "de", 1) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _k int").repartition(4)
+    kept = {d for d, *_ in rows if zlib.crc32(str(d).encode()) % L.HOLD_MOD != L.HOLD_OUT}
+    langs = L.train(docs, per_lang=50)
+    if kept:
+        assert langs == ["de", "en"] and sizes[0][0] <= 100 and sizes[0][1] <= 50 and sizes[0][0] >= 60
+    else:
+        assert langs is None
