@@ -56,6 +56,18 @@ def missing_units(metrics: DataFrame, status: DataFrame, seeds: list[int], keys:
     grid = (keys.select("key").distinct()
             .withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
             .withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))))
+    return missing_from_schedule(metrics, status, grid, unit)
+
+
+def schedule(definition: DataFrame) -> DataFrame:
+    """Every scheduled unit (seed, key, model) of a run definition, rows of lists ``(seeds, keys, models)``."""
+    return (definition.select(F.explode("keys").alias("key"), "seeds", "models")
+            .select("key", F.explode("seeds").alias("seed"), "models")
+            .select("seed", "key", F.explode("models").alias("model")).distinct())
+
+
+def missing_from_schedule(metrics: DataFrame, status: DataFrame, grid: DataFrame, unit=UNIT) -> DataFrame:
+    """The units of a schedule with neither metrics nor a terminal status."""
     terminal = status.filter(F.col("status").isin(*TERMINAL)).select(*unit)
     return (grid.join(metrics.select(*unit), list(unit), "left_anti")
             .join(terminal, list(unit), "left_anti"))

@@ -80,6 +80,11 @@ def drop_sparse_features(train_long: DataFrame, max_missing: float = 0.5, keys=(
         .select(*keys, "feature")
 
 
+def apply_kept_features(long_df: DataFrame, kept: DataFrame, keys=("key",)) -> DataFrame:
+    """Cells of unseen rows in the features that were kept on train, whatever is missing in them here."""
+    return long_df.join(kept.select(*keys, "feature"), [*keys, "feature"], "left_semi")
+
+
 def all_null_features(long_df: DataFrame, keys=("key",)) -> DataFrame:
     """Features whose every value is NULL (dropped)."""
     return long_df.groupBy(*keys, "feature").agg(F.count("value").alias("n")).filter("n = 0") \

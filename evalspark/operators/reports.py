@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import order_bucket
+
 
 def score_heatmap(metrics: DataFrame, metric: str = "f1_macro", higher_is_better: bool = True,
                   order: DataFrame | None = None) -> DataFrame:
@@ -68,13 +70,22 @@ def key_sizes(status: DataFrame, truth: DataFrame) -> DataFrame:
 def pareto_front(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """A point is on the front when no other has x ≤ and y ≥ with one strict.
 
-    Per distinct x only the best y can be on the front; it is on the front when it beats
-    the running max of y over all smaller x. Windows run over distinct x values.
+    Per distinct x only the best y can be on the front; it is on the front when it beats the
+    best y of all smaller x. That prefix maximum is taken in ranges of x: over the powers of two
+    (some thousand at most, whatever the table, sent along as one array), over 4,096 steps
+    inside each, and over the values of one step, each window in a range of its own.
     """
     p = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    best = p.groupBy(x).agg(F.max(y).alias("__best"))
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("__prev", F.max("__best").over(w))
+    best = p.groupBy(x).agg(F.max(y).alias("__best")).withColumns(
+        {"__p": order_bucket(F.col(x), 1), "__s": order_bucket(F.col(x), 4096)})
+    steps = best.groupBy("__p", "__s").agg(F.max("__best").alias("__m"))
+    powers = steps.groupBy("__p").agg(F.max("__m").alias("__m")).agg(F.collect_list(F.struct("__p", "__m")).alias("all"))
+    before = lambda part, by: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("__of_steps", F.max("__m").over(before(["__p"], "__s"))).drop("__m")
+    best = best.withColumn("__of_values", F.max("__best").over(before(["__p", "__s"], x))).join(steps, ["__p", "__s"])
+    of_powers = F.array_max(F.transform(F.filter("__all", lambda e: e["__p"] < F.col("__p")), lambda e: e["__m"]))
+    best = best.withColumn("__all", powers.scalar()).select(
+        x, "__best", F.greatest("__of_values", "__of_steps", of_powers).alias("__prev"))
     j = p.join(best, x)
     return j.withColumn("pareto", (F.col(y) == F.col("__best")) &
                         (F.col("__prev").isNull() | (F.col(y) > F.col("__prev")))).drop("__best", "__prev")

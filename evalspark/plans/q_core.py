@@ -9,6 +9,8 @@ from ..operators import coverage as V
 from ..operators import leaderboard as B
 from ..operators import metrics as M
 from ..operators import predictors as P
+from ..session import scratch_dir
+from ..sources import tables as TB
 from .oracles import board_sql, minmax_sql, with_ctes
 from .registry import query
 
@@ -89,12 +91,12 @@ def q_mean_metrics(spark, d):
 SELECT b.*, CASE WHEN o.model IS NOT NULL THEN b.model_id || ' *' ELSE b.model_id END AS display_name
 FROM ({board_sql(minmax_sql('metrics_grid', 'f1_macro'))}) b
 LEFT JOIN (SELECT DISTINCT model FROM metrics_grid WHERE task = 'classification'
-           EXCEPT SELECT DISTINCT model FROM metrics_grid WHERE task = 'regression' AND seed <= 3) o
+           EXCEPT SELECT DISTINCT model FROM metrics_grid WHERE task = 'regression') o
 ON b.model_id = o.model""", "metrics_grid"))
 def q_clf_only(spark, d):
     m = C.metrics_grid(spark, d)
     return B.clf_only_mark(B.leaderboard(m), m.filter("task = 'classification'"),
-                           m.filter("task = 'regression' AND seed <= 3"))
+                           m.filter("task = 'regression'"))
 
 
 @query("leaderboard_add", with_ctes(board_sql(minmax_sql(
@@ -179,6 +181,20 @@ def q_missing(spark, d):
     return V.missing_units(C.metrics_run(spark, d), C.status(spark, d), *_axes(spark, d))
 
 
+@query("missing_from_definition", with_ctes(MISSING_SQL.replace(
+    "s.seed, k.key, m.model", "CAST(s.seed AS INTEGER) AS seed, k.key, m.model").replace(
+    "(SELECT DISTINCT event_type AS key FROM events) k", "(SELECT DISTINCT event_type AS key FROM events UNION ALL SELECT 'absent') k"),
+                                            "metrics_run", "status"))
+def q_missing_definition(spark, d):
+    """The schedule comes from a stored run definition, so a dataset without any row is noticed."""
+    path = scratch_dir(spark, "definition")
+    seeds, keys, models = _axes(spark, d)
+    every = keys.agg(F.array_union(F.sort_array(F.collect_set("key")), F.array(F.lit("absent"))).alias("keys"))
+    every.select(F.array(*(F.lit(s) for s in seeds)).alias("seeds"), "keys",
+                 F.array(*(F.lit(m) for m in models)).alias("models")).write.json(path)
+    return V.missing_from_schedule(C.metrics_run(spark, d), C.status(spark, d), V.schedule(TB.run_definition(spark, path)))
+
+
 @query("completeness_report", with_ctes(f"""
 SELECT key, count(DISTINCT model) AS n_models, count(*) AS n_units FROM ({MISSING_SQL}) GROUP BY key""",
                                         "metrics_run", "status"))

@@ -10,6 +10,7 @@ from .. import catalog as C
 from ..operators import features as T
 from ..operators import frames as P
 from .oracles import cte, with_ctes
+from ..session import scratch_dir
 from .registry import query
 
 ORDERS_NULLED = """SELECT o_orderkey AS row_id,
@@ -116,6 +117,18 @@ def q_sparse(spark, d):
     return f.filter("missing_frac <= 0.5").withColumn("missing_frac", F.round("missing_frac", 9))
 
 
+@query("sparse_features_test", f"""
+WITH l AS ({LONG_SQL}),
+k AS (SELECT key, feature FROM l WHERE fold <> 0 GROUP BY 1, 2 HAVING avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) <= 0.5)
+SELECT l.key, l.row_id, l.feature, round(l.value, 9) AS value FROM l JOIN k ON l.key = k.key AND l.feature = k.feature WHERE fold = 0""")
+def q_sparse_test(spark, d):
+    """Features kept on the training folds, stored, and applied to the rows of the other."""
+    path = scratch_dir(spark, "kept-features")
+    P.drop_sparse_features(_long(spark, d).filter("fold <> 0")).write.parquet(path)
+    out = P.apply_kept_features(_long(spark, d).filter("fold = 0"), spark.read.parquet(path))
+    return out.select("key", "row_id", "feature", F.round("value", 9).alias("value"))
+
+
 @query("all_null_features", f"SELECT key, feature FROM ({LONG_SQL}) GROUP BY 1, 2 HAVING count(value) = 0")
 def q_all_null(spark, d):
     return P.all_null_features(_long(spark, d))
@@ -276,20 +289,19 @@ LIMITS_SQL = "SELECT n_name AS model, 20 + n_nationkey AS max_features, 100 * (n
 
 
 @query("limit_skip", with_ctes(f"""
-WITH u AS (SELECT g.model, g.key, g.n_rows AS n_train, f.n_features FROM metrics_grid g
-           JOIN (SELECT p_brand AS key, count(DISTINCT p_type) AS n_features FROM part GROUP BY 1) f ON g.key = f.key
-           WHERE g.seed = 1)
-SELECT u.model, u.key, u.n_train, u.n_features,
+WITH u AS (SELECT g.seed, g.model, g.key, g.n_rows AS n_train, f.n_features FROM metrics_grid g
+           JOIN (SELECT p_brand AS key, count(DISTINCT p_type) AS n_features FROM part GROUP BY 1) f ON g.key = f.key)
+SELECT u.seed, u.model, u.key, u.n_train, u.n_features,
        coalesce(u.n_features > l.max_features AND u.n_train > l.max_samples, false) AS skip
 FROM u LEFT JOIN ({LIMITS_SQL}) l ON u.model = l.model""", "metrics_grid"))
 def q_limit_skip(spark, d):
-    g = C.metrics_grid(spark, d).filter("seed = 1")
+    g = C.metrics_grid(spark, d)
     f = C.table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.countDistinct("p_type").alias("n_features"))
-    u = g.join(f, "key").select("model", "key", F.col("n_rows").alias("n_train"), "n_features")
+    u = g.join(f, "key").select("seed", "model", "key", F.col("n_rows").alias("n_train"), "n_features")
     n = C.table(spark, d, "nation")
     limits = n.select(F.col("n_name").alias("model"), (F.lit(20) + F.col("n_nationkey")).alias("max_features"),
                       (F.lit(100) * (F.col("n_regionkey") + 1)).alias("max_samples"))
-    return P.limit_skip(u, limits).select("model", "key", "n_train", "n_features", "skip")
+    return P.limit_skip(u, limits).select("seed", "model", "key", "n_train", "n_features", "skip")
 
 
 @query("degenerate_split_skip", with_ctes("""

@@ -11,7 +11,7 @@ from .oracles import board_sql, cte, minmax_sql, with_ctes
 from .registry import query
 
 ANCHOR = "ARGENTINA"
-N_BOOT = 20
+N_BOOT = 100
 
 cte("scores", ("metrics_grid",), """
 SELECT model, key, avg(f1_macro) AS score FROM metrics_grid WHERE task = 'classification' GROUP BY 1, 2

@@ -154,10 +154,10 @@ SELECT reasoning, labels, feature_cap, n_train FROM (
   SELECT *, row_number() OVER (ORDER BY labels <> 'hidden' OR n_train <> '100', labels <> 'hidden',
          TRY_CAST(n_train AS INTEGER) IS NOT NULL, TRY_CAST(n_train AS INTEGER) DESC,
          reasoning, labels, feature_cap, n_train) AS r
-  FROM (SELECT DISTINCT reasoning, labels, feature_cap, n_train FROM grid_results WHERE reasoning = 'on')) WHERE r = 1""",
+  FROM (SELECT DISTINCT reasoning, labels, feature_cap, n_train FROM grid_results)) WHERE r = 1""",
                                     "grid_results"))
 def q_reference_cell(spark, d):
-    return G.reference_cell(_grid_results(spark, d).filter("reasoning = 'on'"))
+    return G.reference_cell(_grid_results(spark, d))
 
 
 @query("run_state", with_ctes("""

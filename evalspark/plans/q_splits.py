@@ -231,16 +231,21 @@ def q_fewshot_quota(spark, d):
     return out
 
 
-@query("subsample_parts", with_ctes(f"""
-WITH tr AS (SELECT * FROM clf_parts WHERE part = 'train'),
-q AS ({_quota_sql("(SELECT key || ':' || CAST(seed AS VARCHAR) AS key, target FROM clf_parts WHERE part = 'train')", 100)}),
-r AS (SELECT tr.*, row_number() OVER (PARTITION BY key, seed, target ORDER BY {H('seed', 'row_id')}, row_id) AS rn FROM tr)
-SELECT r.key, r.seed, r.target, count(*) AS n FROM r JOIN q ON q.key = r.key || ':' || CAST(r.seed AS VARCHAR) AND q.target = r.target
-WHERE r.rn <= q.quota GROUP BY 1, 2, 3""", "clf_parts"))
+def _side_sql(part: str, n: int) -> str:
+    rows = f"(SELECT key || ':' || CAST(seed AS VARCHAR) AS key, target FROM clf_parts WHERE part = '{part}')"
+    return f"""
+SELECT r.key, r.seed, r.part, r.target, count(*) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY key, seed, target ORDER BY {H('seed', 'row_id')}, row_id) AS rn
+      FROM clf_parts WHERE part = '{part}') r
+JOIN ({_quota_sql(rows, n)}) q ON q.key = r.key || ':' || CAST(r.seed AS VARCHAR) AND q.target = r.target
+WHERE r.rn <= q.quota GROUP BY 1, 2, 3, 4"""
+
+
+@query("subsample_parts", with_ctes(f"SELECT * FROM ({_side_sql('train', 100)}) UNION ALL SELECT * FROM ({_side_sql('test', 30)})",
+                                    "clf_parts"))
 def q_subsample(spark, d):
-    s = S.subsample_parts(C.clf_parts_cached(spark, d), n_train=100, n_test=None)
-    return (s.filter("part = 'train'").groupBy("key", "seed", "target")
-            .agg(F.count(F.lit(1)).alias("n")))
+    s = S.subsample_parts(C.clf_parts_cached(spark, d), n_train=100, n_test=30)
+    return s.groupBy("key", "seed", "part", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sample_exact", with_ctes(f"""

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def is_derived_or_log(path_col):
-    """Derived files and logs are left out of manifests and merges."""
-    return path_col.rlike(r"(\.log$|/logs?/|/derived/|_SUCCESS$|\.crc$)")
+from ..operators.merge import is_derived_or_log
 
 
 def artifact_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(relative path, size, sha256) of the raw files under ``root`` — hashing runs on
     the executors that read the bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    import re
     rel = F.regexp_extract(F.col("path"), re.escape(root.rstrip("/").split(":")[-1]) + "/(.*)$", 1)
-    return (files.filter(~is_derived_or_log(F.col("path")))
-            .select(rel.alias("rel_path"), F.col("length").alias("size"), F.sha2(F.col("content"), 256).alias("sha256")))
+    hidden = F.element_at(F.split("rel_path", "/"), -1).rlike("^[._]")      # the file system's own marks
+    return (files.withColumn("rel_path", rel).filter(~is_derived_or_log(F.col("rel_path")) & ~hidden)
+            .select("rel_path", F.col("length").alias("size"), F.sha2(F.col("content"), 256).alias("sha256")))

@@ -106,3 +106,8 @@ def json_hits_flatten(df: DataFrame, json_col: str = "json", limit_n: int | None
     out = h.select(F.col("hit.id").alias("file_id"),
                    F.element_at(F.element_at(F.col("hit.cases"), 1)["samples"], 1)["sample_type"].alias("sample_type"))
     return out.filter(F.col("sample_type").isNotNull())
+
+
+def run_definition(spark: SparkSession, path: str) -> DataFrame:
+    """Stored run definitions (JSON): the seeds, keys and models that a run is to score."""
+    return spark.read.schema("seeds array<int>, keys array<string>, models array<string>").json(path)
