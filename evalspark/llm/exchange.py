@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -83,47 +84,78 @@ def unplanes(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndarray], width: int = 8,
+def squeeze(x: np.ndarray) -> bytes:
+    """:func:`planes`, entropy coded: Spark's own compression leaves bytes of few values as they are."""
+    return zstandard.ZstdCompressor(level=1).compress(planes(x))
+
+
+def unsqueeze(blob: bytes, dtype: str) -> np.ndarray:
+    return unplanes(zstandard.ZstdDecompressor().decompress(blob), dtype)
+
+
+def pack_steps(keys: np.ndarray, bucket: int, buckets: int) -> bytes:
+    """Sorted keys of one bucket as squeezed differences. At least 48 bits of a key's place in its bucket
+    are kept, all of them from 65,536 buckets on; n keys of a block save some log2(n) bits each."""
+    start = U(-(-(int(bucket) << 32) // buckets) << 32)
+    place = (keys - start) >> U(max(0, 17 - buckets.bit_length()))
+    return squeeze(np.diff(place, prepend=U(0)).astype("<u8"))
+
+
+def unpack_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(blob, "<u8"), dtype=np.uint64)
+
+
+def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndarray], width: int | None = 8,
                   count_type: str = "<u4") -> DataFrame:
     """Rows (chunk, bucket, totals): for a chunk's sorted distinct keys, their corpus counts.
 
     ``keys_of(texts)`` gives one key per occurrence. ``width`` bytes of a key are sent
-    besides its bucket. Totals saturate at the largest value of ``count_type``.
+    besides its bucket; None sends differences (:func:`pack_steps`) and squeezes the counts too.
+    Totals saturate at the largest value of ``count_type``.
     """
     buckets = c.buckets
+    put, get = (squeeze, unsqueeze) if width is None else (planes, unplanes)
     top = min(np.iinfo(np.dtype(count_type)).max, 2 ** 63 - 1)
 
     def send(key, rows):
         k, n = np.unique(keys_of(rows[text].to_pylist()), return_counts=True)
         bucket, first = _bounds(k, buckets)
         ends = np.append(first, len(k))[1:]
-        raw, cnt = pack(k, width), np.minimum(n, top).astype(count_type)
+        cnt = np.minimum(n, top).astype(count_type)
+        cuts = list(zip(first, ends, strict=True))
+        if width is None:
+            blocks = [pack_steps(k[a:z], b, buckets) for b, (a, z) in zip(bucket, cuts, strict=True)]
+        else:
+            raw = pack(k, width)
+            blocks = [raw[a:z].tobytes() for a, z in cuts]
         return pa.table({
             CHUNK: np.full(len(bucket), key[0].as_py(), np.int64), BUCKET: bucket.astype(np.int64),
-            "keys": pa.array([raw[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-            "counts": pa.array([planes(cnt[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary())})
+            "keys": pa.array(blocks, pa.binary()),
+            "counts": pa.array([put(cnt[a:z]) for a, z in cuts], pa.binary())})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        k = np.concatenate([unpack(x, width) for x in rows["keys"]])
-        n = np.concatenate([unplanes(x, count_type) for x in rows["counts"]])
+        blocks = [unpack_steps(x) if width is None else unpack(x, width) for x in rows["keys"]]
+        k = np.concatenate(blocks)
+        n = np.concatenate([get(x, count_type) for x in rows["counts"]])
         order = np.argsort(k, kind="stable")
         ks = k[order]
         head = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
         sums = np.minimum(np.add.reduceat(n[order].astype(np.int64), head), top)
         total = np.empty(len(k), count_type)
         total[order] = np.repeat(sums, np.diff(np.append(head, len(k)))).astype(count_type)
-        cut = np.cumsum([len(x) // width for x in rows["keys"]])[:-1]
+        cut = np.cumsum([len(x) for x in blocks])[:-1]
         return pd.DataFrame({CHUNK: rows[CHUNK].to_numpy(), BUCKET: rows[BUCKET].to_numpy(),
-                             "totals": [planes(x) for x in np.split(total, cut)]})
+                             "totals": [put(x) for x in np.split(total, cut)]})
 
     sent = c.df.groupBy(CHUNK).applyInArrow(
         send, f"{CHUNK} long, {BUCKET} long, keys binary, counts binary")
     return sent.groupBy(BUCKET).applyInPandas(add, f"{CHUNK} long, {BUCKET} long, totals binary")
 
 
-def totals_of(answer: pa.Table, count_type: str = "<u4") -> np.ndarray:
-    """Totals of a chunk's sorted distinct keys, from its answers."""
-    parts = [unplanes(x, count_type) for x in answer.sort_by(BUCKET)["totals"].to_pylist()]
+def totals_of(answer: pa.Table, count_type: str = "<u4",
+              get: Callable[[bytes, str], np.ndarray] = unplanes) -> np.ndarray:
+    """Totals of a chunk's sorted distinct keys, from its answers (``unsqueeze`` where no width was given)."""
+    parts = [get(x, count_type) for x in answer.sort_by(BUCKET)["totals"].to_pylist()]
     return np.concatenate([np.zeros(0, count_type), *parts])
 
 

@@ -8,9 +8,10 @@ that occurs nowhere else is no evidence.
 
 The count tables are partitioned by n-gram hash and joined to the documents' exploded
 n-grams; both sides move in packed blocks (``exchange``), since one row per n-gram and order
-would shuffle some ten times the corpus. An n-gram is known by 48 bits besides its bucket
-number; as buckets grow in number with the corpus, about one n-gram in 10**8 shares its
-counts with another at any size.
+would shuffle some ten times the corpus. A block holds the differences of its sorted keys.
+An n-gram is known by at least 48 bits besides its bucket number (64 in all from 65,536
+buckets on); as buckets grow in number with the corpus, about one n-gram in 10**8 shares its
+counts with another at any size up to there.
 
 Null, empty or blank texts: no words, score 0, mean null. Every row is scored, equal rows
 alike and each counted. Extra columns are not read. Null ids are kept.
@@ -70,7 +71,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, text: str = "text", id_col:
     """(id, n_words, log_score, n_backoff): words, sum of logs, words scored below full order."""
     rows = docs.select(F.col(id_col), text_bytes(text).alias("_raw"))
     c = X.chunked(spark, rows, "_raw", [id_col], chunk_bytes=4 << 20)
-    answers = X.global_counts(c, "_raw", lambda t: _all_keys(t, order), width=6, count_type="<u8")
+    answers = X.global_counts(c, "_raw", lambda t: _all_keys(t, order), width=None, count_type="<u8")
 
     def score(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         texts = chunk["_raw"].to_pylist()
@@ -81,7 +82,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, text: str = "text", id_col:
         if n:
             keys = np.concatenate([np.full(1, _ALL), *(k for _, k in grams)])
             _, inverse = np.unique(keys, return_inverse=True)
-            got = X.totals_of(answer, "<u8")[inverse].astype(np.int64)
+            got = X.totals_of(answer, "<u8", X.unsqueeze)[inverse].astype(np.int64)
             counts, at = [], 1
             for k, (first, _) in enumerate(grams):
                 here = np.zeros(n, np.int64)
