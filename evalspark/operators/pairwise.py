@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_number
+from ..functions.hashing import hash_number, hash_rank
 
 DEFAULT_ANCHOR = "RF"
 DEFAULT_BASE = 1000.0
@@ -78,6 +78,27 @@ def bootstrap_weights(scores: DataFrame, n_boot: int, seed: int = 0) -> DataFram
     return point.unionByName(boot)
 
 
+def cell_bootstrap_weights(scores: DataFrame, cell_cols, n_boot: int, seed: int = 0) -> DataFrame:
+    """E06 for many cells at once: (cell, rep, key, weight), each cell's own keys resampled.
+
+    A cell's keys are numbered in the order of their md5, by :func:`hash_rank`, so no cell is
+    sorted in one task; draw j of replicate b picks number ``md5(seed:b:j) % n_keys``.
+    Replicate -1 has every key once.
+    """
+    g = list(cell_cols)
+    keys = scores.select(*g, "key").distinct()
+    numbered = hash_rank(keys.withColumn("__h", F.md5("key")), g, "__h", "key", "__no").drop("__h")
+    last = F.col("n_keys") - 1
+    draws = (keys.groupBy(*g).agg(F.count(F.lit(1)).alias("n_keys"))
+             .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+             .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last))))
+    h = hash_number(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("j").cast("string")))
+    drawn = draws.groupBy(*g, "rep", (h % F.col("n_keys") + 1).alias("__no")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"))
+    boot = drawn.join(numbered, [*g, "__no"]).select(*g, "rep", "key", "weight")
+    return keys.select(*g, F.lit(-1).alias("rep"), "key", F.lit(1.0).alias("weight")).unionByName(boot)
+
+
 # ---------------------------------------------------------------- Bradley-Terry (per replicate)
 def _strongly_connected(wins: np.ndarray) -> bool:
     beat = wins > 0
@@ -88,31 +109,49 @@ def _strongly_connected(wins: np.ndarray) -> bool:
     return bool(reach.all())
 
 
-def bt_fit(models: list[str], wins: np.ndarray, iters: int = 5000, tol: float = 1e-10) -> tuple[np.ndarray, bool]:
-    """Bradley-Terry MLE by minorize-maximize: p_i ← W_i / Σ_j n_ij / (p_i + p_j).
+def bt_solve(wins: np.ndarray, steps: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, bool, bool]:
+    """Bradley-Terry MLE by damped Newton steps on the log strengths.
 
-    When the win graph is not strongly connected the MLE is infinite; then half a win is
-    added each way on every played pair and ``separated`` is reported. Returns
-    (log10 strengths centred at 0, separated).
+    At the maximum each model's expected wins equal its observed ones; ``converged`` says that they
+    agree within ``tol`` of the largest total. When the win graph is not strongly connected the MLE is
+    infinite; then half a win is added each way on every played pair and ``separated`` is reported.
+    Returns (natural log strengths centred at 0, separated, converged). Models in groups that never met are
+    centred within their group.
     """
-    games = wins + wins.T
     separated = not _strongly_connected(wins)
     if separated:
-        played = games > 0
-        wins = wins + 0.5 * played
-        games = wins + wins.T
-    W = wins.sum(axis=1)
-    p = np.ones(len(models))
-    for _ in range(iters):
-        denom = (games / (p[:, None] + p[None, :])).sum(axis=1)
-        new = np.where(denom > 0, W / np.where(denom > 0, denom, 1), p)
-        new = np.where(new > 0, new, 1e-300)
-        new = new / np.exp(np.mean(np.log(new)))
-        if np.max(np.abs(np.log(new) - np.log(p))) < tol:
-            p = new
+        wins = wins + 0.5 * (wins + wins.T > 0)
+    games, total = wins + wins.T, wins.sum(axis=1)
+    bound = tol * max(1.0, float(total.max(initial=0.0)))
+
+    def gap(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        share = 1.0 / (1.0 + np.exp(np.clip(t[None, :] - t[:, None], -700, 700)))
+        return total - (games * share).sum(axis=1), games * share * share.T
+
+    def likelihood(t: np.ndarray) -> float:
+        return -float((wins * np.logaddexp(0.0, t[None, :] - t[:, None])).sum())
+
+    theta = np.zeros(len(wins))
+    g, w = gap(theta)
+    for _ in range(steps):
+        if np.abs(g).max(initial=0.0) <= bound:
             break
-        p = new
-    return np.log10(p), separated
+        step = np.linalg.lstsq(np.diag(w.sum(axis=1)) - w, g, rcond=None)[0]
+        size, here, slope = 1.0, likelihood(theta), float(g @ step)
+        while True:
+            g_new, w_new = gap(theta + size * step)
+            if likelihood(theta + size * step) >= here + 1e-4 * size * slope or \
+                    np.abs(g_new).max() < np.abs(g).max() or size < 1e-9:
+                break
+            size /= 2
+        theta, g, w = theta + size * step, g_new, w_new
+    return theta - theta.mean() if len(theta) else theta, separated, bool(np.abs(g).max(initial=0.0) <= bound)
+
+
+def bt_fit(models: list[str], wins: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(log10 strengths centred at 0, separated) of :func:`bt_solve`."""
+    theta, separated, _ = bt_solve(wins)
+    return theta / np.log(10), separated
 
 
 def bt_ratings(pair_counts: DataFrame, group_cols: list[str], anchor: str = DEFAULT_ANCHOR,
@@ -121,10 +160,10 @@ def bt_ratings(pair_counts: DataFrame, group_cols: list[str], anchor: str = DEFA
 
     ``pair_counts``: (group, model_a, model_b, wins) — the M² counts are already aggregated
     in Spark. Rating = scale·log10 p, shifted so the anchor sits at ``anchor_value`` (the
-    mean when the anchor is absent). Output (group, model_id, rating, separated).
+    mean when the anchor is absent). Output (group, model_id, rating, separated, converged).
     """
     schema = ", ".join(f"{c} {t}" for c, t in pair_counts.select(*group_cols).dtypes) + \
-        ", model_id string, rating double, separated boolean"
+        ", model_id string, rating double, separated boolean, converged boolean"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         models = sorted(set(pdf["model_a"]) | set(pdf["model_b"]))
@@ -132,12 +171,12 @@ def bt_ratings(pair_counts: DataFrame, group_cols: list[str], anchor: str = DEFA
         w = np.zeros((len(models), len(models)))
         for a, b, x in zip(pdf["model_a"], pdf["model_b"], pdf["wins"]):
             w[ix[a], ix[b]] += x
-        logp, sep = bt_fit(models, w)
-        r = scale * logp
+        theta, sep, done = bt_solve(w)
+        r = scale * theta / np.log(10)
         r = r + (anchor_value - r[ix[anchor]] if anchor in ix else anchor_value - r.mean())
-        out = pd.DataFrame({"model_id": models, "rating": r, "separated": sep})
-        for g in group_cols:
-            out.insert(0, g, pdf[g].iloc[0])
+        out = pd.DataFrame({"model_id": models, "rating": r, "separated": sep, "converged": done})
+        for i, g in enumerate(group_cols):
+            out.insert(i, g, pdf[g].iloc[0])
         return out
 
     return pair_counts.groupBy(*group_cols).applyInPandas(fit, schema)
@@ -163,6 +202,53 @@ def elo_bootstrap(scores: DataFrame, n_boot: int = 100, seed: int = 0, anchor: s
     return q.join(n_t, "model_id", "left")
 
 
+def cell_ratings(scores: DataFrame, cell_cols, n_boot: int = 100, seed: int = 0, anchor: str = DEFAULT_ANCHOR,
+                 anchor_value: float = DEFAULT_BASE, scale: float = DEFAULT_SCALE) -> DataFrame:
+    """E05 + E06 for every cell of a grid in one plan.
+
+    ``scores``: (cell, model, key, score); rows without a score are left out, cell columns are not
+    null. All cells and replicates are fitted side by side: a task holds the models x models counts of one
+    replicate of one cell. Output (cell, model_id, elo, elo_lo, elo_hi, rating, separated, converged,
+    n_targets): bootstrap median and 2.5 / 97.5 % quantiles, rounded; the point fit and whether it
+    is separated; whether the point fit and all the replicates in which the model played converged. Cells with
+    no pair of models on one key have no rows.
+    """
+    g = list(cell_cols)
+    rows = scores.filter(F.col("score").isNotNull()).select(*g, "model", "key", "score")
+    weighted = battles(rows, g).join(cell_bootstrap_weights(rows, g, n_boot, seed), [*g, "key"])
+    w = F.col("weight")
+    # one row a pair is summed up before it is turned both ways
+    pairs = weighted.groupBy(*g, "rep", "a", "b").agg(F.sum(F.col("s") * w).alias("won"), F.sum((1 - F.col("s")) * w).alias("lost"))
+    both = F.inline(F.array(F.struct(F.col("a").alias("model_a"), F.col("b").alias("model_b"), F.col("won").alias("wins")),
+                            F.struct(F.col("b"), F.col("a"), F.col("lost"))))
+    fits = bt_ratings(pairs.select(*g, "rep", both), [*g, "rep"], anchor, anchor_value, scale)
+    point = F.col("rep") < 0
+    drawn = F.when(~point, F.col("rating"))
+    out = fits.groupBy(*g, "model_id").agg(
+        *(F.round(F.percentile(drawn, q)).cast("long").alias(n)
+          for n, q in (("elo", 0.5), ("elo_lo", 0.025), ("elo_hi", 0.975))),
+        F.max(F.when(point, F.col("rating"))).alias("rating"),
+        F.max(F.when(point, F.col("separated"))).alias("separated"), F.min("converged").alias("converged"))
+    n_t = rows.groupBy(*g, F.col("model").alias("model_id")).agg(F.countDistinct("key").alias("n_targets"))
+    return out.join(n_t, [*g, "model_id"])
+
+
+def rating_balance(wins: DataFrame, ratings: DataFrame, group_cols=(), scale: float = DEFAULT_SCALE) -> DataFrame:
+    """Observed and expected wins of each model under its ratings: equal at the maximum of the likelihood.
+
+    ``wins`` as from :func:`win_counts`, ``ratings``: (group, model_id, rating, separated). Where the fit
+    is separated each played pair counts half a win more each way. Output (group, model_id, observed, expected).
+    """
+    g = list(group_cols)
+    a = ratings.select(*g, F.col("model_id").alias("model_a"), F.col("rating").alias("__ra"), "separated")
+    b = ratings.select(*g, F.col("model_id").alias("model_b"), F.col("rating").alias("__rb"))
+    more = F.when(F.col("separated"), 0.5).otherwise(0.0)
+    share = 1 / (1 + F.pow(F.lit(10.0), (F.col("__rb") - F.col("__ra")) / scale))
+    pairs = wins.join(a, [*g, "model_a"]).join(b, [*g, "model_b"])
+    return pairs.groupBy(*g, F.col("model_a").alias("model_id")).agg(
+        F.sum(F.col("wins") + more).alias("observed"), F.sum((F.col("games") + 2 * more) * share).alias("expected"))
+
+
 def winrate_matrix(wins: DataFrame, ratings: DataFrame, order_col: str = "elo") -> DataFrame:
     """Win matrix cells with row / column positions ordered by rating desc (tie: id)."""
     order = ratings.select("model_id", F.row_number().over(

@@ -106,6 +106,60 @@ def q_grid_elo(spark, d):
     return E.bt_ratings(w, cell, "ARGENTINA").withColumn("rating", F.round("rating"))
 
 
+RATING_CELL = ["metric", "reasoning", "labels", "n_train", "suite"]
+cte("cell_scores", ("grid_results",), """
+SELECT m.metric, reasoning, labels, n_train, CASE WHEN dataset LIKE '%1' THEN 'synthetic' ELSE 'real' END AS suite,
+       dataset AS key, model, avg(CASE WHEN m.metric = 'f1_macro' THEN f1_macro ELSE -rmse END) AS score
+FROM grid_results, (VALUES ('f1_macro'), ('rmse')) m(metric)
+WHERE feature_cap = 'full' GROUP BY ALL HAVING score IS NOT NULL""")
+cte("cell_wins", ("cell_scores",), """
+SELECT metric, reasoning, labels, n_train, suite, model_a, model_b, sum(w) AS wins FROM (
+  SELECT a.metric, a.reasoning, a.labels, a.n_train, a.suite, a.model AS model_a, b.model AS model_b,
+         CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END AS w
+  FROM cell_scores a JOIN cell_scores b USING (metric, reasoning, labels, n_train, suite, key) WHERE a.model <> b.model)
+GROUP BY ALL""")
+
+
+def _cell_scores(spark, d):
+    """(metric, reasoning, labels, n_train, suite, key, model, score): means over seeds, higher is better."""
+    full = _grid_results(spark, d).filter("feature_cap = 'full'")
+    suite = F.when(F.col("dataset").endswith("1"), "synthetic").otherwise("real").alias("suite")
+    metric = F.explode(F.create_map(F.lit("f1_macro"), F.col("f1_macro"), F.lit("rmse"), -F.col("rmse"))).alias("metric", "v")
+    long = full.select("reasoning", "labels", "n_train", suite, F.col("dataset").alias("key"), "model", metric)
+    return long.groupBy(*RATING_CELL, "key", "model").agg(F.avg("v").alias("score")).filter("score is not null")
+
+
+@query("grid_ratings")
+def q_grid_ratings(spark, d):
+    """Ratings with bootstrap intervals of every (metric, reasoning, labels, n, suite) cell (rows-only: a fit;
+    ``grid_rating_balance`` checks its point fits)."""
+    return E.cell_ratings(_cell_scores(spark, d), RATING_CELL, 100, 0, "ARGENTINA").drop("rating")
+
+
+@query("grid_rating_balance", with_ctes("""SELECT * FROM (
+WITH RECURSIVE cells AS (SELECT metric, reasoning, labels, n_train, suite, model_a AS a, model_b AS b, wins FROM cell_wins),
+hops AS (
+  SELECT metric, reasoning, labels, n_train, suite, a, b FROM cells WHERE wins > 0
+  UNION
+  SELECT h.metric, h.reasoning, h.labels, h.n_train, h.suite, h.a, c.b FROM hops h
+  JOIN cells c ON c.metric = h.metric AND c.reasoning = h.reasoning AND c.labels = h.labels AND c.n_train = h.n_train
+   AND c.suite = h.suite AND c.a = h.b AND c.wins > 0),
+reached AS (SELECT metric, reasoning, labels, n_train, suite, count(*) AS n FROM hops WHERE a <> b GROUP BY ALL),
+size AS (SELECT metric, reasoning, labels, n_train, suite, count(DISTINCT a) AS m FROM cells GROUP BY ALL)
+SELECT metric, reasoning, labels, n_train, suite, a AS model_id, coalesce(n, 0) < m * (m - 1) AS separated, true AS converged,
+       round(sum(CAST(wins AS DOUBLE)) + CASE WHEN coalesce(n, 0) < m * (m - 1) THEN 0.5 * count(*) ELSE 0 END, 6) AS expected_wins
+FROM cells JOIN size USING (metric, reasoning, labels, n_train, suite)
+LEFT JOIN reached USING (metric, reasoning, labels, n_train, suite) GROUP BY metric, reasoning, labels, n_train, suite, a, n, m)
+""", "cell_wins"))
+def q_grid_rating_balance(spark, d):
+    """Expected wins under the point fit of each cell. The oracle has the observed wins: equal at the maximum only."""
+    wins = E.win_counts(E.battles(_cell_scores(spark, d), RATING_CELL), RATING_CELL)
+    fit = E.bt_ratings(wins, RATING_CELL, "ARGENTINA")
+    even = E.rating_balance(wins, fit, RATING_CELL)
+    return even.join(fit, [*RATING_CELL, "model_id"]).select(
+        *RATING_CELL, "model_id", "separated", "converged", F.round("expected", 6).alias("expected_wins"))
+
+
 AXVALS_SQL = """SELECT 'n_train' AS axis, n_train AS value FROM grid_results
 UNION SELECT 'feature_cap', feature_cap FROM grid_results UNION SELECT 'n_train', 'full' FROM grid_results"""
 

@@ -70,6 +70,43 @@ def test_elo_degenerate_input_is_empty_with_fixed_columns(spark):
     assert out.columns == ["model_id", "elo", "elo_lo", "elo_hi", "n_targets"]
 
 
+def test_newton_fit_balances_wins_and_says_when_it_stopped_early():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        m = int(rng.integers(2, 12))
+        w = rng.integers(0, 30, (m, m)) * (rng.random((m, m)) < 0.7) * 1.0
+        np.fill_diagonal(w, 0)
+        theta, separated, converged = E.bt_solve(w)
+        w = w + 0.5 * (w + w.T > 0) if separated else w
+        expected = ((w + w.T) / (1 + np.exp(theta[None, :] - theta[:, None]))).sum(axis=1)
+        assert converged and np.allclose(expected, w.sum(axis=1), atol=1e-6)
+    lopsided = np.array([[0, 1e6, 1], [1, 0, 1e6], [1, 1, 0.0]])
+    assert E.bt_solve(lopsided)[2] and not E.bt_solve(lopsided, steps=1)[2]
+    apart = np.array([[0, 3, 0, 0], [1, 0, 0, 0], [0, 0, 0, 1], [0, 0, 5, 0.0]])     # two pairs that never met
+    assert E.bt_solve(apart)[1:] == (True, True)
+
+
+def test_cells_are_rated_alone_and_together_alike(spark):
+    one = [("A", "t%d" % t, 0.9 - 0.1 * (t % 3)) for t in range(6)] + [("B", "t%d" % t, 0.8) for t in range(6)] \
+        + [("C", "t%d" % t, 0.5 + 0.1 * (t % 4)) for t in range(6)]
+    rows = [("x", *r) for r in one] + [("y", *r) for r in one[:12]] + [("z", "A", "t0", 0.3), ("z", "B", "t1", 0.4),
+                                                                     ("y", "D", "t0", None)]
+    sc = spark.createDataFrame(rows, "cell string, model string, key string, score double")
+    got = E.cell_ratings(sc, ["cell"], n_boot=20, anchor="A")
+    assert got.columns == ["cell", "model_id", "elo", "elo_lo", "elo_hi", "rating", "separated", "converged", "n_targets"]
+    cells = {(r["cell"], r["model_id"]): r for r in got.collect()}
+    assert {c for c, _ in cells} == {"x", "y"} and ("y", "D") not in cells      # no pair met in z; D has no score
+    alone = {r["model_id"]: r for r in E.cell_ratings(sc.filter("cell = 'x'"), ["cell"], 20, anchor="A").collect()}
+    for m in "ABC":
+        a, b = cells["x", m], alone[m]
+        assert b["rating"] == pytest.approx(a["rating"]) and (b["elo"], b["elo_lo"], b["elo_hi"]) == (a["elo"], a["elo_lo"], a["elo_hi"])
+        assert a["elo_lo"] <= a["elo"] <= a["elo_hi"] and a["converged"] and a["n_targets"] == 6
+    assert cells["x", "A"]["rating"] == pytest.approx(1000) and cells["x", "A"]["elo"] == 1000
+    w = E.cell_bootstrap_weights(sc.filter("score is not null"), ["cell"], 20).groupBy("cell", "rep").agg(F.sum("weight").alias("w"))
+    assert {(r["cell"], r["w"]) for r in w.collect()} == {("x", 6.0), ("y", 6.0), ("z", 2.0)}
+    assert E.cell_ratings(sc.limit(0), ["cell"], 5).count() == 0
+
+
 def test_pareto_front(spark):
     pts = spark.createDataFrame([("a", 1.0, 0.5), ("b", 2.0, 0.7), ("c", 3.0, 0.6), ("d", None, 0.9)],
                                 "model_id string, x double, y double")
