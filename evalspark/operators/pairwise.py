@@ -220,7 +220,7 @@ def cell_ratings(scores: DataFrame, cell_cols, n_boot: int = 100, seed: int = 0,
     # one row a pair is summed up before it is turned both ways
     pairs = weighted.groupBy(*g, "rep", "a", "b").agg(F.sum(F.col("s") * w).alias("won"), F.sum((1 - F.col("s")) * w).alias("lost"))
     both = F.inline(F.array(F.struct(F.col("a").alias("model_a"), F.col("b").alias("model_b"), F.col("won").alias("wins")),
-                            F.struct(F.col("b"), F.col("a"), F.col("lost"))))
+                            F.struct(F.col("b").alias("model_a"), F.col("a").alias("model_b"), F.col("lost").alias("wins"))))
     fits = bt_ratings(pairs.select(*g, "rep", both), [*g, "rep"], anchor, anchor_value, scale)
     point = F.col("rep") < 0
     drawn = F.when(~point, F.col("rating"))
