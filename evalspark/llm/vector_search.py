@@ -16,9 +16,9 @@ original components in double precision.
 
 Equal vectors are one node that carries its ``k + 1`` smallest ids, so thousands of copies
 neither fill the graph nor lose an id that the ties ask for. Null or zero vectors, vectors
-with a null or non-finite component, of no component, or of another length than the most
-common one, and null ids take no part, as queries or as candidates. Rows with the same id and
-vector count once. An empty table gives no rows. Extra columns are not read.
+with a null or non-finite component or of no component, and null ids take no part, as queries
+or as candidates. A query is held against the candidates of its own length, each length having
+its graphs. Rows with the same id and vector count once. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,13 +177,8 @@ def valid_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return rows.filter(ok & F.exists("v", lambda x: x != 0))
 
 
-def _same_length(rows: DataFrame) -> DataFrame:
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).first()
-    return rows.filter(F.size("v") == (size["n"] if size else 0))
-
-
 def build_index(spark: SparkSession, rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
-    """(one row per shard with its vectors, ids and graph, number of shards)."""
+    """(rows of a shard's vectors of one length, their ids and graph; number of shards)."""
     shards = max(1, math.ceil(rows.count() / shard_rows))
     width = k + 1
 
@@ -194,8 +190,9 @@ def build_index(spark: SparkSession, rows: DataFrame, k: int, shard_rows: int =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b["v"].flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_pydict({"id": b["id"], "v": pa.array([x.tobytes() for x in v], pa.binary())})
+            flat = b["v"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            ends = np.cumsum(pc.list_value_length(b["v"]).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "v": pa.array([x.tobytes() for x in np.split(flat, ends)[:-1]], pa.binary())})
 
     packed = rows.mapInArrow(pack, "id long, v binary").mapInArrow(collapse, "v binary, ids array<long>")
     dealt = packed.withColumn("h", F.xxhash64("v")).withColumn("shard", F.pmod("h", F.lit(shards)))
@@ -215,13 +212,13 @@ def build_index(spark: SparkSession, rows: DataFrame, k: int, shard_rows: int =
                          **{n: pa.array([a.astype("<i4").tobytes()], pa.binary()) for n, a in g.items()}})
 
     schema = "shard long, dim int, vectors binary, id_at binary, ids binary, nodes binary, edges binary, sizes binary"
-    return written(spark, dealt.groupBy("shard").applyInArrow(index, schema), "hnsw"), shards
+    return written(spark, dealt.groupBy("shard", F.length("v")).applyInArrow(index, schema), "hnsw"), shards
 
 
 def nearest(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             vec: str = "embedding", ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, score): the k best found of each query but itself."""
-    rows = _same_length(valid_vectors(candidates, id_col, vec)).distinct()
+    rows = valid_vectors(candidates, id_col, vec).distinct()
     index, shards = build_index(spark, rows, k, shard_rows)
     q = valid_vectors(queries, id_col, vec).distinct()
     groups = max(1, math.ceil(q.count() / QUERY_GROUP))
@@ -234,25 +231,27 @@ def nearest(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: i
                          "qsize": pa.array([size.astype("<i4").tobytes()], pa.binary()),
                          "q": pa.array([np.concatenate(vs).astype("<f8").tobytes()], pa.binary())})
 
-    # every group of queries meets every shard: two rows of bounded size a task
+    # every group of queries meets every shard: rows of bounded size, one graph for each length of vector
     blocks = (q.withColumn("g", F.pmod(F.xxhash64("id", "v"), F.lit(groups))).groupBy("g")
               .applyInArrow(block, "g long, qid binary, qsize binary, q binary"))
     sent = blocks.withColumn("shard", F.explode(one_of(shards))).groupBy("shard", "g")
     graphs = index.withColumn("g", F.explode(one_of(groups))).groupBy("shard", "g")
 
     def find(right, left):
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        r, b = left.to_pylist()[0], right.to_pylist()[0]
+        parts = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        for b in right.to_pylist():
+            size, q_ids, flat = np.frombuffer(b["qsize"], "<i4"), np.frombuffer(b["qid"], "<i8"), np.frombuffer(b["q"], "<f8")
+            for r in left.to_pylist():
+                fit = size == r["dim"]
+                if fit.any():
+                    parts += best(r, q_ids[fit], flat[np.repeat(fit, size)].reshape(-1, r["dim"]))
+        return pa.concat_tables(parts)
+
+    def best(r, q_ids, qs):
         x = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dim"])
         g = {n: np.frombuffer(r[n], "<i4") for n in ("nodes", "edges", "sizes")}
         id_at, ids = np.frombuffer(r["id_at"], "<i8"), np.frombuffer(r["ids"], "<i8")
-        size = np.frombuffer(b["qsize"], "<i4")
-        fit = size == r["dim"]
-        flat, q_ids = np.frombuffer(b["q"], "<f8"), np.frombuffer(b["qid"], "<i8")[fit]
-        qs = flat[np.repeat(fit, size)].reshape(-1, r["dim"])
-        x32, parts = x.astype(np.float32), [empty]
+        x32 = x.astype(np.float32)
         for lo in range(0, len(qs), QUERY_BLOCK):
             qv = qs[lo:lo + QUERY_BLOCK]
             got = search(x32, g, qv.astype(np.float32), max(ef, k + 1))
@@ -268,8 +267,7 @@ def nearest(spark: SparkSession, candidates: DataFrame, queries: DataFrame, k: i
             order = np.lexsort((vid, -s, qid))
             qid, vid, s = qid[order], vid[order], s[order]
             top = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
-            parts.append(pa.table({"query_id": qid[top], "vec_id": vid[top], "score": s[top]}))
-        return pa.concat_tables(parts)
+            yield pa.table({"query_id": qid[top], "vec_id": vid[top], "score": s[top]})
 
     found = sent.cogroup(graphs).applyInArrow(find, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")     # k rows a shard

@@ -258,3 +258,24 @@ def test_language_sample_is_bounded_and_not_empty(spark, monkeypatch, n_ids):
         assert langs == ["de", "en"] and sizes[0][0] <= 100 and sizes[0][1] <= 50 and sizes[0][0] >= 60
     else:
         assert langs is None
+
+
+def test_vector_search_by_length_with_clashing_columns(spark):
+    from evalspark.llm.vector_search import nearest
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((300, 8)), rng.standard_normal((40, 5))
+    rows = [(i, v.tolist(), i, 0.5) for i, v in enumerate(x)] + [(1000 + i, v.tolist(), i, 0.5) for i, v in enumerate(y)]
+    rows += [(2000, [1.0, 2.0], 0, 0.5)]       # alone with its length: no neighbours
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard long, score double").repartition(3)
+    got = defaultdict(list)
+    for r in nearest(spark, df, df.filter("vec_id % 20 = 0"), 10, shard_rows=100).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert set(got) == {*range(0, 300, 20), 1000, 1020}
+    hits = 0
+    for q, found in got.items():
+        at, z, base = (q, x, 0) if q < 1000 else (q - 1000, y, 1000)
+        s = z @ z[at]
+        s[at] = -np.inf
+        hits += len(set(found) & {int(v) + base for v in np.lexsort((np.arange(len(z)), -s))[:10]})
+        assert len(found) == 10 and all((v >= 1000) == (q >= 1000) for v in found)
+    assert hits >= 0.95 * 10 * len(got)
