@@ -14,14 +14,15 @@ The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text, wh
 size: each block is one bounded broadcast and one pass over a document's seeds, so nothing is
 shuffled and a document or item that is everywhere makes no hot key.
 
-Null or empty documents are clean. Null items, and items of fewer than ``min_match`` words,
-cannot be recognised and match nothing. Equal rows get equal results; items of equal text all
-match. Extra columns are kept and never looked at.
+Null or empty documents are clean. An item of fewer than ``min_match`` words matches nothing, or
+with ``short_items`` matches where it stands whole; items without words, or null, match nothing.
+Equal rows get equal results; items of equal text all match. Extra columns are kept and never
+looked at.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,17 +62,22 @@ def tile(a: list[int], b: list[int], min_match: int) -> list[tuple[int, int, int
     tiles: list[tuple[int, int, int]] = []
     s = _longest(a, b, free_a, free_b, min_match, min(len(a), len(b)))
     while s >= min_match:
-        places = defaultdict(list)
+        places = defaultdict(deque)
         for j, h in _karp_rabin(b, free_b, s):
             places[h].append(j)
         # no match is longer than s here: longer ones were marked in earlier rounds
+        # and marks of this round are of length s, so they reach an end of every window that they touch
         for i, h in list(_karp_rabin(a, free_a, s)):
-            for j in places.get(h, ()):
-                if all(free_a[i:i + s]) and all(free_b[j:j + s]) and a[i:i + s] == b[j:j + s]:
-                    free_a[i:i + s] = [False] * s
-                    free_b[j:j + s] = [False] * s
-                    tiles.append((i, j, s))
-                    break
+            if not (free_a[i] and free_a[i + s - 1]) or h not in places:
+                continue
+            left = places[h]        # places that are marked stay so: none is looked at twice
+            while left and not (free_b[left[0]] and free_b[left[0] + s - 1]):
+                left.popleft()
+            j = next((j for j in left if free_b[j] and free_b[j + s - 1] and a[i:i + s] == b[j:j + s]), None)
+            if j is not None:
+                free_a[i:i + s] = [False] * s
+                free_b[j:j + s] = [False] * s
+                tiles.append((i, j, s))
         s = _longest(a, b, free_a, free_b, min_match, s - 1)
     return tiles
 
@@ -95,48 +101,63 @@ def _longest(a: list[int], b: list[int], free_a: list[bool], free_b: list[bool],
 class Block:
     """Some items: their words as numbers, and the items and places of each seed hash."""
 
-    def __init__(self, items: list[tuple[object, bytes]], min_match: int):
+    def __init__(self, items: list[tuple[object, bytes]], min_match: int, short_items: bool = False):
         self.min_match, self.ids = min_match, [i for i, _ in items]
         w = Words([t for _, t in items], lower=True)
         # numbers of 60 bits stand for words
         self.words = [[int(x >> np.uint64(4)) + 1 for x in w.hash[w.first[k]:w.first[k + 1]]] for k in range(len(items))]
-        at, h = w.grams(min_match)
-        order = np.argsort(h, kind="stable")
-        self.hash, start = np.unique(h[order], return_index=True)
-        self.start = np.append(start, len(h))
-        self.item = w.doc[at[order]]
-        self.place = (at - w.first[w.doc[at]])[order]
+        size = np.diff(w.first)
+        # seeds of min_match words; where short items count, one is a seed of its own length
+        self.tables = []
+        for n in range(1 if short_items else min_match, min_match + 1):
+            at, h = w.grams(n)
+            fit = np.flatnonzero((size[w.doc[at]] == n) | (n == min_match))
+            if len(fit):
+                fit = fit[np.argsort(h[fit], kind="stable")]
+                seed, start = np.unique(h[fit], return_index=True)
+                item = w.doc[at[fit]]
+                self.tables.append((n, seed, np.append(start, len(fit)), item, at[fit] - w.first[item]))
 
     def find(self, texts: list[bytes], threshold: float) -> list[list[tuple[object, int, int]]]:
         """Per text, (item id, tiles, words of the item covered) of the items that it contains."""
         out: list[list] = [[] for _ in texts]
-        if not len(self.hash) or not texts:
+        if not self.tables or not texts:
             return out
         w = Words(texts, lower=True)
-        at, h = w.grams(self.min_match)
-        k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        hit = np.flatnonzero(self.hash[k] == h)
+        # per text and item: the text's words and the item's words inside common seeds
         seeds: dict[tuple[int, int], tuple[set, set]] = defaultdict(lambda: (set(), set()))
-        m = range(self.min_match)
-        for p, e in zip(at[hit].tolist(), k[hit].tolist(), strict=True):
-            d = int(w.doc[p])
-            for x in range(self.start[e], self.start[e + 1]):
-                ours, theirs = seeds[d, int(self.item[x])]
-                ours.add(p)
-                q = int(self.place[x])
-                theirs.update(q + r for r in m)
+        for n, seed, start, item, place in self.tables:
+            at, h = w.grams(n)
+            k = np.minimum(np.searchsorted(seed, h), len(seed) - 1)
+            hit = np.flatnonzero(seed[k] == h)
+            at, k = at[hit], k[hit]
+            order = np.lexsort((at, k, w.doc[at]))
+            at, k = at[order], k[order]
+            doc = w.doc[at]
+            first = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(k) != 0))) if len(at) else at
+            # a seed's places in an item are taken once for a text, however often the text repeats it
+            for x, y in zip(first.tolist(), np.append(first, len(at))[1:].tolist(), strict=True):
+                held = slice(start[k[x]], start[k[x] + 1])
+                ours = {p + r for p in at[x:y].tolist() for r in range(n)}
+                by_item = defaultdict(set)
+                for i, q in zip(item[held].tolist(), place[held].tolist(), strict=True):
+                    by_item[i].update(range(q, q + n))
+                for i, theirs in by_item.items():
+                    mine = seeds[int(doc[x]), i]
+                    mine[0].update(ours)
+                    mine[1].update(theirs)
         for (d, item), (ours, theirs) in sorted(seeds.items()):
             words = self.words[item]
             if len(theirs) < threshold * len(words):
                 continue            # tiles lie inside seeds: coverage cannot reach the threshold
-            keep = sorted({p + r for p in ours for r in m})
+            keep = sorted(ours)
             part, last = [], None
             for p in keep:
                 if last is not None and p != last + 1:
                     part.append(-len(part) - 1)     # a gap: matches nothing
                 part.append(int(w.hash[p] >> np.uint64(4)) + 1)
                 last = p
-            tiles = tile(words, part, self.min_match)
+            tiles = tile(words, part, min(self.min_match, len(words)))
             covered = sum(t[2] for t in tiles)
             if covered >= threshold * len(words):
                 out[d].append((self.ids[item], len(tiles), covered / len(words)))
@@ -157,14 +178,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text: str, block_bytes: int) ->
 
 def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id",
             item_text: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
-            block_bytes: int = 8 << 20) -> Column:
+            block_bytes: int = 8 << 20, short_items: bool = False) -> Column:
     """Column of a document's matches: array<struct<item, n_tiles, coverage>>."""
     small_batches(spark)
     kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"array<struct<item:{kind},n_tiles:int,coverage:double>>"
 
     def column(block: list[tuple[object, bytes]]) -> Column:
-        shared = spark.sparkContext.broadcast(Block(block, min_match))
+        shared = spark.sparkContext.broadcast(Block(block, min_match, short_items))
 
         @pandas_udf(schema)
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -279,3 +279,22 @@ def test_vector_search_by_length_with_clashing_columns(spark):
         hits += len(set(found) & {int(v) + base for v in np.lexsort((np.arange(len(z)), -s))[:10]})
         assert len(found) == 10 and all((v >= 1000) == (q >= 1000) for v in found)
     assert hits >= 0.95 * 10 * len(got)
+
+
+def test_decontamination_of_short_items_and_repeated_words(spark):
+    import time
+
+    from evalspark.llm.decontaminate import Block, decontaminate
+    started = time.monotonic()
+    block = Block([("long", b"ha " * 20000), ("two", b"Blue whale"), ("none", b"  "), ("one", b"zyzzyva")], 5, short_items=True)
+    got = block.find([b"ha " * 40000, b"a blue whale sings", b"blue and whale", b"", b"ha " * 11999, b"ha " * 12000, b"zyzzyva"], 0.6)
+    assert [[(i, n, round(c, 4)) for i, n, c in r] for r in got] == [
+        [("long", 1, 1.0)], [("two", 1, 1.0)], [], [], [], [("long", 1, 0.6)], [("one", 1, 1.0)]]
+    assert time.monotonic() - started < 30      # far from the square of the lengths
+    docs = spark.createDataFrame([(None, "the blue WHALE", 1), (1, "blue", 2), (1, "blue", 2), (2, None, 3)],
+                                 "doc_id long, text string, matches int")
+    bench = spark.createDataFrame([(7, "blue whale"), (8, None)], "item_id long, text string")
+    left = decontaminate(spark, docs, bench, short_items=True)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["matches"]) for r in left.collect()) == [(1, "blue", 2), (1, "blue", 2), (2, None, 3)]
+    assert decontaminate(spark, docs.limit(0), bench).count() == 0
