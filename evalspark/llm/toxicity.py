@@ -1,10 +1,11 @@
 """Toxicity scores from a bidirectional GRU with attention pooling, trained in numpy.
 
 Each word enters as its embedding joined to the mean embedding of its byte trigrams (white
-space marks both ends), so that unseen forms of a known stem are recognised. All windows of
-``WINDOW`` words, a new one every ``STRIDE`` words, are read forwards and backwards by gated
-recurrent units; attention weighs the states of a window, a logistic unit scores it. A text's
-score is that of its highest window, so that a short passage counts in a long text.
+space marks both ends), so that unseen forms of a known stem are recognised. All overlapping
+windows of ``WINDOW`` words, one from every word on, are read forwards and backwards by gated
+recurrent units; attention weighs the states of a window, a logistic unit scores it. A text of
+fewer words is one window. A text's score is that of its highest window, so that a short passage
+counts in a long text, wherever it stands.
 
 Training reads a bounded sample (``positives`` and ``negatives`` labelled texts of at most
 ``sample_bytes`` each, in the order of a hash of their ids) on the driver; a text's loss goes
@@ -13,7 +14,8 @@ shuffle over whole texts.
 
 Null, empty and blank texts: no word, score 0. Labels that are null or belong to no text are
 left out; of several labels of an id the largest counts. Without both classes in the sample
-every score is 0. Equal texts score equally. Extra columns are kept and never looked at.
+every score is 0. Equal texts score equally, but for the last digits of 32-bit floats. Extra columns
+are kept and never looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql.functions import pandas_udf
 from evalspark.llm.common import free_name, id_fold, small_batches, table, text_bytes
 from evalspark.llm.textarrays import U, Words
 
-WINDOW, STRIDE = 32, 16
+WINDOW = 12
 WORD_ROWS, TRI_ROWS, EMBED, HIDDEN = 1 << 14, 1 << 14, 8, 8
 POSITIVES, NEGATIVES, SAMPLE_BYTES, EPOCHS, STEPS = 1500, 2500, 1 << 15, 6, 360
 THRESHOLD = 0.7
@@ -53,11 +55,10 @@ class Inputs:
         code = b[at] | (b[at + 1] << np.uint32(8)) | (b[at + 2] << np.uint32(16))
         self.tri = ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int32)
         n = np.diff(w.first)
-        gap = WINDOW - STRIDE
-        count = np.where(n > 0, np.maximum(1, -(-(n - gap) // STRIDE)), 0)
+        count = np.where(n > 0, np.maximum(1, n - WINDOW + 1), 0)
         self.doc = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        self.at = w.first[self.doc] + nth * STRIDE
+        self.at = w.first[self.doc] + nth
         self.len = np.minimum(WINDOW, w.first[self.doc + 1] - self.at)
 
     def vectors(self, p: Model) -> np.ndarray:
@@ -126,6 +127,80 @@ def forward(p: Model, proj: dict[str, np.ndarray], which: np.ndarray, at: np.nda
     return pooled @ p["wo"] + p["bo"][0]
 
 
+def _halved(rows: np.ndarray) -> np.ndarray:
+    """A copy with the rows of both gates halved, for ``_side``."""
+    return rows * np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, 0.5, 1).astype(np.float32)[:, None]
+
+
+def _side(proj: np.ndarray, wh: np.ndarray, places: list) -> list[np.ndarray]:
+    """States (H, B) after each of ``places``, which pick columns of ``proj``; nothing is masked.
+
+    The rows of both gates in ``proj`` and ``wh`` come halved: sigmoid(x) = (tanh(x / 2) + 1) / 2.
+    """
+    k, out, h = HIDDEN, [], None
+    for place in places:
+        x = proj[:, place]
+        if h is None:       # the state before the first word is zero, and so are its products
+            gates = np.tanh(x[:2 * k])
+            n = np.tanh(x[2 * k:])
+        else:
+            g = wh @ h
+            gates = np.tanh(g[:2 * k] + x[:2 * k])
+        gates += 1
+        gates *= np.float32(0.5)
+        if h is not None:
+            n = g[2 * k:]
+            n *= gates[k:]
+            n += x[2 * k:]
+            np.tanh(n, out=n)
+        new = -n if h is None else h - n
+        new *= gates[:k]
+        new += n
+        h = new
+        out.append(h)
+    return out
+
+
+def _sliding(p: Model, cols: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """As ``forward`` for whole windows that begin at the ascending words ``at``.
+
+    ``cols`` has a column a distinct word. Neighbouring windows read neighbouring words, so the
+    columns are laid out once and each step takes a slice. That also covers windows that begin
+    between those of ``at`` (they cross from text to text); where those were more than half, the
+    columns are picked step by step.
+    """
+    span = int(at[-1] - at[0]) + 1
+    if span <= 2 * len(at):
+        cols = {side: x[:, which[at[0]:at[0] + span + WINDOW - 1]] for side, x in cols.items()}
+        places, mine = [slice(t, t + span) for t in range(WINDOW)], at - at[0]
+    else:
+        places, mine = [which[at + t] for t in range(WINDOW)], slice(None)
+    f = _side(cols["f"], _halved(p["wh_f"].T), places)
+    b = _side(cols["b"], _halved(p["wh_b"].T), places[::-1])[::-1]
+    k = HIDDEN
+    # rows of one product: what attention looks at, and the state's part of the logit
+    mf, mb = (np.concatenate([p["wa"][i], p["wo"][i, None]], 1).T for i in (slice(0, k), slice(k, 2 * k)))
+    m = [mf @ x + mb @ y for x, y in zip(f, b, strict=True)]
+    e = np.stack([p["va"] @ np.tanh(x[:k]) for x in m])
+    a = np.exp(e - e.max(0))
+    return ((a * np.stack([x[k] for x in m])).sum(0) / a.sum(0) + p["bo"][0])[mine]
+
+
+def all_logits(p: Model, proj: dict[str, np.ndarray], i: Inputs, step: int = 1 << 10) -> np.ndarray:
+    """Logits of all windows of a batch, ``step`` at a time: the arrays then stay in the processor's caches."""
+    out = np.empty(len(i.at), np.float32)
+    short = np.flatnonzero(i.len < WINDOW)
+    for lo in range(0, len(short), step):
+        pick = short[lo:lo + step]
+        out[pick] = forward(p, proj, i.which, i.at[pick], i.len[pick])
+    whole = np.flatnonzero(i.len == WINDOW)
+    cols = {side: _halved(x.T) for side, x in proj.items()}
+    for lo in range(0, len(whole), step):
+        pick = whole[lo:lo + step]
+        out[pick] = _sliding(p, cols, i.which, i.at[pick])
+    return out
+
+
 def backward(p: Model, x: np.ndarray, c: dict, dlogit: np.ndarray) -> tuple[Model, np.ndarray]:
     """Gradients of the weights, and of the word vectors."""
     k, live = HIDDEN, c["live"]
@@ -182,7 +257,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int
                 continue
             x = i.vectors(p)
             proj = project(p, x)
-            logit = forward(p, proj, i.which, i.at, i.len)
+            logit = all_logits(p, proj, i)
             rank = np.lexsort((-logit, i.doc))
             top = rank[np.flatnonzero(np.diff(i.doc[rank], prepend=-1))]
             keep: dict = {}
@@ -202,23 +277,15 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int
     return p
 
 
-def scores(p: Model, texts: list[bytes], step: int = 1 << 10, part: int = 1 << 19) -> np.ndarray:
-    """Score of each text: its highest window.
-
-    Texts are taken some ``part`` bytes, windows ``step`` at a time: the arrays then stay in
-    the processor's caches.
-    """
+def scores(p: Model, texts: list[bytes], part: int = 1 << 19) -> np.ndarray:
+    """Score of each text: its highest window. Texts are taken some ``part`` bytes at a time."""
     out, lo = np.zeros(len(texts)), 0
     ends = np.cumsum([len(t) for t in texts])
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + part)))
         i = Inputs(texts[lo:hi])
-        proj = project(p, i.vectors(p))
-        order = np.argsort(i.len, kind="stable")        # windows of one length together: few need masks
-        for k in range(0, len(order), step):
-            pick = order[k:k + step]
-            s = _sigmoid(forward(p, proj, i.which, i.at[pick], i.len[pick]).astype(np.float64))
-            np.maximum.at(out, lo + i.doc[pick], s)
+        logit = all_logits(p, project(p, i.vectors(p)), i)
+        np.maximum.at(out, lo + i.doc, _sigmoid(logit.astype(np.float64)))
         lo = hi
     return out
 
