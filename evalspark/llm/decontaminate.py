@@ -10,9 +10,16 @@ if an item's coverage reaches ``threshold``.
 Every tile consists of seeds, so a document's words outside seeds of the item are left out of
 the pair's tiling without changing it. Words are lower-cased (A to Z).
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text, whatever its
-size: each block is one bounded broadcast and one pass over a document's seeds, so nothing is
-shuffled and a document or item that is everywhere makes no hot key.
+Seeds are joined: the benchmark's seeds are a table, hash by item, and so are the documents'
+seeds that occur in it. Pairs meet by seed, a pair's seeds by pair, and each pair is tiled from
+the item's words and the document's words inside the seeds, so whole texts move no more. Texts
+and items are known by their digest: equal ones are tiled once, and a text of many copies makes
+no hot key. A bitmap of ``BITMAP`` bits, of that size whatever the benchmark's, keeps most seeds
+that the benchmark lacks out of the shuffle; the join decides.
+
+``matches`` gives the same as a column without any shuffle, for a benchmark that is known to be
+small: it reads the benchmark on the driver and broadcasts it in blocks of at most
+``block_bytes`` of text.
 
 Null or empty documents are clean. An item of fewer than ``min_match`` words matches nothing, or
 with ``short_items`` matches where it stands whole; items without words, or null, match nothing.
@@ -31,10 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from evalspark.llm.common import free_name, small_batches, table, text_bytes
+from evalspark.llm.common import free_name, small_batches, table, text_bytes, written
 from evalspark.llm.textarrays import Words
 
-MIN_MATCH, THRESHOLD = 5, 0.6
+MIN_MATCH, THRESHOLD, BITMAP = 5, 0.6, 1 << 24
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 
 
@@ -199,16 +206,130 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: st
     return F.concat(*parts) if parts else F.array().cast(schema)
 
 
+def _numbers(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of 60 bits, over 0, stand for words."""
+    return (hashes >> np.uint64(4)).astype(np.int64) + 1
+
+
+def _item_seeds(items: DataFrame, sizes: range, min_match: int) -> DataFrame:
+    """Each seed of each item (``item_key``, ``item_text``), once: (seed, item_key)."""
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w, keys = Words(list(b["item_text"]), lower=True), b["item_key"].to_numpy()
+            size = np.diff(w.first)
+            for n in sizes:
+                at, h = w.grams(n)
+                item = w.doc[at]
+                fit = (size[item] == n) | (n == min_match)
+                one = pd.DataFrame({"seed": h[fit].view(np.int64), "item": item[fit]}).drop_duplicates()
+                yield pd.DataFrame({"seed": one["seed"], "item_key": keys[one["item"]]})
+
+    return items.mapInPandas(seeds, "seed long, item_key string")
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which slots the seeds take: at most BITMAP / 64 numbers come to the driver."""
+    slot = seeds.select((F.col("seed").bitwiseAND(F.lit(BITMAP - 1))).alias("slot"))
+    rows = (slot.groupBy(F.shiftright("slot", 6).alias("at"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).collect())
+    out = np.zeros(BITMAP // 64, np.int64)
+    out[[r["at"] for r in rows]] = [r["bits"] for r in rows]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _document_seeds(spark: SparkSession, texts: DataFrame, bitmap: np.ndarray, sizes: range) -> DataFrame:
+    """Seeds of ``texts`` (``doc_key``, ``doc_text``) whose slot is taken: (doc_key, place, seed, words), once a text."""
+    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = np.unpackbits(shared.value).view(bool)
+        for b in batches:
+            w, keys = Words(list(b["doc_text"]), lower=True), b["doc_key"].to_numpy()
+            number = _numbers(w.hash)
+            for n in sizes:
+                at, h = w.grams(n)
+                hit = taken[(h & np.uint64(BITMAP - 1)).astype(np.int64)]
+                at, h = at[hit], h[hit]
+                yield pd.DataFrame({"doc_key": keys[w.doc[at]], "place": at - w.first[w.doc[at]], "seed": h.view(np.int64),
+                                    "words": pd.Series([number[p:p + n] for p in at.tolist()], dtype=object)})
+
+    rows = texts.mapInPandas(seeds, "doc_key string, place long, seed long, words array<long>")
+    return rows.dropDuplicates(["doc_key", "place", "seed"])
+
+
+def _tile_pair(words: list[int], seeds: list, min_match: int, threshold: float) -> tuple[int, float] | None:
+    """(tiles, coverage) of an item's ``words`` by a document's ``seeds`` (place, words); None under ``threshold``."""
+    common, ours = set(), {}
+    for seed in seeds:
+        part = tuple(seed["words"].tolist())
+        common.add(part)
+        ours.update((seed["place"] + r, x) for r, x in enumerate(part))
+    theirs = {q + r for n in {len(c) for c in common} for q in range(len(words) - n + 1)
+              if tuple(words[q:q + n]) in common for r in range(n)}
+    if len(theirs) < threshold * len(words):
+        return None         # tiles lie inside seeds: coverage cannot reach the threshold
+    text, last = [], None
+    for p in sorted(ours):
+        if last is not None and p != last + 1:
+            text.append(-len(text) - 1)     # a gap: matches nothing
+        text.append(ours[p])
+        last = p
+    tiles = tile(words, text, min(min_match, len(words)))
+    covered = sum(t[2] for t in tiles)
+    return (len(tiles), covered / len(words)) if covered >= threshold * len(words) else None
+
+
+def found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id",
+          item_text: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
+          short_items: bool = False) -> DataFrame:
+    """(doc_key, matches) of the texts that hold an item; ``doc_key`` is the digest of the text's bytes.
+
+    ``matches`` is array<struct<item, n_tiles, coverage>>, ordered by item.
+    """
+    small_batches(spark)
+    sizes = range(1 if short_items else min_match, min_match + 1)
+    named = benchmark.select(F.col(item_col).alias("item"), text_bytes(item_text).alias("item_text"))
+    named = named.withColumn("item_key", F.sha2("item_text", 256))
+    items = named.select("item_key", "item_text").dropDuplicates(["item_key"])
+    seeds = written(spark, _item_seeds(items, sizes, min_match), "item-seeds")
+    texts = docs.select(text_bytes(text).alias("doc_text")).select(F.sha2("doc_text", 256).alias("doc_key"), "doc_text")
+    pairs = (_document_seeds(spark, texts, _bitmap(seeds), sizes).join(seeds, "seed")
+             .groupBy("doc_key", "item_key").agg(F.collect_list(F.struct("place", "words")).alias("seeds")))
+
+    @pandas_udf("struct<n_tiles:int,coverage:double>")
+    def tiled(item: pd.Series, both: pd.Series) -> pd.DataFrame:
+        w = Words(list(item), lower=True)
+        number = _numbers(w.hash).tolist()
+        rows = [_tile_pair(number[w.first[k]:w.first[k + 1]], s, min_match, threshold) for k, s in enumerate(both)]
+        return pd.DataFrame([r or (0, None) for r in rows], columns=["n_tiles", "coverage"])
+
+    good = (pairs.join(items, "item_key").select("doc_key", "item_key", tiled("item_text", "seeds").alias("t"))
+            .filter("t.coverage is not null"))
+    one = F.struct("item", "t.n_tiles", "t.coverage")
+    return written(spark, good.join(named.select("item_key", "item"), "item_key").groupBy("doc_key")
+                   .agg(F.sort_array(F.collect_list(one)).alias("matches")), "contaminated")
+
+
+def with_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, name: str, text: str = "text", **kw) -> DataFrame:
+    """``docs`` with a column ``name`` of each document's matches, empty where there are none."""
+    key = free_name(docs, "doc_key")
+    hits = found(spark, docs, benchmark, text, **kw)
+    kind = hits.schema["matches"].dataType
+    hits = hits.select(F.col("doc_key").alias(key), F.col("matches").alias(name))
+    return (docs.withColumn(key, F.sha2(text_bytes(text), 256)).join(hits, key, "left")
+            .select(*docs.columns, F.coalesce(name, F.array().cast(kind)).alias(name)))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", **kw) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    name = free_name(docs, "matches")
-    return docs.withColumn(name, matches(spark, docs, benchmark, text, **kw)).filter(F.size(name) == 0).drop(name)
+    key = free_name(docs, "doc_key")
+    hits = found(spark, docs, benchmark, text, **kw).select(F.col("doc_key").alias(key))
+    return docs.withColumn(key, F.sha2(text_bytes(text), 256)).join(hits, key, "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether it is contaminated, the items that it contains, its largest coverage."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    m = matches(spark, docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", m.alias("m")).select(
+    return with_matches(spark, docs, table(spark, sf_dir, "benchmark"), "m").select(
         "doc_id", (F.size("m") > 0).alias("contaminated"), F.sort_array("m.item").alias("items"),
         F.round(F.coalesce(F.array_max("m.coverage"), F.lit(0.0)), 6).alias("coverage"))
