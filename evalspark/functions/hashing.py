@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize, small_side
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -95,10 +97,11 @@ def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
     the one or two buckets that hold the ranks around q·(n−1). The next reads those buckets'
     rows alone and cuts them finer, so that a bucket holds a million distinct doubles at most,
     however close a group's values are. The last counts equal values and looks the ranks up.
+    The ranks' table is sent to the rows, which are read twice and not shuffled but for the histogram.
     Infinite values take part as the ends of the order, NaN as above all of them (as Spark orders it).
     """
     g = list(group_cols)
-    rows = df.filter(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("__x"))
+    rows = df.filter(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("__x"), F.lit(1).cast("long").alias("__k"))
     pos = F.lit(float(q)) * (F.col("__n") - 1)
     lo, hi = F.floor("__pos") + 1, F.ceil("__pos") + 1
     end = F.col("__end")
@@ -108,16 +111,18 @@ def exact_percentile(df: DataFrame, group_cols: list[str], value: str, q: float,
         b = f"__b{level}"
         rows = rows.withColumn(b, order_bucket(F.col("__x"), n_steps))
         carried = ["__pos", "__base"] if level else []
-        hist = rows.groupBy(*g, *known, b).agg(F.count(F.lit(1)).alias("__c"), *(F.first(c).alias(c) for c in carried))
+        hist = rows.groupBy(*g, *known, b).agg(F.sum("__k").alias("__c"), *(F.first(c).alias(c) for c in carried))
         up_to = Window.partitionBy(*g, *known).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         if level == 0:
             hist = hist.withColumn("__n", F.sum("__c").over(Window.partitionBy(*g))).withColumn("__pos", pos) \
                 .withColumn("__base", F.lit(0).cast("long"))
         cum = hist.withColumn("__end", F.col("__base") + F.sum("__c").over(up_to)).withColumn("__before", end - F.col("__c"))
         known.append(b)
-        wanted = cum.filter(holds).select(*g, *known, F.col("__before").alias("__base"), "__pos")
+        wanted = small_side(cum.filter(holds).select(*g, *known, F.col("__before").alias("__base"), "__pos"), "ranks")
         rows = rows.drop("__pos", "__base").join(wanted, [*g, *known])
-    vc = rows.groupBy(*g, *known, "__x").agg(F.count(F.lit(1)).alias("__c"), F.first("__base").alias("__base"),
+        if level == 0:      # all later steps read these buckets' distinct values and how often they occur
+            rows = materialize(rows.groupBy(*g, *known, "__base", "__pos", "__x").agg(F.sum("__k").alias("__k")), "rank-rows")
+    vc = rows.groupBy(*g, *known, "__x").agg(F.sum("__k").alias("__c"), F.first("__base").alias("__base"),
                                              F.first("__pos").alias("__pos"))
     wb = Window.partitionBy(*g, *known).orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     vc = vc.withColumn("__end", F.col("__base") + F.sum("__c").over(wb))
@@ -144,12 +149,14 @@ def hash_threshold(rows: DataFrame, group_cols: list[str], order_hex: str, tiebr
     ranking or shuffling the rows: a distributed selection.
 
     ``quotas`` is ``(group, quota)``. A histogram of the first ``digits`` hex digits (map-side combined) tells
-    the bucket that holds the rank; the rows of that bucket alone are cut by the next digits, and so on;
-    only what is left after ``levels`` cuts, one row in 16**(digits * levels), is sorted. Both are null where
-    the quota is 0 or at least the number of rows.
+    the bucket that holds the rank; the rows of that bucket alone are written and cut by the next digits, and so on;
+    only what is left after ``levels`` cuts, one row in 16**(digits * levels), is sorted. The table of cuts is sent to
+    the rows (:func:`~evalspark.session.small_side`), so the rows are read twice and never shuffled. Both are null
+    where the quota is 0 or at least the number of rows.
     """
     g = list(group_cols)
-    left = quotas.select(*g, "quota", F.col("quota").alias("__rest"))
+    quotas = small_side(quotas.select(*g, "quota"), "quotas")
+    left = quotas.withColumn("__rest", F.col("quota"))
     inside = rows.select(*g, order_hex, tiebreak)
     for level in range(levels):
         b = F.substring(order_hex, 1 + level * digits, digits)
@@ -157,9 +164,12 @@ def hash_threshold(rows: DataFrame, group_cols: list[str], order_hex: str, tiebr
         up_to = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cum = hist.withColumn("__end", F.sum("__c").over(up_to)).join(left, g)
         rest = F.col("__rest") - F.col("__end") + F.col("__c")
-        left = cum.filter((rest >= 1) & (F.col("__rest") <= F.col("__end"))).select(*g, "quota", "__b", rest.alias("__rest"))
-        inside = inside.join(left.select(*g, F.col("__b").alias("__cut")), g).filter(b == F.col("__cut")).drop("__cut")
-        left = left.drop("__b")
+        left = small_side(cum.filter((rest >= 1) & (F.col("__rest") <= F.col("__end"))).select(
+            *g, "quota", F.col("__b").alias("__cut"), rest.alias("__rest")), "cuts")
+        inside = inside.join(left, g).filter(b == F.col("__cut")).select(*inside.columns)
+        if level == 0:      # all later steps read the rows of one bucket in 16**digits
+            inside = materialize(inside, "cut-rows")
+        left = left.drop("__cut")
     rank = F.row_number().over(Window.partitionBy(*g).orderBy(order_hex, tiebreak))
     last = inside.join(left, g).withColumn("__r", rank).filter(F.col("__r") == F.col("__rest")) \
         .select(*g, F.col(order_hex).alias("__th"), F.col(tiebreak).alias("__tid"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, small_side
 from ..functions.hashing import bucket_cumsum, hash_rank, hash_threshold, order_bucket, seeded_hash, within_threshold
 
 
@@ -32,7 +32,7 @@ def rare_class_filter(df: DataFrame, min_samples: int = 10, key_cols=("key",),
     keys = _keys(key_cols)
     kept = class_counts(df, keys, cls).filter(F.col("cnt") >= min_samples)
     good_keys = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").drop("k")
-    kept = kept.join(good_keys, keys, "left_semi").select(*keys, cls)
+    kept = small_side(kept.join(good_keys, keys, "left_semi").select(*keys, cls), "kept-classes")
     return df.join(kept, keys + [cls], "left_semi")
 
 
@@ -101,18 +101,12 @@ def largest_remainder_quota(counts: DataFrame, keys: list[str], cls: str,
             .drop("__n", "__take", "__num", "__q0", "__rem", "__extra", "__r"))
 
 
-#: Groups up to which their thresholds are sent to every executor.
-BROADCAST_GROUPS = 100_000
-
-
 def first_by_hash(rows: DataFrame, groups: list[str], quotas: DataFrame, id_col: str, order_hex: str = "__h") -> DataFrame:
     """Adds ``chosen``: whether a row is among the first ``quota`` of its group by ``order_hex``.
 
     The group's threshold is selected from histograms (:func:`hash_threshold`) and written; every row
     is then decided by comparison, where it lies: the rows are neither sorted nor shuffled."""
-    cuts = materialize(hash_threshold(rows, groups, order_hex, id_col, quotas), "thresholds")
-    if cuts.count() <= BROADCAST_GROUPS:
-        cuts = F.broadcast(cuts)
+    cuts = small_side(hash_threshold(rows, groups, order_hex, id_col, quotas), "thresholds")
     return rows.join(cuts, groups).withColumn("chosen", within_threshold(order_hex, id_col)).drop("__th", "__tid", "quota")
 
 
@@ -196,22 +190,23 @@ def group_ids(long_df: DataFrame, key_cols=("key",), id_col: str = "row_id",
               feature: str = "feature", value: str = "value") -> DataFrame:
     """Rows with identical non-zero values share a group; all-zero rows are singletons.
 
-    Input is long form (keys, row_id, feature, value). The signature is the sorted list of
-    non-zero (feature, value) pairs, hashed; the group is named by its smallest row id.
+    Input is long form (keys, row_id, feature, value). The signature is the number of
+    non-zero (feature, value) pairs and the sums of the four words of their md5, which do not
+    depend on their order: one hash aggregate of five numbers a row, no list that is held or
+    sorted. The group is named by its smallest row id. Rows without a key or id are left out.
     Output: (keys, row_id, group_id, group_size).
     """
     keys = _keys(key_cols)
-    nz = long_df.filter(F.col(value) != 0)
-    sig = (nz.groupBy(*keys, id_col)
-           .agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(
-               F.col(feature).cast("string").alias("f"), F.col(value).alias("v"))))), 256)
-                .alias("sig")))
-    rows = long_df.select(*keys, id_col).distinct().join(sig, keys + [id_col], "left")
-    rows = rows.withColumn("sig", F.coalesce("sig", F.concat(F.lit("__unique_"),
-                                                              F.col(id_col).cast("string"))))
+    pair = F.md5(F.to_json(F.struct(F.col(feature).cast("string").alias("f"), F.col(value).alias("v"))))
+    known = long_df.dropna(subset=[*keys, id_col]).withColumn("__p", F.when(F.col(value) != 0, pair))
+    part = lambda i: F.conv(F.substring("__p", 8 * i + 1, 8), 16, 10).cast("long")
+    rows = known.groupBy(*keys, id_col).agg(F.count("__p").alias("__n"), *(F.sum(part(i)).alias(f"__s{i}") for i in range(4)))
+    rows = rows.select(*keys, id_col, F.when(F.col("__n") > 0, F.concat_ws(",", "__n", *(f"__s{i}" for i in range(4)))).otherwise(
+        F.concat(F.lit("__unique_"), F.col(id_col).cast("string"))).alias("sig"))
+    rows = materialize(rows, "signatures")
     # group name and size by a partial aggregate joined back (a hot signature is a skewed
     # join key, which AQE splits) rather than a window that holds the group in one task
-    g = rows.groupBy(*keys, "sig").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    g = small_side(rows.groupBy(*keys, "sig").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return rows.join(g, keys + ["sig"]).select(*keys, id_col, "group_id", "group_size")
 
 
@@ -225,14 +220,14 @@ def kfold_grouped(groups: DataFrame, k: int, key_cols=("key",), id_col: str = "r
     keys = _keys(key_cols)
     g = groups.select(*keys, "group_id", "group_size").distinct()
     ng = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ng"))
-    few = ng.filter(F.col("__ng") < k).select(*keys)
+    few = small_side(ng.filter(F.col("__ng") < k).select(*keys), "few-groups")
     gid = F.col("group_id")
     by_id = F.substring(gid, 1, 3) if dict(g.dtypes)["group_id"] == "string" else order_bucket(gid, 1024)
     pos = (F.col("__rn") - 1) % (2 * k)
     g = bucket_cumsum(g.join(few, keys, "left_anti"), keys, F.struct((-F.col("group_size")).alias("s"), by_id.alias("i")),
                       [F.col("group_size").desc(), gid], out="__rn").withColumn(
         "row_fold", F.when(pos < k, pos).otherwise(2 * k - 1 - pos).cast("int"))
-    rows = groups.select(*keys, id_col, "group_id").join(g.select(*keys, "group_id", "row_fold"),
+    rows = groups.select(*keys, id_col, "group_id").join(small_side(g.select(*keys, "group_id", "row_fold"), "group-folds"),
                                                          keys + ["group_id"])
     dealt = _expand_folds(rows.withColumn("repeat", F.lit(0)), k, keys, id_col)
     plain = kfold_plain(groups.select(*keys, id_col).join(few, keys, "left_semi"), k, 1, keys, id_col)
@@ -247,8 +242,8 @@ def holdout_grouped(groups: DataFrame, seeds, test_size: float = 0.2, key_cols=(
     g = groups.select(*keys, "group_id").distinct()
     ng = g.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("quota"))
     gs = with_seeds(g, seeds).withColumn("__h", seeded_hash("seed", "group_id"))
-    chosen = first_by_hash(gs, keys + ["seed"], with_seeds(ng, seeds), "group_id").select(
-        *keys, "seed", "group_id", F.when(F.col("chosen"), "test").otherwise("train").alias("part"))
+    chosen = small_side(first_by_hash(gs, keys + ["seed"], with_seeds(ng, seeds), "group_id").select(
+        *keys, "seed", "group_id", F.when(F.col("chosen"), "test").otherwise("train").alias("part")), "group-parts")
     return (groups.select(*keys, id_col, "group_id").join(chosen, keys + ["group_id"])
             .select(*keys, "seed", id_col, "part"))
 

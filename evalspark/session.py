@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _default_driver_mem() -> str:
@@ -85,3 +86,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Rows up to which a written table is sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, name: str = "small") -> DataFrame:
+    """The small side of a join, written once and broadcast if its rows, then known, are few.
+
+    Spark cannot tell the size of an aggregate before it has run: it shuffles the large side
+    too, by a key of few values, before it learns that it need not. A table of more rows than
+    :data:`BROADCAST_ROWS` is joined as any other."""
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
