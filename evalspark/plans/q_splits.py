@@ -177,8 +177,8 @@ SELECT CAST(CASE WHEN pos < 5 THEN pos ELSE 9 - pos END AS INTEGER) AS seed, cou
        count(DISTINCT g.group_id) AS n_groups
 FROM g JOIN gs ON g.key = gs.key AND g.group_id = gs.group_id GROUP BY 1""")
 def q_kfold_grouped(spark, d):
-    f = S.kfold_grouped(S.group_ids(_group_long(spark, d)), 5)
     g = S.group_ids(_group_long(spark, d))
+    f = S.kfold_grouped(g, 5)
     return (f.filter("part = 'test'").join(g, ["key", "row_id"])
             .groupBy("seed").agg(F.count(F.lit(1)).alias("n_test"),
                                  F.countDistinct("group_id").alias("n_groups")))

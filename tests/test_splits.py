@@ -163,3 +163,33 @@ def test_kfold_grouped_deals_in_order_of_size_and_id(spark):
         order = sorted({(-s, gid if cast == "long" else str(gid)) for _, _, gid, s in rows})
         pos = [i % 10 for i in range(len(order))]
         assert got == {gid: p if p < 5 else 9 - p for (_, gid), p in zip(order, pos, strict=True)}
+
+
+def test_threshold_and_percentile_do_not_shuffle_the_rows(spark):
+    """The rows meet small tables of cuts: shuffled by a key of few values they would all lie in a few tasks."""
+    import evalspark.functions.hashing as H
+    seen, kept = [], H.materialize
+    H.materialize = lambda df, name="table": (seen.append((name, df._jdf.queryExecution().executedPlan().toString())), kept(df, name))[1]
+    try:
+        df = spark.range(4000).selectExpr("id % 2 as g", "id as i", "md5(cast(id as string)) as h", "cast(id as double) as v")
+        q = spark.createDataFrame([(0, 100), (1, 3000)], "g long, quota long")
+        cut = H.hash_threshold(df, ["g"], "h", "i", q)
+        assert df.join(cut, "g").filter(H.within_threshold("h", "i")).count() == 2100
+        assert sorted(r[1] for r in H.exact_percentile(df, ["g"], "v", 0.5).collect()) == [1999.0, 2000.0]
+    finally:
+        H.materialize = kept
+    plans = dict(seen)
+    assert "BroadcastHashJoin" in plans["cut-rows"] and "hashpartitioning" not in plans["cut-rows"]
+    assert "BroadcastHashJoin" in plans["rank-rows"] and "SortMergeJoin" not in plans["rank-rows"]
+
+
+def test_group_ids_hold_no_lists(spark):
+    rows = [("k", i, f, float(v)) for i, vs in enumerate([(1, 2), (2, 1), (1, 2), (0, 0), (0, 0), (1, 0), (0, 1)])
+            for f, v in zip("ab", vs)] + [("k", None, "a", 1.0), (None, 9, "a", 1.0), ("k", 7, "a", None), ("k", 8, "a", 1.0), ("k", 8, "b", None)]
+    df = spark.createDataFrame(rows, "key string, row_id long, feature string, value double")
+    out = S.group_ids(df)
+    got = {(r.key, r.row_id): (r.group_id, r.group_size) for r in out.collect()}
+    assert got == {("k", 0): (0, 2), ("k", 2): (0, 2), ("k", 1): (1, 1), ("k", 3): (3, 1), ("k", 4): (4, 1),
+                   ("k", 5): (5, 2), ("k", 8): (5, 2), ("k", 6): (6, 1), ("k", 7): (7, 1)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan
