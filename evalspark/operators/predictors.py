@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_number
+from ..session import materialize, small_side
 
 UNIT_SPLIT = ["seed", "key"]
 
+#: Test rows of a unit that one call of a user's estimator takes: a frame of some ten MB.
+BYO_ROWS = 100_000
+
 
 def _majority(counts: DataFrame, keys: list[str], cls: str = "target") -> DataFrame:
     """Most frequent class per group; tie: label ascending."""
@@ -61,12 +65,14 @@ def rule_models(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
                  F.aggregate("tc", F.lit(0).cast("long"), lambda acc, x: acc + x["cnt"]).alias("tot"), "tc")
     K = K.withColumn("proba", F.map_from_entries(F.transform(
         "tc", lambda x: F.struct(x["target"], x["cnt"] / F.col("tot"))))).drop("tc", "tot")
+    K = small_side(K, "key-models")
     G = g_counts.groupBy("seed", "key", "grp").agg(
         top().alias("g_major"), F.map_from_entries(F.collect_list(F.struct("target", "cnt"))).alias("gm"),
         F.sum("cnt").alias("gtot"))
     G = G.join(K.select("seed", "key", "classes"), UNIT_SPLIT).select(
         "seed", "key", "grp", "g_major", F.map_from_arrays("classes", F.transform(
             "classes", lambda c: F.coalesce(F.col("gm")[c], F.lit(0)) / F.col("gtot"))).alias("g_proba"))
+    G = small_side(G, "group-models")
     t = test.join(K, UNIT_SPLIT).join(G, ["seed", "key", "grp"], "left")
     h = hash_number(F.concat_ws(":", F.lit("HASH"), F.col("seed").cast("string"),
                                 F.col("row_id").cast("string")))
@@ -93,7 +99,7 @@ def regression_models(parts: DataFrame) -> DataFrame:
     k = train.groupBy("seed", "key").agg(F.avg("y").alias("mu"),
                                          (F.sum("y") / F.sum("x1")).alias("rate"))
     g = train.groupBy("seed", "key", "grp").agg(F.avg("y").alias("g_mu"))
-    t = test.join(k, UNIT_SPLIT).join(g, ["seed", "key", "grp"], "left")
+    t = test.join(small_side(k, "key-means"), UNIT_SPLIT).join(small_side(g, "group-means"), ["seed", "key", "grp"], "left")
     return t.select("seed", "key", "row_id", "y", F.explode(F.array(
         F.struct(F.lit("MEAN").alias("model"), F.col("mu").alias("pred")),
         F.struct(F.lit("RATE").alias("model"), (F.col("x1") * F.col("rate")).alias("pred")),
@@ -141,31 +147,46 @@ def predict_knn(train: DataFrame, test: DataFrame, k: int = 5, keys=UNIT_SPLIT,
 
 
 def byo_estimator(parts: DataFrame, fit_predict: Callable[[pd.DataFrame, pd.DataFrame], pd.Series],
-                  features: list[str], model_name: str, keys=UNIT_SPLIT) -> DataFrame:
-    """Bring-your-own estimator, one pandas call per (seed, key) unit.
-
-    ``fit_predict(train_pdf, test_pdf) -> predictions`` runs inside ``applyInPandas``;
-    a failing unit yields no rows (its failure belongs in the status table), others go on.
-    The unit's frame is bounded by the few-shot quota, not by the table size.
+                  features: list[str], model_name: str, keys=UNIT_SPLIT, chunk_rows: int = BYO_ROWS) -> DataFrame:
+    """Bring-your-own estimator: one pandas call per (seed, key) unit, or, of a unit with
+    more than ``chunk_rows`` test rows, one per part of them of about that size.
+
+    ``fit_predict(train_pdf, test_pdf) -> predictions`` runs inside a cogroup: every call has the
+    unit's whole train part (bounded by the few-shot quota) in one order, so that each fits the
+    same model; a row's prediction may depend on the train part and that row alone. A unit of
+    which a call fails yields no rows (its failure belongs in the status table), others go on.
     """
     keys = list(keys)
     cols = keys + ["row_id", "part", "target"] + list(features)
+    parts = parts.select(*cols)
+    test = parts.filter(F.col("part") == "test")
+    sizes = small_side(test.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("__n")), "byo-sizes")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        n = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], "__n")
+        return rows.join(n, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).select(*cols, "__n")
+
+    test = sized(test).withColumn("__chunk", F.pmod(F.xxhash64("row_id"), F.col("__n")).cast("int")).drop("__n")
+    train = sized(parts.filter(F.col("part") == "train")).withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    train = train.toDF(*train.columns)      # columns of its own: both sides come from one table
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf["part"] == "train"]
-        test = pdf[pdf["part"] == "test"]
+    def run(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        train = train.sort_values(["row_id", "target", *features], ignore_index=True).drop(columns="__chunk")
         out = pd.DataFrame({k: test[k].values for k in keys})
         out["model"] = model_name
         out["row_id"] = test["row_id"].values
         try:
-            out["pred"] = pd.Series(fit_predict(train, test)).astype(str).values
+            return out.assign(pred=pd.Series(fit_predict(train, test.drop(columns="__chunk"))).astype(str).values, __ok=True)
         except Exception:  # noqa: BLE001 - a failed unit is reported, not raised
-            return out.iloc[0:0].assign(pred=pd.Series(dtype=str))
-        return out
+            return out.iloc[0:1].assign(pred=None, __ok=False)
 
     schema = ", ".join(f"{k} {'int' if k == 'seed' else 'string'}" for k in keys) + \
         ", model string, row_id long, pred string"
-    return parts.select(*cols).groupBy(*keys).applyInPandas(run, schema)
+    done = materialize(train.groupBy(*keys, "__chunk").cogroup(test.groupBy(*keys, "__chunk"))
+                       .applyInPandas(run, schema + ", __ok boolean"), "byo")
+    failed = small_side(done.filter(~F.col("__ok")).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct(), "byo-failed")
+    return done.filter("__ok").join(failed, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti").drop("__ok")
 
 
 def batch_predict(requests: DataFrame, answer: Callable[[pd.Series], pd.Series],

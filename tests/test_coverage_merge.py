@@ -76,3 +76,21 @@ def test_append_only(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "x", "b"]), (["a", "b"], ["b", "a", "c"]), (["a"], ["a"])],
                                "old array<string>, new array<string>")
     assert [r[0] for r in df.select(X.append_only(F.col("old"), F.col("new"))).collect()] == [True, False, False]
+
+
+def test_byo_estimator_takes_a_large_unit_in_chunks(spark):
+    """Frames of the test rows are bounded; a unit of which a call fails has no rows at all."""
+    import pandas as pd
+
+    from evalspark.operators import predictors as P
+    rows = [(0, k, i, "test" if i >= 10 else "train", f"c{i % 2}", float(i % 2)) for k in ("big", "bad") for i in range(310)]
+    rows += [(0, "untrained", i, "test", "c0", 0.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "seed int, key string, row_id long, part string, target string, x double")
+
+    def nearest(train, test):
+        assert len(test) <= 100 and len(train) == 10
+        if (test["key"].iloc[0] == "bad") and (test["row_id"] == 77).any():
+            raise ValueError("no")
+        return pd.Series([train[train.x == v].target.iloc[0] for v in test.x])
+    got = P.byo_estimator(df, nearest, ["x"], "N", chunk_rows=50).collect()
+    assert {(r.key, r.row_id): r.pred for r in got} == {("big", i): f"c{i % 2}" for i in range(10, 310)} and len(got) == 300
