@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 UNIT = ["seed", "key", "model"]
 EPS = 2.220446049250313e-16  # float64 machine epsilon (log-loss clipping)
 DIGITS = 9
@@ -157,10 +159,11 @@ def proba_long(truth: DataFrame, proba: DataFrame, unit=UNIT) -> DataFrame:
     split_keys = [u for u in unit if u != "model"]
     classes = truth.groupBy(*split_keys).agg(F.array_sort(F.collect_set(
         F.col("target").cast("string"))).alias("classes"))
-    j = proba.join(truth, split_keys + ["row_id"]).join(classes, split_keys)
-    return j.select(*unit, "row_id", F.col("target").cast("string").alias("y"),
-                    F.explode("classes").alias("cls"), "proba") \
-        .select(*unit, "row_id", "y", "cls", F.col("proba")[F.col("cls")].alias("score"))
+    # the maps become one score a class before the rows meet their truth, and the few class lists are broadcast
+    scores = F.transform("classes", lambda c: F.struct(c.alias("cls"), F.col("proba")[c].alias("score")))
+    scored = proba.join(small_side(classes, "classes"), split_keys).select(*unit, "row_id", scores.alias("__scores"))
+    j = scored.join(truth.select(*split_keys, "row_id", F.col("target").cast("string").alias("y")), split_keys + ["row_id"])
+    return j.select(*unit, "row_id", "y", F.explode("__scores").alias("s")).select(*unit, "row_id", "y", "s.cls", "s.score")
 
 
 def proba_degenerate(proba: DataFrame, unit=UNIT) -> DataFrame:
@@ -234,7 +237,7 @@ def proba_reorder(proba: DataFrame, truth: DataFrame, unit=UNIT) -> DataFrame:
     split_keys = [u for u in unit if u != "model"]
     classes = truth.groupBy(*split_keys).agg(F.array_sort(F.collect_set(
         F.col("target").cast("string"))).alias("classes"))
-    j = proba.join(classes, split_keys)
+    j = proba.join(small_side(classes, "classes"), split_keys)
     ok = F.forall("classes", lambda c: F.array_contains(F.map_keys("proba"), c))
     return j.select(*unit, "row_id", F.when(ok, F.transform("classes", lambda c: F.col("proba")[c]))
                     .otherwise(F.map_values("proba")).alias("scores"))

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_side
 from . import commits
 
 STATUS_DDL = ("key string, model string, status string, reason string, error string, n_train int, "
@@ -67,7 +68,7 @@ def write_probabilities(proba: DataFrame, root: str) -> None:
     a class that a row does not name has probability 0."""
     unit = ["seed", "key", "model"]
     classes = proba.groupBy(*unit).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.map_keys("proba"))))).alias("classes"))
-    rows = proba.join(classes, unit).select(*unit, "row_id", "classes", F.transform(
+    rows = proba.join(small_side(classes, "classes"), unit).select(*unit, "row_id", "classes", F.transform(
         "classes", lambda c: F.coalesce(F.try_element_at(F.col("proba"), c), F.lit(0.0))).alias("proba"))
     (rows.repartitionByRange(*unit, "row_id").sortWithinPartitions(*unit, "row_id")
      .write.mode("overwrite").partitionBy(*unit).parquet(root))
