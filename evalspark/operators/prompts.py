@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_cumsum, hash_rank, seeded_hash
 from ..functions.text import OUTPUT_BASE, OUTPUT_PER_ROW, estimate_tokens, row_to_text
+from ..session import small_side
 
 UNIT = ["seed", "key"]
 
@@ -117,7 +118,7 @@ def build_requests(train: DataFrame, test: DataFrame, features: list[tuple[str,
         F.transform(F.array_sort(F.collect_list(F.struct("row_in_chunk", "row_id"))),
                     lambda s: s["row_id"]).alias("row_ids"))
     chunks = chunks.withColumn("n_rows", F.size("row_ids").cast("long"))
-    j = chunks.join(block, keys).join(classes, keys)
+    j = chunks.join(small_side(block.join(classes, keys), "prompt-heads"), keys)
     msg = user_message(F.col("class_list"), F.col("train_block"), F.col("test_block"),
                        F.col("n_rows"), [f for f, _ in features], reasoning, elicit_proba)
     system = F.lit(SYSTEM_PROMPTS[prompt_index % len(SYSTEM_PROMPTS)])

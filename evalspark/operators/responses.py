@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JVM_ROW_PATTERN, PROB_PATTERN
+from ..session import small_side
 
 REQ = ["seed", "key", "model", "chunk"]
 UNIT = ["seed", "key", "model"]
@@ -34,7 +35,7 @@ def match_class(lines: DataFrame, classes: DataFrame, keys=REQ) -> DataFrame:
     """
     keys = list(keys)
     ck = [k for k in keys if k in classes.columns]
-    j = lines.join(classes, ck)
+    j = lines.join(small_side(classes, "classes"), ck)
     # strip every kind of surrounding whitespace (Python's str.strip), not only spaces
     body, tok = F.regexp_replace(F.col("body"), r"^\s+|\s+$", ""), F.col("token")
     # a label that holds the end mark of a quotation is quoted in pieces around it
@@ -71,7 +72,7 @@ def fallback_majority(rows: DataFrame, parsed: DataFrame, majority: DataFrame, k
     """
     keys = list(keys)
     j = (rows.join(parsed.withColumnRenamed("idx", "row_in_chunk"), keys + ["row_in_chunk"], "left")
-         .join(majority, [k for k in keys if k in majority.columns]))
+         .join(small_side(majority, "majority"), [k for k in keys if k in majority.columns]))
     return j.select(*keys, "row_in_chunk", "row_id", F.coalesce("token", "majority").alias("token"),
                     F.col("token").isNull().alias("unparsed"), "p")
 
@@ -99,8 +100,8 @@ def proba_long(pred_rows: DataFrame, codec: DataFrame, keys=REQ) -> DataFrame:
     clamp(p, 1/k, 1) and the others share the rest uniformly."""
     keys = list(keys)
     k = codec.groupBy("seed", "key").agg(F.count(F.lit(1)).alias("k"))
-    j = pred_rows.join(k, ["seed", "key"]).join(
-        codec.select("seed", "key", F.col("token").alias("cls_token"), "cls"), ["seed", "key"])
+    j = pred_rows.join(small_side(codec.select("seed", "key", F.col("token").alias("cls_token"), "cls").join(k, ["seed", "key"]), "codec"),
+                       ["seed", "key"])
     hit = F.col("cls_token") == F.col("token")
     pc = F.least(F.greatest(F.col("p"), 1.0 / F.col("k")), F.lit(1.0))
     prob = (F.when(F.col("p").isNull() | (F.col("k") < 2), F.when(hit, 1.0).otherwise(0.0))

@@ -13,6 +13,7 @@ from ..functions.text import EFFORT_ORDER, fmt_value, row_to_text
 from ..operators import prompts as PR
 from ..operators import responses as RS
 from ..operators import splits as S
+from ..session import materialize, small_side
 from .oracles import CTES, H, cte, with_ctes
 from .q_splits import _quota_sql
 from .registry import query
@@ -111,7 +112,7 @@ SELECT seed, key, model, chunk, idx, token, body FROM (
 def _fewshot(spark, d):
     parts = C.clf_parts_cached(spark, d)
     fs = S.subsample_parts(parts, n_train=N_SHOT, n_test=None)
-    return fs.filter("part = 'train'"), parts.filter("part = 'test'")
+    return materialize(fs.filter("part = 'train'"), "shots"), parts.filter("part = 'test'")
 
 
 def _codec(spark, d):
@@ -122,10 +123,14 @@ def _codec(spark, d):
 def _responses(spark, d):
     """Synthesized answer texts for every request chunk (same rule as the SQL above)."""
     train, test = _fewshot(spark, d)
+    return *_answers(train, test), train, test
+
+
+def _answers(train, test):
     codec = PR.label_codec(train, hide_labels=True)
-    ch = PR.chunk_rows(test, BATCH)
+    ch = materialize(PR.chunk_rows(test, BATCH), "chunks")
     hh = F.md5(F.concat_ws(":", F.lit("ans"), F.col("seed").cast("string"), F.col("row_id").cast("string")))
-    t = ch.withColumn("h", hh).join(codec.select("seed", "key", F.col("cls").alias("target"), "token"),
+    t = ch.withColumn("h", hh).join(small_side(codec.select("seed", "key", F.col("cls").alias("target"), "token"), "codec"),
                                     ["seed", "key", "target"], "left")
     tok = F.coalesce("token", F.lit("C9"))
     i = F.col("row_in_chunk").cast("string")
@@ -250,7 +255,7 @@ def q_pack(spark, d):
 # ------------------------------------------------------------------ L11-L17
 @query("parse_answers", with_ctes("SELECT seed, key, model, chunk, idx, token FROM parsed", "parsed"))
 def q_parse(spark, d):
-    resp, _, codec = _responses(spark, d)
+    resp, _, codec, *_ = _responses(spark, d)
     return RS.parse_answers(resp, codec.select("seed", "key", "token")).select(
         "seed", "key", "model", "chunk", "idx", "token")
 
@@ -261,7 +266,7 @@ SELECT seed, key, model, chunk, idx,
 FROM (SELECT *, TRY_CAST(nullif(regexp_extract(body, '(?i)p\\s*=\\s*(0*\\.\\d+|1(?:\\.0+)?|0|1)', 1), '') AS DOUBLE) AS v FROM parsed)""",
                                      "parsed"))
 def q_conf(spark, d):
-    resp, _, codec = _responses(spark, d)
+    resp, _, codec, *_ = _responses(spark, d)
     p = RS.parse_confidence(RS.parse_answers(resp, codec.select("seed", "key", "token")))
     return p.select("seed", "key", "model", "chunk", "idx", "p")
 
@@ -279,19 +284,18 @@ JOIN (SELECT f.seed, f.key, c.token FROM (
 
 
 def _fallback(spark, d):
-    resp, ch, codec = _responses(spark, d)
+    resp, ch, codec, train, test = _responses(spark, d)
     parsed = RS.parse_confidence(RS.parse_answers(resp, codec.select("seed", "key", "token")))
-    train, _ = _fewshot(spark, d)
     from ..operators.predictors import majority_class
     maj = majority_class(train).join(codec.withColumnRenamed("cls", "majority"), ["seed", "key", "majority"]) \
         .select("seed", "key", F.col("token").alias("majority"))
     rows = ch.withColumn("model", F.lit("ICL-0")).select("seed", "key", "model", "chunk", "row_in_chunk", "row_id")
-    return RS.fallback_majority(rows, parsed, maj), resp, codec
+    return RS.fallback_majority(rows, parsed, maj), codec, train, test
 
 
 @query("fallback_majority", with_ctes(FALLBACK_SQL, "test_chunks", "parsed", "fewshot_train", "codec"))
 def q_fallback(spark, d):
-    fb, _, _ = _fallback(spark, d)
+    fb, *_ = _fallback(spark, d)
     return fb.select("seed", "key", "model", "chunk", "row_in_chunk", "row_id", "token", "unparsed")
 
 
@@ -306,8 +310,7 @@ JOIN (SELECT seed, key, model, count(*) AS llm_api_calls FROM requests GROUP BY
 
 @query("unit_stats", with_ctes(STATS_SQL, "test_chunks", "parsed", "fewshot_train", "codec", "requests"))
 def q_unit_stats(spark, d):
-    fb, _, _ = _fallback(spark, d)
-    train, test = _fewshot(spark, d)
+    fb, _, train, test = _fallback(spark, d)
     req = PR.build_requests(train, test, FEATURES, BATCH)
     return RS.unit_stats(fb, req)
 
@@ -317,8 +320,7 @@ SELECT seed, key, model, 'fail' AS status, 'unparseable_responses' AS reason,
        printf('%d/%d test rows had no parseable class label', llm_unparsed, n_test) AS error
 FROM ({STATS_SQL}) WHERE llm_unparsed / n_test > 0.2""", "test_chunks", "parsed", "fewshot_train", "codec", "requests"))
 def q_ceiling(spark, d):
-    fb, _, _ = _fallback(spark, d)
-    train, test = _fewshot(spark, d)
+    fb, _, train, test = _fallback(spark, d)
     return RS.unparsed_ceiling(RS.unit_stats(fb, PR.build_requests(train, test, FEATURES, BATCH)), 0.2)
 
 
@@ -337,7 +339,7 @@ SELECT fb.seed, fb.key, fb.model, fb.chunk, fb.row_id, c.cls,
 FROM fb JOIN k ON fb.seed = k.seed AND fb.key = k.key JOIN codec c ON fb.seed = c.seed AND fb.key = c.key""",
                               "test_chunks", "parsed", "fewshot_train", "codec"))
 def q_proba_map(spark, d):
-    fb, _, codec = _fallback(spark, d)
+    fb, codec, *_ = _fallback(spark, d)
     out = RS.proba_long(fb, codec)
     return out.withColumn("prob", F.round("prob", 9))
 
@@ -407,7 +409,7 @@ WHERE r1 = 1""", "responses", "codec"))
 def q_match_class(spark, d):
     """L12 on its own: every answer line's class by tier (exact, case-insensitive, whole
     word with the longest label first), before the index checks of L11."""
-    resp, _, codec = _responses(spark, d)
+    resp, _, codec, *_ = _responses(spark, d)
     lines = RS.answer_lines(resp.select("seed", "key", "model", "chunk", "text"))
     m = RS.match_class(lines, codec.select("seed", "key", "token"))
     return m.select("seed", "key", "model", "chunk", "line_no", "token")
