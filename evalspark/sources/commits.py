@@ -49,10 +49,26 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     """Content of a small file, None if there is none."""
     if not exists(spark, path):
         return None
-    jvm = spark.sparkContext._jvm
+    for left in range(READS, 0, -1):
+        try:
+            return _read_once(spark, path)
+        except Py4JJavaError as e:
+            # its writer or deleter was at it: a local file and its checksum change one after the other
+            if not left - 1 or not any(n in e.java_exception.getClass().getName() for n in ("ChecksumException", "FileNotFound")):
+                raise
+        time.sleep(0.1)
+        if not exists(spark, path):
+            return None
+
+
+#: Times that a file in change is read.
+READS = 10
+
+
+def _read_once(spark: SparkSession, path: str) -> str:
     stream = _fs(spark, path).open(_path(spark, path))
     try:
-        return jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode()
+        return spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream).decode()
     finally:
         stream.close()
 
