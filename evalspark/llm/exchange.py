@@ -135,15 +135,18 @@ def global_counts(c: Chunks, text: str, keys_of: Callable[[list[bytes]], np.ndar
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         blocks = [unpack_steps(x) if width is None else unpack(x, width) for x in rows["keys"]]
+        cut = np.cumsum([len(x) for x in blocks])
         k = np.concatenate(blocks)
-        n = np.concatenate([get(x, count_type) for x in rows["counts"]])
+        del blocks                      # a bucket holds some 8 MB of text in keys: each array goes as soon as it is used
         order = np.argsort(k, kind="stable")
-        ks = k[order]
-        head = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-        sums = np.minimum(np.add.reduceat(n[order].astype(np.int64), head), top)
-        total = np.empty(len(k), count_type)
-        total[order] = np.repeat(sums, np.diff(np.append(head, len(k)))).astype(count_type)
-        cut = np.cumsum([len(x) for x in blocks])[:-1]
+        k = k[order]
+        head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        del k
+        n = np.concatenate([get(x, count_type) for x in rows["counts"]])[order]
+        sums = np.minimum(np.add.reduceat(n, head, dtype=np.int64), top).astype(count_type)
+        total = np.empty(len(n), count_type)
+        total[order] = np.repeat(sums, np.diff(np.append(head, len(n))))
+        cut = cut[:-1]
         return pd.DataFrame({CHUNK: rows[CHUNK].to_numpy(), BUCKET: rows[BUCKET].to_numpy(),
                              "totals": [put(x) for x in np.split(total, cut)]})
 

@@ -20,6 +20,8 @@ repeated ids are allowed; extra columns are kept and never looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -55,15 +57,33 @@ def _spaced(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogateescape")
 
 
+#: Bytes of a shard's texts whose passages share an automaton: it takes many times their size.
+PART_BYTES = 1 << 18
+
+
 def remove_passages(texts: list[bytes], w: Words, starts: np.ndarray, width: int) -> list[tuple[int, int, bytes]]:
     """(words, words removed, kept words joined by a space) of each text of a shard.
 
-    ``starts``: first words of the confirmed windows.
+    ``starts``: first words of the confirmed windows. A passage of one text that another holds is a part of one
+    of that text's own, so texts are cut in parts of some :data:`PART_BYTES`, each with an automaton of its own.
     """
     first, end = _runs(_covered(len(w.hash), starts, width), w.doc)
+    runs = np.searchsorted(w.doc[first], np.arange(len(texts) + 1)) if len(first) else np.zeros(len(texts) + 1, np.int64)
+    out: list[tuple[int, int, bytes]] = []
+    part = np.cumsum([0, *(len(t) for t in texts)])[:-1] // PART_BYTES
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        at = slice(runs[a], runs[z])
+        out += _remove_part(texts, w, zip(first[at].tolist(), end[at].tolist(), strict=True), range(a, z), width)
+    return out
+
+
+def _remove_part(texts: list[bytes], w: Words, runs: Iterable[tuple[int, int]], docs: range, width: int
+                 ) -> list[tuple[int, int, bytes]]:
+    """:func:`remove_passages` of the texts ``docs``, whose confirmed passages are ``runs``."""
     tokens: dict[int, list[bytes]] = {}
     patterns: set[str] = set()
-    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+    for a, b in runs:
         d = int(w.doc[a])
         words = tokens.get(d) or tokens.setdefault(d, texts[d].split())
         patterns.add(_spaced(words[a - w.first[d]:b - w.first[d]]))
@@ -73,7 +93,8 @@ def remove_passages(texts: list[bytes], w: Words, starts: np.ndarray, width: int
     if patterns:
         auto.make_automaton()
     out = []
-    for d, text in enumerate(texts):
+    for d in docs:
+        text = texts[d]
         words = tokens.get(d) or text.split()
         n = len(words)
         if not patterns or n < width:

@@ -8,6 +8,8 @@ sum can be shifted back by the base's inverse), mixed at the end.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 U = np.uint64
@@ -79,6 +81,10 @@ def rolling(pre: np.ndarray, n: int, width: int, kind: str) -> np.ndarray:
     return mix(d)
 
 
+#: Bytes of a batch that are hashed at a time: the arrays of a block hold several numbers for each byte.
+BLOCK = 1 << 17
+
+
 class Words:
     """Words of a batch: start, end (byte offsets), text number and 64-bit hash of each."""
 
@@ -89,12 +95,26 @@ class Words:
         ws = _WS[self.buf]
         edge = np.flatnonzero(np.diff(ws.view(np.int8), prepend=np.int8(1)))
         self.start, self.end = edge[::2], edge[1::2]
-        self.pre = prefix(self.buf.astype(U) + U(1), "byte")
-        self.hash = spans_hash(self.pre, self.start, self.end, "byte")
+        self.hash = self._hashes()
         #: words before each text (one more entry than texts)
         self.first = np.searchsorted(self.start, self.offs)
         self.doc = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.first))
 
+    def _hashes(self) -> np.ndarray:
+        """Hash of each word, in blocks of whole words: it does not depend on the word's place."""
+        out = np.empty(len(self.start), U)
+        cuts = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(self.buf), BLOCK)), len(out)))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = self.start[a]
+            pre = prefix(self.buf[at:self.end[b - 1]].astype(U) + U(1), "byte")
+            out[a:b] = spans_hash(pre, self.start[a:b] - at, self.end[a:b] - at, "byte")
+        return out
+
+    @cached_property
+    def pre(self) -> np.ndarray:
+        """:func:`prefix` of the whole batch, for hashes of spans other than words."""
+        return prefix(self.buf.astype(U) + U(1), "byte")
+
     def grams(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every window of ``width`` words inside one text."""
         n = len(self.hash)

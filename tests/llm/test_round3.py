@@ -298,3 +298,28 @@ def test_decontamination_of_short_items_and_repeated_words(spark):
     assert left.columns == docs.columns
     assert sorted((r["doc_id"], r["text"], r["matches"]) for r in left.collect()) == [(1, "blue", 2), (1, "blue", 2), (2, None, 3)]
     assert decontaminate(spark, docs.limit(0), bench).count() == 0
+
+
+def test_a_chunk_takes_few_bytes_for_each_byte_of_text():
+    import tracemalloc
+
+    from evalspark.llm import textarrays as T
+    from evalspark.llm.substring_dedup import remove_passages
+    texts = [" ".join(f"w{i}x{j % 977}" for j in range(1000)).encode() for i in range(250)] + [b"", b"a " * 40, b"z" * 400_000 + b" y"]
+    size = sum(len(t) for t in texts)
+    T._POWERS.clear()
+    tracemalloc.start()
+    w = T.Words(texts)
+    words_peak = tracemalloc.get_traced_memory()[1]
+    at, _ = w.grams(35)
+    starts = at[w.doc[at] % 2 == 0]
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    out = remove_passages(texts, w, starts, 35)
+    cut_peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert words_peak < 30 * size and cut_peak < 12 * size
+    whole = T.spans_hash(w.pre, w.start, w.end, "byte")     # of the batch as one block
+    assert (w.hash == whole).all()
+    assert [x[:2] for x in out[:2]] == [(1000, 1000), (1000, 0)] and [x[0] for x in out[-3:]] == [0, 40, 2]
+    assert all(x[2] == (b"" if d % 2 == 0 else t) for d, (t, x) in enumerate(zip(texts[:250], out, strict=False)))
