@@ -127,66 +127,78 @@ def forward(p: Model, proj: dict[str, np.ndarray], which: np.ndarray, at: np.nda
     return pooled @ p["wo"] + p["bo"][0]
 
 
-def _halved(rows: np.ndarray) -> np.ndarray:
-    """A copy with the rows of both gates halved, for ``_side``."""
-    return rows * np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, 0.5, 1).astype(np.float32)[:, None]
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """A copy with the rows of both gates times -1 and the others times -2, for ``_side``."""
+    return rows * np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, -1, -2).astype(np.float32)[:, None]
 
 
-def _side(proj: np.ndarray, wh: np.ndarray, places: list) -> list[np.ndarray]:
-    """States (H, B) after each of ``places``, which pick columns of ``proj``; nothing is masked.
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place: the gates, and with them tanh(y) = 2 / (1 + exp(-2 y)) - 1, for less than ``np.tanh``."""
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
-    The rows of both gates in ``proj`` and ``wh`` come halved: sigmoid(x) = (tanh(x / 2) + 1) / 2.
+
+def _starts(proj: np.ndarray) -> np.ndarray:
+    """State (H, words) after a window's first word: the state before it is zero, and so are its products."""
+    k = HIDDEN
+    n = 2 * _logistic(proj[2 * k:].copy()) - 1
+    return n - _logistic(proj[:k].copy()) * n
+
+
+def _side(proj: np.ndarray, wh: np.ndarray, start: np.ndarray, places: list, out: list[np.ndarray]) -> None:
+    """States (H, B) after each of ``places``, which pick columns of ``proj`` and ``start``, put into ``out``; nothing is masked.
+
+    The rows of ``proj`` and ``wh`` come scaled (:func:`_scaled`).
     """
-    k, out, h = HIDDEN, [], None
-    for place in places:
+    k = HIDDEN
+    h = out[0]
+    h[:] = start[:, places[0]]
+    for place, state in zip(places[1:], out[1:], strict=True):
         x = proj[:, place]
-        if h is None:       # the state before the first word is zero, and so are its products
-            gates = np.tanh(x[:2 * k])
-            n = np.tanh(x[2 * k:])
-        else:
-            g = wh @ h
-            gates = np.tanh(g[:2 * k] + x[:2 * k])
-        gates += 1
-        gates *= np.float32(0.5)
-        if h is not None:
-            n = g[2 * k:]
-            n *= gates[k:]
-            n += x[2 * k:]
-            np.tanh(n, out=n)
-        new = -n if h is None else h - n
-        new *= gates[:k]
-        new += n
-        h = new
-        out.append(h)
-    return out
+        g = wh @ h
+        gates, n = g[:2 * k], g[2 * k:]
+        gates += x[:2 * k]
+        _logistic(gates)
+        n *= gates[k:]
+        n += x[2 * k:]
+        _logistic(n)
+        n *= 2
+        n -= 1
+        np.subtract(h, n, out=state)
+        state *= gates[:k]
+        state += n
+        h = state
 
 
 def _sliding(p: Model, cols: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray) -> np.ndarray:
     """As ``forward`` for whole windows that begin at the ascending words ``at``.
 
-    ``cols`` has a column a distinct word. Neighbouring windows read neighbouring words, so the
-    columns are laid out once and each step takes a slice. That also covers windows that begin
-    between those of ``at`` (they cross from text to text); where those were more than half, the
-    columns are picked step by step.
+    ``cols`` has a column a distinct word, the scaled projections above the state that it begins
+    with. Neighbouring windows read neighbouring words, so the columns are laid out once and each
+    step takes a slice. That also covers windows that begin between those of ``at`` (they cross
+    from text to text); where those were more than half, the columns are picked step by step.
     """
-    span = int(at[-1] - at[0]) + 1
+    span, k = int(at[-1] - at[0]) + 1, HIDDEN
     if span <= 2 * len(at):
-        cols = {side: x[:, which[at[0]:at[0] + span + WINDOW - 1]] for side, x in cols.items()}
+        words = which[at[0]:at[0] + span + WINDOW - 1]
+        cols = {side: x.take(words, axis=1) for side, x in cols.items()}
         places, mine = [slice(t, t + span) for t in range(WINDOW)], at - at[0]
     else:
-        places, mine = [which[at + t] for t in range(WINDOW)], slice(None)
-    f = _side(cols["f"], _halved(p["wh_f"].T), places)
-    b = _side(cols["b"], _halved(p["wh_b"].T), places[::-1])[::-1]
-    k = HIDDEN
-    # rows of one product: what attention looks at, and the state's part of the logit
-    mf, mb = (np.concatenate([p["wa"][i], p["wo"][i, None]], 1).T for i in (slice(0, k), slice(k, 2 * k)))
-    m = [mf @ x + mb @ y for x, y in zip(f, b, strict=True)]
-    e = np.stack([p["va"] @ np.tanh(x[:k]) for x in m])
+        places, mine, span = [which[at + t] for t in range(WINDOW)], slice(None), len(at)
+    states = np.empty((WINDOW, 2 * k, span), np.float32)      # forward above backward
+    with np.errstate(over="ignore"):
+        _side(cols["f"][:3 * k], _scaled(p["wh_f"].T), cols["f"][3 * k:], places, list(states[:, :k]))
+        _side(cols["b"][:3 * k], _scaled(p["wh_b"].T), cols["b"][3 * k:], places[::-1], list(states[::-1, k:]))
+        # rows of one product: what attention looks at, and the state's part of the logit
+        m = np.concatenate([-2 * p["wa"], p["wo"][:, None]], 1).T @ states
+        # va @ tanh(y) but for a number that all words of a window share
+        e = (2 * p["va"]) @ np.stack([_logistic(x[:k]) for x in m])
     a = np.exp(e - e.max(0))
-    return ((a * np.stack([x[k] for x in m])).sum(0) / a.sum(0) + p["bo"][0])[mine]
+    return ((a * m[:, k]).sum(0) / a.sum(0) + p["bo"][0])[mine]
 
 
-def all_logits(p: Model, proj: dict[str, np.ndarray], i: Inputs, step: int = 1 << 10) -> np.ndarray:
+def all_logits(p: Model, proj: dict[str, np.ndarray], i: Inputs, step: int = 1 << 11) -> np.ndarray:
     """Logits of all windows of a batch, ``step`` at a time: the arrays then stay in the processor's caches."""
     out = np.empty(len(i.at), np.float32)
     short = np.flatnonzero(i.len < WINDOW)
@@ -194,7 +206,8 @@ def all_logits(p: Model, proj: dict[str, np.ndarray], i: Inputs, step: int = 1 <
         pick = short[lo:lo + step]
         out[pick] = forward(p, proj, i.which, i.at[pick], i.len[pick])
     whole = np.flatnonzero(i.len == WINDOW)
-    cols = {side: _halved(x.T) for side, x in proj.items()}
+    with np.errstate(over="ignore"):
+        cols = {side: np.concatenate([x, _starts(x)]) for side, x in ((side, _scaled(y.T)) for side, y in proj.items())}
     for lo in range(0, len(whole), step):
         pick = whole[lo:lo + step]
         out[pick] = _sliding(p, cols, i.which, i.at[pick])

@@ -124,3 +124,20 @@ def test_query_columns_clashes_and_repeated_labels(spark, tmp_path):
     assert kept.filter("_toxicity = 1.5").count() == 60 and kept.filter("doc_id >= 500 or doc_id is null").count() == 3
     assert T.drop_toxic(spark, docs.limit(0), None).count() == 0
     assert T.train(docs, labels.filter(F.lit(False))) is None
+
+
+def test_saturated_states_and_first_words_of_windows():
+    """Weights so large that exp overflows: the states are -1 or 1, without a warning, as in the plain pass."""
+    p = {k: v * np.float32(400) for k, v in T.new_model().items()}
+    i = T.Inputs(some_texts([3 * T.WINDOW, 20, 2 * T.WINDOW]))
+    proj = T.project(p, i.vectors(p))
+    with np.errstate(all="raise", under="ignore"):
+        got = T.all_logits(p, proj, i, step=16)
+    assert np.isfinite(got).all() and np.allclose(got, T.forward(p, proj, i.which, i.at, i.len), rtol=1e-4, atol=1e-2)
+    # the state after a window's first word is computed once a distinct word
+    p = T.new_model()
+    proj = T.project(p, i.vectors(p))
+    at = np.arange(len(i.which))
+    for side in "fb":
+        h = T._gru(proj[side], p[f"wh_{side}"], i.which[None, at], np.ones((1, len(at)), bool), None)[0]
+        assert np.allclose(T._starts(T._scaled(proj[side].T))[:, i.which].T, h, atol=1e-6)
