@@ -48,7 +48,8 @@ from evalspark.llm.textarrays import U, join_texts, prefix, rolling, spans_hash
 
 LENGTH, GRAM = 50, 25
 MEMORY = 32 << 20       # bytes that a shard's queues hold in memory, and above which its arrays are files
-SHARD_BYTES = 3 << 18   # bytes of text a shard: its segments come to about as much
+SHARD_BYTES = 3 << 20   # bytes of text a shard: its segments come to about as much
+_ORDER = U(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -77,7 +78,8 @@ class Anchors:
         key = np.zeros(n, U)
         key[:max(0, n - gram + 1)] = rolling(self.pre, n, gram, "byte")
         top = np.uint32(0xFFFFFFFF)
-        h = np.where(valid, (key >> U(32)).astype(np.uint32), top)
+        # not the key's own top bits, by which keys are dealt to buckets and shards: anchors would meet in the first of them
+        h = np.where(valid, ((key * _ORDER) >> U(32)).astype(np.uint32), top)
         span = length - gram + 1
         pad = np.full(span - 1, top)
         low = _slide(np.concatenate([pad, h, pad]), span, np.minimum)     # windows that start at -(span-1) and later
