@@ -274,8 +274,7 @@ def q_two_hop(spark, d):
 SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, sha256(text || chr(10)) AS sha256 FROM documents""")
 def q_manifest(spark, d):
     root = scratch_dir(spark, "tree")
-    doc = C.table(spark, d, "documents").select("doc_id", "text")
-    doc.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    A.text_tree(C.table(spark, d, "documents"), "doc_id", "text", root)
     spark.range(1).select(F.lit("run finished").alias("value")).write.text(root + "/logs")
     m = A.artifact_manifest(spark, root)
     return m.select(F.regexp_extract("rel_path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"), "size", "sha256")

@@ -2,19 +2,66 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import is_derived_or_log
+from . import commits
+
+#: Folders that the files of a tree are dealt to: a listing is a task a folder.
+FOLDERS = 256
+
+
+def _put_files(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One file a name, from rows (folder, name, line) in order of the names. A file gets its name when it is
+    whole, so that a task that is run again, or twice, leaves the same files."""
+    out, at, own, n = None, None, f".{uuid.uuid4().hex}", 0
+    for b in batches:
+        for where, name, line in zip(b["folder"].to_pylist(), b["name"].to_pylist(), b["line"].to_pylist(), strict=True):
+            if (where, name) != at:
+                if out:
+                    out.close()
+                    os.replace(out.name, f"{base}/{at[0]}/{at[1]}")
+                os.makedirs(f"{base}/{where}", exist_ok=True)
+                out, at, n = open(f"{base}/{where}/{own}", "wb"), (where, name), n + 1
+            out.write((line or b"") + b"\n")
+    if out:
+        out.close()
+        os.replace(out.name, f"{base}/{at[0]}/{at[1]}")
+    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+
+def text_tree(df: DataFrame, key: str, text: str, root: str) -> None:
+    """One text file for each value of ``key`` under ``root``, named after it (``key=value``), one line a row.
+
+    Where ``root`` is a mounted folder the tasks write the files themselves: without Hadoop's native
+    library its local file system starts two processes for each file, only to set its permissions, and
+    a folder for each value makes a listing of as many folders. Elsewhere Spark's partitioned writer does it.
+    """
+    if commits.scheme(df.sparkSession, root) != "file":
+        df.select(key, text).repartition(key).write.partitionBy(key).text(root)
+        return
+    base = unquote(urlsplit(root).path) if "://" in root else root.removeprefix("file:")
+    value = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = df.select(F.pmod(F.xxhash64(value), F.lit(FOLDERS)).alias("folder"),
+                     F.concat(F.lit(f"{key}="), value).alias("name"), F.col(text).cast("binary").alias("line"))
+    rows = rows.repartition("name").sortWithinPartitions("folder", "name", "line")
+    rows.mapInArrow(lambda batches: _put_files(base, batches), "n long").agg(F.sum("n")).collect()
 
 
 def artifact_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(relative path, size, sha256) of the raw files under ``root`` — hashing runs on
     the executors that read the bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_extract(F.col("path"), re.escape(root.rstrip("/").split(":")[-1]) + "/(.*)$", 1)
+    below = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?(?=/)", "", root.rstrip("/"))      # file:///x is listed as file:/x
+    rel = F.regexp_extract(F.col("path"), re.escape(below) + "/(.*)$", 1)
     hidden = F.element_at(F.split("rel_path", "/"), -1).rlike("^[._]")      # the file system's own marks
     return (files.withColumn("rel_path", rel).filter(~is_derived_or_log(F.col("rel_path")) & ~hidden)
             .select("rel_path", F.col("length").alias("size"), F.sha2(F.col("content"), 256).alias("sha256")))

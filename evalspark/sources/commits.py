@@ -22,6 +22,11 @@ def _fs(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scheme(spark: SparkSession, path: str) -> str:
+    """Scheme of the file system that holds ``path``: ``file`` for a mounted folder."""
+    return _fs(spark, path).getUri().getScheme()
+
+
 def _exists_already(e: Py4JJavaError) -> bool:
     return "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception)
 
