@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import os
 import re
 import uuid
-from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import is_derived_or_log
 from . import commits
 
-#: Folders that the files of a tree are dealt to: a listing is a task a folder.
+#: Folders that the files of a tree are dealt to: tasks list them side by side.
 FOLDERS = 256
+#: Files listed in one batch of rows, files hashed in one, and blocks of 512 bytes that are read of a file at once.
+LISTED, HASHED, BLOCKS = 10_000, 1_000, 2048
 
 
 def _put_files(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +33,8 @@ def _put_files(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 if out:
                     out.close()
                     os.replace(out.name, f"{base}/{at[0]}/{at[1]}")
-                os.makedirs(f"{base}/{where}", exist_ok=True)
+                if not at or at[0] != where:
+                    os.makedirs(f"{base}/{where}", exist_ok=True)
                 out, at, n = open(f"{base}/{where}/{own}", "wb"), (where, name), n + 1
             out.write((line or b"") + b"\n")
     if out:
@@ -45,10 +50,10 @@ def text_tree(df: DataFrame, key: str, text: str, root: str) -> None:
     library its local file system starts two processes for each file, only to set its permissions, and
     a folder for each value makes a listing of as many folders. Elsewhere Spark's partitioned writer does it.
     """
-    if commits.scheme(df.sparkSession, root) != "file":
+    base = commits.mounted(df.sparkSession, root)
+    if base is None:
         df.select(key, text).repartition(key).write.partitionBy(key).text(root)
         return
-    base = unquote(urlsplit(root).path) if "://" in root else root.removeprefix("file:")
     value = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
     rows = df.select(F.pmod(F.xxhash64(value), F.lit(FOLDERS)).alias("folder"),
                      F.concat(F.lit(f"{key}="), value).alias("name"), F.col(text).cast("binary").alias("line"))
@@ -56,12 +61,103 @@ def text_tree(df: DataFrame, key: str, text: str, root: str) -> None:
     rows.mapInArrow(lambda batches: _put_files(base, batches), "n long").agg(F.sum("n")).collect()
 
 
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    some: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+    for row in rows:
+        some.append(row)
+        if len(some) == size:
+            yield batch()
+            some.clear()
+    if some:
+        yield batch()
+
+
+def _not_read(name: bytes) -> bool:
+    """Names that Spark's file scans leave out, with what is below them."""
+    out = name.startswith(b".") or name.startswith(b"_") and b"=" not in name or name.endswith(b"._COPYING_")
+    return out and not name.startswith((b"_metadata", b"_common_metadata"))
+
+
+def _listed(base: bytes, batches: Iterator[pa.RecordBatch], deep: bool) -> Iterator[tuple[bytes, bool]]:
+    """Files, and folders unless ``deep``, in the folders among the rows (path below the root, is a folder)."""
+    for b in batches:
+        for rel, folder in zip(b["rel"].to_pylist(), b["folder"].to_pylist(), strict=True):
+            if not folder:
+                yield rel, False
+            left = [rel] if folder else []
+            while left:
+                at = left.pop()
+                with os.scandir(os.path.join(base, at)) as entries:
+                    for e in entries:
+                        if _not_read(e.name):
+                            continue
+                        link, name = e.is_symlink(), os.path.join(at, e.name)
+                        if not (os.path.isdir(e.path) if link else e.is_dir()):
+                            if os.path.isfile(e.path) if link else e.is_file():
+                                yield name, False
+                        elif deep:
+                            left.append(name)
+                        else:
+                            yield name, True
+
+
+def _digest(path: bytes) -> tuple[int, str]:
+    """Size and SHA-256 of a file, block by block; against the checksums that Hadoop's local file system keeps beside its files."""
+    size, sha, step, sums = 0, hashlib.sha256(), 0, None
+    folder, name = os.path.split(path)
+    with contextlib.ExitStack() as files:
+        with contextlib.suppress(FileNotFoundError):
+            sums = files.enter_context(open(os.path.join(folder, b"." + name + b".crc"), "rb"))
+            head = sums.read(8)
+            step = int.from_bytes(head[4:], "big") if head[:4] == b"crc\0" else 0
+        f = files.enter_context(open(path, "rb"))
+        while block := f.read(BLOCKS * (step or 512)):
+            if step:
+                found = b"".join(zlib.crc32(block[i:i + step]).to_bytes(4, "big") for i in range(0, len(block), step))
+                if sums.read(len(found)) != found:
+                    raise OSError(f"Checksum error: {os.fsdecode(path)} within {len(block)} bytes from {size}")
+            sha.update(block)
+            size += len(block)
+    return size, sha.hexdigest()
+
+
+def _hashed(base: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, str]]:
+    for b in batches:
+        for rel in b["rel"].to_pylist():
+            size, sha = _digest(os.path.join(base, rel))
+            if size:                        # Spark's file scans leave empty files out
+                yield rel, size, sha
+
+
+def _raw(rel: Column) -> Column:
+    hidden = F.element_at(F.split(rel, "/"), -1).rlike("^[._]")      # the file system's own marks
+    return ~is_derived_or_log(rel) & ~hidden
+
+
 def artifact_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(relative path, size, sha256) of the raw files under ``root`` — hashing runs on
-    the executors that read the bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?(?=/)", "", root.rstrip("/"))      # file:///x is listed as file:/x
-    rel = F.regexp_extract(F.col("path"), re.escape(below) + "/(.*)$", 1)
-    hidden = F.element_at(F.split("rel_path", "/"), -1).rlike("^[._]")      # the file system's own marks
-    return (files.withColumn("rel_path", rel).filter(~is_derived_or_log(F.col("rel_path")) & ~hidden)
-            .select("rel_path", F.col("length").alias("size"), F.sha2(F.col("content"), 256).alias("sha256")))
+    the executors that read the bytes.
+
+    In a mounted folder the tasks list and read the files themselves, dealt out by path. Spark's file scan
+    makes a task of few files, as it counts 4 MB for the opening of each, holds their list in the
+    driver and a file in one cell; it reads other file systems, patterns and what is not a folder."""
+    mounted = commits.mounted(spark, root)
+    if mounted is None or re.search(r"[{}\[\]*?\\]", root) or not os.path.isdir(mounted):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        below = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?(?=/)", "", root.rstrip("/"))      # file:///x is listed as file:/x
+        rel = F.regexp_extract(F.col("path"), re.escape(below) + "/(.*)$", 1)
+        return (files.withColumn("rel_path", rel).filter(_raw(F.col("rel_path")))
+                .select("rel_path", F.col("length").alias("size"), F.sha2(F.col("content"), 256).alias("sha256")))
+    base, tasks = os.fsencode(mounted), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(1).select(F.lit("").cast("binary").alias("rel"), F.lit(True).alias("folder"))
+    for deep in (False, True):              # the root by one task, each folder in it by any
+        found = found.mapInArrow(lambda rows, deep=deep: _batches(
+            _listed(base, rows, deep), pa.schema([("rel", pa.binary()), ("folder", pa.bool_())]), LISTED), "rel binary, folder boolean")
+        found = found.repartition(tasks, "rel")
+    hashed = found.filter(_raw(F.col("rel").cast("string"))).select("rel").mapInArrow(lambda rows: _batches(
+        _hashed(base, rows), pa.schema([("rel_path", pa.binary()), ("size", pa.int64()), ("sha256", pa.string())]), HASHED),
+        "rel_path binary, size long, sha256 string")
+    return hashed.withColumn("rel_path", F.col("rel_path").cast("string"))

@@ -27,6 +27,13 @@ def scheme(spark: SparkSession, path: str) -> str:
     return _fs(spark, path).getUri().getScheme()
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """``path`` as the operating system has it, if a mounted folder holds it; else None."""
+    if scheme(spark, path) != "file":
+        return None
+    return _fs(spark, path).makeQualified(_path(spark, path)).toUri().getPath()
+
+
 def _exists_already(e: Py4JJavaError) -> bool:
     return "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception)
 

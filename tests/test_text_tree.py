@@ -3,6 +3,8 @@
 import hashlib
 import os
 
+import pytest
+
 from evalspark.sources import artifacts as A
 
 
@@ -21,3 +23,54 @@ def test_text_tree_and_its_manifest(spark, tmp_path):
         assert sorted(got) == sorted(want), (sorted(set(got) ^ set(want))[:5], len(got), len(want))
         assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
         assert not [f for _, _, fs in os.walk(path) for f in fs if f.startswith(".")]
+
+
+def test_manifest_tasks_do_not_grow_with_the_files(spark, tmp_path):
+    """Before: a task for 32 files, as Spark's file scan counts 4 MB for the opening of each."""
+    root = str(tmp_path / "many")
+    A.text_tree(spark.range(600).selectExpr("id", "repeat('x', id) as text"), "id", "text", root)
+    m = A.artifact_manifest(spark, root)
+    assert m.count() == 600 and m.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _odd_tree(spark, root):
+    names = ("top", "a/b/c/deep", "a=1/f", "_a=1/f", "_hid/f", ".hid/f", "_metadata/f", "x/_metadata", "x/_a=b", "x/.h", "x/y._COPYING_",
+             "z._COPYING_/f", "metrics/q", "a/logs/q", "a/grid_metrics.csv", "logs", "sp ace/ü ö", "pct%20/%41")
+    for name in names:
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/{name}", "w") as f:
+            f.write(name * 3000)
+    open(f"{root}/empty", "w").close()
+    os.makedirs(f"{root}/nothing/in it")
+    os.symlink("nowhere", f"{root}/broken")
+    os.symlink(f"{root}/a/b", f"{root}/folder link")
+    os.mkfifo(f"{root}/fifo")
+    spark.range(5000).coalesce(1).selectExpr("cast(id as string) as v").write.text(f"{root}/with checksums")
+
+
+def test_manifest_is_that_of_sparks_file_scan(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/odd tree"
+    _odd_tree(spark, root)
+    get = lambda at: sorted(map(tuple, A.artifact_manifest(spark, at).collect()))
+    own = get(root)
+    assert own == get(f"file://{root}") == get(root + "/") and len(own) == 10, [r[0] for r in own]
+    with open(f"{root}/new\nline", "w") as f:       # the scan's way has no name for it
+        f.write("x")
+    assert get(root) == sorted([*own, ("new\nline", 1, hashlib.sha256(b"x").hexdigest())])
+    os.remove(f"{root}/new\nline")
+    monkeypatch.setattr(A.commits, "mounted", lambda *_: None)
+    assert get(root) == own
+
+
+def test_manifest_minds_the_checksums_beside_a_file(spark, tmp_path):
+    root = f"{tmp_path}/sums"
+    spark.range(50_000).coalesce(1).selectExpr("cast(id as string) as v").write.text(root)
+    part = next(f for f in os.listdir(root) if f.startswith("part-"))
+    with open(f"{root}/{part}", "rb") as f:
+        good = f.read()
+    assert [(r["size"], r["sha256"]) for r in A.artifact_manifest(spark, root).collect()] == [(len(good), hashlib.sha256(good).hexdigest())]
+    for at in (0, len(good) // 2, len(good) - 1):
+        with open(f"{root}/{part}", "wb") as f:
+            f.write(good[:at] + b"?" + good[at + 1:])
+        with pytest.raises(Exception, match="Checksum error"):
+            A.artifact_manifest(spark, root).collect()
