@@ -11,10 +11,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import is_derived_or_log
+from ..session import BROADCAST_ROWS, materialize
 from . import commits
 
 #: Folders that the files of a tree are dealt to: tasks list them side by side.
@@ -43,12 +45,28 @@ def _put_files(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
 
+def _put_single(base: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files of names that come once, as :func:`_put_files`; rows of the others, marked ``many``, are passed on."""
+    own, made = f".{uuid.uuid4().hex}", set()
+    for b in batches:
+        once = b.filter(pc.invert(b["many"]))
+        for where, name, line in zip(once["folder"].to_pylist(), once["name"].to_pylist(), once["line"].to_pylist(), strict=True):
+            if where not in made:
+                os.makedirs(f"{base}/{where}", exist_ok=True)
+                made.add(where)
+            with open(f"{base}/{where}/{own}", "wb") as f:
+                f.write((line or b"") + b"\n")
+            os.replace(f.name, f"{base}/{where}/{name}")
+        yield b.filter(b["many"]).select(["folder", "name", "line"])
+
+
 def text_tree(df: DataFrame, key: str, text: str, root: str) -> None:
     """One text file for each value of ``key`` under ``root``, named after it (``key=value``), one line a row.
 
     Where ``root`` is a mounted folder the tasks write the files themselves: without Hadoop's native
     library its local file system starts two processes for each file, only to set its permissions, and
     a folder for each value makes a listing of as many folders. Elsewhere Spark's partitioned writer does it.
+    Only rows of values that come more than once are shuffled, all rows if those values are too many to broadcast.
     """
     base = commits.mounted(df.sparkSession, root)
     if base is None:
@@ -57,6 +75,10 @@ def text_tree(df: DataFrame, key: str, text: str, root: str) -> None:
     value = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
     rows = df.select(F.pmod(F.xxhash64(value), F.lit(FOLDERS)).alias("folder"),
                      F.concat(F.lit(f"{key}="), value).alias("name"), F.col(text).cast("binary").alias("line"))
+    twice = materialize(rows.groupBy("name").count().filter("count > 1").select("name", F.lit(True).alias("many")), "twice")
+    if twice.count() <= BROADCAST_ROWS:
+        marked = rows.join(F.broadcast(twice), "name", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+        rows = marked.mapInArrow(lambda batches: _put_single(base, batches), rows.schema)
     rows = rows.repartition("name").sortWithinPartitions("folder", "name", "line")
     rows.mapInArrow(lambda batches: _put_files(base, batches), "n long").agg(F.sum("n")).collect()
 

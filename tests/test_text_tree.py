@@ -74,3 +74,18 @@ def test_manifest_minds_the_checksums_beside_a_file(spark, tmp_path):
             f.write(good[:at] + b"?" + good[at + 1:])
         with pytest.raises(Exception, match="Checksum error"):
             A.artifact_manifest(spark, root).collect()
+
+
+def test_text_tree_shuffles_the_texts_of_repeated_keys_only(spark, tmp_path, monkeypatch):
+    """Before: all of them, which took disk besides the files that hold them."""
+    rows = [(i, f"text {i}") for i in range(300)] + [(i, "again") for i in range(0, 300, 7)] + [(None, "no key"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    into, call = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a: into.append(self) or call(self, *a))
+    got = []
+    for most, shuffled in ((100_000, 2 * 43 + 2), (10, len(rows))):      # few repeated keys, and too many to broadcast
+        monkeypatch.setattr(A, "BROADCAST_ROWS", most, raising=False)
+        A.text_tree(df, "doc_id", "text", f"{tmp_path}/{most}")
+        assert into[-1].count() == shuffled
+        got.append(sorted(map(tuple, A.artifact_manifest(spark, f"{tmp_path}/{most}").collect())))
+    assert got[0] == got[1] and len(got[0]) == 301
