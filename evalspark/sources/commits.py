@@ -8,6 +8,7 @@ a committer that offers exclusive creation).
 
 from __future__ import annotations
 
+import os
 import time
 
 from py4j.protocol import Py4JJavaError
@@ -44,6 +45,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def create_exclusive(spark: SparkSession, path: str, text: str) -> bool:
     """Create a small file; False if there is one already."""
+    at = mounted(spark, path)
+    if at is not None:          # Hadoop's local file system looks and then creates: two writers can both find nothing
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        try:
+            with open(at, "xb") as f:
+                f.write(text.encode())
+        except FileExistsError:
+            return False
+        return True
     try:
         out = _fs(spark, path).create(_path(spark, path), False)
     except Py4JJavaError as e:

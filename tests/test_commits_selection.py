@@ -123,6 +123,23 @@ def test_rows_and_summary_are_published_together(spark):
     assert sorted(RS.read_metrics(spark, root, v)[1].first()["n"] for v in (1, 2, 3))[-1] == 60
 
 
+def test_a_file_has_one_creator(spark):
+    """Before: two of them on a mounted folder, now and then, so that a save of metric rows was lost."""
+    root, start = scratch_dir(spark, "race"), threading.Barrier(8)
+    won = [[] for _ in range(60)]
+
+    def writer(name):
+        for i, winners in enumerate(won):
+            start.wait()
+            if commits.create_exclusive(spark, f"{root}/v/{i}", name):
+                winners.append(name)
+    threads = [threading.Thread(target=writer, args=(f"writer {k}",)) for k in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert [len(w) for w in won] == [1] * len(won)
+    assert [commits.read_text(spark, f"{root}/v/{i}") for i in range(len(won))] == [w[0] for w in won]
+
+
 # ---------------------------------------------------------------- selection
 @pytest.mark.parametrize("digits,levels", [(1, 1), (1, 3), (3, 2)])
 def test_threshold_selects_the_first_by_hash(spark, digits, levels):
